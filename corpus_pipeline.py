@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import simhash
+from docspark.llm import quality, simhash
 from docspark.llm.common import new_path
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = quality.classified(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.where("predicted = 1").select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+STAGES = [("quality classifier", keep_quality), ("simhash near-dedup", near_dedup)]
 ORACLE_SQL = None
 
 
