@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import quality, simhash
+from docspark.llm import mixing, quality, records, simhash
 from docspark.llm.common import new_path
+from docspark.llm.queries import vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +18,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_texts(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return records.encoded(docs, vocabulary("word_bpe_49k.json"))
+
+
 STAGES = [("quality classifier", keep_quality), ("simhash near-dedup", near_dedup)]
 ORACLE_SQL = None
 

@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import quality, simhash
+from docspark.llm import mixing, quality, records, simhash
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; they are installed beside the tokenizer libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.encoded(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -23,7 +38,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality": op6_quality, "op9_simhash": op9_simhash}
+    return {"op1_mixing": op1_mixing, "op3_token_records": op3_token_records, "op6_quality": op6_quality, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
