@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import mixing, quality, records, simhash
+from docspark.llm import decontam, mixing, quality, records, simhash
 from docspark.llm.common import new_path
 from docspark.llm.queries import vocabulary
 
@@ -18,6 +18,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_texts(docs)
 
@@ -26,7 +30,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return records.encoded(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("quality classifier", keep_quality), ("simhash near-dedup", near_dedup)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing to target weights", mix),
+    ("token records", encode),
+]
+#: Learning, components and tokenizers can't be told in SQL.
 ORACLE_SQL = None
 
 

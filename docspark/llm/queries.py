@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import mixing, quality, records, simhash
+from docspark.llm import decontam, mixing, quality, records, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +28,10 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encoded(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -38,8 +42,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_token_records": op3_token_records, "op6_quality": op6_quality, "op9_simhash": op9_simhash}
+    return {"op1_mixing": op1_mixing, "op3_token_records": op3_token_records, "op4_decontamination": op4_decontamination, "op6_quality": op6_quality, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": decontam.ORACLE}
