@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import decontam, mixing, quality, records, simhash
+from docspark.llm import decontam, iblt, mixing, quality, records, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -37,12 +37,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_token_records": op3_token_records, "op4_decontamination": op4_decontamination, "op6_quality": op6_quality, "op9_simhash": op9_simhash}
+    return {"op1_mixing": op1_mixing, "op3_token_records": op3_token_records, "op4_decontamination": op4_decontamination, "op6_quality": op6_quality, "op8_fingerprints": op8_fingerprints, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
