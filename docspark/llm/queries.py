@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import decontam, iblt, mixing, quality, records, simhash
+from docspark.llm import decontam, iblt, langid, mixing, quality, records, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +24,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identified(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encoded(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -46,7 +51,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_token_records": op3_token_records, "op4_decontamination": op4_decontamination, "op6_quality": op6_quality, "op8_fingerprints": op8_fingerprints, "op9_simhash": op9_simhash}
+    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_token_records": op3_token_records, "op4_decontamination": op4_decontamination, "op6_quality": op6_quality, "op8_fingerprints": op8_fingerprints, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
