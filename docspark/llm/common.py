@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 _own_dir: list[str] = []
 
 
+def kept(kind: str, key, make: Callable):
+    """``make()``, kept for later tasks of this Python worker under ``kind`` until another ``key`` comes.
+
+    It is held by a module of its own, since functions of this package come to executors by value, anew for each task.
+    """
+    store = sys.modules.setdefault("_docspark_kept", types.ModuleType("_docspark_kept")).__dict__
+    if kind not in store or store[kind][0] != key:
+        store[kind] = (key, make())
+    return store[kind][1]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one of this process where that is unset (as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def once(df: DataFrame, name: str, column) -> DataFrame:
+    """``df`` with ``column``, worked out once a row: a generator, as a projection would be copied into all its uses."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docspark/{name}-{uuid.uuid4().hex}"
 

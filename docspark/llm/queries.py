@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import decontam, htmldiff, iblt, langid, mixing, quality, records, simhash
+from docspark.llm import decontam, htmldiff, iblt, langid, licences, linededup, mixing, quality, records, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -46,6 +46,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_table(spark, sf_dir, "pages"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -54,9 +58,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_token_records": op3_token_records, "op4_decontamination": op4_decontamination, "op5_main_text": op5_main_text, "op6_quality": op6_quality, "op8_fingerprints": op8_fingerprints, "op9_simhash": op9_simhash}
+    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_token_records": op3_token_records, "op4_decontamination": op4_decontamination, "op5_main_text": op5_main_text, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_fingerprints": op8_fingerprints, "op9_simhash": op9_simhash, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontam.ORACLE}
+    return {"op4_decontamination": decontam.ORACLE, "op7_line_dedup": linededup.oracle(), "op10_licences": licences.oracle()}
