@@ -6,16 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "doc_lengths"
+from docspark.plans import dialect, findings, layout, market, monitoring, retrieval, spans, text  # noqa: F401  they register their plans
 
-
-def _doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "length(text) AS n_chars")
+FLAGSHIP = "f7_sentences"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"doc_lengths": _doc_lengths}
+    return dict(dialect.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"doc_lengths": "SELECT doc_id, length(text) AS n_chars FROM documents"}
+    return dict(dialect.ORACLES)
