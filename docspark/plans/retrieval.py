@@ -1 +1,168 @@
-"""Plans."""
+"""Retrieval: BM25, nearest vectors, fused ranks, keywords, conversation windows."""
+
+from __future__ import annotations
+
+from docspark.plans.dialect import DuckSql, plan, rows
+from docspark.plans.text import words
+
+QUERIES = ((1, "the license version"), (2, "public work released"), (3, "was not all rights"), (4, "and a reserved the"), (5, "zyglo"))
+K1, B, EPSILON = 1.5, 0.75, 0.25
+# Words of five letters or more that are no keywords.
+NO_KEYWORDS = "about above after again against because before being below between cannot could doing during further having herself himself itself myself other ought ourselves should their theirs themselves there these those through under until where which while would yours yourself yourselves document section content image table figure caption header footer".split()
+
+
+def postings(d) -> str:
+    return f"SELECT doc_id, term, count(*) AS tf FROM documents {d.each(words(d, chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')'), 'term', 'pos')} GROUP BY doc_id, term"
+
+
+def lengths(d) -> str:
+    return f"SELECT doc_id, {d.size(words(d, chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')'))} AS len FROM documents"
+
+
+def idf(d) -> str:
+    """Inverse document frequencies; negative ones are a quarter of the mean of all."""
+    raw = f"SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT term, count(*) AS df FROM ({postings(d)}) p GROUP BY term) f CROSS JOIN (SELECT count(*) AS n FROM documents) a"
+    return f"SELECT term, df, CASE WHEN idf < 0 THEN {EPSILON} * mean ELSE idf END AS idf FROM ({raw}) r CROSS JOIN (SELECT avg(idf) AS mean FROM ({raw}) m) x"
+
+
+def bm25(d) -> str:
+    query = rows(*QUERIES, names="query_id, query")
+    asked = f"SELECT query_id, term FROM {query} q {d.each(words(d, 'query'), 'term', 'pos')}"
+    score = f"sum(i.idf * p.tf * ({K1} + 1) / (p.tf + {K1} * (1 - {B} + {B} * l.len / a.avgdl)))"
+    return f"""SELECT q.query_id, p.doc_id, round({score}, 6) AS score FROM ({asked}) q JOIN ({postings(d)}) p ON q.term = p.term JOIN ({idf(d)}) i ON i.term = p.term
+    JOIN ({lengths(d)}) l ON l.doc_id = p.doc_id CROSS JOIN (SELECT avg(len) AS avgdl FROM ({lengths(d)}) x) a GROUP BY q.query_id, p.doc_id"""
+
+
+def top(inner: str, by: str, order: str, k: int) -> str:
+    return f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS INT) AS rnk FROM ({inner}) t) r WHERE rnk <= {k}"
+
+
+def cosine(d, a: str, b: str) -> str:
+    if isinstance(d, DuckSql):
+        return f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+    dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, v) -> s + v)"
+    return f"({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
+
+
+def neighbours(d, k: int = 5) -> str:
+    """For every vector whose id is divisible by 50, the nearest others of its label."""
+    pairs = f"SELECT q.vec_id AS query_id, e.vec_id, round({cosine(d, 'q.embedding', 'e.embedding')}, 6) AS similarity FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0"
+    return top(pairs, "query_id", "similarity DESC, vec_id", k)
+
+
+@plan
+def a6_bm25_statistics(d):
+    return f"SELECT term, df, round(idf, 6) AS idf FROM ({idf(d)}) i"
+
+
+@plan
+def f43_bm25_scores(d):
+    return bm25(d)
+
+
+@plan
+def o3_bm25_top(d):
+    return top(bm25(d), "query_id", "score DESC, doc_id", 10)
+
+
+@plan
+def o4_vector_top(d):
+    return neighbours(d)
+
+
+@plan
+def f44_similarity_edges(d):
+    n = neighbours(d, 10)
+    return f"SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, max(similarity) AS similarity FROM ({n}) n WHERE similarity >= 0.2 GROUP BY least(query_id, vec_id), greatest(query_id, vec_id)"
+
+
+@plan
+def j9_fused_ranks(d):
+    """Reciprocal-rank fusion of two rankings over a full outer join: by words, and by length-damped words."""
+    a = top(bm25(d), "query_id", "score DESC, doc_id", 20)
+    b = top(f"SELECT s.query_id, s.doc_id, s.score / sqrt(l.len + 1) AS score FROM ({bm25(d)}) s JOIN ({lengths(d)}) l ON s.doc_id = l.doc_id", "query_id", "round(score, 6) DESC, doc_id", 20)
+    return f"SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(CAST(1 AS DOUBLE) / (60 + a.rnk), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + b.rnk), 0), 6) AS rrf FROM ({a}) a FULL OUTER JOIN ({b}) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id"
+
+
+@plan
+def f46_boosted(d):
+    q = rows(*QUERIES, names="query_id, query")
+    boost = f"CASE WHEN {d.contains('q.query', d.text('license'))} AND t.source = 'src0' THEN 0.3 ELSE 0 END + CASE WHEN {d.contains('q.query', d.text('rights'))} AND t.lang = 'en' THEN 0.2 ELSE 0 END"
+    return f"SELECT b.query_id, b.doc_id, round(b.score + {boost}, 6) AS boosted FROM ({top(bm25(d), 'query_id', 'score DESC, doc_id', 10)}) b JOIN {q} q ON q.query_id = b.query_id JOIN documents t ON t.doc_id = b.doc_id"
+
+
+@plan
+def p11_metadata_filter(d):
+    return "SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src1'"
+
+
+@plan
+def a5_keywords(d):
+    """A document's ten most frequent words of five or more plain letters, ties by first place."""
+    stop = ", ".join(f"'{w}'" for w in NO_KEYWORDS)
+    n = f"SELECT doc_id, term, count(*) AS n, min(pos) AS first FROM documents {d.each(words(d, 'text'), 'term', 'pos')} WHERE {d.like('term', '^[a-z]{5,}$')} AND term NOT IN ({stop}) GROUP BY doc_id, term"
+    return f"SELECT doc_id, {d.strings('term', ' ', 'rnk')} AS keywords FROM ({top(n, 'doc_id', 'n DESC, first', 10)}) k GROUP BY doc_id"
+
+
+@plan
+def j11_neighbour_expansion(d):
+    hit = top(bm25(d), "query_id", "score DESC, doc_id", 3)
+    linked = "SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS after FROM documents"
+    return f"SELECT DISTINCT query_id, x AS doc_id FROM (SELECT h.query_id, {d.array('h.doc_id', 'l.before', 'l.after')} AS xs FROM ({hit}) h JOIN ({linked}) l ON h.doc_id = l.doc_id) y {d.each('xs', 'x', 'pos')} WHERE x IS NOT NULL"
+
+
+@plan
+def w16_conversation_window(d):
+    return "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) c WHERE rn <= 4"
+
+
+@plan
+def d12_history_prompt(d):
+    last = "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) c WHERE rn <= 4"
+    return f"SELECT conv_id, md5({d.strings('concat(role, chr(58), chr(32), text)', chr(10), 'turn')}) AS prompt FROM ({last}) l GROUP BY conv_id"
+
+
+@plan
+def a38_retrieval_statistics(d):
+    return f"SELECT query_id, count(*) AS n, min(score) AS low, max(score) AS high FROM ({bm25(d)}) b GROUP BY query_id"
+
+
+@plan
+def a33_multi_query_rollup(d):
+    return f"SELECT doc_id, max(score) AS best, min_by(query_id, query_id) AS first_query, count(*) AS n FROM ({bm25(d)}) b GROUP BY doc_id"
+
+
+@plan
+def u7_missing_ids(d):
+    return "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL"
+
+
+@plan
+def u8_subset_test(d):
+    return "SELECT count(*) = 0 AS all_stored FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL"
+
+
+@plan
+def w13_adjacent_merge(d):
+    """Runs of neighbouring documents of a source among the hits, joined to one."""
+    hit = f"SELECT DISTINCT b.doc_id, t.source FROM ({bm25(d)}) b JOIN documents t ON b.doc_id = t.doc_id"
+    island = "sum(CASE WHEN doc_id - before <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"SELECT source, {d.int('island')} AS island, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM (SELECT *, {island} AS island FROM (SELECT *, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM ({hit}) h) b) i GROUP BY source, island"
+
+
+@plan
+def o6_intent_depths(d):
+    t = rows(("summary", 30, 15, 8), ("comparison", 40, 20, 10), ("general", 20, 10, 5), names="intent, retrieve, rerank, final")
+    q = rows((1, "summary"), (2, "comparison"), (3, "other"), names="query_id, intent")
+    return f"SELECT q.query_id, coalesce(t.retrieve, 20) AS retrieve, coalesce(t.rerank, 10) AS rerank, coalesce(t.final, 5) AS final FROM {q} q LEFT JOIN {t} t ON q.intent = t.intent"
+
+
+@plan
+def s19_upsert_new(d):
+    """Rows to append: ids that the store lacks."""
+    return "SELECT e.vec_id, e.label FROM embeddings e LEFT JOIN (SELECT doc_id FROM labels) s ON e.vec_id = s.doc_id WHERE s.doc_id IS NULL"
+
+
+@plan
+def u6_first_wins(d):
+    return "SELECT text, doc_id FROM (SELECT text, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) f WHERE rn = 1"

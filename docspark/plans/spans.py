@@ -1 +1,197 @@
-"""Plans."""
+"""Spans: detectors with offsets, overlap joins by buckets, merge groups, corrections."""
+
+from __future__ import annotations
+
+from docspark.plans.dialect import plan, rows
+from docspark.plans.layout import sentences
+
+BUCKET = 64
+# Detectors by pattern, and by whole word.
+BY_PATTERN = (("url", r"(?i:https?://|www\.)\S+"), ("email", r"[\w.+-]+@[\w-]+\.[\w.-]+"), ("citation", r"\[\d+(?:,\s*\d+)*\]|et al\."), ("scientific", r"\d+(?:\.\d+)?[eE][+-]?\d+"), ("file_name", r"[\w\-]+\.(?:py|js|txt|md|pdf|docx|csv|json|html)"))
+BY_WORD = (("acronym", r"^[A-Z]{2,}s?$"), ("mixed_case", r"^[a-zA-Z]*[a-z][A-Z][a-zA-Z]*$|^\w*\d\w*[a-zA-Z]\w*$"), ("variable", r"^[b-hj-zB-HJ-Z]$"), ("greek", r"(?i)^(alpha|beta|gamma|delta|epsilon|theta|lambda|sigma|omega)$"))
+PRONOUNS = "^(he|she|it|they|him|her|them|his|its|their)$"
+OPEN, SHUT = chr(1), chr(2)
+
+
+def found(d, pattern: str, source: str = "documents") -> str:
+    """Matches of a pattern: doc_id, char_start, char_end, text; linear in the text's length."""
+    marked = d.sub("coalesce(text, '')", f"({pattern})", OPEN + d.group(1) + SHUT)
+    bare = f"replace(piece, {d.text(SHUT)}, '')"
+    start = f"sum(length({bare})) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    word = f"substr(piece, 1, {d.int(f'''strpos(piece, {d.text(SHUT)})''' if d.__class__.__name__ == 'DuckSql' else f'''instr(piece, {d.text(SHUT)})''')} - 1)"
+    inner = f"SELECT doc_id, pos, {start} AS char_start, {word} AS text FROM {source} {d.each(d.split(marked, OPEN), 'piece', 'pos')}"
+    return f"SELECT doc_id, {d.long('char_start')} AS char_start, {d.long('char_start + length(text)')} AS char_end, text FROM ({inner}) m WHERE pos > 0"
+
+
+def words(d) -> str:
+    return found(d, r"[\p{L}\p{N}_]+")
+
+
+def protected(d) -> str:
+    """All detectors' spans of two characters or more, and single letters; the first detector keeps a span."""
+    parts = [f"SELECT doc_id, char_start, char_end, text, '{name}' AS reason, {i} AS ord FROM ({found(d, p)}) m WHERE length(text) >= 2" for i, (name, p) in enumerate(BY_PATTERN)]
+    which = " ".join(f"WHEN {d.like('text', p)} THEN '{name}'" for name, p in BY_WORD)
+    ords = " ".join(f"WHEN {d.like('text', p)} THEN {10 + i}" for i, (name, p) in enumerate(BY_WORD))
+    parts.append(f"SELECT * FROM (SELECT doc_id, char_start, char_end, text, CASE {which} END AS reason, CASE {ords} END AS ord FROM ({words(d)}) w) x WHERE reason IS NOT NULL")
+    every = " UNION ALL ".join(parts)
+    return f"SELECT doc_id, char_start, char_end, text, reason, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, char_start, char_end ORDER BY ord) AS rn FROM ({every}) a) b WHERE rn = 1"
+
+
+def candidates(d) -> str:
+    """Correction candidates of three detectors, with an ordinal in each document."""
+    spell = f"SELECT doc_id, char_start, char_end, text, lower(text) AS suggestion, 'symspell' AS source, 'spelling' AS issue_type FROM ({words(d)}) w WHERE length(text) >= 14"
+    marks = f"SELECT doc_id, char_start, char_end, text, {d.sub('text', '!+$', '')} AS suggestion, 'languagetool' AS source, 'punctuation' AS issue_type FROM ({found(d, '[^ ]+!!')}) m"
+    caps = f"SELECT doc_id, char_start, char_end, text, lower(text) AS suggestion, 'llm' AS source, 'style' AS issue_type FROM ({words(d)}) w WHERE {d.like('text', '^[A-Z]{6,}$')}"
+    return f"SELECT *, {d.int('row_number() OVER (PARTITION BY doc_id ORDER BY char_start, char_end, source)')} AS ord FROM ({spell} UNION ALL {marks} UNION ALL {caps}) c"
+
+
+def bucketed(d, spans: str) -> str:
+    """Spans once for each bucket of positions that they touch."""
+    series = f"sequence({d.int(f'floor(char_start / {BUCKET})')}, {d.int(f'floor((char_end - 1) / {BUCKET})')})" if d.__class__.__name__ == "SparkSql" else f"range({d.int(f'floor(char_start / {BUCKET})')}, {d.int(f'floor((char_end - 1) / {BUCKET})')} + 1)"
+    return f"SELECT s.*, bucket FROM ({spans}) s {d.each(series, 'bucket', '_at')}"
+
+
+def gated(d) -> str:
+    """Candidates with the first protected span that they overlap."""
+    hits = f"""SELECT c.doc_id, c.ord, min_by(p.reason, p.char_start * 100 + p.ord) AS reason FROM ({bucketed(d, candidates(d))}) c
+    JOIN ({bucketed(d, protected(d))}) p ON c.doc_id = p.doc_id AND c.bucket = p.bucket AND c.char_start < p.char_end AND c.char_end > p.char_start GROUP BY c.doc_id, c.ord"""
+    return f"SELECT c.*, h.reason IS NOT NULL AS is_protected, h.reason AS protected_reason FROM ({candidates(d)}) c LEFT JOIN ({hits}) h ON c.doc_id = h.doc_id AND c.ord = h.ord"
+
+
+def grouped(d) -> str:
+    """Merge groups: a new one where a candidate starts at or after the end of all before."""
+    new = "CASE WHEN char_start >= coalesce(max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END"
+    return f"SELECT *, {d.int('sum(is_new) OVER (PARTITION BY doc_id ORDER BY char_start, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS grp FROM (SELECT *, {new} AS is_new FROM ({gated(d)}) g) h"
+
+
+def merged(d) -> str:
+    """One issue for each group: the best candidate by source, its agreement, confidence and severity."""
+    prio = "CASE source WHEN 'llm' THEN 0 WHEN 'languagetool' THEN 1 ELSE 2 END"
+    best = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY {prio}, char_start, ord) AS rn FROM ({grouped(d)}) g) b WHERE rn = 1"
+    agree = f"SELECT b.doc_id, b.grp, count(*) AS agreement, max(CASE WHEN g.source = 'llm' THEN 1 ELSE 0 END) AS llm, max(CASE WHEN g.source = 'languagetool' THEN 1 ELSE 0 END) AS lt, max(CASE WHEN g.source = 'symspell' THEN 1 ELSE 0 END) AS ss FROM ({best}) b JOIN ({grouped(d)}) g ON b.doc_id = g.doc_id AND b.grp = g.grp AND b.suggestion = g.suggestion GROUP BY b.doc_id, b.grp"
+    conf = "CASE WHEN b.is_protected THEN 0.0 WHEN lt + llm + ss = 3 THEN 1.0 WHEN lt + llm = 2 THEN 0.95 WHEN lt + ss = 2 THEN 0.88 WHEN ss + llm = 2 THEN 0.82 WHEN lt = 1 THEN CASE b.issue_type WHEN 'spelling' THEN 0.78 WHEN 'grammar' THEN 0.73 ELSE 0.75 END WHEN llm = 1 THEN 0.80 WHEN ss = 1 THEN 0.35 ELSE 0.5 END"
+    weight = "CASE issue_type WHEN 'spelling' THEN 0.7 WHEN 'punctuation' THEN 0.6 WHEN 'style' THEN 0.5 ELSE 1.0 END"
+    core = f"SELECT b.doc_id, b.grp, b.char_start, b.char_end, b.text, b.suggestion, b.source, b.issue_type, b.is_protected, a.agreement, CAST({conf} AS DOUBLE) AS confidence FROM ({best}) b JOIN ({agree}) a ON b.doc_id = a.doc_id AND b.grp = a.grp"
+    score = f"confidence * {weight}"
+    return f"SELECT *, CASE WHEN {score} >= 0.85 THEN 'critical' WHEN {score} >= 0.65 THEN 'high' WHEN {score} >= 0.4 THEN 'medium' ELSE 'low' END AS severity FROM ({core}) m"
+
+
+def applied(d, before: str, between: str, after: str, source: str) -> str:
+    """Texts with spans replaced: ``before``, ``between`` and ``after`` are put together for each span of ``source``."""
+    gap = "substr(t.text, CAST(coalesce(lag(s.char_end) OVER (PARTITION BY s.doc_id ORDER BY s.char_start), 0) AS INT) + 1, CAST(s.char_start - coalesce(lag(s.char_end) OVER (PARTITION BY s.doc_id ORDER BY s.char_start), 0) AS INT))"
+    part = f"SELECT s.doc_id, s.char_start, s.char_end, concat({gap}, {before}, {between}, {after}) AS part FROM ({source}) s JOIN documents t ON s.doc_id = t.doc_id"
+    put = f"SELECT doc_id, {d.strings('part', '', 'char_start')} AS head, max(char_end) AS last FROM ({part}) p GROUP BY doc_id"
+    return f"SELECT t.doc_id, concat(coalesce(p.head, ''), substr(t.text, CAST(coalesce(p.last, 0) AS INT) + 1)) AS text FROM documents t LEFT JOIN ({put}) p ON t.doc_id = p.doc_id"
+
+
+@plan
+def f26_pattern_spans(d):
+    return " UNION ALL ".join(f"SELECT '{name}' AS reason, doc_id, char_start, char_end, text FROM ({found(d, p)}) m" for name, p in BY_PATTERN)
+
+
+@plan
+def f27_word_spans(d):
+    which = " ".join(f"WHEN {d.like('text', p)} THEN '{name}'" for name, p in (*BY_WORD, ("pronoun", "(?i)" + PRONOUNS)))
+    return f"SELECT doc_id, char_start, char_end, text, kind FROM (SELECT *, CASE {which} END AS kind FROM ({words(d)}) w) k WHERE kind IS NOT NULL"
+
+
+@plan
+def u1_protected_terms(d):
+    return f"SELECT doc_id, char_start, char_end, text, reason FROM ({protected(d)}) p"
+
+
+@plan
+def u2_candidates(d):
+    return f"SELECT * FROM ({candidates(d)}) c"
+
+
+@plan
+def j1_protected_gate(d):
+    return f"SELECT doc_id, ord, is_protected, protected_reason FROM ({gated(d)}) g"
+
+
+@plan
+def p5_gate_split(d):
+    return f"SELECT doc_id, {d.long('count_if(is_protected)')} AS rejected, {d.long('count_if(NOT is_protected)')} AS accepted FROM ({gated(d)}) g GROUP BY doc_id"
+
+
+@plan
+def j5_unflagged(d):
+    """Words of the spelling detector that no other candidate overlaps."""
+    other = f"SELECT DISTINCT a.doc_id, a.ord FROM ({bucketed(d, candidates(d))}) a JOIN ({bucketed(d, candidates(d))}) b ON a.doc_id = b.doc_id AND a.bucket = b.bucket AND b.source <> 'symspell' AND a.char_start < b.char_end AND a.char_end > b.char_start"
+    return f"SELECT c.doc_id, c.ord, c.text FROM ({candidates(d)}) c LEFT JOIN ({other}) o ON c.doc_id = o.doc_id AND c.ord = o.ord WHERE c.source = 'symspell' AND o.ord IS NULL"
+
+
+@plan
+def j3_candidate_sentence(d):
+    """The sentence that holds a candidate's start, -1 if none: the last sentence that begins at or before it."""
+    both = f"SELECT doc_id, char_start, 0 AS kind, sentence_id, char_end AS stop, 0 AS ord FROM ({sentences(d)}) s UNION ALL SELECT doc_id, char_start, 1, NULL, NULL, ord FROM ({candidates(d)}) c"
+    frame_ = "PARTITION BY doc_id ORDER BY char_start, kind, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    seen = f"SELECT doc_id, ord, kind, char_start, {d.last_seen('sentence_id', frame_)} AS sid, {d.last_seen('stop', frame_)} AS stop FROM ({both}) b"
+    return f"SELECT doc_id, ord, CASE WHEN char_start < stop THEN sid ELSE -1 END AS sentence_id FROM ({seen}) s WHERE kind = 1"
+
+
+@plan
+def p8_real_changes(d):
+    """Candidates that change something, with the text found again at their offsets."""
+    same = "substr(t.text, CAST(c.char_start AS INT) + 1, CAST(c.char_end - c.char_start AS INT)) = c.text"
+    return f"SELECT c.doc_id, c.ord FROM ({candidates(d)}) c JOIN documents t ON c.doc_id = t.doc_id WHERE c.text <> c.suggestion AND {same}"
+
+
+@plan
+def w5_merge_groups(d):
+    return f"SELECT doc_id, grp, count(*) AS n, min(char_start) AS char_start, max(char_end) AS char_end FROM ({grouped(d)}) g GROUP BY doc_id, grp"
+
+
+@plan
+def w6_merged_issues(d):
+    return f"SELECT doc_id, grp, char_start, char_end, suggestion, source, issue_type, agreement, confidence, severity FROM ({merged(d)}) m"
+
+
+@plan
+def p9_confident_issues(d):
+    return f"SELECT doc_id, grp, confidence FROM ({merged(d)}) m WHERE confidence > 0.5"
+
+
+@plan
+def a3_issue_counts(d):
+    return f"SELECT issue_type, severity, count(*) AS n FROM ({merged(d)}) m GROUP BY issue_type, severity"
+
+
+@plan
+def f32_corrected_text(d):
+    text = applied(d, "''", "s.suggestion", "''", f"SELECT * FROM ({merged(d)}) m WHERE confidence > 0.5")
+    return f"SELECT doc_id, md5(text) AS digest, {d.int('length(text)')} AS n_chars FROM ({text}) x"
+
+
+@plan
+def f30_annotated_text(d):
+    text = applied(d, "'[['", "s.text", "concat('=>', s.suggestion, ']]')", f"SELECT * FROM ({merged(d)}) m WHERE confidence > 0.5")
+    return f"SELECT doc_id, md5(text) AS digest, {d.int('length(text)')} AS n_chars FROM ({text}) x"
+
+
+@plan
+def a4_repeated_terms(d):
+    """Words that a document uses twice or more and that fewer than a tenth of the documents use."""
+    n = "SELECT count(*) AS total FROM documents"
+    tf = f"SELECT doc_id, lower(text) AS term, count(*) AS n FROM ({words(d)}) w GROUP BY doc_id, lower(text)"
+    df = f"SELECT term, count(*) AS df FROM ({tf}) t GROUP BY term"
+    return f"SELECT t.doc_id, t.term, t.n FROM ({tf}) t JOIN ({df}) f ON t.term = f.term CROSS JOIN ({n}) a WHERE t.n >= 2 AND f.df * 10 < a.total"
+
+
+@plan
+def p7_spelling_bypass(d):
+    return f"SELECT CASE WHEN issue_type = 'spelling' THEN 'passes' ELSE 'to model' END AS route, count(*) AS n FROM ({candidates(d)}) c GROUP BY CASE WHEN issue_type = 'spelling' THEN 'passes' ELSE 'to model' END"
+
+
+@plan
+def a42_terms_by_category(d):
+    return f"SELECT reason, count(DISTINCT lower(text)) AS n_terms, count(*) AS n FROM ({protected(d)}) p GROUP BY reason"
+
+
+@plan
+def j25_decisions(d):
+    """The latest decision on each issue, and issues without one."""
+    log = rows((1, "accepted", 1), (1, "rejected", 2), (2, "accepted", 1), (9, "accepted", 3), names="issue_id, status, no")
+    last = f"SELECT issue_id, max_by(status, no) AS status FROM {log} l GROUP BY issue_id"
+    return f"SELECT m.doc_id, m.grp, coalesce(l.status, 'pending') AS decision FROM ({merged(d)}) m LEFT JOIN ({last}) l ON m.grp = l.issue_id"
