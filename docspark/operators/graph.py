@@ -1,0 +1,67 @@
+"""Similarity graphs of one document: communities by modularity, small ones merged."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SWEEPS, SMALLEST, MERGE_ABOVE = 15, 4, 0.5
+
+
+def communities(nodes: list, edges: list[tuple]) -> dict:
+    """A community number for each node. ``edges``: (a, b, weight), undirected; without edges each node is alone."""
+    near: dict = {n: {} for n in nodes}
+    for a, b, w in edges:
+        if a != b:
+            near[a][b], near[b][a] = w, w
+    label = {n: i for i, n in enumerate(nodes)}
+    degree = {n: sum(near[n].values()) for n in nodes}
+    m = sum(degree.values()) / 2
+    if not m:
+        return label
+    total = {label[n]: degree[n] for n in nodes}
+    for _ in range(SWEEPS):
+        moved = False
+        for n in nodes:
+            own, links = label[n], {}
+            for other, w in near[n].items():
+                links[label[other]] = links.get(label[other], 0.0) + w
+            total[own] -= degree[n]
+            gain = lambda c, links=links, n=n: links.get(c, 0.0) / m - total[c] * degree[n] / (2 * m * m)
+            best = max([own, *sorted(links)], key=lambda c: (gain(c), c == own))
+            total[best] += degree[n]
+            if best != own:
+                label[n], moved = best, True
+        if not moved:
+            break
+    sizes = pd.Series(label).value_counts().to_dict()
+    for c in sorted(sizes, key=lambda c: (sizes[c], c)):
+        if not 0 < sizes[c] < SMALLEST:
+            continue
+        pull: dict = {}
+        for n in nodes:
+            if label[n] == c:
+                for other, w in near[n].items():
+                    if label[other] != c:
+                        pull[label[other]] = max(pull.get(label[other], 0.0), w)
+        if pull and pull[to := max(sorted(pull), key=pull.get)] > MERGE_ABOVE:
+            for n in nodes:
+                if label[n] == c:
+                    label[n] = to
+            sizes[to] += sizes[c]
+            sizes[c] = 0
+    order = {c: i for i, c in enumerate(dict.fromkeys(label[n] for n in nodes))}
+    return {n: order[label[n]] for n in nodes}
+
+
+def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows ``(doc_id, node, cluster)`` from ``nodes(doc_id, node)`` and ``edges(doc_id, a, b, weight)``; a document's graph fits in a task."""
+
+    def of(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(n["node"])
+        found = communities(names, list(e[["a", "b", "weight"]].itertuples(index=False, name=None)))
+        return pd.DataFrame({"doc_id": n["doc_id"].iloc[0] if len(n) else None, "node": names, "cluster": [found[x] for x in names]})
+
+    edges = edges.select(F.col("doc_id").alias("_doc"), "a", "b", "weight")  # both may come from one table
+    return nodes.groupBy("doc_id").cogroup(edges.groupBy("_doc")).applyInPandas(of, "doc_id long, node long, cluster long")

@@ -1 +1,127 @@
-"""Plans."""
+"""Company comparison: web hits, names, scores, capability matrices. Score tables are fixed values, not measurements."""
+
+from __future__ import annotations
+
+from docspark.plans.dialect import plan, rows
+
+HITS = rows(
+    (1, "Acme Industries Ltd | Official Site", "https://www.acme.com/about", 0.9), (2, "Acme Industries annual report", "https://acme.com/report", 0.8), (3, "Bolt Systems Pvt. Ltd.", "https://bolt.io/", 0.7),
+    (4, "Top ten competitors of Target Corp", "https://www.wikipedia.org/wiki/Top", 0.95), (5, "Target Corp careers", "https://target.com/jobs", 0.9), (6, "Bolt Systems overview", "https://www.bolt.io/overview", 0.6), (7, "Bolt", "https://bolt.io/", 0.6),
+    names="hit_id, title, url, score",
+)
+NOISE = ("wikipedia.org", "linkedin.com", "facebook.com", "youtube.com", "glassdoor.com")
+PROFILES = rows(("Target", "service", "design"), ("Target", "service", "build"), ("Acme", "service", "design"), ("Acme", "technology", "cloud"), ("Bolt", "service", "audit"), ("Bolt", "technology", "cloud"), names="company, attribute, value")
+
+
+def hits(d) -> str:
+    host = f"regexp_replace(lower({d.extract('url', '^[a-z]+://([^/]+)', 1)}), '^www[.]', '')"
+    name = d.sub(d.sub("lower(title)", r"\s*[|].*$", ""), r"\b(ltd|pvt|inc|corp|limited|official site|annual report|overview|careers)\b[.]?", "")
+    return f"SELECT hit_id, title, url, score, {host} AS domain, trim({d.sub(name, '[^a-z0-9 ]', '')}) AS company FROM {HITS} h"
+
+
+def useful(d) -> str:
+    return f"SELECT * FROM ({hits(d)}) x WHERE domain NOT IN ({', '.join(map(d.text, NOISE))}) AND NOT {d.contains('company', d.text('target'))} AND NOT {d.contains('lower(title)', d.text('top ten'))}"
+
+
+def grouped(d) -> str:
+    return f"SELECT domain, min(company) AS company, count(*) AS n_hits, count(DISTINCT url) AS n_urls, max(score) AS best FROM ({useful(d)}) u GROUP BY domain"
+
+
+def scores(d) -> str:
+    conf = "least(CAST(1 AS DOUBLE), 0.60 + n_hits * 0.10 + best * 0.30)"
+    return f"SELECT *, round({conf} * 0.25 + CASE WHEN n_hits >= 2 THEN 0.85 ELSE 0.70 END * 0.25 + 0.80 * 0.20 + 0.75 * 0.15 + 0.80 * 0.15, 6) * CAST(1 AS DOUBLE) AS composite FROM ({grouped(d)}) g"
+
+
+@plan
+def f16_company_names(d):
+    return f"SELECT hit_id, company FROM ({hits(d)}) h"
+
+
+@plan
+def p12_noise_filter(d):
+    return f"SELECT hit_id, domain FROM ({hits(d)}) h WHERE domain NOT IN ({', '.join(map(d.text, NOISE))})"
+
+
+@plan
+def p13_entity_filter(d):
+    return f"SELECT hit_id FROM ({hits(d)}) h WHERE NOT {d.like('lower(title)', 'top ten|list of|careers|jobs')}"
+
+
+@plan
+def p14_target_exclusion(d):
+    return f"SELECT hit_id FROM ({hits(d)}) h WHERE NOT {d.contains('company', d.text('target'))}"
+
+
+@plan
+def u6_distinct_urls(d):
+    return f"SELECT url, min(hit_id) AS hit_id FROM ({hits(d)}) h GROUP BY url"
+
+
+@plan
+def a27_competitor_groups(d):
+    return grouped(d)
+
+
+@plan
+def f50_composite_scores(d):
+    return f"SELECT domain, composite FROM ({scores(d)}) s"
+
+
+@plan
+def a28_above_threshold(d):
+    return f"SELECT domain FROM ({scores(d)}) s WHERE composite >= 0.65"
+
+
+@plan
+def o12_top_competitors(d):
+    return f"SELECT domain, CAST(row_number() OVER (ORDER BY composite DESC, domain) AS INT) AS place FROM ({scores(d)}) s ORDER BY composite DESC, domain LIMIT 5"
+
+
+@plan
+def j23_new_urls(d):
+    more = rows((8, "https://bolt.io/"), (9, "https://new.io/x"), names="hit_id, url")
+    return f"SELECT m.hit_id, m.url FROM {more} m LEFT JOIN {HITS} h ON m.url = h.url WHERE h.url IS NULL"
+
+
+@plan
+def j24_comparison(d):
+    """Target against competitors by attribute, in long form."""
+    return f"SELECT c.company, c.attribute, count(t.value) AS shared, count(*) AS own FROM {PROFILES} c LEFT JOIN {PROFILES} t ON t.company = 'Target' AND t.attribute = c.attribute AND t.value = c.value WHERE c.company <> 'Target' GROUP BY c.company, c.attribute"
+
+
+@plan
+def a32_peer_union(d):
+    return f"SELECT attribute, {d.strings('value', ', ', 'value')} AS all_values FROM (SELECT DISTINCT attribute, value FROM {PROFILES} p WHERE company <> 'Target') u GROUP BY attribute"
+
+
+@plan
+def a29_industry_vote(d):
+    """Keyword votes for an industry over whole documents; ties to the first listed."""
+    k = rows((1, "legal", "license"), (1, "legal", "rights"), (2, "engineering", "work"), (3, "retail", "version"), names="ord, industry, word")
+    n = f"SELECT t.doc_id, k.ord, k.industry, sum((length(t.text) - length(replace(lower(t.text), k.word, ''))) / length(k.word)) AS votes FROM documents t CROSS JOIN {k} k GROUP BY t.doc_id, k.ord, k.industry"
+    return f"SELECT doc_id, industry FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, ord) AS rn FROM ({n}) n) x WHERE rn = 1 AND votes > 0"
+
+
+@plan
+def a31_owner_vote(d):
+    own = rows((1, "Annual report of Acme. Acme Limited presents", True), (1, "Bolt is a rival of Acme Limited", False), names="doc, text, is_cover")
+    c = rows(("Acme",), ("Bolt",), names="company")
+    hits_ = "(length(text) - length(replace(text, company, ''))) / length(company)"
+    return f"SELECT doc, company, {d.int(f'sum(40 * {hits_} + CASE WHEN is_cover AND {hits_} > 0 THEN 50 ELSE 0 END)')} AS votes FROM {own} o CROSS JOIN {c} c GROUP BY doc, company HAVING sum(40 * {hits_} + CASE WHEN is_cover AND {hits_} > 0 THEN 50 ELSE 0 END) >= 70"
+
+
+@plan
+def p22_sanitised_items(d):
+    own = rows((1, "Fast delivery"), (1, "fast delivery"), (1, "as an AI model"), (2, "Lorem ipsum"), names="company, item")
+    return f"SELECT company, min(item) AS item FROM {own} o WHERE NOT {d.like('lower(item)', 'as an ai|lorem ipsum')} GROUP BY company, lower(item)"
+
+
+@plan
+def p32_recommendations(d):
+    own = rows((1, "Invest", None), (2, None, "Hire"), (3, "Audit", "x"), names="ord, title, name")
+    return f"SELECT ord, coalesce(title, name) AS title, CASE WHEN ord <= 2 THEN 'High' ELSE 'Medium' END AS priority FROM {own} o WHERE (SELECT count(*) FROM {own} n) >= 3"
+
+
+@plan
+def f51_position_scores(d):
+    return f"SELECT company, {d.int('90 - 5 * (row_number() OVER (ORDER BY company) - 1)')} AS score FROM (SELECT DISTINCT company FROM {PROFILES} p) c"

@@ -1 +1,120 @@
-"""Plans."""
+"""Jobs, stages, progress and decisions, event-sourced from the events table; and small reports over the corpus."""
+
+from __future__ import annotations
+
+from docspark.plans.dialect import plan, rows
+
+STAGES = ("view", "click", "cart", "purchase")
+
+
+@plan
+def a34_dashboard(d):
+    return f"SELECT count(DISTINCT user_id) AS jobs, round(avg(value), 6) AS mean_value, count(*) AS issues, {d.long('count_if(CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events))')} AS today FROM events"
+
+
+@plan
+def a35_decision_counts(d):
+    return f"SELECT user_id, {d.long('count_if(value >= 50)')} AS accepted, {d.long('count_if(value < 50)')} AS rejected FROM events GROUP BY user_id"
+
+
+@plan
+def a39_stage_progress(d):
+    return "SELECT user_id, 100.0 * count(DISTINCT event_type) / 8 * CAST(1 AS DOUBLE) AS pct FROM events GROUP BY user_id"
+
+
+@plan
+def x7_latest_stage(d):
+    """The latest event of each job and stage; ties by event_id."""
+    return "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) e WHERE rn = 1"
+
+
+@plan
+def w17_emit_on_change(d):
+    return "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) e WHERE before IS NULL OR before <> event_type"
+
+
+@plan
+def w18_eta(d):
+    w = "PARTITION BY user_id ORDER BY ts, event_id"
+    return f"SELECT user_id, event_id, round(sum(value) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS spent, {d.int(f'count(*) OVER (PARTITION BY user_id) - row_number() OVER ({w})')} AS n_left FROM events"
+
+
+@plan
+def o14_newest_jobs(d):
+    return "SELECT user_id, max(ts) AS newest, CAST(row_number() OVER (ORDER BY max(ts) DESC, user_id) AS INT) AS place FROM events GROUP BY user_id"
+
+
+@plan
+def x4_log_stages(d):
+    log = rows((1, "Preprocessing started"), (2, "Splitting sentences"), (3, "Merging issues"), (4, "other"), names="line, text")
+    rules = (("preprocess", "preprocessing", 20), ("sentence", "sentences", 40), ("merg", "merge", 80))
+    stage = " ".join(f"WHEN {d.contains('lower(text)', d.text(k))} THEN '{s}'" for k, s, _ in rules)
+    pct = " ".join(f"WHEN {d.contains('lower(text)', d.text(k))} THEN {p}" for k, _, p in rules)
+    return f"SELECT line, CASE {stage} ELSE 'unknown' END AS stage, CASE {pct} ELSE 0 END AS pct FROM {log} l"
+
+
+@plan
+def u12_latest_upload(d):
+    up = rows(("a.pdf", 1, 10), ("a.pdf", 2, 20), ("b.txt", 3, 5), names="filename, job, no")
+    return f"SELECT filename, max_by(job, no) AS job FROM {up} u GROUP BY filename"
+
+
+@plan
+def s2_type_guard(d):
+    f = rows(("a.PDF",), ("b.docx",), ("c.txt",), ("d.exe",), ("noext",), names="path")
+    ext = "lower(" + d.extract("path", r"\.([A-Za-z0-9]+)$", 1) + ")"
+    return f"SELECT path, {ext} IN ('pdf', 'docx', 'txt') AS supported FROM {f} f"
+
+
+@plan
+def s13_image_filter(d):
+    i = rows((1, 100, 300, 20000), (2, 130, 130, 20000), (3, 300, 300, 5000), (4, 200, 100, 9000), (5, 130, 110, 9000), names="image, w, h, bytes")
+    return f"SELECT image, w < 120 OR h < 120 OR w * h < 15000 OR bytes < 8192 AS decorative FROM {i} i"
+
+
+@plan
+def s10_ancestor_path(d):
+    """Paths from the root over parents, at most fifty steps."""
+    e = rows((1, None, "Root"), (2, 1, "A"), (3, 2, "B"), (4, 9, "Lost"), names="id, parent, name")
+    string = "STRING" if d.__class__.__name__ == "SparkSql" else "VARCHAR"
+    return f"WITH RECURSIVE t(id, path, depth) AS (SELECT id, CAST(name AS {string}), 0 FROM {e} r WHERE parent IS NULL UNION ALL SELECT c.id, CAST(concat(t.path, ' > ', c.name) AS {string}), t.depth + 1 FROM {e} c JOIN t ON c.parent = t.id WHERE t.depth < 50) SELECT id, path FROM t"
+
+
+@plan
+def s14_captions(d):
+    e = rows((1, "image", "c1", None), (2, "table", None, None), (3, "caption", "c1", "Figure 1: x"), names="id, kind, ref, text")
+    return f"SELECT a.id, b.text AS caption FROM {e} a LEFT JOIN {e} b ON b.kind = 'caption' AND a.ref = b.ref WHERE a.kind <> 'caption'"
+
+
+@plan
+def s21_common_words(d):
+    """A frequency dictionary of the corpus itself: words and whether they are common."""
+    from docspark.plans.text import words
+
+    return f"SELECT term, count(*) AS freq, count(*) > 100 AS is_common FROM documents {d.each(words(d, 'text'), 'term', 'pos')} GROUP BY term"
+
+
+@plan
+def u9_isolated(d):
+    return "SELECT v.vec_id FROM embeddings v LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings WHERE label < 5) c ON v.vec_id = c.vec_id WHERE c.vec_id IS NULL"
+
+
+@plan
+def a37_type_counts(d):
+    return "SELECT label, count(*) AS n FROM embeddings GROUP BY label"
+
+
+@plan
+def a36_corpus_statistics(d):
+    return f"SELECT count(*) AS docs, count(DISTINCT source) AS sources, max(doc_id) AS last_id, {d.long('sum(length(text))')} AS n_chars FROM documents"
+
+
+@plan
+def s29_content_key(d):
+    return ("SELECT doc_id, sha2(text, 256) AS content_key FROM documents" if d.__class__.__name__ == "SparkSql" else "SELECT doc_id, sha256(text) AS content_key FROM documents")
+
+
+@plan
+def ext_tumbling_hours(d):
+    """An extension, not one of the reference's operators: events by hour and type."""
+    return f"SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY date_trunc('hour', ts), event_type"

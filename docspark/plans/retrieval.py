@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docspark.plans.dialect import DuckSql, plan, rows
-from docspark.plans.text import words
+from docspark.plans.text import BODY, words
 
 QUERIES = ((1, "the license version"), (2, "public work released"), (3, "was not all rights"), (4, "and a reserved the"), (5, "zyglo"))
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -12,11 +12,11 @@ NO_KEYWORDS = "about above after again against because before being below betwee
 
 
 def postings(d) -> str:
-    return f"SELECT doc_id, term, count(*) AS tf FROM documents {d.each(words(d, chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')'), 'term', 'pos')} GROUP BY doc_id, term"
+    return f"SELECT doc_id, term, count(*) AS tf FROM documents {d.each(words(d, BODY), 'term', 'pos')} GROUP BY doc_id, term"
 
 
 def lengths(d) -> str:
-    return f"SELECT doc_id, {d.size(words(d, chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')'))} AS len FROM documents"
+    return f"SELECT doc_id, {d.size(words(d, BODY))} AS len FROM documents"
 
 
 def idf(d) -> str:

@@ -15,9 +15,14 @@ PAGE_NUMBER = r"(?i)^\s*(page\s+)?\d+\s*(/\s*\d+)?\s*$"
 ROMAN = r"(?i)^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 ACRONYM = r"^[A-Z]{2,}[A-Z0-9]*$"
 CITATION = r"^\[\d+(,\s*\d+)*\]$|^\(\s*[A-Za-z.,&\s]+,?\s*\d{4}[a-z]?\s*\)$"
+MARKS, PLAIN_MARKS = "‘’‚‛“”„‟‐‑‒–—―", "''''" + '""""' + "------"
 STOP = "a an and are as at be by for from has he in is it its of on or that the to was were will with what who how when where which".split()
 
 
+#: A document's text; of a null text nothing.
+BODY = "coalesce(text, '')"
+
+
 def lines(d: SparkSql, text: str = "text") -> str:
     return d.split(f"coalesce({text}, '')", "\n")
 
@@ -36,7 +41,7 @@ def normalised(d: SparkSql, text: str) -> str:
 
     For text in composed form; compatibility forms are a step of their own (``operators.normalise``).
     """
-    t = f"translate({text}, '‘’‚‛“”„‟‐‑‒–—―', {d.text(chr(39) * 4 + chr(34) * 4 + '------')})"
+    t = f"translate({text}, {d.text(MARKS)}, {d.text(PLAIN_MARKS)})"
     t = d.sub(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     t = d.sub(t, r"(\w)-\n(\w)", d.group(1) + d.group(2))
     t = d.sub(d.sub(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
@@ -62,7 +67,8 @@ def f2_remove_urls_and_emails(d):
 def f3_token_predicates(d):
     token = rows(("12",), ("Page 3",), ("3 / 10",), ("iv",), ("XII",), ("NASA",), ("Nasa",), ("B2B",), ("[1, 2]",), ("(Smith, 2020)",), ("word",), ("",), names="token")
     both = f"SELECT token FROM {token} t UNION ALL SELECT source FROM documents"
-    roman = f"(length(trim(token, '.')) > 0 AND {d.like(d.sub('token', '^[.]+|[.]+$', ''), ROMAN)} AND {d.sub('token', '^[.]+|[.]+$', '')} <> '')".replace("length(trim(token, '.')) > 0 AND ", "")
+    bare = d.sub("token", "^[.]+|[.]+$", "")
+    roman = f"({d.like(bare, ROMAN)} AND {bare} <> '')"
     return f"SELECT token, {d.like('trim(token)', PAGE_NUMBER)} AS is_page_number, {roman} AS is_roman, {d.like('token', ACRONYM)} AS is_acronym, {d.like('trim(token)', CITATION)} AS is_citation FROM ({both}) t"
 
 
@@ -73,8 +79,8 @@ def f4_normalise(d):
 
 @plan
 def f10_token_estimate(d):
-    n = d.size(d.keep(d.split("coalesce(text, '')", r"\s+"), "w", "w <> ''"))
-    return f"SELECT doc_id, {d.int(f'floor({n} * 1.3) + 1')} AS tokens, {d.int(d.size(d.extract_all(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', '[0-9A-Za-z_]+')))} AS ascii_words FROM documents"
+    n = d.size(d.keep(d.split(BODY, r"\s+"), "w", "w <> ''"))
+    return f"SELECT doc_id, {d.int(f'floor({n} * 1.3) + 1')} AS tokens, {d.int(d.size(d.extract_all(BODY, '[0-9A-Za-z_]+')))} AS ascii_words FROM documents"
 
 
 @plan
