@@ -43,3 +43,49 @@ def batches(items: DataFrame, group: str, order: str, size: str, budget: int) ->
         return state, state[1]
 
     return _fold(items, group, order, size, step, "batch", "int")
+
+
+def chunks(parts: DataFrame, budget: int = 500, overlap: int = 50) -> DataFrame:
+    """Chunks of a document from ``parts(doc_id, ord, kind, text)``, in order.
+
+    A chunk is closed at ``budget`` tokens (words x 1.3), where the kind changes, and at a heading, which is its own chunk. After a
+    full chunk the next one begins with the last sentences of up to ``overlap`` tokens. A document must fit in a task.
+    """
+    import re
+
+    def tokens(text: str) -> int:
+        return int(len(text.split()) * 1.3) + 1
+
+    def tail(text: str) -> str:
+        out: list[str] = []
+        for s in reversed(re.split(r"(?<=[.!?])\s+", text)):
+            if tokens(" ".join([s, *out])) > overlap:
+                break
+            out.insert(0, s)
+        return " ".join(out)
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        made: list[tuple[str, str]] = []
+        kind, held, fresh = None, [], False  # fresh: more than an overlap is held
+
+        def close() -> None:
+            nonlocal held, fresh
+            if fresh:
+                made.append((kind, "\n".join(held)))
+            held, fresh = [], False
+
+        for _, row in pdf.sort_values("ord", kind="stable").iterrows():
+            text = row["text"] or ""
+            if row["kind"] != kind or kind == "heading":
+                close()
+                kind = row["kind"]
+            elif fresh and tokens("\n".join([*held, text])) > budget:
+                last = "\n".join(held)
+                close()
+                held = [t] if (t := tail(last)) else []
+            held.append(text)
+            fresh = True
+        close()
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk_no": range(len(made)), "kind": [k for k, _ in made], "text": [t for _, t in made], "tokens": [tokens(t) for _, t in made]})
+
+    return parts.groupBy("doc_id").applyInPandas(of, "doc_id long, chunk_no int, kind string, text string, tokens int")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docspark.functions import models
 from docspark.operators import graph, packing, spelling
+from docspark.streaming import ingest
 from docspark.plans.dialect import QUERIES, frame
 
 
@@ -36,3 +38,34 @@ def d6_spelling(spark, sf_dir):
     words = spark.createDataFrame([("licens",), ("wrok",), ("verison",), ("righst",), ("publik",)], "word string")
     common = QUERIES["s21_common_words"](spark, sf_dir).where("freq >= 3 and length(term) >= 4").select("term", "freq")
     return spelling.suggestions(words, common)
+
+
+@frame()
+def w15_chunks(spark, sf_dir):
+    """Documents' blocks packed into chunks of 500 tokens with overlaps."""
+    blocks = QUERIES["p1_block_types"](spark, sf_dir).join(QUERIES["f5_blocks"](spark, sf_dir), ["doc_id", "block_id"])
+    return packing.chunks(blocks.select("doc_id", F.col("block_id").alias("ord"), F.col("block_type").alias("kind"), "text"))
+
+
+@frame()
+def d1_offline_embeddings(spark, sf_dir):
+    return models.embed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "embedding")
+
+
+@frame(lambda d: r"""WITH b AS (SELECT b.item_id, d.doc_id, d.text AS t, b.text AS q FROM benchmark b JOIN documents d ON b.item_id = d.doc_id),
+w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(q), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS qw, list_distinct(list_filter(string_split_regex(lower(t), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS tw FROM b)
+SELECT item_id, round(len(list_intersect(qw, tw)) / len(qw), 6) AS score FROM w""".replace("\\\\", "\\"))
+def d2_offline_rerank(spark, sf_dir):
+    items, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("benchmark", "documents"))
+    both = items.select("item_id", F.col("text").alias("q")).join(docs.select("doc_id", "text"), F.col("item_id") == F.col("doc_id"))
+    return both.select("item_id", F.round(models.overlap_score(F.col("q"), F.col("text")), 6).alias("score"))
+
+
+@frame(lambda d: "SELECT doc_id, source FROM documents")
+def x5_upsert_stream(spark, sf_dir):
+    """Documents read as a stream of files and upserted by id, twice; the second run adds nothing."""
+    base = ingest.work_folder(spark)
+    for run in ("a", "b"):
+        stream = ingest.new_files(spark, f"{sf_dir}/documents.parquet*", "doc_id long, source string")
+        ingest.upsert(stream, "doc_id", f"{base}/target", f"{base}/checkpoint-{run}").awaitTermination()
+    return spark.read.parquet(f"{base}/target")

@@ -334,3 +334,85 @@ def w19_first_occurrence(d):
 @plan
 def a12_package_size(d):
     return f"SELECT finding_id, {d.int(d.size(words(d, 'concat(title, chr(32), quote)')))} AS n_words FROM ({scored(d)}) s"
+
+
+@plan
+def a8_topic_labels(d):
+    """A label for each source: its main language, then its two most frequent longer words."""
+    n = f"SELECT source, term, count(*) AS n FROM documents {d.each(words(d, 'text'), 'term', 'pos')} WHERE {d.like('term', '^[a-z]{6,}$')} GROUP BY source, term"
+    two = f"SELECT source, {d.strings('term', ' & ', 'rnk')} AS label FROM ({top(n, 'source', 'n DESC, term', 2)}) k GROUP BY source"
+    lang = "SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS rn FROM documents GROUP BY source, lang) l WHERE rn = 1"
+    return f"SELECT t.source, concat(l.lang, ' & ', t.label) AS label FROM ({two}) t JOIN ({lang}) l ON t.source = l.source"
+
+
+@plan
+def a15_executive_groups(d):
+    return f"SELECT category, substr(explanation, 1, 50) AS topic, max(risk_score) AS risk, count(*) AS n, {d.strings('section', '; ', 'finding_id')} AS sections FROM ({scored(d)}) s GROUP BY category, substr(explanation, 1, 50)"
+
+
+@plan
+def a30_profile_correction(d):
+    p = rows((1, "epc contractor for power plant construction"), (2, "cloud software platform with plant api"), names="company, text")
+    hits = lambda items: " + ".join(f"CASE WHEN {d.contains('text', d.text(w))} THEN 1 ELSE 0 END" for w in items)
+    return f"SELECT company, CASE WHEN {hits(('epc', 'construction', 'plant'))} > {hits(('software', 'cloud', 'api'))} THEN 'EPC' ELSE 'Software' END AS industry FROM {p} p"
+
+
+@plan
+def o5_rank_chain(d):
+    """Depths in a row: the best thirty by words, the best ten of these by length, the best three by id."""
+    a = top(bm25(d), "query_id", "score DESC, doc_id", 30)
+    b = f"SELECT x.query_id, x.doc_id, t.n_chars, row_number() OVER (PARTITION BY x.query_id ORDER BY t.n_chars DESC, x.doc_id) AS rb FROM ({a}) x JOIN documents t ON x.doc_id = t.doc_id"
+    return f"SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rc FROM ({b}) y WHERE rb <= 10) z WHERE rc <= 3"
+
+
+@plan
+def o7_document_order(d):
+    c = rows(("d_chunk_0010", 2), ("d_chunk_0002", 2), ("d_chunk_0001", 3), names="chunk_id, page")
+    return f"SELECT chunk_id, {d.int('row_number() OVER (ORDER BY page, CAST(' + d.extract('chunk_id', '_chunk_([0-9]+)', 1) + ' AS INT))')} AS place FROM {c} c"
+
+
+@plan
+def o10_edges_by_similarity(d):
+    return f"SELECT query_id, vec_id, {d.int('row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)')} AS place FROM ({neighbours(d)}) n"
+
+
+@plan
+def o13_capped_lists(d):
+    return f"SELECT source, {d.strings('doc_id', ',', 'doc_id') if d.__class__.__name__ == 'DuckSql' else d.strings('CAST(doc_id AS STRING)', ',', 'doc_id')} AS first_ids FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) x WHERE rn <= 4 GROUP BY source"
+
+
+@plan
+def o17_finding_sorts(d):
+    return f"SELECT finding_id, {d.int('row_number() OVER (ORDER BY risk_score DESC, finding_id)')} AS by_risk, {d.int('row_number() OVER (ORDER BY confidence DESC, finding_id)')} AS by_confidence FROM ({scored(d)}) s"
+
+
+@plan
+def o18_entities_by_text(d):
+    return f"SELECT entity_id, {d.int('row_number() OVER (ORDER BY text, entity_id)')} AS place FROM {ENTITIES} e"
+
+
+@plan
+def u4_candidate_union(d):
+    """Candidates of two searches, once each, the first search first."""
+    a, b = top(bm25(d), "query_id", "score DESC, doc_id", 10), "SELECT 1 AS query_id, doc_id FROM documents WHERE source = 'src0' AND lang = 'fr'"
+    both = f"SELECT query_id, doc_id, 'words' AS found_by, 0 AS ord FROM ({a}) a UNION ALL SELECT query_id, doc_id, 'metadata', 1 FROM ({b}) b"
+    return f"SELECT query_id, doc_id, min_by(found_by, ord) AS found_by FROM ({both}) u GROUP BY query_id, doc_id"
+
+
+@plan
+def u11_ordered_distinct(d):
+    first = f"SELECT doc_id, term, min(pos) AS first FROM documents {d.each(words(d, 'text'), 'term', 'pos')} GROUP BY doc_id, term"
+    return f"SELECT doc_id, md5({d.strings('term', ' ', 'first')}) AS digest FROM ({first}) f GROUP BY doc_id"
+
+
+@plan
+def s27_jobs_newest_first(d):
+    j = rows(("a", 3), ("b", 9), ("c", 5), names="job, created")
+    return f"SELECT job, {d.int('row_number() OVER (ORDER BY created DESC, job)')} AS place FROM {j} j"
+
+
+@plan
+def s28_artifact_status(d):
+    a = rows(("report", "report.json"), ("matrix", "matrix.json"), ("swot", "swot.json"), names="artifact, path")
+    have = rows(("report.json", 120), ("matrix.json", 0), names="path, size")
+    return f"SELECT a.artifact, CASE WHEN h.size > 0 THEN 'ready' WHEN h.size = 0 THEN 'generating' ELSE 'missing' END AS status FROM {a} a LEFT JOIN {have} h ON a.path = h.path"

@@ -5,10 +5,19 @@ Windows are an extension; the other three are what a document service does batch
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder beneath ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docspark-")
+    return f"{base.rstrip('/')}/docspark/stream-{uuid.uuid4().hex}"
+
+
 def new_files(spark: SparkSession, folder: str, schema: str, per_batch: int = 10) -> DataFrame:
     """A stream of a folder's Parquet files, some at a time; with a checkpoint it goes on where it stopped."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(folder)

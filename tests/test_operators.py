@@ -4,6 +4,7 @@ import os
 
 import pandas as pd
 
+from docspark.functions import models
 from docspark.operators import graph, normalise, packing, spelling
 from docspark.plans.findings import number_value
 from docspark.sources import files
@@ -75,3 +76,20 @@ def test_upsert_twice(spark, tmp_path):
 def test_windowed(spark):
     events = spark.createDataFrame(pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 00:10", "2024-01-01 00:50", "2024-01-01 01:10"]), "event_type": ["a", "a", "a"], "value": [1.0, 2.0, 3.0]}))
     assert sorted((r.n, r.total) for r in ingest.windowed(events).collect()) == [(1, 3.0), (2, 3.0)]
+
+
+def test_chunks(spark):
+    text = "One two three four five. " * 30
+    parts = spark.createDataFrame([(1, 0, "heading", "Title"), (1, 1, "paragraph", text), (1, 2, "paragraph", text), (1, 3, "table", "| a |"), (2, 0, "paragraph", None)], "doc_id long, ord int, kind string, text string")
+    got = packing.chunks(parts, budget=250, overlap=20).orderBy("doc_id", "chunk_no").collect()
+    assert [(r.doc_id, r.kind) for r in got] == [(1, "heading"), (1, "paragraph"), (1, "paragraph"), (1, "table"), (2, "paragraph")]
+    assert got[2].text.startswith("One two three four five. One two three four five.")
+
+
+def test_offline_models(spark):
+    df = spark.createDataFrame([(1, "red fox", "the red fox"), (2, "", "x"), (3, None, None)], "id int, q string, text string")
+    vectors = [r.embedding for r in models.embed(df).orderBy("id").collect()]
+    assert len(vectors[0]) == 64 and abs(sum(x * x for x in vectors[0]) - 1) < 1e-9 and set(vectors[2]) == {0.0}
+    assert [r[0] for r in df.select(models.overlap_score(df["q"], df["text"])).collect()][:2] == [1.0, 0.0]
+    assert models.reviewed(df, None, "id int").count() == 0
+    assert models.reviewed(df, lambda p: p[["id"]], "id int").count() == 3
