@@ -15,7 +15,6 @@ lines to delete are known.
 from __future__ import annotations
 
 import re
-
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
@@ -25,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.llm.common import written
 
@@ -215,7 +215,7 @@ def _light(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.astype({"page_id": "Int64"})
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _deleted(own: pd.Series, zones: pd.Series, path: pd.Series, before: pd.Series, path_before: pd.Series, after: pd.Series, path_after: pd.Series) -> pd.Series:
     def alike(a: str, b: str | None) -> int:
         return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) if b is not None else -1
