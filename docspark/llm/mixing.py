@@ -161,14 +161,15 @@ class Mix:
         return each.withColumn("from_word", a - F.col("at")).withColumn("n_words", b - a)
 
     def spans(self) -> DataFrame:
-        return self.cut().join(self.slots().select("sid", "block", "pass"), ["sid", "block"])
+        # hints, as the slots' number isn't in the statistics: it grows with the data, so neither side is broadcast
+        return self.cut().join(self.slots().select("sid", "block", "pass").hint("merge"), ["sid", "block"])
 
     def by_document(self) -> DataFrame:
         """A row for each row of the documents: doc_id, size, source_size, target, taken."""
         times = self.slots().groupBy("sid", "block").agg(F.count("*").alias("times"))
-        took = self.cut().join(times, ["sid", "block"]).groupBy("sid", "bucket", "seq").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
+        took = self.cut().join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "bucket", "seq").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
         known = self.spark.createDataFrame(list(zip(range(len(self.names)), self.sizes, map(float, self.targets))), "sid int, source_size long, target double")
-        out = self.placed.join(took, ["sid", "bucket", "seq"], "left").join(F.broadcast(known), "sid")
+        out = self.placed.join(took.hint("merge"), ["sid", "bucket", "seq"], "left").join(F.broadcast(known), "sid")
         return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
