@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import written
+from docspark.llm.common import once, written
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Items' sketches up to this many rows are broadcast (16 bytes each); more are joined by shuffle.
@@ -56,42 +56,30 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH)
     return out.select("item_id", "width", "shingles", F.ceil(q * threshold - 1e-9).cast("int").alias("need"), F.slice("h", 1, m).alias("keys"))
 
 
-def _matches(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates ``(_doc, _tkey, _items)``, one row for each document with any, and the sketches."""
+def _candidates(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Rows ``(_doc, _tkey, _items)``, one for each doc_id and text's hash that has an item's sketch in it."""
     ready = written(sketches(items, threshold, width), "sketches")
     widths = sorted(r[0] for r in ready.select("width").distinct().collect())  # five at most
     keys = ready.select("item_id", "width", F.explode("keys").alias("key"))
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    own = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_tkey"), words(F.col("text")).alias("w"))
+    own = once(docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_tkey"), "text"), "w", words(F.col("text"))).drop("text")
     found = [own.select("_doc", "_tkey", F.explode(_hashes(F.col("w"), n)).alias("key")).join(keys.where(F.col("width") == n), "key").select("_doc", "_tkey", "item_id") for n in widths]
     pairs = found[0] if found else own.select("_doc", "_tkey", F.lit(None).cast("long").alias("item_id")).where("false")
     for more in found[1:]:
         pairs = pairs.union(more)
     pairs = pairs.distinct().join(ready.select("item_id", "width", "shingles", "need"), "item_id")
-    grouped = pairs.groupBy("_doc", "_tkey").agg(F.collect_list(F.struct("item_id", "width", "shingles", "need")).alias("_items"))
-    return written(grouped, "candidates"), ready
+    return written(pairs.groupBy("_doc", "_tkey").agg(F.collect_list(F.struct("item_id", "width", "shingles", "need")).alias("_items")), "candidates")
 
 
-def _held(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``docs`` with ``_held``: item_id and containment of the items that a row's whole text holds (null: no candidate)."""
+def _verified(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Rows ``(doc_id, _tkey, item_id, n, q)`` for each row of ``docs`` and item that its whole text holds."""
+    candidates = _candidates(docs, items, threshold, width)
     on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey"))
-    out = docs.join(candidates, on, "left")
-    w = F.when(F.col("_items").isNotNull(), words(F.col("text")))
-    own = {n: F.col(f"_own{n}") for n in range(1, WIDTH + 1)}
-    out = out.withColumn("_w", w)
-    any_of = lambda n: F.exists("_items", lambda x: x["width"] == n)
-    out = out.select(*docs.columns, "_items", *[F.when(any_of(n), _shingles(F.col("_w"), F.lit(n))).alias(f"_own{n}") for n in own])
-    mine = F.lit(None).cast("array<string>")
-
-    def shared(x):
-        c = mine
-        for n, col in own.items():
-            c = F.when(x["width"] == n, col).otherwise(c)
-        return F.size(F.array_intersect(c, x["shingles"]))
-
-    held = F.transform("_items", lambda x: F.struct(x["item_id"].alias("item_id"), shared(x).alias("n"), x["need"].alias("need"), F.size(x["shingles"]).alias("q")))
-    return out.withColumn("_held", F.filter(held, lambda x: x["n"] >= x["need"])).select(*docs.columns, "_held")
+    pairs = docs.select("doc_id", "text").join(candidates, on).select("doc_id", "_tkey", "text", "_items")
+    pairs = once(pairs, "_w", words(F.col("text"))).select("doc_id", "_tkey", "_w", F.explode("_items").alias("x"))
+    pairs = once(pairs, "n", F.size(F.array_intersect(_shingles(F.col("_w"), F.col("x.width")), F.col("x.shingles"))))
+    return pairs.where("n >= x.need").select("doc_id", "_tkey", "x.item_id", "n", F.size("x.shingles").alias("q"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -100,15 +88,15 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     Null or empty texts and items hold and match nothing. Repeated rows of ``docs`` give repeated rows; items that share
     an item_id each count. Empty tables give no rows.
     """
-    candidates, _ = _matches(docs, items, threshold, width)
-    held = _held(docs.select("doc_id", "text"), candidates).select("doc_id", F.explode("_held").alias("x"))
-    return held.select("doc_id", "x.item_id", F.col("x.n").alias("n_shared"), F.col("x.q").alias("n_item"), (F.col("x.n") / F.col("x.q")).alias("containment"))
+    found = _verified(docs, items, threshold, width)
+    return found.select("doc_id", "item_id", F.col("n").alias("n_shared"), F.col("q").alias("n_item"), (F.col("n") / F.col("q")).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``docs`` without the rows that hold any item; all columns stay."""
-    candidates, _ = _matches(docs, items, threshold, width)
-    return _held(docs, candidates).where("_held is null or size(_held) = 0").drop("_held")
+    found = _verified(docs, items, threshold, width).select(F.col("doc_id").alias("_doc"), "_tkey").distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey"))
+    return docs.join(written(found, "contaminated"), on, "left_anti")
 
 
 ORACLE = r"""
