@@ -10,6 +10,7 @@ uint64 for each frame, its offset. Files are numbered in the order of the docume
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import new_path
+from docspark.llm.common import kept, new_path
 
 END_ID = 1
 
@@ -60,30 +61,69 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if flags & 1 else None, np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=9).astype("<u4")
 
 
+# How the tokenizer file splits lower-cased text up to U+017F into words. İ is left out, as its small form is two characters.
+_PLAIN = re.compile(r"[^\x00-\u012f\u0131-\u017f]|<\|")
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼-¾"
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which gets each space-delimited piece once while it is remembered.
+    """Ids of whole texts by the tokenizers library, which gets each word once while it is remembered.
 
-    Right for tokenizers that drop white space and never join over it, as the one used here.
+    For tokenizers that drop white space, never join over it, and end a word's last id with a mark, as the one used here.
+    Pieces with characters beyond U+017F or special tokens go to the library whole.
     """
 
-    def __init__(self, vocabulary: str, end_id: int = END_ID, most: int = 250_000):
+    def __init__(self, vocabulary: str, end_id: int = END_ID, most: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.end, self.most, self.known = Tokenizer.from_file(vocabulary), struct.pack("<I", end_id), most, {}
+        self.tokenizer, self.end, self.most = Tokenizer.from_file(vocabulary), struct.pack("<I", end_id), most
+        self.known, self.words = {}, {}  # ids of space-delimited pieces, and of the words in them
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for w, i in names.items() if w.endswith("</w>")]] = True
+
+    def _encoded(self, pieces: list[str]):
+        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return zip(pieces, (np.array(e.ids, "<u4").tobytes() for e in got))
+
+    def _words(self, words: list[str]) -> None:
+        """Many words as one text; the marks tell where each ends."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(at) == len(words):
+            all_ids, cuts = ids.tobytes(), [0, *(4 * j for j in at)]
+            self.words.update(zip(words, [all_ids[i:j] for i, j in zip(cuts, cuts[1:])]))
+        else:
+            self.words.update(self._encoded(words))
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces that aren't remembered: plain ones by their words, others by the library."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        if len(self.words) > self.most:
+            self.words.clear()
+        other = list(filter(_PLAIN.search, new))
+        plain = list(set(new).difference(other)) if other else new
+        cut = [_WORDS.findall(p.lower()) for p in plain]
+        words = self.words
+        unknown = list(set().union(*cut).difference(words))
+        for k in range(0, len(unknown), 4096):
+            self._words(unknown[k : k + 4096])
+        self.known.update(zip(plain, [b"".join(map(words.__getitem__, c)) for c in cut]))
+        for k in range(0, len(other), 4096):
+            self.known.update(self._encoded(other[k : k + 4096]))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        known, out = self.known, []
-        for text in texts:
-            pieces = (text or "").replace("\n", " ").split(" ")
-            if new := list(set(pieces).difference(known)):
-                if len(known) + len(new) > self.most:
-                    known.clear()
-                    new = list(set(pieces))
-                for i in range(0, len(new), 4096):
-                    got = self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)
-                    known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new[i : i + 4096], got))
-            out.append(np.frombuffer(b"".join([*map(known.__getitem__, pieces), self.end]), "<u4"))
+        out = []
+        for i in range(0, len(texts), 128):
+            cut = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 128]]
+            every = set().union(*cut)
+            if new := every.difference(self.known):
+                self._learn(list(new if len(self.known) <= self.most else every))
+            get = self.known.__getitem__
+            out += [np.frombuffer(b"".join([*map(get, c), self.end]), "<u4") for c in cut]
         return out
 
 
@@ -94,13 +134,14 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         store.create_dir(path, recursive=True)
         name, own = f"{path}/tokens-{part:06d}.rec", f"{path}/.{uuid.uuid4().hex}"
         for pdf in batches:
-            encoder, out = encoder or Encoder(vocabulary, end_id), out or store.open_output_stream(own)
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                (ids,) = encoder.encode([text])
-                record = frame(pack(None if pd.isna(doc_id) else int(doc_id), ids))
-                offsets.append(at)
-                out.write(record)
-                at, tokens = at + len(record), tokens + len(ids)
+            encoder, out = encoder or kept("encoder", (vocabulary, end_id), lambda: Encoder(vocabulary, end_id)), out or store.open_output_stream(own)
+            for i in range(0, len(pdf), 128):
+                some = pdf.iloc[i : i + 128]
+                for doc_id, ids in zip(some["doc_id"], encoder.encode(some["text"].tolist())):
+                    record = frame(pack(None if pd.isna(doc_id) else int(doc_id), ids))
+                    offsets.append(at)
+                    out.write(record)
+                    at, tokens = at + len(record), tokens + len(ids)
         if out:
             out.close()
             with store.open_output_stream(f"{own}.index") as f:
