@@ -74,12 +74,12 @@ class Encoder:
     Pieces with characters beyond U+017F or special tokens go to the library whole.
     """
 
-    def __init__(self, vocabulary: str, end_id: int = END_ID, most: int = 300_000):
+    def __init__(self, vocabulary: str, end_id: int = END_ID, most: int = 700_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.end, self.most = Tokenizer.from_file(vocabulary), struct.pack("<I", end_id), most
-        self.known, self.words = {}, {}  # ids of space-delimited pieces, and of the words in them
+        self.known, self.older, self.words = {}, {}, {}  # ids of space-delimited pieces, and of the words in them
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for w, i in names.items() if w.endswith("</w>")]] = True
@@ -100,8 +100,6 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Pieces that aren't remembered: plain ones by their words, others by the library."""
-        if len(self.known) > self.most:
-            self.known.clear()
         if len(self.words) > self.most:
             self.words.clear()
         other = list(filter(_PLAIN.search, new))
@@ -117,11 +115,16 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
-        for i in range(0, len(texts), 128):
-            cut = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 128]]
+        for i in range(0, len(texts), 256):
+            cut = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 256]]
             every = set().union(*cut)
             if new := every.difference(self.known):
-                self._learn(list(new if len(self.known) <= self.most else every))
+                if len(self.known) > self.most:  # what is still used comes over from the older half
+                    self.older, self.known, new = self.known, {}, every
+                if self.older:
+                    self.known.update([(w, self.older[w]) for w in new if w in self.older])
+                    new = new.difference(self.known)
+                self._learn(list(new))
             get = self.known.__getitem__
             out += [np.frombuffer(b"".join([*map(get, c), self.end]), "<u4") for c in cut]
         return out
@@ -135,8 +138,8 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         name, own = f"{path}/tokens-{part:06d}.rec", f"{path}/.{uuid.uuid4().hex}"
         for pdf in batches:
             encoder, out = encoder or kept("encoder", (vocabulary, end_id), lambda: Encoder(vocabulary, end_id)), out or store.open_output_stream(own)
-            for i in range(0, len(pdf), 128):
-                some = pdf.iloc[i : i + 128]
+            for i in range(0, len(pdf), 256):
+                some = pdf.iloc[i : i + 256]
                 for doc_id, ids in zip(some["doc_id"], encoder.encode(some["text"].tolist())):
                     record = frame(pack(None if pd.isna(doc_id) else int(doc_id), ids))
                     offsets.append(at)
