@@ -22,6 +22,7 @@ FINDINGS = rows(
 # Category names, words that set severities, and suppressed texts.
 CATEGORIES = (("vague wording", "Undefined Term"), ("undefined terminology", "Undefined Term"), ("undefined acronym", "Undefined Acronym"), ("policy conflict", "Policy Conflict"), ("contradiction", "Contradictory Statement"), ("numerical ambiguity", "Numerical Inconsistency"), ("Numerical Mismatch", "Numerical Inconsistency"), ("Reference Conflict", "Cross-Reference Error"), ("Data Quality", "Numerical Inconsistency"), ("Unsupported Claim", "Unsupported Claim"))
 CRITICAL_WORDS = ("regulatory audit failure", "legal liability", "contract breach", "penalty", "statutory violation", "gender", "statutory disclosure", "board appointment", "secretarial audit", "companies act", "director")
+HIGH_WORDS = ("financial mismatch", "contradiction", "discrepancy", "policy conflict", "revenue")
 HEADINGS = ("OUR VISION", "OUR MISSION", "VISION", "MISSION", "PROJECTS", "OVERVIEW", "STRENGTHS", "CONTENT", "DOCUMENT", "SECTION", "EXECUTIVE SUMMARY", "INTRODUCTION", "CONTACT", "INDUSTRY", "APPENDIX")
 PLACEHOLDERS = ("example text", "sample content", "placeholder", "lorem ipsum", "test string", "sample paragraph")
 NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000, "million": 1_000_000, "billion": 1_000_000_000}
@@ -45,7 +46,7 @@ def scored(d) -> str:
     cat = " ".join(f"WHEN raw_category = {d.text(a)} THEN {d.text(b)}" for a, b in CATEGORIES)
     block = "lower(concat_ws(' ', title, quote, explanation, category))"
     sev = f"""CASE WHEN {any_of(d, block, CRITICAL_WORDS)} THEN 'CRITICAL' WHEN category IN ('Regulatory Risk', 'Compliance Risk', 'Regulatory Disclosure Gap') THEN 'CRITICAL'
-    WHEN category IN ('Contradictory Statements', 'Contradictory Statement', 'Numerical Consistency', 'Numerical Inconsistency', 'Policy Conflict', 'Strategic Risk') THEN 'HIGH'
+    WHEN category IN ('Contradictory Statements', 'Contradictory Statement', 'Numerical Consistency', 'Numerical Inconsistency', 'Policy Conflict', 'Strategic Risk') OR {any_of(d, block, HIGH_WORDS)} THEN 'HIGH'
     WHEN category IN ('Operational Ambiguity', 'Cross-Reference Mismatch', 'Cross-Reference Error', 'Missing Evidence', 'Incomplete Information', 'Undefined Acronym') THEN 'MEDIUM'
     WHEN category IN ('Acronym Definition', 'Data Quality', 'Undefined Term', 'Formatting Inconsistency') THEN 'LOW' ELSE 'MEDIUM' END"""
     low = "lower(explanation)"

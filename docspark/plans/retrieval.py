@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docspark.plans.dialect import DuckSql, plan, rows
-from docspark.plans.text import BODY, words
+from docspark.plans.text import BODY, intent, words
 
 QUERIES = ((1, "the license version"), (2, "public work released"), (3, "was not all rights"), (4, "and a reserved the"), (5, "zyglo"))
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -150,11 +150,15 @@ def w13_adjacent_merge(d):
     return f"SELECT source, {d.int('island')} AS island, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM (SELECT *, {island} AS island FROM (SELECT *, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM ({hit}) h) b) i GROUP BY source, island"
 
 
+# How many results an intent retrieves, reranks and returns.
+DEPTHS = (("detailed_summary", 60, 40, 20), ("summary", 50, 30, 12), ("timeline", 40, 25, 12), ("comparison", 45, 25, 12), ("financial", 35, 20, 8), ("board", 40, 25, 10), ("governance", 40, 25, 10), ("committee", 40, 25, 10), ("product", 35, 20, 8), ("manufacturing", 35, 20, 8), ("table", 25, 15, 6), ("image", 25, 15, 6), ("list", 40, 20, 10), ("procedure", 30, 15, 8), ("statistics", 30, 15, 8), ("navigation", 30, 15, 8), ("explanation", 30, 15, 8), ("fact", 20, 10, 5))
+
+
 @plan
 def o6_intent_depths(d):
-    t = rows(("summary", 30, 15, 8), ("comparison", 40, 20, 10), ("general", 20, 10, 5), names="intent, retrieve, rerank, final")
-    q = rows((1, "summary"), (2, "comparison"), (3, "other"), names="query_id, intent")
-    return f"SELECT q.query_id, coalesce(t.retrieve, 20) AS retrieve, coalesce(t.rerank, 10) AS rerank, coalesce(t.final, 5) AS final FROM {q} q LEFT JOIN {t} t ON q.intent = t.intent"
+    """The depths of each conversation turn's intent."""
+    t = rows(*DEPTHS, names="intent, retrieve, rerank, final")
+    return f"SELECT q.conv_id, q.turn, coalesce(t.retrieve, 30) AS retrieve, coalesce(t.rerank, 15) AS rerank, coalesce(t.final, 8) AS final FROM (SELECT conv_id, turn, {intent(d, 'text')} AS intent FROM conversations) q LEFT JOIN {t} t ON q.intent = t.intent"
 
 
 @plan

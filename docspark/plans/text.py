@@ -102,20 +102,52 @@ def f13_query_preprocess(d):
     return f"SELECT query_id, {d.join(kept, ' ')} AS clean_query FROM ({every}) x"
 
 
+# Synonyms by pattern, intents by words in the order in which they are tried, and words for readers.
+SYNONYMS = (
+    ("board", "board of directors leadership corporate governance directors management"), ("chairman", "board chairman chairperson executive chairman leadership corporate governance"),
+    ("leadership", "executive committee board of directors management corporate governance"), ("revenue", "turnover sales income financial performance"),
+    ("subsidiary", "group company associate joint venture subsidiary companies"), ("managing director", "managing director md executive leadership chief executive officer"),
+    ("plant", "manufacturing plant factory site production facility manufacturing unit"), ("product", "products services brand solutions offerings"), ("committee", "audit committee nomination committee board committee"),
+)
+INTENTS = (
+    ("summary", ("summarise", "summarize", "summary", "overview", "synopsis", "outline")), ("timeline", ("timeline", "chronology", "history", "when did", "date of", "chronological", "sequence")),
+    ("comparison", ("compare", "comparison", "difference", "versus", "vs", "similarities")), ("financial", ("revenue", "turnover", "income", "sales", "earnings", "profit", "financial", "fy24", "fy25", "crore", "million", "billion")),
+    ("board", ("board", "director", "chairman", "managing director", "md", "ceo", "cfo", "chairperson")), ("governance", ("leadership", "executive", "president", "management", "governance")),
+    ("committee", ("committee", "board members", "independent director")), ("product", ("product", "services", "offerings", "brands")), ("manufacturing", ("plant", "manufactur", "factory", "site", "production")),
+    ("table", ("table", "tabular", "column", "row")), ("image", ("chart", "graph", "diagram", "figure", "image", "illustration")), ("list", ("list", "enumerate", "who are the", "name all", "what are the", "which people", "entities")),
+    ("procedure", ("how to", "procedure", "steps", "guide", "instructions", "process")), ("statistics", ("percent", "ratio", "statistics", "stats", "rate", "number of")),
+    ("navigation", ("section", "chapter", "page", "navigate", "go to", "find in")), ("explanation", ("explain", "why", "how", "reason")),
+)
+DETAIL = ("detail", "comprehensive", "extensive")
+JARGON = (
+    ("knowledge object", "document segment"), ("Knowledge Object", "Document Segment"), ("knowledge objects", "document segments"), ("Knowledge Objects", "Document Segments"), ("chunk", "segment"), ("Chunk", "Segment"), ("chunks", "segments"), ("Chunks", "Segments"),
+    ("metadata", "document properties"), ("Metadata", "Document Properties"), ("embedding", "index status"), ("Embedding", "Index Status"), ("embeddings", "index status"), ("Embeddings", "Index Status"), ("inference", "analysis"), ("Inference", "Analysis"),
+    ("llm", "audit engine"), ("LLM", "Audit Engine"), ("candidate group", "comparison group"), ("Candidate Group", "Comparison Group"), ("candidate groups", "comparison groups"), ("Candidate Groups", "Comparison Groups"),
+    ("vector database", "document index"), ("Vector Database", "Document Index"), ("vector db", "document index"), ("Vector DB", "Document Index"), ("internal id", "segment reference"), ("Internal ID", "Segment Reference"), ("internal ids", "segment references"), ("Internal IDs", "Segment References"),
+    ("confidence %", "audit certainty"), ("Confidence %", "Audit Certainty"), ("confidence percentage", "audit certainty"), ("Confidence Percentage", "Audit Certainty"), ("error", "potential inconsistency"), ("Error", "Potential Inconsistency"),
+    ("wrong", "appears inconsistent"), ("Wrong", "Appears Inconsistent"), ("incorrect", "possible contradiction"), ("Incorrect", "Possible Contradiction"),
+)
+
+
 @plan
 def f14_query_expansion(d):
-    rules = rows((1, "revenue|income|sales", "turnover earnings"), (2, "employee|staff", "personnel workforce"), (3, "risk", "hazard exposure"), names="ord, pattern, synonyms")
-    q = rows((1, "Annual revenue and staff"), (2, "project risk register"), (3, "nothing here"), names="query_id, query")
+    """Queries with the synonyms of each word or phrase that they hold, in the rules' order."""
+    rules = rows(*((i, f"(^|[^a-z]){w}($|[^a-z])", s) for i, (w, s) in enumerate(SYNONYMS)), names="ord, pattern, synonyms")
+    q = rows((1, "Annual revenue of the board"), (2, "Plant committee"), (3, "the managing director"), (4, "nothing here"), names="query_id, query")
     hit = "lower(query) RLIKE pattern" if d.__class__ is SparkSql else "regexp_matches(lower(query), pattern)"
     return f"SELECT query_id, query, concat_ws(' ', query, {d.strings('synonyms', ' ', 'ord')}) AS expanded FROM {q} q LEFT JOIN {rules} r ON {hit} GROUP BY query_id, query"
 
 
+def intent(d: SparkSql, query: str) -> str:
+    any_of = lambda ws: "(" + " OR ".join(d.contains(f"lower({query})", d.text(w)) for w in ws) + ")"
+    cases = [f"WHEN {any_of(INTENTS[0][1])} AND {any_of(DETAIL)} THEN 'detailed_summary'", *(f"WHEN {any_of(ws)} THEN '{name}'" for name, ws in INTENTS)]
+    return f"CASE {' '.join(cases)} ELSE 'fact' END"
+
+
 @plan
 def f15_intent(d):
-    q = rows((1, "summarise the table on page 3"), (2, "who is the author"), (3, "compare both figures"), (4, "when did it start"), (5, "hello"), names="query_id, query")
-    rules = (("table", "table_lookup"), ("figure", "figure_lookup"), ("compare", "comparison"), ("summar", "summary"), ("who", "person"), ("when", "date"))
-    case = " ".join(f"WHEN {d.contains('lower(query)', d.text(k))} THEN '{v}'" for k, v in rules)
-    return f"SELECT query_id, CASE {case} ELSE 'general' END AS intent FROM {q} q UNION ALL SELECT 100 + conv_id * 1000 + turn, CASE {case.replace('query', 'text')} ELSE 'general' END FROM conversations"
+    q = rows((1, "summarise the table on page 3"), (2, "a detailed overview"), (3, "compare both figures"), (4, "when did it start"), (5, "hello"), (6, "why so"), names="query_id, query")
+    return f"SELECT query_id, {intent(d, 'query')} AS intent FROM {q} q UNION ALL SELECT 100 + conv_id * 1000 + turn, {intent(d, 'text')} FROM conversations"
 
 
 @plan
@@ -133,11 +165,11 @@ def f18_url_domain(d):
 
 @plan
 def f19_jargon(d):
-    pairs = (("utilise", "use"), ("chunks", "passages"), ("chunk", "passage"), ("leverage", "use"), ("embedding", "index entry"), ("LLM", "language model"))
+    """Words for readers in place of the engine's own, in the table's order, as singulars come before plurals."""
     t = "text"
-    for a, b in pairs:
-        t = f"replace({t}, {d.text(a)}, {d.text(b)})"
-    q = rows((-1, "We leverage chunks: each chunk has an embedding for the LLM."), names="doc_id, text")
+    for x, y in JARGON:
+        t = f"replace({t}, {d.text(x)}, {d.text(y)})"
+    q = rows((-1, "Each chunk of the chunks has an embedding for the LLM; an incorrect Error."), names="doc_id, text")
     return f"SELECT doc_id, md5({t}) AS digest, {d.int('length(' + t + ')')} AS n_chars FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {q} q) x"
 
 
