@@ -70,7 +70,7 @@ def p2_block_filter(d):
 
 
 @plan
-def a2_proofreadable_share(d):
+def a2_reviewable_share(d):
     return f"SELECT doc_id, sum(CASE WHEN block_type IN ('paragraph', 'heading') THEN length(text) ELSE 0 END) / sum(length(text)) AS ratio, {d.long("count_if(block_type IN ('paragraph', 'heading'))")} AS proof_blocks FROM ({classified(d)}) c GROUP BY doc_id"
 
 
