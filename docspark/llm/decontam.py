@@ -21,8 +21,13 @@ from pyspark.sql import functions as F
 from docspark.llm.common import once, written
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Items' sketches up to this many rows are broadcast (16 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Sketches (16 bytes a row) and candidates (some 40) are broadcast up to so many rows; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table with the hint that fits its counted rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def words(text: F.Column) -> F.Column:
@@ -43,7 +48,7 @@ def _shingles(w: F.Column, width) -> F.Column:
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """``items(item_id, text)`` as item_id, width, shingles (distinct, sorted), need, keys (the sketch)."""
+    """``items(item_id, text)`` as item_id, row (a hash that names the item), width, shingles (distinct, sorted), need, keys (the sketch)."""
     w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("width", F.least(F.size("w"), F.lit(width)))
     hashes = F.lit(None)
@@ -53,33 +58,31 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH)
     q = F.size("shingles")
     upper = F.pow(F.lit(2), F.ceil(F.log2(q)))  # the size partition
     m = F.least(q, F.floor((1 - threshold) * upper + 1e-9) + 1).cast("int")
-    return out.select("item_id", "width", "shingles", F.ceil(q * threshold - 1e-9).cast("int").alias("need"), F.slice("h", 1, m).alias("keys"))
+    row = F.xxhash64("item_id", F.array_join("shingles", " "))
+    return out.select("item_id", row.alias("row"), "width", "shingles", F.ceil(q * threshold - 1e-9).cast("int").alias("need"), F.slice("h", 1, m).alias("keys"))
 
 
-def _candidates(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Rows ``(_doc, _tkey, _items)``, one for each doc_id and text's hash that has an item's sketch in it."""
-    ready = written(sketches(items, threshold, width), "sketches")
+def _candidates(docs: DataFrame, ready: DataFrame) -> DataFrame:
+    """Rows ``(_doc, _tkey, _rows)``: for each doc_id and text's hash the items that have a sketch hash in it."""
     widths = sorted(r[0] for r in ready.select("width").distinct().collect())  # five at most
-    keys = ready.select("item_id", "width", F.explode("keys").alias("key"))
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
+    keys = _small(ready.select("row", "width", F.explode("keys").alias("key")))
     own = once(docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_tkey"), "text"), "w", words(F.col("text"))).drop("text")
-    found = [own.select("_doc", "_tkey", F.explode(_hashes(F.col("w"), n)).alias("key")).join(keys.where(F.col("width") == n), "key").select("_doc", "_tkey", "item_id") for n in widths]
-    pairs = found[0] if found else own.select("_doc", "_tkey", F.lit(None).cast("long").alias("item_id")).where("false")
+    found = [own.select("_doc", "_tkey", F.explode(_hashes(F.col("w"), n)).alias("key")).join(keys.where(F.col("width") == n), "key").select("_doc", "_tkey", "row") for n in widths]
+    pairs = found[0] if found else own.select("_doc", "_tkey", F.lit(None).cast("long").alias("row")).where("false")
     for more in found[1:]:
         pairs = pairs.union(more)
-    pairs = pairs.distinct().join(ready.select("item_id", "width", "shingles", "need"), "item_id")
-    return written(pairs.groupBy("_doc", "_tkey").agg(F.collect_list(F.struct("item_id", "width", "shingles", "need")).alias("_items")), "candidates")
+    return written(pairs.groupBy("_doc", "_tkey").agg(F.collect_set("row").alias("_rows")), "candidates")
 
 
 def _verified(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
     """Rows ``(doc_id, _tkey, item_id, n, q)`` for each row of ``docs`` and item that its whole text holds."""
-    candidates = _candidates(docs, items, threshold, width)
+    ready = written(sketches(items, threshold, width), "sketches")
     on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey"))
-    pairs = docs.select("doc_id", "text").join(candidates, on).select("doc_id", "_tkey", "text", "_items")
-    pairs = once(pairs, "_w", words(F.col("text"))).select("doc_id", "_tkey", "_w", F.explode("_items").alias("x"))
-    pairs = once(pairs, "n", F.size(F.array_intersect(_shingles(F.col("_w"), F.col("x.width")), F.col("x.shingles"))))
-    return pairs.where("n >= x.need").select("doc_id", "_tkey", "x.item_id", "n", F.size("x.shingles").alias("q"))
+    pairs = docs.select("doc_id", "text").join(_small(_candidates(docs, ready)), on).select("doc_id", "_tkey", "text", "_rows")
+    pairs = once(pairs, "_w", words(F.col("text"))).select("doc_id", "_tkey", "_w", F.explode("_rows").alias("row"))
+    pairs = pairs.join(_small(ready.select("item_id", "row", "width", "shingles", "need")), "row")
+    pairs = once(pairs, "n", F.size(F.array_intersect(_shingles(F.col("_w"), F.col("width")), F.col("shingles"))))
+    return pairs.where("n >= need").select("doc_id", "_tkey", "item_id", "n", F.size("shingles").alias("q"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -96,7 +99,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width
     """``docs`` without the rows that hold any item; all columns stay."""
     found = _verified(docs, items, threshold, width).select(F.col("doc_id").alias("_doc"), "_tkey").distinct()
     on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey"))
-    return docs.join(written(found, "contaminated"), on, "left_anti")
+    return docs.join(_small(written(found, "contaminated")), on, "left_anti")
 
 
 ORACLE = r"""
