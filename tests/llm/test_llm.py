@@ -324,6 +324,18 @@ def test_licences(spark):
     assert licences.scan(table(spark, docs), templates=()).count() == 0 and licences.scan(table(spark, docs).where("doc_id < 0")).count() == 0
 
 
+def test_licences_wrapped_and_embedded(spark):
+    import textwrap
+
+    mit, gpl = licences.TEMPLATES[3][1], licences.TEMPLATES[12][1]
+    other = "".join(f"plain words {i} about rivers {i} under the bridge {i}\n" for i in range(40))
+    changed = gpl.replace("redistribute", "share redistribute").replace("any later", "any other later")
+    docs = [other + textwrap.fill("MIT License Copyright (c) 2020 Acme " + mit + " THE SOFTWARE IS PROVIDED AS IS", 78) + "\n" + other, other + "# " + "\n# ".join(textwrap.wrap(changed, 40)), "(c) 2020 Acme. All rights reserved.", other + "(c) Acme, all\nrights reserved, and so on\n(c) Bcme, all rights reserved now", "Released under the MIT License.\n" + other, other]
+    got = [(r.doc_id, r.unit, r.licence, r.template, round(r.dice, 2)) for r in licences.scan(table(spark, docs)).orderBy("doc_id", "unit").collect()]
+    assert [g[:4] for g in got] == [(0, 41, "MIT", 3), (1, 41, "GPL-3.0", 12), (2, 1, "proprietary", 23), (3, 41, "proprietary", 23), (3, 43, "proprietary", 23), (4, 1, "MIT", 0)]
+    assert got[0][4] == got[2][4] == got[3][4] == got[4][4] == 1 and 0.8 <= got[1][4] < 1
+
+
 @pytest.mark.parametrize("name", ["op4_decontamination", "op7_line_dedup", "op10_licences"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
