@@ -3,9 +3,12 @@
 A page's lines are its block elements' texts, in page order, each with its zone: inside an article or main element or
 not. Subtrees that markup names as something else (menus, headers, footers, asides, forms, scripts, styles, adverts,
 notices, comments; by element, role, class or id) give no lines. Pages of one host are put in the order of their URL paths,
-so a page is paired with the nearest path on each side; lines are aligned by longest common subsequence. Shared lines are
-deleted: outside article and main those shared with either page, inside only those shared with both, since short
-paragraphs recur by chance. A pair that shares over half of its lines is the same article twice and deletes nothing.
+so a page is paired with the nearest path of other lines on each side; lines are aligned by longest common subsequence. Shared
+lines are deleted: outside article and main those shared with either page, inside only those shared with both, since short
+paragraphs recur by chance. A pair that shares over half of its lines is the same article twice or two short articles in
+a large template. So such a pair deletes only lines that recur on further pages of the host (on ``RECURS_ON`` or more of other
+lines, and over ``RECURS_IN`` of all of them); a pair alike only with each other is a copy and deletes nothing. A page at an
+end of its host, with one page beside it, deletes inside article and main the shared lines that recur so.
 What remains is the text; where a page has article or main elements, lines outside them aren't part of it.
 
 Only hashes of lines are dealt out for pairing. Texts stay where they were read: a page is parsed once more when the
@@ -30,6 +33,10 @@ from docspark.llm.common import written
 
 #: Deletions for up to this many pages are broadcast (some 50 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Hosts' recurring lines are broadcast up to this many (8 bytes each), else joined by shuffle.
+BROADCAST_LINES = 1_000_000
+#: A line recurs on a host if this many of its pages have it, copies counted once, and over this part of them.
+RECURS_ON, RECURS_IN = 3, 0.1
 
 # HTML elements by what they do here, and what names of classes, ids and roles say.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
@@ -177,15 +184,19 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared_lines(own: list[int], zones: list[int], before: list[int] | None, after: list[int] | None, nearer: int) -> list[int]:
-    """Places of the lines to delete. ``nearer``: 0 if the page before is the nearer one, else 1."""
+def shared_lines(own: list[int], zones: list[int], before: list[int] | None, after: list[int] | None, recurring: list[int]) -> list[int]:
+    """Places of the lines to delete. ``recurring``: those of the lines that recur on the host."""
+    again = {i for i, x in enumerate(own) if x in set(recurring)} if recurring else set()
     found = []
     for other in (before, after):
-        got = common(own, other) if other is not None else []
-        found.append(None if other is None or 2 * len(got) > max(len(own), len(other)) else set(got))
-    both = found[0] & found[1] if None not in found else set()
-    near = found[nearer] if found[nearer] is not None else found[1 - nearer] or set()
-    return [i for i, z in enumerate(zones) if i in both or not z and i in near]
+        if other is not None:
+            got = common(own, other)
+            found.append(again.intersection(got) if 2 * len(got) > max(len(own), len(other)) else set(got))
+    if not found:
+        return []
+    both = found[0] & found[1] if len(found) == 2 else found[0] & again
+    either = set().union(*found)
+    return [i for i, z in enumerate(zones) if i in both or not z and i in either]
 
 
 def text_of(html: str | None, deleted: list[int]) -> str:
@@ -216,15 +227,17 @@ def _light(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _deleted(own: pd.Series, zones: pd.Series, path: pd.Series, before: pd.Series, path_before: pd.Series, after: pd.Series, path_after: pd.Series) -> pd.Series:
-    def alike(a: str, b: str | None) -> int:
-        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) if b is not None else -1
+def _deleted(own: pd.Series, zones: pd.Series, before: pd.Series, after: pd.Series, recurring: pd.Series) -> pd.Series:
+    ints = lambda x: None if x is None else x.tolist()
+    return pd.Series([shared_lines(h.tolist(), list(z), ints(b), ints(a), ints(r) or []) for h, z, b, a, r in zip(own, zones, before, after, recurring)])
 
-    out = []
-    for h, z, p, b, pb, a, pa in zip(own, zones, path, before, path_before, after, path_after):
-        ints = lambda x: None if x is None else x.tolist()
-        out.append(shared_lines(h.tolist(), list(z), ints(b), ints(a), int(alike(p, pa) > alike(p, pb))))
-    return pd.Series(out)
+
+def recurring_lines(light: DataFrame) -> DataFrame:
+    """Rows ``(host, recurring)``: the line hashes that recur on a host; at most mean lines a page / ``RECURS_IN`` of them."""
+    pages = light.where("size(hashes) > 0").select("host", F.array_distinct("hashes").alias("hashes"), F.xxhash64("hashes").alias("copy")).dropDuplicates(["host", "copy"])
+    counts = pages.groupBy("host").agg(F.count("*").alias("n"))
+    lines = pages.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count("*").alias("on")).where(F.col("on") >= RECURS_ON)
+    return lines.join(counts, "host").where(F.col("on") > RECURS_IN * F.col("n")).groupBy("host").agg(F.collect_list("line").alias("recurring"))
 
 
 def deletions(pages: DataFrame) -> DataFrame:
@@ -245,12 +258,19 @@ def deletions(pages: DataFrame) -> DataFrame:
     ends = ends.join(F.broadcast(to), "pid")
     edges = ends.select(F.col("on").alias("pid"), "last.*").union(ends.select(F.col("back").alias("pid"), "first.*")).where("pid is not null").withColumn("edge", F.lit(True))
     rows = ranges.select("pid", "host", "path", "page_id", "tkey", "hashes", "zones", F.lit(False).alias("edge")).unionByName(edges)
-    w = Window.partitionBy("pid").orderBy(*order)
-    for name, of in (("before", F.lag), ("after", F.lead)):
-        same = of("host").over(w) == F.col("host")
-        rows = rows.withColumn(f"path_{name}", F.when(same, of("path").over(w))).withColumn(name, F.when(same, of("hashes").over(w)))
+    # the nearest page of other lines: what is beside the run of copies that a page is in
+    back = [F.col("path").desc(), F.col("page_id").desc_nulls_last(), F.col("tkey").desc()]
+    rows = rows.withColumn("copy", F.xxhash64("hashes"))
+    for name, by in (("before", order[1:]), ("after", back)):
+        w = Window.partitionBy("pid", "host").orderBy(*by)
+        rows = rows.withColumn(name, F.when(F.lag("copy").over(w) != F.col("copy"), F.lag("hashes").over(w)))
+        rows = rows.withColumn(name, F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = rows.where("not edge and (before is not null or after is not null)")
-    rows = rows.withColumn("deleted", _deleted("hashes", "zones", "path", "before", "path_before", "after", "path_after"))
+    again = written(recurring_lines(ranges), "recurring-lines")
+    if (again.agg(F.sum(F.size("recurring"))).first()[0] or 0) <= BROADCAST_LINES:
+        again = F.broadcast(again)
+    rows = rows.join(again, "host", "left").withColumn("recurring", F.array_intersect("hashes", "recurring"))
+    rows = rows.withColumn("deleted", _deleted("hashes", "zones", "before", "after", "recurring"))
     return rows.where("size(deleted) > 0").groupBy("page_id", "tkey").agg(F.min("deleted").alias("deleted"))
 
 
@@ -258,7 +278,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """Rows ``(page_id, url, text, n_chars)``, one for each row of ``pages(page_id, url, html)``.
 
     A null or empty html gives an empty text; a null or broken url is on a host of its own kind, without a name. Repeated
-    rows are alike: they share over half of their lines, so they delete nothing from each other, and get the same text.
+    rows are alike: they are copies, so they delete nothing from each other, and get the same text.
     """
     gone = written(deletions(pages), "deletions")
     if gone.count() <= BROADCAST_ROWS:

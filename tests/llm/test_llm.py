@@ -219,6 +219,28 @@ def test_main_text(spark):
     assert htmldiff.main_text(df.where("page_id < 0")).count() == 0
 
 
+def test_main_text_of_large_templates(spark):
+    menu = "".join(f"<div>Unnamed line {i}</div>" for i in range(8))
+    text = lambda i, n=4: [f"Article {i} says {j}" for j in range(n)]
+    page = lambda xs: menu + "".join(f"<p>{x}</p>" for x in xs)
+    pages = [(i, f"https://t.org/{i}", page(text(i))) for i in range(5)]
+    # a copy pair and an edited copy beside pages unlike them, and an exact copy at the end of its host
+    long = text("x", 9)
+    pages += [(10, "https://c.org/1", page(long)), (11, "https://c.org/2", page([*long[:8], "Edited"]))]
+    pages += [(12 + i, f"https://c.org/{3 + i}", page(text(i, 20))) for i in range(30)]
+    pages += [(50, "https://e.org/1", page(text("e", 20))), (51, "https://e.org/1?utm=1", page(text("e", 20))), (52, "https://e.org/2", page(text("f", 20)))]
+    # only two pages, over half alike: a copy
+    pages += [(60, "https://p.org/1", page(text("g"))), (61, "https://p.org/2", page(text("h")))]
+    # inside article, first and last pages too
+    pages += [(70 + i, f"https://a.org/{i}", f"<article><p>Read on</p>{''.join(f'<p>{x}</p>' for x in text(i))}</article>") for i in range(4)]
+    by = {r.page_id: r.text.split("\n\n") for r in htmldiff.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [by[i] for i in range(5)] == [text(i) for i in range(5)]
+    assert by[10] == long and by[11] == [*long[:8], "Edited"] and all(by[12 + i] == text(i, 20) for i in range(30))
+    assert by[50] == by[51] == text("e", 20) and by[52] == text("f", 20)
+    assert len(by[60]) == len(by[61]) == 12
+    assert [by[70 + i] for i in range(4)] == [text(i) for i in range(4)]
+
+
 # 6
 def test_quality(spark):
     rng = random.Random(3)
