@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.functions import models
-from docspark.operators import graph, packing, spelling
+from docspark.operators import graph, knn, packing, spelling
 from docspark.streaming import ingest
 from docspark.plans.dialect import QUERIES, frame
 
@@ -23,11 +23,32 @@ def w14_token_batches(spark, sf_dir):
     return packing.batches(docs, "source", "doc_id", "tokens", 4000)
 
 
+def _vectors(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@frame()
+def f44_similarity_edges_all(spark, sf_dir):
+    """The graph of f44 with every vector asking all rows."""
+    return knn.edges(_vectors(spark, sf_dir), 10, 0.2)
+
+
+@frame()
+def a7_cluster_statistics_all(spark, sf_dir):
+    """The statistics of a7 with every vector asking the rows of its label."""
+    vectors = _vectors(spark, sf_dir)
+    sizes = vectors.groupBy("label").agg(F.countDistinct("vec_id").alias("size"))
+    found = knn.nearest(vectors, vectors, 5, "label").join(vectors.select(F.col("vec_id").alias("query_id"), "label").distinct(), "query_id")
+    found = found.groupBy(F.col("label").alias("_label")).agg(F.avg("similarity").alias("mean"), F.count("*").alias("n"))
+    return sizes.join(found, F.col("label").eqNullSafe(F.col("_label")), "left").select("label", "size", F.round(F.coalesce("mean", F.lit(0.72)), 5).alias("mean_similarity"), F.coalesce("n", F.lit(0)).alias("n_edges"))
+
+
 @frame()
 def d9_communities(spark, sf_dir):
-    """Communities of the neighbour graph of each label's vectors."""
-    edges = QUERIES["f44_similarity_edges"](spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("node"))
+    """Communities of the neighbour graph of each label's vectors, every vector asking."""
+    vectors = _vectors(spark, sf_dir)
+    edges = knn.edges(vectors, 10, 0.2, "label")
+    labels = vectors.select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("node"))
     mine = edges.join(labels, F.col("a") == F.col("node")).select("doc_id", "a", "b", F.col("similarity").alias("weight"))
     return graph.clusters(labels, mine)
 

@@ -93,3 +93,36 @@ def test_offline_models(spark):
     assert [r[0] for r in df.select(models.overlap_score(df["q"], df["text"])).collect()][:2] == [1.0, 0.0]
     assert models.reviewed(df, None, "id int").count() == 0
     assert models.reviewed(df, lambda p: p[["id"]], "id int").count() == 3
+
+
+def test_nearest_vectors_over_all_blocks(spark):
+    import numpy as np
+
+    from docspark.operators import knn
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(60, 4)))  # many ties
+    x[5] = 0
+    df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)] + [(None, 0, [1.0] * 4), (60, 0, None)], "vec_id long, label int, embedding array<float>")
+    good = [i for i in range(60) if x[i].any()]
+    for within in (None, "label"):
+        want = set()
+        for q in good:
+            if q % 5 == 0:
+                near = [(-round(float(x[q] @ x[e] / np.sqrt((x[q] @ x[q]) * (x[e] @ x[e]))), 6), e) for e in good if e != q and (not within or e % 3 == q % 3)]
+                want |= {(q, e, -s, r + 1) for r, (s, e) in enumerate(sorted(near)[:5])}
+        for block in (7, 4096):
+            got = {(r.query_id, r.vec_id, r.similarity, r.rnk) for r in knn.nearest(df.where("vec_id % 5 = 0"), df, 5, within, block).collect()}
+            assert got == want
+    assert {n for r in knn.edges(df, 3, -1.0).collect() for n in (r.a, r.b)} == set(good)
+
+
+def test_every_vector_asks(spark):
+    from docspark.plans.registry import queries
+
+    data = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id is not null").select("vec_id").collect()}
+    edges = queries()["f44_similarity_edges_all"](spark, data).collect()
+    assert {n for r in edges for n in (r.a, r.b)} == ids
+    found = queries()["d9_communities"](spark, data).toPandas()
+    assert found.groupby(["doc_id", "cluster"]).size().ge(2).mean() > 0.5  # before, nearly all vectors were alone
