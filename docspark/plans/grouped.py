@@ -27,6 +27,13 @@ def _vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+@frame()
+def o4_vector_top_all(spark, sf_dir):
+    """The search of o4 over all rows, whatever their label: for every vector whose id is divisible by 50, the nearest others."""
+    vectors = _vectors(spark, sf_dir)
+    return knn.nearest(vectors.where("vec_id % 50 = 0"), vectors, 5)
+
+
 @frame()
 def f44_similarity_edges_all(spark, sf_dir):
     """The graph of f44 with every vector asking all rows."""

@@ -126,3 +126,5 @@ def test_every_vector_asks(spark):
     assert {n for r in edges for n in (r.a, r.b)} == ids
     found = queries()["d9_communities"](spark, data).toPandas()
     assert found.groupby(["doc_id", "cluster"]).size().ge(2).mean() > 0.5  # before, nearly all vectors were alone
+    top = queries()["o4_vector_top_all"](spark, data).toPandas()
+    assert len(top) == 5 * len({i for i in ids if i % 50 == 0})
