@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import components, written
@@ -199,17 +199,22 @@ def links(unique: DataFrame, radius: int = RADIUS, leaf: int = 1024, parts: int
     return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
+def _rooted(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, leaf: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Written tables: ``(doc_id, hash, fp)``, a row for each of ``docs``, and ``(fp, low, root)``, low the smallest doc_id of fp."""
+    prints = written(docs.select("doc_id", F.xxhash64("text").alias("hash"), _fingerprints(width)("text").alias("fp")), "fingerprints")
+    unique = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "unique")
+    found = links(unique, radius, leaf)
+    named = unique.join(found, unique["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return prints, written(named, "roots")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, leaf: int = 1024) -> DataFrame:
     """Rows ``(doc_id, fp long, fingerprint string, component_id)``, one for each row of ``docs(doc_id, text, ...)``.
 
     component_id is the smallest doc_id reachable over links, itself included; null doc_ids count for nothing there, and
     a group of them alone has a null component_id. Repeated rows give repeated rows. An empty table gives none.
     """
-    prints = written(fingerprints(docs, width), "fingerprints")
-    unique = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "unique")
-    found = links(unique, radius, leaf)
-    named = unique.join(found, unique["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "roots")
+    prints, named = _rooted(docs, width, radius, leaf)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(lowest, "root").select("fp", "component_id")
     out = prints.join(ids, "fp")
@@ -217,10 +222,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, l
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row of its smallest doc_id stays.
+    """``docs`` without near-duplicates: of each component one row stays, that of its smallest doc_id.
 
-    Rows without a doc_id all stay. If rows share that doc_id, all of them stay.
+    Null doc_ids come last; rows of one doc_id go by their texts' hashes, then by the hashes of the whole rows.
     """
-    found = near_duplicates(docs, **how)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").unionByName(docs.where("doc_id is null"))
+    prints, named = _rooted(docs, **how)
+    rows = prints.join(named.select("fp", "root"), "fp").groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
+    best = F.min_by(F.struct("doc_id", "hash", "n"), F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("x")
+    keep = written(rows.groupBy("root").agg(best).select(F.col("x.doc_id").alias("_id"), F.col("x.hash").alias("_hash"), "x.n"), "kept")
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    repeated = keep.where("n > 1")
+    if not repeated.take(1):
+        return docs.join(keep, on, "left_semi")
+    w = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
+    first = docs.join(repeated, on, "left_semi").withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row")
+    return docs.join(keep.where("n = 1"), on, "left_semi").unionByName(first)

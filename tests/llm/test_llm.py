@@ -330,6 +330,16 @@ def test_simhash(spark, texts, leaf):
     assert simhash.near_duplicates(df.where("doc_id < 0")).count() == 0
 
 
+def test_one_row_of_each(spark):
+    a, b, c = (prose(random.Random(seed), 60) for seed in (1, 2, 3))
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, c), (3, c + " more"), (4, None), (None, ""), (5, "an unlike text of a few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(df).collect()]
+    assert [r for r in kept if r[0] in (1, 2)] == [(1, a)] and [r for r in kept if r[0] is None] == [(None, b)]
+    assert len([r for r in kept if r[0] == 3]) == 1 and len(kept) == 5
+    assert simhash.one_of_each(df.where("doc_id < 0")).count() == 0
+
+
 def test_masks_cover_all_pairs():
     for parts in (5, 6, 7):
         masks = simhash.masks(parts, 4)
