@@ -62,10 +62,11 @@ def d9_communities(spark, sf_dir):
 
 @frame()
 def d6_spelling(spark, sf_dir):
-    """Suggestions for a few misspelt words from the corpus's own frequent words."""
+    """Suggestions from the corpus's own frequent words for its rare words of four letters or more, and for a few misspelt ones."""
     words = spark.createDataFrame([("licens",), ("wrok",), ("verison",), ("righst",), ("publik",)], "word string")
-    common = QUERIES["s21_common_words"](spark, sf_dir).where("freq >= 3 and length(term) >= 4").select("term", "freq")
-    return spelling.suggestions(words, common)
+    known = QUERIES["s21_common_words"](spark, sf_dir).where("length(term) >= 4")
+    common = known.where("freq >= 3").select("term", "freq")
+    return spelling.suggestions(words.union(known.where("freq < 3").select("term")), common)
 
 
 @frame()

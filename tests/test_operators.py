@@ -128,3 +128,12 @@ def test_every_vector_asks(spark):
     assert found.groupby(["doc_id", "cluster"]).size().ge(2).mean() > 0.5  # before, nearly all vectors were alone
     top = queries()["o4_vector_top_all"](spark, data).toPandas()
     assert len(top) == 5 * len({i for i in ids if i % 50 == 0})
+
+
+def test_spelling_of_the_whole_corpus(spark):
+    from docspark.plans.registry import queries
+
+    data = "/root/testdata/sf0.001"
+    rare = {r.term for r in queries()["s21_common_words"](spark, data).where("length(term) >= 4 and freq < 3").collect()}
+    found = {r.word for r in queries()["d6_spelling"](spark, data).collect()}
+    assert len(found & rare) > 100 and found <= rare | {"licens", "wrok", "verison", "righst", "publik"}
