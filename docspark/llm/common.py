@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One white-space-delimited word, by ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
 _own_dir: list[str] = []
+#: Text in a range of ``by_size``, and for each mark that its borders are found by.
+RANGE_BYTES, MARK_BYTES = 256 << 20, 16 << 10
 
 
 def kept(kind: str, key, make: Callable):
@@ -28,10 +33,15 @@ def kept(kind: str, key, make: Callable):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of this process where that is unset (as in tests)."""
+    """The folder of ``spark.checkpoint.dir``, which all machines of a cluster share.
+
+    Where that is unset, a temporary folder of this process, if driver and executors are one machine; else an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="docspark-"))
     return _own_dir[0]
@@ -58,6 +68,42 @@ def drop_written(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def by_size(df: DataFrame, key: Column, size: Column, tie: Column, least: int | None = None) -> tuple[Callable, int, DataFrame]:
+    """A function of key and tie that deals ``df`` to ranges of ``key`` (a long), of about equal sums of ``size`` (null: 0).
+
+    There is a range for RANGE_BYTES, but ``least`` (``spark.sql.shuffle.partitions``) at least. Borders are quantiles of
+    marks, of which a row has one for each MARK_BYTES on average. A key that fills several ranges is dealt over them by
+    ``tie`` (a long, evenly spread), so ranges are in the order of key and tie. The driver holds a number for each border.
+    Returned beside it: how many ranges there are at most, and a written table of key, size and tie.
+    """
+    spark = df.sparkSession
+    light = written(df.select(key.alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), tie.alias("tie")), "sizes")
+    total = light.agg(F.sum("size")).first()[0] or 0
+    n = max(least or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    part = F.pmod(F.xxhash64("key", "tie"), F.lit(MARK_BYTES))  # rounds up at random, so the mean is right
+    marks = light.select("key", F.floor((F.col("size") + part) / MARK_BYTES).cast("int").alias("marks")).where("marks > 0").select("key", F.explode(F.sequence(F.lit(1), "marks")))
+    cut = marks.agg(F.percentile_approx("key", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(max(10_000, 10 * n)))).first()[0] if n > 1 else None
+    borders, times = np.unique(np.array(cut or [], np.int64), return_counts=True)
+    # keys up to a border are one range; a border that comes several times has ranges of its own
+    firsts = np.cumsum(np.where(times > 1, 1 + times, 1)) - np.where(times > 1, 1 + times, 1)
+    last = int(firsts[-1] + (1 + times[-1] if times[-1] > 1 else 1)) if len(borders) else 0
+    sent = spark.sparkContext.broadcast((borders, times, np.append(firsts, last)))
+
+    @F.pandas_udf("int")
+    def pid(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        borders, times, firsts = sent.value
+        k = keys.to_numpy()
+        at = np.searchsorted(borders, k, "left")
+        out = firsts[at]
+        hot = np.flatnonzero(at < len(borders))
+        hot = hot[(borders[at[hot]] == k[hot]) & (times[at[hot]] > 1)]
+        share = (ties.to_numpy()[hot] / 2.0**64 + 0.5) * times[at[hot]]
+        out[hot] += 1 + np.minimum(share.astype(np.int64), times[at[hot]] - 1)
+        return pd.Series(out.astype(np.int32))
+
+    return pid, last + 1, light
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: rows ``(node, root)``, root the smallest node reachable.
 

@@ -21,7 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELLS, GROWTH, MOST_CELLS_AT_ONCE = 12, 4, 2_000_000
+from docspark.llm.common import by_size
+
+CELLS, GROWTH, MOST_CELLS_AT_ONCE, LAST = 12, 4, 2_000_000, 64
 PIECE = re.compile(r"[^.!?\n]{1,80}[.!?\n]*|[.!?\n]+")
 _LOWEST = -(2**63)
 
@@ -58,11 +60,10 @@ class Sketches:
         self.count, self.keys, self.checks = np.zeros(n * m, np.int32), np.zeros(n * m, np.uint64), np.zeros(n * m, np.uint32)
 
     def add(self, owner: np.ndarray, keys: np.ndarray, sign) -> None:
-        third = np.uint64(self.m // 3)
         times = np.broadcast_to(np.asarray(sign, np.int32), keys.shape)
         many, checks = keys * times.astype(np.int64).view(np.uint64), _check(keys) * times.view(np.uint32)
         for j in range(3):
-            at = owner * self.m + (_mix(keys, j + 1) % third).astype(np.int64) + j * int(third)
+            at = self._cells(owner, keys, j)
             np.add.at(self.count, at, times)
             np.add.at(self.keys, at, many)
             np.add.at(self.checks, at, checks)
@@ -73,23 +74,36 @@ class Sketches:
             cell[name] = a.reshape(self.n, self.m)
         return [base64.b64encode(row.tobytes()).decode() for row in cell]
 
+    def _cells(self, owner: np.ndarray, keys: np.ndarray, j: int) -> np.ndarray:
+        third = np.uint64(self.m // 3)
+        return owner * self.m + (_mix(keys, j + 1) % third).astype(np.int64) + j * int(third)
+
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Recovers digests until stuck: owner, digest, sign (1: only the first text has it); and which texts are done."""
+        """Recovers digests until stuck: owner, digest, sign (1: only the first text has it); and which texts are done.
+
+        A cell is peeled only if its check sum fits and its digest belongs to it. A text of which more than m digests
+        come out is stuck, as m cells can't hold more: a cell that only looks pure ends so, and the text isn't done.
+        """
         found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32))]
-        live = np.flatnonzero(np.abs(self.count) == 1)
-        while len(live):
+        out_of, stuck = np.zeros(self.n, np.int64), np.zeros(self.n, bool)
+        while len(live := np.flatnonzero((np.abs(self.count) == 1) & ~np.repeat(stuck, self.m))):
             sign = self.count[live]
             keys = self.keys[live] * sign.astype(np.int64).view(np.uint64)
             pure = (self.checks[live] * sign.view(np.uint32)) == _check(keys)
-            owner, keys, sign = live[pure] // self.m, keys[pure], sign[pure]
+            live, owner, keys, sign = live[pure], live[pure] // self.m, keys[pure], sign[pure]
+            own = np.zeros(len(live), bool)
+            for j in range(3):
+                own |= self._cells(owner, keys, j) == live
+            owner, keys, sign = owner[own], keys[own], sign[own]
             if not len(keys):
                 break
             _, one = np.unique(np.stack([owner.astype(np.uint64), keys]), axis=1, return_index=True)
             owner, keys, sign = owner[one], keys[one], sign[one]
             found.append((owner, keys, sign))
             self.add(owner, keys, -sign)
-            live = np.flatnonzero(np.abs(self.count) == 1)
-        done = ~((self.count != 0) | (self.keys != 0) | (self.checks != 0)).reshape(self.n, self.m).any(axis=1)
+            out_of += np.bincount(owner, minlength=self.n)
+            stuck = out_of > self.m
+        done = ~((self.count != 0) | (self.keys != 0) | (self.checks != 0)).reshape(self.n, self.m).any(axis=1) & ~stuck
         return (*(np.concatenate(x) for x in zip(*found)), done)
 
 
@@ -104,11 +118,19 @@ def sketch(sets: list[np.ndarray], m: int = CELLS) -> Sketches:
 
 
 def differences(a: list[np.ndarray], b: list[np.ndarray], m: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each pair of digest sets, what only the first and only the second has, by subtracting and peeling."""
+    """For each pair of digest sets, what only the first and only the second has, by subtracting and peeling.
+
+    Stuck pairs are sketched again with more cells; beyond LAST times as many cells as digests, which no pair of sets should
+    need, the sets themselves are compared, so every pair ends.
+    """
     out: list = [None] * len(a)
+    size = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
     todo = np.arange(len(a))
     gap = np.array([abs(len(x) - len(y)) for x, y in zip(a, b)], np.int64)
     while len(todo):
+        for k in todo[m > LAST * size[todo] + CELLS * GROWTH]:
+            out[k] = (np.setdiff1d(a[k], b[k]), np.setdiff1d(b[k], a[k]))
+        todo = todo[m <= LAST * size[todo] + CELLS * GROWTH]
         now, later = todo[gap[todo] <= m], [todo[gap[todo] > m]]  # that many can't be peeled from m cells
         step = max(1, MOST_CELLS_AT_ONCE // m)
         for i in range(0, len(now), step):
@@ -180,33 +202,26 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``; see ``SCHEMA``. A null text is an empty one.
 
     The next document is that of the next doc_id (null first, ties by hash and text); after the last comes the first. So a
-    single document is its own next one. Texts are dealt once, by ranges of doc_id; the first rows of a range also go to
-    the range before. The driver holds the ranges' borders and first ids, two numbers for each range.
+    single document is its own next one. Texts are dealt once, by ranges of doc_id that hold about equal sums of text (see
+    ``by_size``); the first row of a range also goes to the range before. The driver holds the ranges' first rows' keys.
     """
     spark = docs.sparkSession
-    n = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col("doc_id"), F.lit(_LOWEST))
-    ids = docs.select(key.alias("key"))
-    cut = ids.agg(F.percentile_approx("key", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10_000))).first()[0] if n > 1 else []
-    bounds = np.unique(np.array(cut or [], np.int64))
-
-    @F.pandas_udf("int")
-    def pid_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="left").astype(np.int32))
-
-    firsts = sorted(map(tuple, ids.groupBy(pid_of("key").alias("pid")).agg(F.min("key")).collect()))
+    key, tie = F.coalesce("doc_id", F.lit(_LOWEST)), F.xxhash64("text")
+    pid, n, light = by_size(docs, key, F.octet_length("text"), tie, parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    firsts = light.groupBy(pid("key", "tie").alias("pid")).agg(F.min(F.struct("key", "tie")).alias("first"))
+    firsts = sorted((r[0], r[1][0], r[1][1]) for r in firsts.collect())
     if not firsts:
         return spark.createDataFrame([], SCHEMA)
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # the first range's goes to the last
+    # the first range's first row goes to the last; of rows alike in key and tie all go, of which one is used
+    before = spark.sparkContext.broadcast({(k, t): firsts[i - 1][0] for i, (_, k, t) in enumerate(firsts)})
 
     @F.pandas_udf("int")
-    def edge_of(keys: pd.Series) -> pd.Series:
-        return keys.map(before).astype("Int32")
+    def edge_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(list(map(before.value.get, zip(keys.tolist(), ties.tolist()))), dtype="Int32")
 
-    rows = docs.select("doc_id", "text", key.alias("key")).withColumn("own", pid_of("key")).withColumn("other", edge_of("key"))
+    rows = docs.select("doc_id", "text", key.alias("key"), tie.alias("tie")).withColumn("own", pid("key", "tie")).withColumn("other", edge_of("key", "tie"))
     own = F.struct(F.col("own").alias("pid"), F.lit(0).alias("edge"))
     to = F.when(F.col("other").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("other").alias("pid"), F.lit(1).alias("edge"))))
-    rows = rows.select(F.explode(to).alias("to"), "doc_id", "text", "key").select("to.pid", "to.edge", "doc_id", "text", "key")
-    order = ["pid", "edge", "key", F.xxhash64("text"), "text"]
-    dealt = rows.repartition("pid").sortWithinPartitions(*order).select("pid", "edge", "doc_id", "text")
+    rows = rows.select(F.explode(to).alias("to"), "doc_id", "text", "key", "tie").select("to.pid", "to.edge", "doc_id", "text", "key", "tie")
+    dealt = rows.repartitionById(n, F.col("pid")).sortWithinPartitions("pid", "edge", "key", "tie").select("pid", "edge", "doc_id", "text")
     return dealt.mapInPandas(_each_with_next, SCHEMA)
