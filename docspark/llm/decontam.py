@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from docspark.llm.common import once, written
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Sketches (16 bytes a row) and candidates (some 40) are broadcast up to so many rows; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Sketches and candidates are broadcast up to so many bytes; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table with the hint that fits its counted rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+def _small(df: DataFrame, size=40) -> DataFrame:
+    """A written table with the hint that fits its summed size; ``size``: bytes of a row, a number or a column."""
+    return F.broadcast(df) if (df.agg(F.sum(F.lit(size))).first()[0] or 0) <= BROADCAST_BYTES else df.hint("merge")
 
 
 def words(text: F.Column) -> F.Column:
@@ -78,9 +78,9 @@ def _verified(docs: DataFrame, items: DataFrame, threshold: float, width: int) -
     """Rows ``(doc_id, _tkey, item_id, n, q)`` for each row of ``docs`` and item that its whole text holds."""
     ready = written(sketches(items, threshold, width), "sketches")
     on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey"))
-    pairs = docs.select("doc_id", "text").join(_small(_candidates(docs, ready)), on).select("doc_id", "_tkey", "text", "_rows")
+    pairs = docs.select("doc_id", "text").join(_small(_candidates(docs, ready), 40 + 8 * F.size("_rows")), on).select("doc_id", "_tkey", "text", "_rows")
     pairs = once(pairs, "_w", words(F.col("text"))).select("doc_id", "_tkey", "_w", F.explode("_rows").alias("row"))
-    pairs = pairs.join(_small(ready.select("item_id", "row", "width", "shingles", "need")), "row")
+    pairs = pairs.join(_small(ready.select("item_id", "row", "width", "shingles", "need"), 60 + F.octet_length(F.array_join("shingles", "     "))), "row")
     pairs = once(pairs, "n", F.size(F.array_intersect(_shingles(F.col("_w"), F.col("width")), F.col("shingles"))))
     return pairs.where("n >= need").select("doc_id", "_tkey", "item_id", "n", F.size("shingles").alias("q"))
 
@@ -89,17 +89,17 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """Rows ``(doc_id, item_id, n_shared, n_item, containment)`` for each row of ``docs(doc_id, text)`` and item it holds.
 
     Null or empty texts and items hold and match nothing. Repeated rows of ``docs`` give repeated rows; items that share
-    an item_id each count. Empty tables give no rows.
+    an item_id each count. Empty tables give no rows. Texts of any length are searched whole.
     """
     found = _verified(docs, items, threshold, width)
     return found.select("doc_id", "item_id", F.col("n").alias("n_shared"), F.col("q").alias("n_item"), (F.col("n") / F.col("q")).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """``docs`` without the rows that hold any item; all columns stay."""
+    """``docs`` without the rows that hold any item; all columns stay, whatever their names. See ``contaminated``."""
     found = _verified(docs, items, threshold, width).select(F.col("doc_id").alias("_doc"), "_tkey").distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey"))
-    return docs.join(_small(written(found, "contaminated")), on, "left_anti")
+    on = F.expr("own.doc_id <=> found._doc AND xxhash64(own.text) = found._tkey")
+    return docs.alias("own").join(_small(written(found, "contaminated")).alias("found"), on, "left_anti")
 
 
 ORACLE = r"""

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK, LONGEST, ROWS_PER_LANGUAGE, STEPS, UNKNOWN = "▁", 32, 400, 3, 1e-9
+#: There is a probability for each piece and language on the driver and on executors; beyond this many it refuses.
+MOST_LANGUAGES = 1000
 _RUN = re.compile(r"[^\W\d_]+")
 _P = np.uint64(0x100000001B3)
 
@@ -183,7 +185,9 @@ def train(rows: DataFrame, vocabulary: str, per_language: int = ROWS_PER_LANGUAG
     there are fewer). Its word counts go to the driver.
     """
     rows = rows.where("lang is not null")
-    n = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    n = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(n) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; a model has a column for each")
     share = F.lit(0.0)
     for lang, k in n.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / k))).otherwise(share)
@@ -210,7 +214,10 @@ def fold(doc_id, of: int):
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, one row for each row; repeated rows get the same."""
+    """``docs`` with ``lang_pred`` and ``score``, one row for each row; repeated rows get the same.
+
+    Columns of ``docs`` that are called so give way; others stay, whatever their names. Texts are scored whole.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # pieces of the vocabulary x languages
 
     @F.pandas_udf("lang_pred string, score double")
@@ -220,13 +227,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = scorer.score(texts.tolist())
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return docs.withColumn("_p", found("text")).select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "_p.lang_pred", "_p.score")
+    kept = F.struct(*[f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")]).alias("own")
+    return docs.select(kept, found("text").alias("p")).select("own.*", "p.lang_pred", "p.score")
 
 
 def identified(docs: DataFrame, vocabulary: str, folds: int = 4, held: int = 2, **how) -> DataFrame:
     """``docs`` with ``held_out``, ``lang_pred`` and ``score``; nothing is learned from the held-out fold.
 
-    Rows whose doc_id is null are held out. If no row has a language, every prediction is ``und``.
+    Rows whose doc_id is null are held out. If no row has a language, every prediction is ``und``. A column ``held_out`` of
+    ``docs`` gives way.
     """
     is_held = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(True))
     model = train(docs.where(~is_held).select("doc_id", "text", "lang"), vocabulary, **how)

@@ -105,7 +105,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     ``unit`` is the line's number from 1, or 0 for the whole text of a document of several lines; for a window, the
     number of the line where it begins. ``template`` is the
     template's number. Null and empty texts, and lines of fewer than two words, match nothing. Repeated rows give repeated
-    rows, repeated lines are units of their own. Without templates there are no rows.
+    rows, repeated lines are units of their own. Without templates there are no rows. Texts of any length are
+    compared whole; other columns are left out.
     """
     made = [(i, name, grams) for i, (name, text) in enumerate(templates) if (grams := bigrams_of(text))]
     low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9

@@ -42,6 +42,7 @@ def dedup(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFra
 
     ``text`` is the kept lines joined by newlines. The host is the url's, in small letters; rows whose url is null or has none
     share the empty host. A null or empty html has no lines. Repeated rows are pages of their own, and count.
+    Pages of any length are read whole; other columns are left out.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     cut = written(pages.select("page_id", "url", host.alias("host"), lines(F.col("html")).alias("lines")), "lines")

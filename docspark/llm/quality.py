@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS, ROWS, THRESHOLD = 18, 12_000, 0.3
@@ -112,21 +112,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bits: int = BITS
             got = [h.features(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["quality"].astype(float), "ids": [a.tobytes() for a, _ in got], "x": [b.tobytes() for _, b in got]})
 
-    got = some.mapInPandas(of, "doc_id long, y double, ids binary, x binary").toPandas()
-    got["at"] = [zlib.crc32(f"{d}:order".encode()) for d in got["doc_id"]]
-    got = got.sort_values(["at", "doc_id", "ids"])
-    ready = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32).astype(float), y) for a, b, y in zip(got["ids"], got["x"], got["y"])]
+    got = some.mapInPandas(of, "doc_id long, y double, ids binary, x binary").toArrow()  # features stay in Arrow's memory
+    doc_ids, ys = got["doc_id"].to_pylist(), got["y"].to_pylist()
+    ids, xs = ([np.frombuffer(v.as_buffer(), kind) for v in got[c]] for c, kind in (("ids", np.int32), ("x", np.float32)))
+    order = sorted(range(len(ys)), key=lambda k: (zlib.crc32(f"{doc_ids[k]}:order".encode()), doc_ids[k], zlib.crc32(ids[k])))
     model = Ftrl(bits)
     for _ in range(epochs):
-        for ids, x, y in ready:
-            model.update(ids, x, y)
+        for k in order:
+            model.update(ids[k], xs[k].astype(float), ys[k])
     return model.weights().astype(np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with ``score`` in 0 to 1, one row for each row; a null or empty text gets the bias's score."""
+def _scores(spark: SparkSession, weights: np.ndarray):
     bits = int(len(weights)).bit_length() - 1
-    sent = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size: 2**bits weights
+    sent = spark.sparkContext.broadcast(weights)  # of fixed size: 2**bits weights
 
     @F.pandas_udf("double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -135,15 +134,30 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             out = np.fromiter((float(w[a] @ b) for a, b in map(h.features, texts)), float, len(texts))
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
-    return docs.withColumn("score", of("text"))
+    return of
+
+
+def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``docs`` with ``score`` in 0 to 1, one row for each row; a null or empty text gets the bias's score.
+
+    A column of ``docs`` that is called ``score`` gives way. Texts are scored whole, one at a time, however long they are.
+    """
+    return docs.withColumn("score", _scores(docs.sparkSession, weights)("text"))
+
+
+def _learned(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> np.ndarray:
+    return train(docs, labels.where(fold(F.col("doc_id"), folds) != held))
 
 
 def classified(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` and ``predicted``; labels of the held-out fold aren't used.
 
-    Rows whose doc_id is null are held out.
+    Rows whose doc_id is null are held out. Repeated rows get the same. Columns of ``docs`` with these names give way.
     """
-    doc_id = docs["doc_id"]
-    weights = train(docs, labels.where(fold(F.col("doc_id"), folds) != held))
-    out = score(docs, weights).withColumn("held_out", F.coalesce(fold(doc_id, folds) == held, F.lit(True)))
+    out = score(docs, _learned(docs, labels, folds, held)).withColumn("held_out", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(True)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``classified`` predicts as good, with all their columns as they are, whatever their names."""
+    return docs.where(_scores(docs.sparkSession, _learned(docs, labels, folds, held))("text") >= threshold)
