@@ -1,15 +1,20 @@
 """Main text of web pages by differencing each page against its nearest URLs.
 
-A page's lines are its block elements' texts, in page order, each with its zone: inside an article or main element or
-not. Subtrees that markup names as something else (menus, headers, footers, asides, forms, scripts, styles, adverts,
-notices, comments; by element, role, class or id) give no lines. Pages of one host are put in the order of their URL paths,
-so a page is paired with the nearest path of other lines on each side; lines are aligned by longest common subsequence. Shared
-lines are deleted: outside article and main those shared with either page, inside only those shared with both, since short
-paragraphs recur by chance. A pair that shares over half of its lines is the same article twice or two short articles in
-a large template. So such a pair deletes only lines that recur on further pages of the host (on ``RECURS_ON`` or more of other
-lines, and over ``RECURS_IN`` of all of them); a pair alike only with each other is a copy and deletes nothing. A page at an
-end of its host, with one page beside it, deletes inside article and main the shared lines that recur so.
-What remains is the text; where a page has article or main elements, lines outside them aren't part of it.
+A page's lines are its block elements' texts, in page order. Pages of one host are put in the order of their URL paths, so
+a page is paired with the nearest path of other lines on each side; lines are aligned by longest common subsequence, and
+shared lines are deleted. Scripts, styles, heads and forms give no lines at all.
+
+What is shared isn't always template, and what is template isn't always shared; evidence of two more kinds breaks the ties.
+
+- How often a line recurs on its host, copies of a page counted once. A pair that shares over half of its lines is the same
+  article twice, or two short articles in a large template: it deletes only lines that recur (on ``RECURS_ON`` pages or
+  more, and over ``RECURS_IN`` of them), so a pair alike only with each other is a copy and deletes nothing. Paragraphs and
+  headings are deleted only if they recur so, as short ones repeat by chance; paragraphs inside article or main only if
+  they are shared with both sides (or the only one) and on over ``RECURS_INSIDE`` of the host's pages, headings there never.
+- What markup says of lines that no neighbour shares: those of elements named as something else than text (menus, headers,
+  footers, asides, adverts, notices, comments; by element, role, or a whole class name or id) go, and, where a page has article
+  or main elements with text, so do lines outside them. An element that is never closed says nothing, nor does one that
+  holds an article or main element.
 
 Only hashes of lines are dealt out for pairing. Texts stay where they were read: a page is parsed once more when the
 lines to delete are known.
@@ -31,146 +36,252 @@ from pyspark.sql import types as T
 
 from docspark.llm.common import written
 
-#: Deletions for up to this many pages are broadcast (some 50 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 200_000
-#: Hosts' recurring lines are broadcast up to this many (8 bytes each), else joined by shuffle.
-BROADCAST_LINES = 1_000_000
+#: Tables of deletions and of recurring lines are broadcast up to this many bytes, else joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 #: A line recurs on a host if this many of its pages have it, copies counted once, and over this part of them.
-RECURS_ON, RECURS_IN = 3, 0.1
+RECURS_ON, RECURS_IN, RECURS_INSIDE = 3, 0.1, 0.5
+#: Hashes of lines in a range of URLs; attributes are looked for in so many characters of a tag.
+RANGE_LINES, ATTRIBUTES = 8 << 20, 10_000
 
 # HTML elements by what they do here, and what names of classes, ids and roles say.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
-RAW = set("script style title textarea noscript template iframe svg math object canvas audio video xmp noembed noframes".split())
-DROPPED = set("head nav footer aside form button select menu dialog datalist".split())
+RAW = set("script style title textarea noscript iframe xmp noembed noframes template svg math object canvas audio video".split())
+TO_THE_END = set("script style title textarea iframe xmp noembed noframes".split())
+IN_HEAD = set("title meta link base script style noscript template bgsound".split())
+FORMS = set("form button select datalist".split())
+DROPPED = set("nav footer aside header menu dialog".split()) | FORMS
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | set("p blockquote pre dd figcaption".split())
+NAMED_INLINE = set("span a ins label small".split())
+ENDS_BY_ITSELF = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form note".split())
 NAMES = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social sidebar "
-    "related recommended recommendations breadcrumb breadcrumbs comment comments respond disqus replies menu nav navbar navigation footer masthead topbar toolbar widget widgets pagination pager paywall skip login search".split()
+    "related recommended recommendations breadcrumb breadcrumbs comment comments respond disqus replies reply menu nav navbar navigation header footer masthead topbar toolbar widget widgets pagination pager paywall login search".split()
 )
+BESIDE = set("site page global main primary secondary top bottom left right box bar block list area wrapper wrap container section slot unit buttons links items form posts stories articles inner outer fixed sticky mobile desktop".split())
+TEXT_NAMES = set("article content post entry story body text main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/]+)")
+ARTICLE, NAMED, PARAGRAPH, HEADING = 1, 2, 4, 8
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^>\"']*")
+_ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
-_NAME = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[a-z0-9]+")
+
+
+def _says(name: str) -> bool:
+    """Whether a whole class name or id names something else than text: all its parts do, or are beside one that does."""
+    parts = _PART.findall(name)
+    return not NAMES.isdisjoint(parts) and all(p in NAMES or p in BESIDE for p in parts)
 
 
-def _is_named(attrs: str) -> tuple[bool, bool]:
-    """Whether attributes name a part that isn't article text, and whether they name a header."""
-    bad = head = False
-    for m in _ATTR.finditer(attrs):
-        key = (m[1] or m[5] or "").lower()
-        value = (m[2] or m[3] or m[4] or "").lower()
+def is_named(attrs: str) -> bool:
+    """Whether a tag's attributes name a part that isn't article text."""
+    names: list[str] = []
+    for m in _ATTR.finditer(attrs[:ATTRIBUTES]):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            names = set(_NAME.findall(value))
-            bad |= not names.isdisjoint(NAMES)
-            head |= "header" in names
-        elif key == "role":
-            bad |= value.strip() in ROLES
+            names += value.split()
+        elif key == "role" and value.strip() in ROLES:
+            return True
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            bad = True
-    return bad, head
+            return True
+    return TEXT_NAMES.isdisjoint(names) and any(map(_says, names))
+
+
+def tokens(html: str) -> Iterator[tuple[str, bool, str]]:
+    """Tags ``(name, closing, attributes)`` and texts ``("", False, text)`` of a page, in one pass over it.
+
+    Quotes hold a tag open; a tag whose quotes never close ends at its first ``>``. After a few such tags quotes count for
+    nothing, so no part of a page is read more than a few times.
+    """
+    pos, text, n, broken = 0, 0, len(html), 0
+    unclosed: set[str] = set()
+    while True:
+        a = html.find("<", pos)
+        if a < 0:
+            break
+        pos, closing = a + 1, html.startswith("/", a + 1)
+        name = _NAME.match(html, a + 1 + closing)
+        if not name:
+            if html.startswith(("!", "?"), a + 1):
+                end = html.find("-->", a + 4) if html.startswith("!--", a + 1) else html.find(">", a)
+                if a > text:
+                    yield "", False, html[text:a]
+                pos = text = n if end < 0 else end + (3 if html.startswith("!--", a + 1) else 1)
+            continue
+        end, at = -1, name.end()
+        while broken < 16:
+            at = _PLAIN.match(html, at).end()
+            if at >= n:
+                broken += 1
+                break
+            if html[at] == ">":
+                end = at
+                break
+            close = html.find(html[at], at + 1)
+            if close < 0:
+                broken += 1
+                break
+            at = close + 1
+        if end < 0:
+            end = html.find(">", name.end())
+        if end < 0:
+            break  # no tag ends any more: the rest is text
+        if a > text:
+            yield "", False, html[text:a]
+        tag, attrs = name[0].lower(), html[name.end() : end]
+        pos = text = end + 1
+        if tag in RAW and not closing:
+            if attrs.endswith("/") or tag in unclosed:
+                continue
+            e = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, pos)
+            if e:
+                close = html.find(">", e.end())
+                pos = text = n if close < 0 else close + 1
+            elif tag in TO_THE_END:
+                pos = text = n
+            else:
+                unclosed.add(tag)  # is no element then
+            continue
+        if tag not in RAW:
+            yield tag, closing, attrs
+    if text < n:
+        yield "", False, html[text:]
+
+
+def _ends(found: list[tuple[str, bool, str]]) -> tuple[list[int], list[bool]]:
+    """For each token that opens an element where it ends (0: nowhere), and whether it holds an article or main element."""
+    ends, holds, open_, n_open = [0] * len(found), [False] * len(found), [], {}
+
+    def close(at: int, own: bool) -> None:
+        k = open_.pop()
+        tag = found[k][0]
+        n_open[tag] -= 1
+        if own or tag in ENDS_BY_ITSELF:
+            ends[k] = at
+        if open_ and (holds[k] or tag in ("article", "main")):
+            holds[open_[-1]] = True
+
+    for i, (tag, closing, _) in enumerate(found):
+        if not tag or tag in VOID or tag not in BLOCKS and tag not in DROPPED and tag not in NAMED_INLINE:
+            continue
+        if closing:
+            if n_open.get(tag):
+                while found[open_[-1]][0] != tag:
+                    close(i, False)
+                close(i, True)
+            continue
+        while open_ and tag in ENDS_BY_ITSELF.get(found[open_[-1]][0], ()):
+            close(i, False)
+        open_.append(i)
+        n_open[tag] = n_open.get(tag, 0) + 1
+    while open_:
+        close(len(found), False)
+    return ends, holds
 
 
 def lines(html: str | None) -> tuple[list[str], list[int]]:
-    """The text lines of a page and for each 1 if it is inside an article or main element, else 0."""
-    html = html or ""
-    out, zones, buffer = [], [], []
-    inside = at = 0
-    skip, depth, skip_inside, header, heading = "", 0, 0, 0, 0  # the element left out and how deep in its own kind
+    """The text lines of a page, and for each what markup says of it: ARTICLE, NAMED, PARAGRAPH, HEADING, added up."""
+    found = list(tokens(html or ""))
+    ends, holds = _ends(found)
+    out, flags, buffer = [], [], []
+    inside = named = head_of = skip = -1  # where the outermost article, named element, header in an article, form ends
+    head, block = False, ""
 
     def end_line() -> None:
         text = _SPACE.sub(" ", unescape("".join(buffer))).strip()
         buffer.clear()
-        if text and (not header or heading):
+        if text:
+            heading = block in HEADINGS
             out.append(text)
-            zones.append(int(inside > 0))
+            flags.append(ARTICLE * (i <= inside) + NAMED * (i <= named or i <= head_of and not heading) + PARAGRAPH * (block in PROSE) + HEADING * heading)
 
-    n, pos = len(html), 0
-    while pos < n:
-        m = _TOKEN.search(html, pos)
-        if not m:
-            break
-        if not skip and m.start() > at:
-            buffer.append(html[at : m.start()])
-        pos = at = m.end()
-        closing, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if tag in RAW and not closing:
-            if not attrs.rstrip().endswith("/"):
-                e = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(html, pos)
-                pos = at = e.end() if e else n
-            continue
-        if skip:
-            if not closing and skip == "p" and tag in BLOCKS:
-                skip = ""  # a paragraph ends where a block begins; go on with this tag
-            elif not closing and tag in ("article", "main") and not inside and not skip_inside and not _is_named(attrs)[0]:
-                skip = ""  # an element that was never closed
-            elif closing and tag in ("article", "main", "body") and tag != skip and (skip_inside or tag == "body"):
-                skip = ""
-            elif tag == skip:
-                depth += -1 if closing else (tag not in VOID and not attrs.endswith("/"))
-                if depth <= 0:
-                    skip = ""
-                continue
+    i = 0
+    for i, (tag, closing, attrs) in enumerate(found):
+        if head:
+            if tag and (closing and tag == "head" or not closing and tag not in IN_HEAD and tag != "head") or not tag and attrs.strip():
+                head = False  # it also ends where something begins that isn't for it
             else:
                 continue
-        if tag not in BLOCKS:
-            if tag in ("br", "td", "th"):
-                buffer.append(" ")
-            elif not closing and tag in DROPPED and tag not in VOID:
-                end_line()
-                skip, depth, skip_inside = tag, 1, inside
-            elif not closing and attrs and tag not in VOID and _is_named(attrs)[0] and tag in ("span", "a", "ins", "label", "small"):
-                skip, depth, skip_inside = tag, 1, inside
+        if i < skip:
             continue
-        end_line()
-        if closing:
-            if tag in ("article", "main"):
-                inside = max(0, inside - 1)
-                header = heading = 0
-            elif tag == "header":
-                header = max(0, header - 1)
-            elif tag in HEADINGS:
-                heading = 0
+        if not tag:
+            buffer.append(attrs)
             continue
-        if tag in HEADINGS:
-            heading = 1
-        elif tag != "hr":
-            heading = 0
-        bad, head = _is_named(attrs) if attrs and tag not in ("html", "body", "main") else (False, False)
-        if tag == "header" or head and tag == "div":
-            if not inside:
-                skip, depth, skip_inside = tag, 1, inside
-            elif tag == "header":
-                header += 1
-        elif tag in DROPPED or bad and not (tag == "article" and not inside and "comment" not in attrs.lower()):
-            if tag != "hr":
-                skip, depth, skip_inside = tag, 1, inside
-        elif tag in ("article", "main"):
-            inside += 1
-    if not skip and at < n:
-        buffer.append(html[at:])
+        if tag == "head":
+            head = not closing
+            continue
+        is_block = tag in BLOCKS or tag in DROPPED
+        if is_block:
+            end_line()
+            block = "" if closing else tag
+        elif tag in ("br", "td", "th"):
+            buffer.append(" ")
+        if closing or not ends[i] or holds[i] and tag not in ("article", "main"):
+            if not closing and tag in ("article", "main") and i >= named:
+                inside = max(inside, ends[i] or len(found))
+            continue
+        says = bool(attrs) and tag not in ("html", "body", "main") and (is_block or tag in NAMED_INLINE) and is_named(attrs)
+        if tag in FORMS:
+            skip = ends[i]
+        elif tag in ("article", "main") and not (says and (i < inside or i < named or "comment" in attrs.lower())):
+            inside = max(inside, ends[i] if i >= named else -1)
+        elif tag == "header" and i < inside and not says:
+            head_of = max(head_of, ends[i])
+        elif says and not is_block:
+            skip = ends[i]
+        elif says or tag in DROPPED:
+            named = max(named, ends[i])
+    i = len(found)
     end_line()
-    return out, zones
+    return out, flags
 
 
-def common(a: list[int], b: list[int]) -> list[int]:
-    """Which places of ``a`` are in a longest common subsequence with ``b``; bit-parallel, rows kept for the way back."""
-    either = set(a) & set(b)
-    ia, ib = [i for i, x in enumerate(a) if x in either], [x for x in b if x in either]
+def _rows(a: list[int], b: list[int]) -> list[int]:
+    """Bit-parallel rows of the table of longest common subsequences: bit j is 0 where the length grows with ``b[j]``."""
     masks: dict[int, int] = {}
-    for j, x in enumerate(ib):
+    for j, x in enumerate(b):
         masks[x] = masks.get(x, 0) | 1 << j
-    full = (1 << len(ib)) - 1
+    full = (1 << len(b)) - 1
     rows = [full]
-    for i in ia:
+    for x in a:
         v = rows[-1]
-        u = v & masks[a[i]]
+        u = v & masks.get(x, 0)
         rows.append(((v + u) | (v - u)) & full)
+    return rows
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` with each prefix of ``b``."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for x in a:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common(a: list[int], b: list[int], most: int = 1 << 28) -> list[int]:
+    """Which places of ``a`` are in a longest common subsequence with ``b``.
+
+    The table is kept for the way back, as bits; one of more than ``most`` bits is halved until it isn't, so memory stays
+    small however long the pages are.
+    """
+    either = set(a) & set(b)
+    ia, ib = [i for i, x in enumerate(a) if x in either], [x for x in b if x in either]
+    if len(ia) > 1 and len(ia) * len(ib) > most:
+        half = len(ia) // 2
+        x, y = [a[i] for i in ia[:half]], [a[i] for i in ia[half:]]
+        cut = int((_lengths(x, ib) + _lengths(y[::-1], ib[::-1])[::-1]).argmax())
+        return [ia[i] for i in common(x, ib[:cut], most)] + [ia[half + i] for i in common(y, ib[cut:], most)]
+    rows = _rows([a[i] for i in ia], ib)
     out, i, j = [], len(ia), len(ib)
     length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
     while i and j:
@@ -184,30 +295,34 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared_lines(own: list[int], zones: list[int], before: list[int] | None, after: list[int] | None, recurring: list[int]) -> list[int]:
-    """Places of the lines to delete. ``recurring``: those of the lines that recur on the host."""
-    again = {i for i, x in enumerate(own) if x in set(recurring)} if recurring else set()
-    found = []
+def shared_lines(own: list[int], flags: list[int], before: list[int] | None, after: list[int] | None, recurring: list[int], everywhere: list[int]) -> list[int]:
+    """Places of the lines to delete because they are shared; see the module's text. The last two: lines of the host that recur."""
+    again, always = set(recurring), set(everywhere)
+    shared: list[set[int]] = []
     for other in (before, after):
         if other is not None:
             got = common(own, other)
-            found.append(again.intersection(got) if 2 * len(got) > max(len(own), len(other)) else set(got))
-    if not found:
+            alike = 2 * len(got) > max(len(own), len(other))
+            shared.append({i for i in got if own[i] in again or not alike and not flags[i] & PARAGRAPH})
+    if not shared:
         return []
-    both = found[0] & found[1] if len(found) == 2 else found[0] & again
-    either = set().union(*found)
-    return [i for i, z in enumerate(zones) if i in both or not z and i in either]
+    either, both = set.union(*shared), set.intersection(*shared)
+    return [i for i in sorted(either) if not flags[i] & ARTICLE or flags[i] & NAMED or i in both and own[i] in always and not flags[i] & HEADING]
+
+
+def kept_lines(flags: list[int], deleted: list[int]) -> list[int]:
+    """Places of the lines that are the text: neither shared nor, where nothing shares them, ruled out by markup."""
+    gone = set(deleted)
+    keep = [i for i, f in enumerate(flags) if i not in gone and not f & NAMED]
+    return [i for i in keep if flags[i] & ARTICLE] if any(flags[i] & ARTICLE for i in keep) else keep
 
 
 def text_of(html: str | None, deleted: list[int]) -> str:
-    found, zones = lines(html)
-    keep = set(range(len(found))).difference(deleted)
-    if any(zones):
-        keep = {i for i in keep if zones[i]}
-    return "\n\n".join(found[i] for i in sorted(keep))
+    found, flags = lines(html)
+    return "\n\n".join(found[i] for i in kept_lines(flags, deleted))
 
 
-def _split(url: str | None) -> tuple[str, str]:
+def split_url(url: str | None) -> tuple[str, str]:
     try:
         u = urlsplit(url or "")
         return (u.hostname or "").lower(), u.path + ("?" + u.query if u.query else "")
@@ -215,73 +330,119 @@ def _split(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
+def line_hashes(found: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) for x in found), np.uint64, len(found)).view(np.int64)
+
+
 def _light(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for page_id, url, html, key in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["tkey"]):
-            found, zones = lines(html)
-            hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in found), np.uint64, len(found)).view(np.int64)
-            rows.append((page_id, *_split(url), key, hashes, bytes(zones)))
-        out = pd.DataFrame(rows, columns=["page_id", "host", "path", "tkey", "hashes", "zones"])
+            found, flags = lines(html)
+            rows.append((page_id, *split_url(url), key, line_hashes(found), bytes(flags)))
+        out = pd.DataFrame(rows, columns=["page_id", "host", "path", "tkey", "hashes", "flags"])
         yield out.astype({"page_id": "Int64"})
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _deleted(own: pd.Series, zones: pd.Series, before: pd.Series, after: pd.Series, recurring: pd.Series) -> pd.Series:
+def _deleted(own: pd.Series, flags: pd.Series, before: pd.Series, after: pd.Series, recurring: pd.Series, everywhere: pd.Series) -> pd.Series:
     ints = lambda x: None if x is None else x.tolist()
-    return pd.Series([shared_lines(h.tolist(), list(z), ints(b), ints(a), ints(r) or []) for h, z, b, a, r in zip(own, zones, before, after, recurring)])
+    return pd.Series([shared_lines(h.tolist(), list(z), ints(b), ints(a), ints(r) or [], ints(e) or []) for h, z, b, a, r, e in zip(own, flags, before, after, recurring, everywhere)])
 
 
 def recurring_lines(light: DataFrame) -> DataFrame:
-    """Rows ``(host, recurring)``: the line hashes that recur on a host; at most mean lines a page / ``RECURS_IN`` of them."""
-    pages = light.where("size(hashes) > 0").select("host", F.array_distinct("hashes").alias("hashes"), F.xxhash64("hashes").alias("copy")).dropDuplicates(["host", "copy"])
+    """Rows ``(host, recurring, everywhere)``: the line hashes that recur on a host, and those over RECURS_INSIDE of it.
+
+    A host has at most its mean lines a page / ``RECURS_IN`` of them.
+    """
+    pages = light.where("size(hashes) > 0").select("host", F.array_distinct("hashes").alias("hashes"), "copy").dropDuplicates(["host", "copy"])
     counts = pages.groupBy("host").agg(F.count("*").alias("n"))
-    lines = pages.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count("*").alias("on")).where(F.col("on") >= RECURS_ON)
-    return lines.join(counts, "host").where(F.col("on") > RECURS_IN * F.col("n")).groupBy("host").agg(F.collect_list("line").alias("recurring"))
+    found = pages.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count("*").alias("on")).where(F.col("on") >= RECURS_ON)
+    found = found.join(counts, "host").where(F.col("on") > RECURS_IN * F.col("n"))
+    always = F.when(F.col("on") > RECURS_INSIDE * F.col("n"), F.col("line"))
+    return found.groupBy("host").agg(F.collect_list("line").alias("recurring"), F.collect_list(always).alias("everywhere"))
+
 
+def _across(ends: list[tuple]) -> list[tuple[int, int, bool]]:
+    """Which ranges lend which of their ends to which others: (from, to, whether the lent row is of other lines than its end).
 
-def deletions(pages: DataFrame) -> DataFrame:
-    """Rows ``(page_id, tkey, deleted)`` of the pages that lose lines; tkey is the XXH64 of url and html."""
+    ``ends``, in order: pid, host and lines of the first row, host and lines of the last, whether the range has a row of the
+    last one's host with other lines. A range gets the row before it and the nearest one before that with other lines.
+    """
+    out, near, other = [], None, None  # (range, second, host, copy)
+    for pid, host, _, last_host, last_copy, has_other in ends:
+        for x in (near, other):
+            if x and x[2] == host:
+                out.append((x[0], pid, x[1]))
+        end = (pid, False, last_host, last_copy)
+        if has_other:
+            other = (pid, True, last_host, None)
+        elif near and near[2] == last_host and near[3] != last_copy:
+            other = near
+        elif not (other and other[2] == last_host):
+            other = None
+        near = end
+    return out
+
+
+def _neighbours(ranges: DataFrame) -> DataFrame:
+    """``ranges`` with ``before`` and ``after``: the lines of the nearest page with other lines on each side, on the same host.
+
+    The driver holds a few numbers for each range.
+    """
+    spark, place = ranges.sparkSession, F.struct("path", F.coalesce("page_id", F.lit(-(2**63))), "tkey")
+    one = F.struct("host", "path", "page_id", "tkey", "hashes", "copy")
+    rows = ranges.withColumn("edge", F.lit(False))
+    for name, pick, order in (("before", F.max_by, [F.col("path"), F.col("page_id").asc_nulls_first(), F.col("tkey")]), ("after", F.min_by, [F.col("path").desc(), F.col("page_id").desc_nulls_last(), F.col("tkey").desc()])):
+        back = F.min_by if name == "before" else F.max_by
+        whole = F.struct("host", place)
+        ends = ranges.groupBy("pid").agg(back(F.struct("host", "copy"), whole).alias("first"), pick(one, whole).alias("last"))
+        # the row of the last one's host, with other lines, that is nearest to it
+        at = ends.select("pid", F.col("last.host").alias("last_host"), F.col("last.copy").alias("last_copy"))
+        second = ranges.join(F.broadcast(at), "pid").where("host = last_host and copy <> last_copy").groupBy("pid").agg(pick(one, place).alias("second"))
+        ends = written(ends.join(second, "pid", "left"), "range-ends")  # three rows for each range
+        few = ends.select("pid", "first.host", "first.copy", F.col("last.host").alias("lh"), F.col("last.copy").alias("lc"), F.col("second").isNotNull().alias("o"))
+        found = sorted(map(tuple, few.collect()), reverse=name == "after")
+        to = spark.createDataFrame(_across(found), "pid int, dest int, other boolean")
+        lent = ends.join(F.broadcast(to), "pid").select(F.col("dest").alias("pid"), F.when(F.col("other"), F.col("second")).otherwise(F.col("last")).alias("x"))
+        lent = lent.select("pid", "x.*", F.lit(None).cast("binary").alias("flags"), F.lit(True).alias("edge"))
+        for k in ("before", "after"):
+            if k in rows.columns:
+                lent = lent.withColumn(k, F.lit(None).cast("array<bigint>"))
+        rows = rows.unionByName(lent)
+        w = Window.partitionBy("pid", "host").orderBy(*order)
+        rows = rows.withColumn("near", F.when(F.lag("copy").over(w) != F.col("copy"), F.lag("hashes").over(w)))
+        rows = rows.withColumn(name, F.last("near", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("near").where("not edge")
+    return rows.drop("edge")
+
+
+def deletions(pages: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows ``(page_id, tkey, deleted)`` of the pages that lose shared lines; tkey is the XXH64 of url and html."""
+    spark = pages.sparkSession
     keyed = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("tkey"))
-    light = keyed.mapInPandas(_light, "page_id long, host string, path string, tkey long, hashes array<long>, zones binary")
-    order = ["host", "path", F.col("page_id").asc_nulls_first(), "tkey"]
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    light = keyed.mapInPandas(_light, "page_id long, host string, path string, tkey long, hashes array<long>, flags binary")
+    light = written(light.withColumn("copy", F.xxhash64("hashes")), "page-lines")
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(light.agg(F.sum(F.size("hashes"))).first()[0] or 0) // RANGE_LINES))
     # ranges of the order are numbered and written, so they are the same for all that follows
-    ranges = written(written(light, "page-lines").repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()), "page-ranges")
-    one = F.struct("host", "path", "page_id", "tkey", "hashes", "zones")
-    place = F.struct("host", "path", F.coalesce("page_id", F.lit(-(2**63))), "tkey")
-    ends = ranges.groupBy("pid").agg(F.min_by(one, place).alias("first"), F.max_by(one, place).alias("last"))  # two rows a range
-    pids = sorted(r[0] for r in ends.select("pid").collect())
-    if not pids:
-        return ranges.select("page_id", "tkey", F.array().cast("array<int>").alias("deleted"))
-    to = pages.sparkSession.createDataFrame(list(zip(pids, [None, *pids[:-1]], [*pids[1:], None])), "pid int, back int, on int")
-    ends = ends.join(F.broadcast(to), "pid")
-    edges = ends.select(F.col("on").alias("pid"), "last.*").union(ends.select(F.col("back").alias("pid"), "first.*")).where("pid is not null").withColumn("edge", F.lit(True))
-    rows = ranges.select("pid", "host", "path", "page_id", "tkey", "hashes", "zones", F.lit(False).alias("edge")).unionByName(edges)
-    # the nearest page of other lines: what is beside the run of copies that a page is in
-    back = [F.col("path").desc(), F.col("page_id").desc_nulls_last(), F.col("tkey").desc()]
-    rows = rows.withColumn("copy", F.xxhash64("hashes"))
-    for name, by in (("before", order[1:]), ("after", back)):
-        w = Window.partitionBy("pid", "host").orderBy(*by)
-        rows = rows.withColumn(name, F.when(F.lag("copy").over(w) != F.col("copy"), F.lag("hashes").over(w)))
-        rows = rows.withColumn(name, F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.where("not edge and (before is not null or after is not null)")
-    again = written(recurring_lines(ranges), "recurring-lines")
-    if (again.agg(F.sum(F.size("recurring"))).first()[0] or 0) <= BROADCAST_LINES:
+    ranges = written(light.repartitionByRange(n, "host", "path", F.col("page_id").asc_nulls_first(), "tkey").withColumn("pid", F.spark_partition_id()), "page-ranges")
+    rows = _neighbours(ranges).where("before is not null or after is not null")
+    again = written(recurring_lines(light), "recurring-lines")
+    if 8 * (again.agg(F.sum(F.size("recurring") + F.size("everywhere") + 8)).first()[0] or 0) <= BROADCAST_BYTES:
         again = F.broadcast(again)
-    rows = rows.join(again, "host", "left").withColumn("recurring", F.array_intersect("hashes", "recurring"))
-    rows = rows.withColumn("deleted", _deleted("hashes", "zones", "before", "after", "recurring"))
+    rows = rows.join(again, "host", "left").withColumn("recurring", F.array_intersect("hashes", "recurring")).withColumn("everywhere", F.array_intersect("hashes", "everywhere"))
+    rows = rows.withColumn("deleted", _deleted("hashes", "flags", "before", "after", "recurring", "everywhere"))
     return rows.where("size(deleted) > 0").groupBy("page_id", "tkey").agg(F.min("deleted").alias("deleted"))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows ``(page_id, url, text, n_chars)``, one for each row of ``pages(page_id, url, html)``.
 
     A null or empty html gives an empty text; a null or broken url is on a host of its own kind, without a name. Repeated
-    rows are alike: they are copies, so they delete nothing from each other, and get the same text.
+    rows are alike: they are copies, so they delete nothing from each other, and get the same text. Malformed pages are read
+    as far as they can be, in time in proportion to their length; other columns are left out.
     """
-    gone = written(deletions(pages), "deletions")
-    if gone.count() <= BROADCAST_ROWS:
+    gone = written(deletions(pages, parts), "deletions")
+    if (gone.agg(F.sum(F.size("deleted") * 4 + 32)).first()[0] or 0) <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     gone = gone.select(F.col("page_id").alias("_page"), F.col("tkey").alias("_tkey"), "deleted")
     on = F.col("page_id").eqNullSafe(F.col("_page")) & (F.xxhash64("url", "html") == F.col("_tkey"))
