@@ -60,32 +60,67 @@ def test_permutation(n):
 
 
 def test_shard_counts_use_each_quota():
-    quota = np.array([1000, 1, 0, 537])
-    parts = [mixing.shard_counts(quota, 100, s) for s in range(16)]
-    assert sum(c for _, c in parts).tolist() == quota.tolist()
-    assert all((a + c == b).all() for (a, c), (b, _) in zip(parts, parts[1:]))
+    for quota, size in (([1000, 1, 0, 537], 100), ([0, 3_000_000_001, 0, 6_000_000_002, 5], 10**9), ([0, 0], 5)):
+        parts = [mixing.shard_counts(quota, size, s) for s in range(-(-sum(quota) // size))]
+        assert [sum(c[i] for _, c in parts) for i in range(len(quota))] == quota
+        assert all(min(c) >= 0 and sum(c) == size for _, c in parts[:-1])
+        assert all([x + y for x, y in zip(a, c)] == b for (a, c), (b, _) in zip(parts, parts[1:]))
+    assert sum(mixing._split([0, 600000001, 600000002], 600000001, [1])) == 600000001
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("good,bad,n", [(5, 7, 4), (3000, 1000, 2500), (1, 100, 50), (40, 60, 99), (10**15, 3 * 10**15, 2 * 10**15)])
+def test_draws_without_putting_back(good, bad, n):
+    rng, total = np.random.default_rng(1), good + bad
+    x = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(4000)], float)
+    mean, sd = n * good / total, math.sqrt(n * (good / total) * (bad / total) * (total - n) / (total - 1))
+    assert abs(x.mean() - mean) < 5 * sd / math.sqrt(len(x)) and abs(x.std() / sd - 1) < 0.08
+    assert x.min() >= max(0, n - bad) and x.max() <= min(n, good)
+
+
+def mix_fixture(spark):
     rng = random.Random(1)
     docs = [prose(rng, rng.randint(0, 400)) for _ in range(120)] + [None, "", "  "]
-    source = [["a", "b", None, "é"][i % 4] for i in range(len(docs))]
-    df = table(spark, docs, source).unionByName(table(spark, [docs[5]], [source[5]], ids=[5]))
+    docs[7] = docs[7].replace(" ", "\n\t")
+    source = [["a", "b", None, "é", "zero"][4 if not (t or "").split() else i % 4] for i, t in enumerate(docs)]
+    return docs, source, table(spark, docs, source).unionByName(table(spark, [docs[5], docs[5]], [source[5]] * 2, ids=[5, 5]))
+
+
+def test_mix(spark):
+    docs, source, df = mix_fixture(spark)
     got = mixing.mixed_sizes(df, block=16).toPandas()
     size = {i: len((t or "").split()) for i, t in enumerate(docs)}
-    assert len(got) == 124 and all(size[r.doc_id] == r["size"] and 0 <= r.taken <= 2 * r["size"] for _, r in got.iterrows())
+    assert len(got) == 125 and all(size[r.doc_id] == r["size"] and 0 <= r.taken <= 2 * r["size"] for _, r in got.iterrows())
     by = got.groupby("source_size").agg(target=("target", "first"), taken=("taken", "sum"), size=("size", "sum"))
     assert (by.index == by["size"]).all() and (abs(by.taken - by.target) <= 40).all()
     again = mixing.mixed_sizes(df.repartition(3), block=16).toPandas()
     key = ["doc_id", "taken"]
     assert got.sort_values(key)[key].values.tolist() == again.sort_values(key)[key].values.tolist()
     assert mixing.mixed_sizes(df.where("doc_id < 0")).count() == 0
-    one = df.where("doc_id <> 5")
-    text = mixing.mixed_texts(one, block=16)
-    assert text.columns == one.columns
-    words = text.toPandas().groupby("doc_id").text.apply(lambda x: sum(len(t.split()) for t in x))
-    taken = mixing.mixed_sizes(one, block=16).toPandas().set_index("doc_id").taken
-    assert words.to_dict() == taken[taken > 0].to_dict()
+
+
+def test_mix_against_its_slots(spark):
+    """Sizes and packed blocks, worked out again word by word from the slots and the places of the documents."""
+    docs, source, df = mix_fixture(spark)
+    mix = mixing.Mix(df, block=16, shard=64)
+    streams: dict = {}
+    for r in sorted(mix.placed.collect(), key=lambda r: (r.sid, r.at, r["size"])):
+        stream = streams.setdefault(r.sid, [])
+        assert len(stream) == r.at and r["size"] == len((docs[r.doc_id] or "").split())
+        stream += [(r.doc_id, r.seq, r.bucket, w) for w in (docs[r.doc_id] or "").split()]
+    taken, blocks = Counter(), {}
+    for r in mix.slots().collect():
+        words = streams[r.sid][16 * r.block : 16 * r.block + 16]
+        taken.update((d, seq, bucket) for d, seq, bucket, _ in words)
+        blocks[r.shard * 64 + r.slot] = (mix.names[r.sid], [w for *_, w in words])
+    assert sorted(blocks) == list(range(len(blocks)))
+    got = sorted((r.doc_id, r.taken) for r in mix.by_document().collect())
+    want = {(r.doc_id, r.seq, r.bucket): 0 for r in mix.placed.collect()} | taken
+    assert got == sorted((d, n) for (d, *_), n in want.items()) and len([1 for d, _ in got if d == 5]) == 3
+    packed = {r.place: (r.source, r.text.split(), r.n_words) for r in mixing.packed_blocks(df.withColumn("_doc", F.lit(1)), block=16, shard=64).collect()}
+    assert packed == {k: (name, words, len(words)) for k, (name, words) in blocks.items()}
+    made = mixing.mixed_documents(df, block=16, shard=64)
+    assert made.columns == df.columns and {r.doc_id: r.n_chars for r in made.collect()} == {r.doc_id: len(r.text) for r in made.collect()}
+    assert made.where("lang is not null").count() == 0 and mixing.mixed_documents(df.where("doc_id < 0")).count() == 0
 
 
 # 2
@@ -100,6 +135,17 @@ def test_forward_algorithm():
             f.append(sum((f[b] * model.p[at[s[b:e]]] if s[b:e] in at else f[b] * model.p[-1] for b in range(e) if s[b:e] in at or e == b + 1), np.zeros(2)))
         return np.log(f[-1])
 
+    def paths(s):
+        if not s:
+            return [[]]
+        return [[at.get(s[:e], len(model.p) - 1), *rest] for e in range(1, len(s) + 1) if s[:e] in at or e == 1 for rest in paths(s[e:])]
+
+    uses, p = np.zeros(len(model.p)), model.p[:, 0]
+    for word, times in (("thé", 3), ("and", 2)):
+        each = [(np.prod(p[x]), x) for x in paths(langid.MARK + word)]
+        for w, x in each:
+            np.add.at(uses, x, times * w / sum(v for v, _ in each))
+    assert np.allclose(langid.expected(["thé", "and"], np.array([3.0, 2.0]), v, p), uses)
     some = ["the", "thunder", "und", "éa", "日x", "a" * 32]
     assert np.allclose(langid.likelihoods(some, v, model.p), [brute(w) for w in some])
 
@@ -116,21 +162,35 @@ def test_language(spark):
 
 # 3
 def test_frames():
-    data = records.frame(b"abc") + records.frame(b"")
-    a, at = records.unframe(data)
-    assert (a, records.unframe(data, at)) == (b"abc", (b"", len(data)))
-    with pytest.raises(ValueError):
-        records.unframe(data[:13] + b"x" + data[14:])
+    def bitwise(data):
+        c = 0xFFFFFFFF
+        for x in data:
+            c ^= x
+            for _ in range(8):
+                c = (c >> 1) ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    rng = random.Random(3)
+    some = [b"", b"123456789", *(rng.randbytes(n) for n in (1, 3, 4, 5, 63, 64, 65, 127, 128, 129, 1000, 5000))]
+    assert records.crc32c(some).tolist() == [bitwise(x) for x in some] and bitwise(b"123456789") == 0xE3069283
+    made = records.frames([b"abc", b"", b"x" * 300])
+    data, offsets = b"".join(made), [0, len(made[0]), len(made[0]) + len(made[1])]
+    assert records.unframe(data, offsets) == [b"abc", b"", b"x" * 300]
+    for broken in (data[:13] + b"y" + data[14:], data[:2] + b"y" + data[3:], data[:-5], data[:-2]):
+        with pytest.raises(ValueError):
+            records.unframe(broken, offsets)
     assert records.unpack(records.pack(None, np.array([70_000, 2])))[1].tolist() == [70_000, 2]
 
 
 def test_encoder_is_the_librarys():
     from tokenizers import Tokenizer
 
-    library, own, rng = Tokenizer.from_file(WORD_BPE), records.Encoder(WORD_BPE, most=50), random.Random(1)
+    library, own, rng = Tokenizer.from_file(WORD_BPE), records.Encoder(WORD_BPE, most=50, chunk=40), random.Random(1)
     letters = "abAB'sStredlvm \n\t\r\x0b\x1c\x85\xa0éİſŉ×÷ªµ²¼Ÿßẞ_-<|>12 .,!’Σ日̈"
-    some = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["x<|endoftext|>y", None]
-    for text, ids in zip(some, own.encode(some)):
+    some = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["x<|endoftext|>y", None, "", "word " * 300, "z" * 500]
+    ids = list(own.encode(some))
+    assert len(ids) == len(some)
+    for text, ids in zip(some, ids):
         assert ids.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -148,6 +208,26 @@ def test_token_records(spark, texts):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(own), zlib.crc32(own.tobytes()))
         start += len(own)
     assert records.encoded(df.where("doc_id < 0"), WORD_BPE).count() == 0
+    folder = common.new_path(spark, "tokens")
+    records.write(df, folder, WORD_BPE)
+    drawn = records.shuffled(spark, folder, 3, 2).collect()
+    places = [None if pd.isna(x) else int(x) for x in ids]
+    assert sorted(r.place for r in drawn) == list(range(len(texts))) and [r.doc_id for r in drawn] != places
+    assert all(r.ids == [*library.encode(by[r.doc_id] or "", add_special_tokens=False).ids, 1] for r in drawn)
+
+
+def test_ranges_by_size(spark):
+    ties = random.Random(1)
+    rows = [(k if k % 3 else 7, 5_000_000 if k == 50 else 20_000, ties.randrange(-(2**63), 2**63)) for k in range(300)] + [(-(2**63), 0, 5), (9, None, 5)]
+    df = spark.createDataFrame(rows, "key long, size long, tie long")
+    pid, n, _ = common.by_size(df, F.col("key"), F.col("size"), F.col("tie"), 40)
+    got = df.withColumn("pid", pid("key", "tie")).toPandas()
+    hot = got[got.key == 7].pid
+    assert got.pid.max() < n and hot.nunique() > 2 and hot.value_counts().max() < 50
+    order = got.assign(tie=got.tie * (got.key == 7)).sort_values(["key", "tie"])
+    assert order.pid.is_monotonic_increasing
+    pid, n, _ = common.by_size(df.where("key is null"), F.col("key"), F.col("size"), F.col("tie"), 10)
+    assert n == 1
 
 
 # 4
@@ -187,10 +267,116 @@ PAGE = '<html><head><title>t</title></head><body><header><h1>Site</h1></header><
 
 def test_lines_of_a_page():
     html = PAGE.format('<main><article><header><h1>T &amp; x</h1><p>by me</p></header><p>One  <b>two</b><br>three<p>Four<script>var a="<p>";</script><div class="ad">AD<div>x</div></div><table><tr><td>a<td>b</tr></table><form>f<input></form><p class=notice>N<p>Five &lt;5&#233;</article><section id="comments"><article class="comment"><p>hi</p></article></section></main>')
-    assert htmldiff.lines(html) == (["T & x", "One two three", "Four", "a b", "Five <5é"], [1] * 5)
+    assert htmldiff.text_of(html, []).split("\n\n") == ["T & x", "One two three", "Four", "a b", "Five <5é"]
     assert htmldiff.lines(None) == ([], []) and htmldiff.lines("plain <text") == (["plain <text"], [0])
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<html><head><title>x</title><body><p>Hello world</p><p>More</p></body></html>", "Hello world|More"),
+        ("<html><head><title>x</title><p>Hello</p>", "Hello"),
+        ("<head><script>1</script>Text", "Text"),
+        ("<body><nav><a>menu</a><p>A</p><p>x</p></body>", "menu|A|x"),
+        ("<nav><li>menu<li>more</nav><p>A", "A"),
+        ('<article><p class="login-guide">g</p><p class="promo-free">h</p><p class="ad-slot">i</p></article>', "g|h"),
+        ('<div class="content widget"><p>a</p></div><div class="widget">b</div>', "a"),
+        ('<div class="sidebar"><article><p>a</p></article></div>', "a"),
+        ("<form><main><p>a</p><select><option>b</select></main></form>", "a"),
+        ("<svg><p>a</p>", "a"),
+        ("<p>a<script>b", "a"),
+        ("<div hidden>x</div>y<!-- z", "y"),
+        ('<p title="a>b">c</p><p title="d>e', "c|e"),
+    ],
+)
+def test_markup_only_breaks_ties(html, text):
+    assert htmldiff.text_of(html, []).split("\n\n") == text.split("|")
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a \"'>'\">", "<svg>", '<p a="x', "<div>", "<li>", "<!--", "< ", "<script>", '<a b="c" d=', "&amp"])
+def test_time_grows_with_the_page(unit):
+    import time
+
+    began = time.process_time()
+    htmldiff.text_of(unit * (1_000_000 // len(unit)), [])
+    assert time.process_time() - began < 6
+
+
+def test_common_of_long_pages():
+    rng = random.Random(2)
+    a, b = ([rng.randint(0, 30) for _ in range(n)] for n in (300, 250))
+    assert len(htmldiff.common(a, b, 500)) == len(htmldiff.common(a, b)) == len(htmldiff.common(b, a, 64))
+    c = htmldiff.common(a, b, 500)
+    at = iter(b)
+    assert all(a[i] in at for i in c)
+
+
+def plain_main_text(pages):
+    """The whole query, page by page, with the table of longest common subsequences written out."""
+
+    def lcs(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        out, i, j = [], len(a), len(b)
+        while i and j:
+            if t[i][j] == t[i - 1][j]:
+                i -= 1
+            elif t[i][j] == t[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append(i)
+        return set(out)
+
+    hosts: dict = {}
+    for page_id, url, html in pages:
+        host, path = htmldiff.split_url(url)
+        hosts.setdefault(host, []).append((path, -1 if page_id is None else page_id, *htmldiff.lines(html)))
+    out = []
+    for rows in hosts.values():
+        rows.sort(key=lambda r: r[:2])
+        kinds = {tuple(r[2]) for r in rows if r[2]}
+        on = Counter(x for k in kinds for x in set(k))
+        for k, (path, page_id, own, flags) in enumerate(rows):
+            sides = [next((r[2] for r in side if r[2] != own), None) for side in (rows[:k][::-1], rows[k + 1 :])]
+            found = []
+            for other in sides:
+                if other is not None:
+                    got, often = lcs(own, other), lambda i: on[own[i]] >= 3 and on[own[i]] > 0.1 * len(kinds)
+                    alike = 2 * len(got) > max(len(own), len(other))
+                    found.append({i for i in got if often(i) or not alike and not flags[i] & htmldiff.PARAGRAPH})
+            gone = set()
+            for i in set().union(*found):
+                inside = flags[i] & htmldiff.ARTICLE and not flags[i] & htmldiff.NAMED
+                if not inside or all(i in f for f in found) and on[own[i]] >= 3 and on[own[i]] > 0.5 * len(kinds) and not flags[i] & htmldiff.HEADING:
+                    gone.add(i)
+            keep = [i for i in range(len(own)) if i not in gone and not flags[i] & htmldiff.NAMED]
+            inner = [i for i in keep if flags[i] & htmldiff.ARTICLE]
+            out.append((page_id, "\n\n".join(own[i] for i in inner or keep)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_main_text_against_page_by_page(spark, parts):
+    rng = random.Random(parts)
+    pages = []
+    for i in range(160):
+        host, kind = rng.choice("abc"), rng.random()
+        menu = "".join(f"<div>{host} menu {j}</div>" for j in range(rng.choice([2, 6])))
+        body = [f"<p>{rng.choice(['Again', 'Now', f'Page {i} part {j}', f'Page {i} part {j}'])}</p>" for j in range(rng.randint(0, 6))]
+        body = f"<h1>{rng.choice(['Title', f'Title {i}'])}</h1>" + "".join(body) + rng.choice(["<div>Read on</div>", ""])
+        html = menu + (f"<article>{body}</article>" if kind < 0.4 else body) + f"<footer>{host} {rng.randint(0, 1)}</footer><p>Terms</p>"
+        if kind > 0.8 and pages:
+            html = rng.choice(pages)[2]  # a copy at another URL
+        pages.append((i, f"https://{host}.org/{rng.randint(0, 60)}", None if kind < 0.03 else html))
+    pages += [(200, None, "<p>x</p>"), (201, None, "<p>x</p>"), (None, "https://a.org/1", "<p>null id</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted((-1 if r.page_id is None else r.page_id, r.text) for r in htmldiff.main_text(df, parts).collect())
+    assert got == plain_main_text(pages) and len({t for _, t in got}) > 50
+
+
 def test_common_is_longest():
     rng = random.Random(1)
 
@@ -238,6 +424,7 @@ def test_main_text_of_large_templates(spark):
     assert by[10] == long and by[11] == [*long[:8], "Edited"] and all(by[12 + i] == text(i, 20) for i in range(30))
     assert by[50] == by[51] == text("e", 20) and by[52] == text("f", 20)
     assert len(by[60]) == len(by[61]) == 12
+    # a heading or paragraph that a sibling's article has too stays
     assert [by[70 + i] for i in range(4)] == [text(i) for i in range(4)]
 
 
@@ -257,6 +444,30 @@ def test_quality(spark):
     assert quality.classified(df.where("doc_id < 0"), labels.where("doc_id < 0")).count() == 0
 
 
+def test_ftrl_against_plain():
+    rng, own, z, n = random.Random(2), quality.Ftrl(bits=5, alpha=0.3, beta=1.0, l1=0.02, l2=0.1), [0.0] * 32, [0.0] * 32
+    for _ in range(200):
+        ids = sorted(rng.sample(range(32), 6))
+        x, y = [rng.random() for _ in ids], float(rng.random() < 0.5)
+        w = [0.0 if abs(z[i]) <= 0.02 else -(z[i] - math.copysign(0.02, z[i])) / ((1 + math.sqrt(n[i])) / 0.3 + 0.1) for i in ids]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
+        for i, a, b in zip(ids, w, x):
+            g = (p - y) * b
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.3 * a
+            n[i] += g * g
+        own.update(np.array(ids), np.array(x), y)
+    assert np.allclose(own.z, z) and np.allclose(own.n, n)
+
+
+def test_quality_keeps_columns(spark):
+    rng = random.Random(3)
+    df = table(spark, [prose(rng, 80) if i % 2 else " ".join(w.upper() + "!!" for w in prose(rng, 80).split()) for i in range(60)])
+    df = df.withColumn("predicted", F.lit("mine")).withColumn("held_out", F.lit("mine"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = quality.kept_rows(df, labels).collect()
+    assert {r.doc_id for r in kept} == set(range(1, 60, 2)) and {(r.score, r.predicted, r.held_out) for r in kept} == {(0.5, "mine", "mine")}
+
+
 # 7
 def test_line_dedup(spark):
     pages = [(i, f"https://H.org/{i}", f"<script>x</script><div>Menu &amp; more</div><p>Text {i}</p>") for i in range(8)] + [(20, "https://o.org/", "<p>Menu &amp; more</p>"), (21, None, None), (22, "nohost", "")]
@@ -291,6 +502,19 @@ def test_peeling_recovers_digests():
     assert set(only_a) == {*a[:100], *b[2:]} and len(only_b) == 0
 
 
+def test_peeling_ends_on_a_forged_check_sum():
+    a = np.array([11, 12], np.uint64)
+    s = iblt.sketch([a], 12)
+    s.count[:], s.keys[:], s.checks[:] = 0, 0, 0
+    for key in (5, 6, 7):  # a lone cell whose check sum fits its key
+        for cell in range(12):
+            s.count[cell], s.keys[cell], s.checks[cell] = 1, key, iblt._check(np.array([key], np.uint64))[0]
+    *_, done = s.peel()
+    assert not done.any()
+    same = np.array([9, 9], np.uint64)  # no set of digests has one twice; it ends all the same
+    assert len(iblt.differences([same], [np.zeros(0, np.uint64)])[0][0]) == 1
+
+
 # 9
 def plain_fingerprint(text):
     import xxhash
@@ -303,7 +527,7 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("leaf", [1024, 3])
+@pytest.mark.parametrize("leaf", [4096, 3])
 def test_simhash(spark, texts, leaf):
     rng = random.Random(5)
     base = prose(rng, 300).split()
@@ -340,12 +564,27 @@ def test_one_row_of_each(spark):
     assert simhash.one_of_each(df.where("doc_id < 0")).count() == 0
 
 
-def test_masks_cover_all_pairs():
-    for parts in (5, 6, 7):
-        masks = simhash.masks(parts, 4)
-        for seed in range(200):
-            flips = sum(1 << b for b in random.Random(seed).sample(range(64), 4))
-            assert any(flips & m == 0 for m in masks)
+@pytest.mark.parametrize("n,radius,trees", [(10, 4, 3), (10**6, 4, 3), (10**10, 4, 3), (10**4, 5, 2), (100, 2, 3)])
+def test_trees_find_all_pairs(n, radius, trees):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    y = x ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, radius + 1), replace=False)) for _ in x], np.uint64)
+    met = np.zeros(len(x), bool)
+    for tree in simhash.planted(n, radius, trees):
+        assert len(tree.masks) and np.bitwise_or.reduce(tree.masks).bit_count() == tree.most.sum()
+        stored = next(iter(tree.shards(np.concatenate([x, y]))))[1]
+        asks = [(int(a), int(s)) for k, (at, shards) in enumerate(tree.shards(np.concatenate([x, y]))) if k for a, s in zip(at, shards)]
+        assert len(asks) == len(set(asks))
+        asks = set(asks)
+        met |= [stored[i] == stored[i + 300] or (i, int(stored[i + 300])) in asks or (i + 300, int(stored[i])) in asks for i in range(300)]
+    assert met.all()
+
+
+def test_trees_prune():
+    x = np.random.default_rng(3).integers(0, 2**64, 2000, dtype=np.uint64)
+    for tree in simhash.planted(100_000):
+        d = tree.distances(x)
+        assert (np.abs(d[:1000, None] - d[None, 1000:]).sum(axis=2) <= tree.radius).mean() < 0.01
 
 
 # 10
@@ -387,9 +626,71 @@ def test_pipeline(spark):
 
     data = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{data}/documents.parquet")
+    odd = docs.limit(3).select(F.lit(None).cast("long").alias("doc_id"), *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns[1:]])
+    docs = docs.unionByName(odd).unionByName(docs.limit(5)).withColumn("score", F.lit("mine")).withColumn("_doc", F.lit(3))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, data)
-        assert after.columns == docs.columns
+        assert after.columns == docs.columns and after.where("score <> 'mine'").count() == 0
+        assert stage(spark, docs.where("doc_id < -5"), data).count() == 0
         docs = common.written(after, "test-stage")
     last = corpus_pipeline.STAGES[-1][1](spark, docs, data)
-    assert last.count() == docs.count() > 0
+    places = [r.doc_id for r in last.orderBy("start").collect()]
+    assert places == list(range(docs.count())) and places
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """What each stage keeps, worked out from the stage before without the operators' own search."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    good, single, clean, mixed, last = (None,) * 5
+    before, kept = docs, []
+    for _, stage in corpus_pipeline.STAGES:
+        before = common.written(stage(spark, before, data), "test-stage")
+        kept.append(before)
+    good, single, clean, mixed, last = kept
+    predicted = {r.doc_id for r in quality.classified(docs, spark.read.parquet(f"{data}/labels.parquet")).where("predicted = 1").collect()}
+    assert {r.doc_id for r in good.collect()} == predicted
+    rows = sorted((r.doc_id, r.text) for r in good.collect())
+    prints = [plain_fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= 4 and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert sorted(r.doc_id for r in single.collect()) == [rows[k][0] for k in sorted(set(root))]
+    cut = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    items = [w for r in spark.read.parquet(f"{data}/benchmark.parquet").collect() if (w := cut(r.text))]
+    holds = lambda w: any(len(grams(w, k := min(5, len(x))) & grams(x, k)) >= math.ceil(0.8 * len(grams(x, k)) - 1e-9) for x in items)
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in single.collect() if not holds(cut(r.text)))
+    words = Counter()
+    for r in mixed.collect():
+        words.update((r.source, w) for w in r.text.split())
+    n = {(r.doc_id, r.source): r.taken for r in mixing.Mix(clean).by_document().join(clean.select("doc_id", "source"), "doc_id").collect()}
+    own = Counter(r.source for r in clean.collect() for _ in (r.text or "").split())
+    taken = Counter()
+    for (_, source), k in n.items():
+        taken[source] += k
+    assert {s: sum(k for (x, _), k in words.items() if x == s) for s in own} == {s: taken[s] for s in own}
+    library = Tokenizer.from_file(WORD_BPE)
+    want = [(r.doc_id, [*library.encode(r.text, add_special_tokens=False).ids, 1]) for r in mixed.orderBy("doc_id").collect()]
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in last.orderBy("start").collect()] == [(d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in want]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = "\n".join(prose(rng, 300) for _ in range(700))
+    df = table(spark, [long, long, long + " tail", "short", None])
+    items = spark.createDataFrame([(0, " ".join(long.split()[-40:]))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.contaminated(df, items).collect()) == [0, 1, 2]
+    assert len({r.component_id for r in simhash.near_duplicates(df).collect()}) == 3
+    got = {r.doc_id: r for r in iblt.fingerprints(df).collect()}
+    assert got[0].near_next == 1 and 0.99 < got[1].near_next < 1
+    assert [r["size"] for r in mixing.mixed_sizes(df).orderBy("doc_id").collect()] == [210_000, 210_000, 210_001, 1, 0]
+    assert licences.scan(df).count() == 0
+    pages = spark.createDataFrame([(i, f"https://h.org/{i}", "<p>" + long.replace("\n", f"</p><p>{i} ")) for i in range(3)], "page_id long, url string, html string")
+    assert [len(r.text.split("\n\n")) for r in htmldiff.main_text(pages).collect()] == [699] * 3  # all three have the first line
+    assert linededup.dedup(pages).agg(F.min("n_lines")).first()[0] == 700
