@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -45,24 +47,63 @@ def batches(items: DataFrame, group: str, order: str, size: str, budget: int) ->
     return _fold(items, group, order, size, step, "batch", "int")
 
 
+def tokens(text: str) -> int:
+    return int(len(text.split()) * 1.3) + 1
+
+
+def tail(text: str, budget: int = 50) -> str:
+    """The last sentences of a text, of up to ``budget`` tokens, at least one; of a text without sentence ends its last words."""
+    sentences = re.split(r"(?<=[.!?])\s+", text)
+    if len(sentences) < 2:
+        words = text.split()
+        return text if len(words) <= budget else " ".join(words[-budget:])
+    n = used = 0
+    for s in reversed(sentences):
+        if (used := used + tokens(s)) > budget:
+            break
+        n += 1
+    return " ".join(sentences[-max(n, 1) :])
+
+
+def split_text(text: str, budget: int = 500) -> list[str]:
+    """A text in parts of up to ``budget`` tokens: at sentence ends, else at commas and semicolons, else at words.
+
+    A sentence or clause above the budget is a part of its own. An empty text has no parts.
+    """
+    if tokens(text) <= budget:
+        return [text] if text else []
+    units = next((u for p in (r"(?<=[.!?])\s+", r"(?<=[,;])\s+") if len(u := re.split(p, text)) > 1), None)
+    if units is None:
+        words, most = text.split(), 1
+        while int(most * 1.3) + 1 < budget:
+            most += 1
+        return [" ".join(words[i : i + most]) for i in range(0, len(words), most)]
+    out, used = [[]], 0
+    for u in units:
+        if out[-1] and used + tokens(u) > budget:
+            out, used = [*out, []], 0
+        out[-1].append(u)
+        used += tokens(u)
+    return [" ".join(p) for p in out if p]
+
+
+def split_parts(parts: DataFrame, budget: int = 500) -> DataFrame:
+    """Rows ``(doc_id, ord, part, text)`` from ``parts(doc_id, ord, text)``: ``split_text`` of each; null texts have no parts."""
+
+    def of(batches):
+        for pdf in batches:
+            rows = [(d, o, i, p) for d, o, t in zip(pdf["doc_id"], pdf["ord"], pdf["text"]) for i, p in enumerate(split_text(t or "", budget))]
+            yield pd.DataFrame(rows, columns=["doc_id", "ord", "part", "text"])
+
+    return parts.select("doc_id", "ord", "text").mapInPandas(of, "doc_id long, ord long, part int, text string")
+
+
 def chunks(parts: DataFrame, budget: int = 500, overlap: int = 50) -> DataFrame:
     """Chunks of a document from ``parts(doc_id, ord, kind, text)``, in order.
 
     A chunk is closed at ``budget`` tokens (words x 1.3), where the kind changes, and at a heading, which is its own chunk. After a
-    full chunk the next one begins with the last sentences of up to ``overlap`` tokens. A document must fit in a task.
+    full chunk the next one begins with its ``tail``. A document must fit in a task.
     """
-    import re
-
-    def tokens(text: str) -> int:
-        return int(len(text.split()) * 1.3) + 1
-
-    def tail(text: str) -> str:
-        out: list[str] = []
-        for s in reversed(re.split(r"(?<=[.!?])\s+", text)):
-            if tokens(" ".join([s, *out])) > overlap:
-                break
-            out.insert(0, s)
-        return " ".join(out)
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         made: list[tuple[str, str]] = []
@@ -82,7 +123,7 @@ def chunks(parts: DataFrame, budget: int = 500, overlap: int = 50) -> DataFrame:
             elif fresh and tokens("\n".join([*held, text])) > budget:
                 last = "\n".join(held)
                 close()
-                held = [t] if (t := tail(last)) else []
+                held = [t] if (t := tail(last, overlap)) else []
             held.append(text)
             fresh = True
         close()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docspark.operators.tables import written
+
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events", "region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
@@ -88,6 +91,13 @@ class SparkSql:
         """The last value that isn't null in a frame."""
         return f"last_value({expr}) IGNORE NULLS OVER ({over})"
 
+    def string(self, expr: str) -> str:
+        return f"CAST({expr} AS STRING)"
+
+    def stored(self, name: str, sql: Callable[[SparkSql], str]) -> str:
+        """A relation that several places of a plan read; the engine writes it once (see ``table``)."""
+        return f"SELECT * FROM {name}"
+
 
 class DuckSql(SparkSql):
     def text(self, s: str) -> str:
@@ -150,6 +160,12 @@ class DuckSql(SparkSql):
     def last_seen(self, expr: str, over: str) -> str:
         return f"last_value({expr} IGNORE NULLS) OVER ({over})"
 
+    def string(self, expr: str) -> str:
+        return f"CAST({expr} AS VARCHAR)"
+
+    def stored(self, name: str, sql: Callable[[SparkSql], str]) -> str:
+        return sql(self)
+
 
 SPARK, DUCK = SparkSql(), DuckSql()
 PLANS: dict[str, Callable[[SparkSql], str]] = {}
@@ -157,11 +173,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+STORED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def table(name: str):
+    """Registers a function ``(spark, sf_dir) -> DataFrame`` as a relation that plans read by name; it is written before."""
+
+    def of(fn: Callable[[SparkSession, str], DataFrame]):
+        STORED[name] = fn
+        return fn
+
+    return of
+
+
 def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
-    """The tables that ``sql`` names, as views."""
-    for name in TABLES:
-        if name in sql:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    """The tables that ``sql`` names, as views; stored relations are made and written."""
+    names = set(re.findall(r"(?i)\b(?:from|join)\s+(\w+)", sql))
+    for name in names.intersection(TABLES):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    for name in sorted(names.intersection(STORED)):
+        written(STORED[name](spark, sf_dir), name).createOrReplaceTempView(name)
 
 
 def plan(fn: Callable[[SparkSql], str]):

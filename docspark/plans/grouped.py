@@ -7,54 +7,64 @@ from pyspark.sql import functions as F
 from docspark.functions import models
 from docspark.operators import graph, knn, packing, spelling
 from docspark.streaming import ingest
-from docspark.plans.dialect import QUERIES, frame
+from docspark.plans.dialect import QUERIES, SPARK, frame, table, views
+from docspark.plans.retrieval import FLOOR, search_pairs
+from docspark.plans.retrieval import QUERIES as SEARCHES
+from docspark.plans.text import words
 
 
 @frame()
 def w12_token_budget(spark, sf_dir):
-    """Of each source's documents, in order, those that fit in 3,000 tokens."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", F.floor(F.size(F.split("text", r"\s+")) * 1.3).alias("tokens"))
-    return packing.within_budget(docs, "source", "doc_id", "tokens", 3000)
+    """Of each question's best documents, in rank order, those that fit in a context of 4,000 tokens, 50 on top for each."""
+    hits = QUERIES["o3_bm25_top"](spark, sf_dir).select("query_id", "doc_id", "rnk")
+    sizes = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.floor(F.size(F.split("text", r"\s+")) * 1.3).alias("tokens"))
+    taken = packing.within_budget(hits.join(sizes, "doc_id"), "query_id", "rnk", "tokens", 4000)
+    return hits.join(taken, ["query_id", "rnk"])
 
 
 @frame()
 def w14_token_batches(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", F.floor(F.size(F.split("text", r"\s+")) * 1.3).alias("tokens"))
-    return packing.batches(docs, "source", "doc_id", "tokens", 4000)
+    """Each document's paragraphs in batches of up to 12,000 tokens: a quarter of their characters, 10 at least."""
+    parts = QUERIES["f6_paragraphs"](spark, sf_dir).select("doc_id", "paragraph_id", F.greatest(F.lit(10), F.floor(F.length("text") / 4)).alias("tokens"))
+    return packing.batches(parts, "doc_id", "paragraph_id", "tokens", 12_000)
+
+
+@frame()
+def f8_paragraph_parts(spark, sf_dir):
+    """Paragraphs of documents in parts of up to 120 tokens."""
+    parts = QUERIES["f6_paragraphs"](spark, sf_dir)
+    return packing.split_parts(parts.select("doc_id", F.col("paragraph_id").cast("long").alias("ord"), "text"), 120)
 
 
 def _vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
-@frame()
-def o4_vector_top_all(spark, sf_dir):
-    """The search of o4 over all rows, whatever their label: for every vector whose id is divisible by 50, the nearest others."""
+@table("vector_neighbours")
+def vector_neighbours(spark, sf_dir):
+    """For every vector whose id is divisible by 50, the ten nearest of all others."""
     vectors = _vectors(spark, sf_dir)
-    return knn.nearest(vectors.where("vec_id % 50 = 0"), vectors, 5)
+    return knn.nearest(vectors.where("vec_id % 50 = 0"), vectors, 10)
 
 
-@frame()
-def f44_similarity_edges_all(spark, sf_dir):
-    """The graph of f44 with every vector asking all rows."""
-    return knn.edges(_vectors(spark, sf_dir), 10, 0.2)
+@table("similarity_edges")
+def similarity_edges(spark, sf_dir):
+    """The undirected graph in which every vector asks for its ten nearest of all others, at a floor."""
+    return knn.edges(_vectors(spark, sf_dir), 10, FLOOR)
 
 
-@frame()
-def a7_cluster_statistics_all(spark, sf_dir):
-    """The statistics of a7 with every vector asking the rows of its label."""
+@table("question_neighbours")
+def question_neighbours(spark, sf_dir):
+    """The nearest vectors of the questions' own."""
     vectors = _vectors(spark, sf_dir)
-    sizes = vectors.groupBy("label").agg(F.countDistinct("vec_id").alias("size"))
-    found = knn.nearest(vectors, vectors, 5, "label").join(vectors.select(F.col("vec_id").alias("query_id"), "label").distinct(), "query_id")
-    found = found.groupBy(F.col("label").alias("_label")).agg(F.avg("similarity").alias("mean"), F.count("*").alias("n"))
-    return sizes.join(found, F.col("label").eqNullSafe(F.col("_label")), "left").select("label", "size", F.round(F.coalesce("mean", F.lit(0.72)), 5).alias("mean_similarity"), F.coalesce("n", F.lit(0)).alias("n_edges"))
+    return knn.nearest(vectors.where(F.col("vec_id").isin([q for q, _ in SEARCHES])), vectors, 20)
 
 
 @frame()
 def d9_communities(spark, sf_dir):
     """Communities of the neighbour graph of each label's vectors, every vector asking."""
     vectors = _vectors(spark, sf_dir)
-    edges = knn.edges(vectors, 10, 0.2, "label")
+    edges = knn.edges(vectors, 10, FLOOR, "label")
     labels = vectors.select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("node"))
     mine = edges.join(labels, F.col("a") == F.col("node")).select("doc_id", "a", "b", F.col("similarity").alias("weight"))
     return graph.clusters(labels, mine)
@@ -81,13 +91,12 @@ def d1_offline_embeddings(spark, sf_dir):
     return models.embed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "embedding")
 
 
-@frame(lambda d: r"""WITH b AS (SELECT b.item_id, d.doc_id, d.text AS t, b.text AS q FROM benchmark b JOIN documents d ON b.item_id = d.doc_id),
-w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(q), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS qw, list_distinct(list_filter(string_split_regex(lower(t), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS tw FROM b)
-SELECT item_id, round(len(list_intersect(qw, tw)) / len(qw), 6) AS score FROM w""".replace("\\\\", "\\"))
+@frame(lambda d: f"SELECT query_id, doc_id, round({d.size(d.both(d.distinct(words(d, 'query')), d.distinct(words(d, 'text'))))} / {d.size(d.distinct(words(d, 'query')))}, 6) AS score FROM ({search_pairs(d)}) p")
 def d2_offline_rerank(spark, sf_dir):
-    items, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("benchmark", "documents"))
-    both = items.select("item_id", F.col("text").alias("q")).join(docs.select("doc_id", "text"), F.col("item_id") == F.col("doc_id"))
-    return both.select("item_id", F.round(models.overlap_score(F.col("q"), F.col("text")), 6).alias("score"))
+    """Questions and the documents found for them, scored by the offline substitute of a reranking model."""
+    sql = search_pairs(SPARK)
+    views(spark, sf_dir, sql)
+    return spark.sql(sql).select("query_id", "doc_id", F.round(models.overlap_score(F.col("query"), F.col("text")), 6).alias("score"))
 
 
 @frame(lambda d: "SELECT doc_id, source FROM documents")

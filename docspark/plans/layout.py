@@ -98,8 +98,12 @@ def f7_sentences(d):
 
 @plan
 def p4_reviewable_paragraphs(d):
+    """Paragraphs of 25 characters or more with 15 words or more, or with a candidate inside."""
     n = d.size(d.keep(d.split("text", r"\s+"), "w", "w <> ''"))
-    return f"SELECT doc_id, paragraph_id FROM ({paragraphs(d)}) p WHERE length(text) >= 25 AND {n} >= 15"
+    from docspark.plans.spans import bucketed, candidates
+
+    flagged = f"SELECT DISTINCT p.doc_id, p.paragraph_id FROM ({bucketed(d, paragraphs(d))}) p JOIN (SELECT doc_id, char_start, floor(char_start / 64) AS bucket FROM ({candidates(d)}) x) c ON p.doc_id = c.doc_id AND p.bucket = c.bucket AND c.char_start >= p.char_start AND c.char_start < p.char_end"
+    return f"SELECT p.doc_id, p.paragraph_id FROM ({paragraphs(d)}) p LEFT JOIN ({flagged}) f ON p.doc_id = f.doc_id AND p.paragraph_id = f.paragraph_id WHERE length(text) >= 25 AND ({n} >= 15 OR f.doc_id IS NOT NULL)"
 
 
 @plan

@@ -14,7 +14,10 @@ def a34_dashboard(d):
 
 @plan
 def a35_decision_counts(d):
-    return f"SELECT user_id, {d.long('count_if(value >= 50)')} AS accepted, {d.long('count_if(value < 50)')} AS rejected FROM events GROUP BY user_id"
+    """Accepted and rejected issues of each document, and those without a decision."""
+    from docspark.plans.spans import decided
+
+    return f"SELECT doc_id, {', '.join(d.long(f'count_if(decision = {d.text(x)})') + f' AS {x}' for x in ('accepted', 'rejected', 'pending'))} FROM ({decided(d)}) m GROUP BY doc_id"
 
 
 @plan
@@ -96,7 +99,10 @@ def s21_common_words(d):
 
 @plan
 def u9_isolated(d):
-    return "SELECT v.vec_id FROM embeddings v LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings WHERE label < 5) c ON v.vec_id = c.vec_id WHERE c.vec_id IS NULL"
+    """Vectors that no edge of the similarity graph touches."""
+    from docspark.plans.retrieval import edges
+
+    return f"SELECT v.vec_id FROM embeddings v LEFT JOIN (SELECT a AS vec_id FROM ({edges(d)}) x UNION SELECT b FROM ({edges(d)}) y) c ON v.vec_id = c.vec_id WHERE c.vec_id IS NULL"
 
 
 @plan

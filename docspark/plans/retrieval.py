@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from docspark.plans.dialect import DuckSql, plan, rows
+from docspark.plans.dialect import SPARK, DuckSql, plan, rows, table, views
 from docspark.plans.text import BODY, intent, words
 
 QUERIES = ((1, "the license version"), (2, "public work released"), (3, "was not all rights"), (4, "and a reserved the"), (5, "zyglo"))
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Edges of the similarity graph have this cosine or more. The tables' vectors are unrelated; of real texts it is 0.75.
+FLOOR = 0.2
 # Words of five letters or more that are no keywords.
 NO_KEYWORDS = "about above after again against because before being below between cannot could doing during further having herself himself itself myself other ought ourselves should their theirs themselves there these those through under until where which while would yours yourself yourselves document section content image table figure caption header footer".split()
 
 
-def postings(d) -> str:
+def postings_sql(d) -> str:
     return f"SELECT doc_id, term, count(*) AS tf FROM documents {d.each(words(d, BODY), 'term', 'pos')} GROUP BY doc_id, term"
 
 
+def postings(d) -> str:
+    return d.stored("postings", postings_sql)
+
+
+@table("postings")
+def stored_postings(spark, sf_dir):
+    """The index: a row for each document and term, with the document's length; documents are read once."""
+    sql = f"SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, size(ws) AS len, ws FROM (SELECT doc_id, {words(SPARK, BODY)} AS ws FROM documents) w) x LATERAL VIEW explode(ws) t AS term GROUP BY doc_id, len, term"
+    views(spark, sf_dir, sql)
+    return spark.sql(sql)
+
+
 def lengths(d) -> str:
     return f"SELECT doc_id, {d.size(words(d, BODY))} AS len FROM documents"
 
@@ -28,26 +42,50 @@ def idf(d) -> str:
 def bm25(d) -> str:
     query = rows(*QUERIES, names="query_id, query")
     asked = f"SELECT query_id, term FROM {query} q {d.each(words(d, 'query'), 'term', 'pos')}"
-    score = f"sum(i.idf * p.tf * ({K1} + 1) / (p.tf + {K1} * (1 - {B} + {B} * l.len / a.avgdl)))"
-    return f"""SELECT q.query_id, p.doc_id, round({score}, 6) AS score FROM ({asked}) q JOIN ({postings(d)}) p ON q.term = p.term JOIN ({idf(d)}) i ON i.term = p.term
+    score = lambda n: f"sum(i.idf * p.tf * ({K1} + 1) / (p.tf + {K1} * (1 - {B} + {B} * {n}.len / a.avgdl)))"
+    if not isinstance(d, DuckSql):  # only the asked terms' postings go on; lengths are beside them
+        mean = "SELECT (SELECT sum(tf) FROM postings) / (SELECT count(*) FROM documents) AS avgdl"
+        return f"SELECT q.query_id, p.doc_id, round({score('p')}, 6) AS score FROM postings p JOIN ({asked}) q ON q.term = p.term JOIN ({idf(d)}) i ON i.term = p.term CROSS JOIN ({mean}) a GROUP BY q.query_id, p.doc_id"
+    return f"""SELECT q.query_id, p.doc_id, round({score('l')}, 6) AS score FROM ({asked}) q JOIN ({postings(d)}) p ON q.term = p.term JOIN ({idf(d)}) i ON i.term = p.term
     JOIN ({lengths(d)}) l ON l.doc_id = p.doc_id CROSS JOIN (SELECT avg(len) AS avgdl FROM ({lengths(d)}) x) a GROUP BY q.query_id, p.doc_id"""
 
 
+def search_pairs(d) -> str:
+    """Each question with the documents that the search by words finds for it."""
+    query = rows(*QUERIES, names="query_id, query")
+    return f"SELECT h.query_id, q.query, t.doc_id, t.text FROM ({top(bm25(d), 'query_id', 'score DESC, doc_id', 10)}) h JOIN {query} q ON q.query_id = h.query_id JOIN documents t ON t.doc_id = h.doc_id"
+
+
 def top(inner: str, by: str, order: str, k: int) -> str:
     return f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS INT) AS rnk FROM ({inner}) t) r WHERE rnk <= {k}"
 
 
-def cosine(d, a: str, b: str) -> str:
-    if isinstance(d, DuckSql):
-        return f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
-    dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, v) -> s + v)"
-    return f"({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
+def _nearest(d, who: str, k: int) -> str:
+    """The nearest of all other vectors, written out as every pair: for the check only."""
+    pairs = f"SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE {who}"
+    return top(pairs, "query_id", "similarity DESC, vec_id", k)
 
 
 def neighbours(d, k: int = 5) -> str:
-    """For every vector whose id is divisible by 50, the nearest others of its label."""
-    pairs = f"SELECT q.vec_id AS query_id, e.vec_id, round({cosine(d, 'q.embedding', 'e.embedding')}, 6) AS similarity FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0"
-    return top(pairs, "query_id", "similarity DESC, vec_id", k)
+    """For every vector whose id is divisible by 50, the nearest others."""
+    return f"SELECT * FROM ({d.stored('vector_neighbours', lambda d: _nearest(d, 'q.vec_id % 50 = 0', 10))}) v WHERE rnk <= {k}"
+
+
+def edges(d) -> str:
+    """The undirected graph of all vectors' ten nearest others, at the floor."""
+    n = lambda d: f"SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, max(similarity) AS similarity FROM ({_nearest(d, 'true', 10)}) n WHERE similarity >= {FLOOR} GROUP BY least(query_id, vec_id), greatest(query_id, vec_id)"
+    return d.stored("similarity_edges", n)
+
+
+def fused(d) -> str:
+    """Reciprocal ranks of the search by words and of the search by vectors, added up over a full outer join.
+
+    A question's vector is the one with its number; a document's is the one with the document's.
+    """
+    a = top(bm25(d), "query_id", "score DESC, doc_id", 20)
+    b = d.stored("question_neighbours", lambda d: _nearest(d, f"q.vec_id IN ({', '.join(str(q) for q, _ in QUERIES)})", 20))
+    rank = lambda r: f"coalesce(CAST(1 AS DOUBLE) / (60 + {r}.rnk), 0)"
+    return f"SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.vec_id) AS doc_id, round({rank('a')} + {rank('b')}, 6) AS rrf, coalesce(b.similarity, 0) AS similarity FROM ({a}) a FULL OUTER JOIN ({b}) b ON a.query_id = b.query_id AND a.doc_id = b.vec_id"
 
 
 @plan
@@ -72,16 +110,12 @@ def o4_vector_top(d):
 
 @plan
 def f44_similarity_edges(d):
-    n = neighbours(d, 10)
-    return f"SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, max(similarity) AS similarity FROM ({n}) n WHERE similarity >= 0.2 GROUP BY least(query_id, vec_id), greatest(query_id, vec_id)"
+    return f"SELECT a, b, similarity FROM ({edges(d)}) e"
 
 
 @plan
 def j9_fused_ranks(d):
-    """Reciprocal-rank fusion of two rankings over a full outer join: by words, and by length-damped words."""
-    a = top(bm25(d), "query_id", "score DESC, doc_id", 20)
-    b = top(f"SELECT s.query_id, s.doc_id, s.score / sqrt(l.len + 1) AS score FROM ({bm25(d)}) s JOIN ({lengths(d)}) l ON s.doc_id = l.doc_id", "query_id", "round(score, 6) DESC, doc_id", 20)
-    return f"SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(CAST(1 AS DOUBLE) / (60 + a.rnk), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + b.rnk), 0), 6) AS rrf FROM ({a}) a FULL OUTER JOIN ({b}) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id"
+    return f"SELECT query_id, doc_id, rrf, similarity FROM ({fused(d)}) f"
 
 
 @plan
@@ -134,20 +168,21 @@ def a33_multi_query_rollup(d):
 
 @plan
 def u7_missing_ids(d):
-    return "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL"
+    return "SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.vec_id IS NULL"
 
 
 @plan
 def u8_subset_test(d):
-    return "SELECT count(*) = 0 AS all_stored FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL"
+    return "SELECT d.source, count(*) = count(e.vec_id) AS all_stored FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id GROUP BY d.source"
 
 
 @plan
 def w13_adjacent_merge(d):
-    """Runs of neighbouring documents of a source among the hits, joined to one."""
-    hit = f"SELECT DISTINCT b.doc_id, t.source FROM ({bm25(d)}) b JOIN documents t ON b.doc_id = t.doc_id"
-    island = "sum(CASE WHEN doc_id - before <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return f"SELECT source, {d.int('island')} AS island, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM (SELECT *, {island} AS island FROM (SELECT *, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM ({hit}) h) b) i GROUP BY source, island"
+    """Runs of documents that follow each other in their source among the hits, joined to one."""
+    place = "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents"
+    hit = f"SELECT p.doc_id, p.source, p.place FROM ({place}) p JOIN (SELECT DISTINCT doc_id FROM ({bm25(d)}) b) h ON p.doc_id = h.doc_id"
+    island = "place - row_number() OVER (PARTITION BY source ORDER BY place)"
+    return f"SELECT source, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM (SELECT *, {island} AS island FROM ({hit}) h) i GROUP BY source, island"
 
 
 # How many results an intent retrieves, reranks and returns.
@@ -163,10 +198,11 @@ def o6_intent_depths(d):
 
 @plan
 def s19_upsert_new(d):
-    """Rows to append: ids that the store lacks."""
-    return "SELECT e.vec_id, e.label FROM embeddings e LEFT JOIN (SELECT doc_id FROM labels) s ON e.vec_id = s.doc_id WHERE s.doc_id IS NULL"
+    """Documents to embed and append: a source whose ids are all in the vector collection is skipped, else what it lacks."""
+    return "SELECT d.doc_id, d.source FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.vec_id IS NULL"
 
 
 @plan
 def u6_first_wins(d):
-    return "SELECT text, doc_id FROM (SELECT text, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) f WHERE rn = 1"
+    """The first document of each text; whole texts aren't dealt out, only their digests."""
+    return "SELECT md5(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY md5(text)"

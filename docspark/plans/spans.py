@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from docspark.plans.dialect import plan, rows
+from pyspark.sql import functions as F
+
+from docspark.operators import spans as span_ops
+from docspark.operators.tables import written
+from docspark.plans.dialect import SPARK, frame, plan, rows, table, views
 from docspark.plans.layout import sentences
 
 BUCKET = 64
@@ -10,7 +14,10 @@ BUCKET = 64
 BY_PATTERN = (("url", r"(?i:https?://|www\.)\S+"), ("email", r"[\w.+-]+@[\w-]+\.[\w.-]+"), ("citation", r"\[\d+(?:,\s*\d+)*\]|et al\."), ("scientific", r"\d+(?:\.\d+)?[eE][+-]?\d+"), ("file_name", r"[\w\-]+\.(?:py|js|txt|md|pdf|docx|csv|json|html)"))
 BY_WORD = (("acronym", r"^[A-Z]{2,}s?$"), ("mixed_case", r"^[a-zA-Z]*[a-z][A-Z][a-zA-Z]*$|^\w*\d\w*[a-zA-Z]\w*$"), ("variable", r"^[b-hj-zB-HJ-Z]$"), ("greek", r"(?i)^(alpha|beta|gamma|delta|epsilon|theta|lambda|sigma|omega)$"))
 PRONOUNS = "^(he|she|it|they|him|her|them|his|its|their)$"
-OPEN, SHUT = chr(1), chr(2)
+OPEN, SHUT = span_ops.OPEN, span_ops.SHUT
+WORDS, MARKED = r"[\p{L}\p{N}_]+", "[^ ]+!!"
+# What a repeated word may look like, hyphens and apostrophes inside.
+WORD_TOKEN, WORD_SHAPE = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?", "^[A-Za-z][A-Za-z'-]{2,}$"
 
 
 def found(d, pattern: str, source: str = "documents") -> str:
@@ -24,10 +31,22 @@ def found(d, pattern: str, source: str = "documents") -> str:
 
 
 def words(d) -> str:
-    return found(d, r"[\p{L}\p{N}_]+")
+    return found(d, WORDS)
 
 
 def protected(d) -> str:
+    return d.stored("protected_spans", protected_sql)
+
+
+def candidates(d) -> str:
+    return d.stored("candidate_spans", candidates_sql)
+
+
+def merged(d) -> str:
+    return d.stored("merged_issues", merged_sql)
+
+
+def protected_sql(d) -> str:
     """All detectors' spans of two characters or more, and single letters; the first detector keeps a span."""
     parts = [f"SELECT doc_id, char_start, char_end, text, '{name}' AS reason, {i} AS ord FROM ({found(d, p)}) m WHERE length(text) >= 2" for i, (name, p) in enumerate(BY_PATTERN)]
     which = " ".join(f"WHEN {d.like('text', p)} THEN '{name}'" for name, p in BY_WORD)
@@ -37,10 +56,10 @@ def protected(d) -> str:
     return f"SELECT doc_id, char_start, char_end, text, reason, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, char_start, char_end ORDER BY ord) AS rn FROM ({every}) a) b WHERE rn = 1"
 
 
-def candidates(d) -> str:
+def candidates_sql(d) -> str:
     """Correction candidates of three detectors, with an ordinal in each document."""
     spell = f"SELECT doc_id, char_start, char_end, text, lower(text) AS suggestion, 'symspell' AS source, 'spelling' AS issue_type FROM ({words(d)}) w WHERE length(text) >= 14"
-    marks = f"SELECT doc_id, char_start, char_end, text, {d.sub('text', '!+$', '')} AS suggestion, 'languagetool' AS source, 'punctuation' AS issue_type FROM ({found(d, '[^ ]+!!')}) m"
+    marks = f"SELECT doc_id, char_start, char_end, text, {d.sub('text', '!+$', '')} AS suggestion, 'languagetool' AS source, 'punctuation' AS issue_type FROM ({found(d, MARKED)}) m"
     caps = f"SELECT doc_id, char_start, char_end, text, lower(text) AS suggestion, 'llm' AS source, 'style' AS issue_type FROM ({words(d)}) w WHERE {d.like('text', '^[A-Z]{6,}$')}"
     return f"SELECT *, {d.int('row_number() OVER (PARTITION BY doc_id ORDER BY char_start, char_end, source)')} AS ord FROM ({spell} UNION ALL {marks} UNION ALL {caps}) c"
 
@@ -64,14 +83,20 @@ def grouped(d) -> str:
     return f"SELECT *, {d.int('sum(is_new) OVER (PARTITION BY doc_id ORDER BY char_start, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS grp FROM (SELECT *, {new} AS is_new FROM ({gated(d)}) g) h"
 
 
-def merged(d) -> str:
+def merged_sql(d) -> str:
     """One issue for each group: the best candidate by source, its agreement, confidence and severity."""
     prio = "CASE source WHEN 'llm' THEN 0 WHEN 'languagetool' THEN 1 ELSE 2 END"
     best = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY {prio}, char_start, ord) AS rn FROM ({grouped(d)}) g) b WHERE rn = 1"
     agree = f"SELECT b.doc_id, b.grp, count(*) AS agreement, max(CASE WHEN g.source = 'llm' THEN 1 ELSE 0 END) AS llm, max(CASE WHEN g.source = 'languagetool' THEN 1 ELSE 0 END) AS lt, max(CASE WHEN g.source = 'symspell' THEN 1 ELSE 0 END) AS ss FROM ({best}) b JOIN ({grouped(d)}) g ON b.doc_id = g.doc_id AND b.grp = g.grp AND b.suggestion = g.suggestion GROUP BY b.doc_id, b.grp"
-    conf = "CASE WHEN b.is_protected THEN 0.0 WHEN lt + llm + ss = 3 THEN 1.0 WHEN lt + llm = 2 THEN 0.95 WHEN lt + ss = 2 THEN 0.88 WHEN ss + llm = 2 THEN 0.82 WHEN lt = 1 THEN CASE b.issue_type WHEN 'spelling' THEN 0.78 WHEN 'grammar' THEN 0.73 ELSE 0.75 END WHEN llm = 1 THEN 0.80 WHEN ss = 1 THEN 0.35 ELSE 0.5 END"
+    return judged(d, f"SELECT b.*, a.agreement AS n_agree, a.llm, a.lt, a.ss FROM ({best}) b JOIN ({agree}) a ON b.doc_id = a.doc_id AND b.grp = a.grp")
+
+
+def judged(d, best: str) -> str:
+    """Confidence and severity of each group's best candidate, from the detectors that agree with it."""
+    # Confidence by the detectors that agree, weight by issue type, severity by their product.
+    conf = "CASE WHEN is_protected THEN 0.0 WHEN lt + llm + ss = 3 THEN 1.0 WHEN lt + llm = 2 THEN 0.95 WHEN lt + ss = 2 THEN 0.88 WHEN ss + llm = 2 THEN 0.82 WHEN lt = 1 THEN CASE issue_type WHEN 'spelling' THEN 0.78 WHEN 'grammar' THEN 0.73 ELSE 0.75 END WHEN llm = 1 THEN 0.80 WHEN ss = 1 THEN 0.35 ELSE 0.5 END"
     weight = "CASE issue_type WHEN 'spelling' THEN 0.7 WHEN 'punctuation' THEN 0.6 WHEN 'style' THEN 0.5 ELSE 1.0 END"
-    core = f"SELECT b.doc_id, b.grp, b.char_start, b.char_end, b.text, b.suggestion, b.source, b.issue_type, b.is_protected, a.agreement, CAST({conf} AS DOUBLE) AS confidence FROM ({best}) b JOIN ({agree}) a ON b.doc_id = a.doc_id AND b.grp = a.grp"
+    core = f"SELECT doc_id, grp, char_start, char_end, text, suggestion, source, issue_type, is_protected, n_agree AS agreement, CAST({conf} AS DOUBLE) AS confidence FROM ({best}) b"
     score = f"confidence * {weight}"
     return f"SELECT *, CASE WHEN {score} >= 0.85 THEN 'critical' WHEN {score} >= 0.65 THEN 'high' WHEN {score} >= 0.4 THEN 'medium' ELSE 'low' END AS severity FROM ({core}) m"
 
@@ -133,9 +158,17 @@ def j3_candidate_sentence(d):
 
 @plan
 def p8_real_changes(d):
-    """Candidates that change something, with the text found again at their offsets."""
-    same = "substr(t.text, CAST(c.char_start AS INT) + 1, CAST(c.char_end - c.char_start AS INT)) = c.text"
-    return f"SELECT c.doc_id, c.ord FROM ({candidates(d)}) c JOIN documents t ON c.doc_id = t.doc_id WHERE c.text <> c.suggestion AND {same}"
+    """Candidates that change something, with their text found again: at their offsets, else first within 20 characters.
+
+    Offsets are moved by up to 24 characters here, as if the text had changed; candidates that aren't found again go.
+    """
+    moved = f"SELECT doc_id, ord, text, suggestion, greatest(char_start + (ord * 7) % 49 - 24, 0) AS a, length(text) AS n FROM ({candidates(d)}) c WHERE text <> suggestion"
+    from_ = "greatest(c.a - 20, 0)"
+    find = "strpos" if d.__class__.__name__ == "DuckSql" else "instr"
+    window = f"substr(t.text, {d.int(from_)} + 1, {d.int(f'least(c.a + c.n + 20, length(t.text)) - {from_}')})"
+    at = f"CASE WHEN substr(t.text, {d.int('c.a')} + 1, {d.int('c.n')}) = c.text THEN c.a ELSE nullif({find}({window}, c.text), 0) + {from_} - 1 END"
+    found_ = f"SELECT c.doc_id, c.ord, c.n, {d.long(at)} AS char_start FROM ({moved}) c JOIN documents t ON c.doc_id = t.doc_id"
+    return f"SELECT doc_id, ord, char_start, char_start + n AS char_end FROM ({found_}) f WHERE char_start IS NOT NULL"
 
 
 @plan
@@ -158,25 +191,100 @@ def a3_issue_counts(d):
     return f"SELECT issue_type, severity, count(*) AS n FROM ({merged(d)}) m GROUP BY issue_type, severity"
 
 
-@plan
-def f32_corrected_text(d):
+def f32_sql(d):
     text = applied(d, "''", "s.suggestion", "''", f"SELECT * FROM ({merged(d)}) m WHERE confidence > 0.5")
     return f"SELECT doc_id, md5(text) AS digest, {d.int('length(text)')} AS n_chars FROM ({text}) x"
 
 
-@plan
-def f30_annotated_text(d):
+def f30_sql(d):
     text = applied(d, "'[['", "s.text", "concat('=>', s.suggestion, ']]')", f"SELECT * FROM ({merged(d)}) m WHERE confidence > 0.5")
     return f"SELECT doc_id, md5(text) AS digest, {d.int('length(text)')} AS n_chars FROM ({text}) x"
 
 
+def _replaced(spark, sf_dir, put):
+    sql = f"SELECT * FROM ({merged(SPARK)}) m WHERE confidence > 0.5"
+    views(spark, sf_dir, sql)
+    spans = spark.sql(sql).select("doc_id", "char_start", "char_end", put.alias("put"))
+    texts = span_ops.replaced(spark.read.parquet(f"{sf_dir}/documents.parquet"), spans)
+    return texts.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
+
+
+@frame(f32_sql)
+def f32_corrected_text(spark, sf_dir):
+    return _replaced(spark, sf_dir, F.col("suggestion"))
+
+
+@frame(f30_sql)
+def f30_annotated_text(spark, sf_dir):
+    return _replaced(spark, sf_dir, F.concat(F.lit("[["), "text", F.lit("=>"), "suggestion", F.lit("]]")))
+
+
+@table("protected_spans")
+def protected_spans(spark, sf_dir):
+    """``protected_sql`` in one pass over the documents."""
+    got = span_ops.found(spark.read.parquet(f"{sf_dir}/documents.parquet"), {name: p for name, p in BY_PATTERN} | {"word": WORDS})
+    return _protected(got)
+
+
+def _protected(got):
+    reason, ord_ = F.col("pattern"), F.lit(None)
+    for i, (name, _) in enumerate(BY_PATTERN):
+        ord_ = F.when(F.col("pattern") == name, i).otherwise(ord_)
+    word, word_ord = F.lit(None), F.lit(None)
+    for i, (name, p) in reversed(list(enumerate(BY_WORD))):
+        word, word_ord = F.when(F.col("text").rlike(p), name).otherwise(word), F.when(F.col("text").rlike(p), 10 + i).otherwise(word_ord)
+    is_word = F.col("pattern") == "word"
+    out = got.select("doc_id", "char_start", "char_end", "text", F.when(is_word, word).otherwise(reason).alias("reason"), F.when(is_word, word_ord).otherwise(ord_).alias("ord"), is_word.alias("is_word"))
+    out = out.where("reason is not null and (is_word or length(text) >= 2)")
+    first = F.min_by(F.struct("text", "reason", "ord"), "ord").alias("x")
+    return out.groupBy("doc_id", "char_start", "char_end").agg(first).select("doc_id", "char_start", "char_end", "x.text", "x.reason", "x.ord")
+
+
+@table("candidate_spans")
+def candidate_spans(spark, sf_dir):
+    """``candidates_sql`` in one pass over the documents."""
+    got = span_ops.found(spark.read.parquet(f"{sf_dir}/documents.parquet"), {"word": WORDS, "marked": MARKED})
+    return _candidates(got)
+
+
+def _candidates(got):
+    kind = lambda source, issue, put: F.struct(put.alias("suggestion"), F.lit(source).alias("source"), F.lit(issue).alias("issue_type"))
+    is_word, low = F.col("pattern") == "word", F.lower("text")
+    kinds = F.array(
+        F.when(is_word & (F.length("text") >= 14), kind("symspell", "spelling", low)), F.when(~is_word, kind("languagetool", "punctuation", F.regexp_replace("text", "!+$", ""))),
+        F.when(is_word & F.col("text").rlike("^[A-Z]{6,}$"), kind("llm", "style", low)),
+    )
+    out = got.select("doc_id", "char_start", "char_end", "text", F.explode(F.array_compact(kinds)).alias("k")).select("doc_id", "char_start", "char_end", "text", "k.*")
+    return out.withColumn("ord", F.expr("CAST(row_number() OVER (PARTITION BY doc_id ORDER BY char_start, char_end, source) AS INT)"))
+
+
+@table("merged_issues")
+def merged_issues(spark, sf_dir):
+    """``merged_sql`` from both kinds of spans: groups are found, judged and merged in one dealing by document."""
+    both = span_ops.found(spark.read.parquet(f"{sf_dir}/documents.parquet"), {name: p for name, p in BY_PATTERN} | {"word": WORDS, "marked": MARKED})
+    both = written(both.where("pattern <> 'word' or length(text) >= 14 or " + " or ".join(f"text rlike {SPARK.text(p)}" for p in (*(p for _, p in BY_WORD), "^[A-Z]{6,}$"))), "spans")
+    written(_protected(both.where("pattern <> 'marked'")), "protected_spans").createOrReplaceTempView("protected_spans")
+    written(_candidates(both.where("pattern in ('word', 'marked')")), "candidate_spans").createOrReplaceTempView("candidate_spans")
+    prio = "CASE source WHEN 'llm' THEN 0 WHEN 'languagetool' THEN 1 ELSE 2 END"
+    best = spark.sql(f"SELECT *, first_value(suggestion) OVER (PARTITION BY doc_id, grp ORDER BY {prio}, char_start, ord) AS best FROM ({grouped(SPARK)}) g")
+    best.createOrReplaceTempView("grouped_spans")
+    same = lambda source: f"max(CASE WHEN source = '{source}' AND suggestion = best THEN 1 ELSE 0 END)"
+    first = lambda c: f"min_by({c}, struct({prio}, char_start, ord)) AS {c}"
+    one = f"SELECT doc_id, grp, {', '.join(map(first, ('char_start', 'char_end', 'text', 'suggestion', 'source', 'issue_type', 'is_protected')))}, count_if(suggestion = best) AS agreement, {same('llm')} AS llm, {same('languagetool')} AS lt, {same('symspell')} AS ss FROM grouped_spans GROUP BY doc_id, grp"
+    return spark.sql(judged(SPARK, f"SELECT b.*, b.agreement AS n_agree FROM ({one}) b"))
+
+
 @plan
 def a4_repeated_terms(d):
-    """Words that a document uses twice or more and that fewer than a tenth of the documents use."""
-    n = "SELECT count(*) AS total FROM documents"
-    tf = f"SELECT doc_id, lower(text) AS term, count(*) AS n FROM ({words(d)}) w GROUP BY doc_id, lower(text)"
-    df = f"SELECT term, count(*) AS df FROM ({tf}) t GROUP BY term"
-    return f"SELECT t.doc_id, t.term, t.n FROM ({tf}) t JOIN ({df}) f ON t.term = f.term CROSS JOIN ({n}) a WHERE t.n >= 2 AND f.df * 10 < a.total"
+    """Words that a document repeats and that aren't common: known ones wherever they stand, others where they have a capital.
+
+    The frequency dictionary is the corpus's own: words used three times or more are known, over a hundred times common.
+    """
+    token = f"SELECT * FROM ({found(d, WORD_TOKEN)}) w WHERE {d.like('text', WORD_SHAPE)}"
+    tf = f"SELECT doc_id, lower(text) AS term, count(*) AS n FROM ({token}) w GROUP BY doc_id, lower(text) HAVING count(*) >= 2"
+    df = f"SELECT lower(text) AS term, count(*) AS freq FROM ({token}) w GROUP BY lower(text)"
+    kind = "CASE WHEN f.freq >= 3 THEN 'valid term' ELSE 'proper noun/code' END"
+    return f"SELECT w.doc_id, w.char_start, w.char_end, w.text, concat('repeated ', t.n, 'x ', {kind}) AS reason FROM ({token}) w JOIN ({tf}) t ON w.doc_id = t.doc_id AND lower(w.text) = t.term JOIN ({df}) f ON t.term = f.term WHERE f.freq <= 100 AND (f.freq >= 3 OR {d.like('w.text', '[A-Z]')})"
 
 
 @plan
@@ -189,9 +297,19 @@ def a42_terms_by_category(d):
     return f"SELECT reason, count(DISTINCT lower(text)) AS n_terms, count(*) AS n FROM ({protected(d)}) p GROUP BY reason"
 
 
+def decided(d) -> str:
+    """Issues with the latest decision on each: by document and issue, else by document and position; without one, pending.
+
+    The log: a label of a document is a decision on its first issue, a toxic one a second, later decision; and some rows more.
+    """
+    more = rows((0, 2, None, "accepted", 1), (0, 2, None, "rejected", 2), (1, None, 0, "accepted", 1), names="doc_id, grp, char_start, status, no")
+    labels = "SELECT doc_id, 1 AS grp, CAST(NULL AS BIGINT) AS char_start, CASE WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS status, 1 AS no FROM labels UNION ALL SELECT doc_id, 1, NULL, 'rejected', 2 FROM labels WHERE toxic = 1"
+    log = f"SELECT doc_id, grp, char_start, status, no FROM ({labels}) x UNION ALL SELECT doc_id, grp, char_start, status, no FROM {more} m"
+    by_id = f"SELECT doc_id, grp, max_by(status, no) AS status FROM ({log}) l WHERE grp IS NOT NULL GROUP BY doc_id, grp"
+    by_place = f"SELECT doc_id, char_start, max_by(status, no) AS status FROM ({log}) l WHERE grp IS NULL GROUP BY doc_id, char_start"
+    return f"SELECT m.doc_id, m.grp, m.char_start, m.char_end, m.text, m.suggestion, coalesce(i.status, p.status, 'pending') AS decision FROM ({merged(d)}) m LEFT JOIN ({by_id}) i ON m.doc_id = i.doc_id AND m.grp = i.grp LEFT JOIN ({by_place}) p ON m.doc_id = p.doc_id AND m.char_start = p.char_start"
+
+
 @plan
 def j25_decisions(d):
-    """The latest decision on each issue, and issues without one."""
-    log = rows((1, "accepted", 1), (1, "rejected", 2), (2, "accepted", 1), (9, "accepted", 3), names="issue_id, status, no")
-    last = f"SELECT issue_id, max_by(status, no) AS status FROM {log} l GROUP BY issue_id"
-    return f"SELECT m.doc_id, m.grp, coalesce(l.status, 'pending') AS decision FROM ({merged(d)}) m LEFT JOIN ({last}) l ON m.grp = l.issue_id"
+    return f"SELECT doc_id, grp, decision FROM ({decided(d)}) x"

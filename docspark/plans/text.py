@@ -16,7 +16,12 @@ ROMAN = r"(?i)^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 ACRONYM = r"^[A-Z]{2,}[A-Z0-9]*$"
 CITATION = r"^\[\d+(,\s*\d+)*\]$|^\(\s*[A-Za-z.,&\s]+,?\s*\d{4}[a-z]?\s*\)$"
 MARKS, PLAIN_MARKS = "‘’‚‛“”„‟‐‑‒–—―", "''''" + '""""' + "------"
-STOP = "a an and are as at be by for from has he in is it its of on or that the to was were will with what who how when where which".split()
+# Words that a query is stripped of.
+STOP = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are "
+    "was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down "
+    "in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
 
 
 #: A document's text; of a null text nothing.

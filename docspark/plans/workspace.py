@@ -5,8 +5,9 @@ from __future__ import annotations
 from docspark.plans.dialect import plan, rows
 from docspark.plans.findings import OBJECTS, scored
 from docspark.plans.layout import classified, paragraphs, sentences
-from docspark.plans.retrieval import bm25, neighbours, top
-from docspark.plans.spans import bucketed, candidates, gated, merged
+from docspark.plans.retrieval import bm25, edges, fused, neighbours, search_pairs, top
+from docspark.plans.spans import bucketed, candidates, decided, gated, merged
+from docspark.plans.retrieval import QUERIES as SEARCHES
 from docspark.plans.text import words
 
 ELEMENTS = rows((1, "heading", "1 Scope", None, None), (2, "text", "All staff must report.", None, None), (3, "list", "* a - b", None, None), (4, "table", "| a | b |", 6, None), (5, "picture", "", 7, "chart"), (6, "caption", "Table 1: rates", None, None), (7, "caption", "Figure 1: map", None, None), (8, "code", "x = 1", None, None), names="element_id, kind, text, caption_id, description")
@@ -116,7 +117,7 @@ def j8_heading_match(d):
 @plan
 def j10_fill_candidates(d):
     hit = top(bm25(d), "query_id", "score DESC, doc_id", 5)
-    more = "SELECT 1 AS query_id, doc_id FROM labels WHERE quality = 0"
+    more = "SELECT 1 AS query_id, doc_id FROM documents WHERE source = 'src1' AND lang = 'en'"  # what the metadata filter finds
     return f"SELECT query_id, doc_id, score FROM ({hit}) h UNION ALL SELECT m.query_id, m.doc_id, CAST(0.01 AS DOUBLE) FROM ({more}) m LEFT JOIN ({hit}) h ON m.query_id = h.query_id AND m.doc_id = h.doc_id WHERE h.doc_id IS NULL"
 
 
@@ -203,8 +204,7 @@ def p31_download_allowed(d):
 
 @plan
 def j26_accepted_issues(d):
-    pick = rows((1,), (3,), names="grp")
-    return f"SELECT m.doc_id, m.grp FROM ({merged(d)}) m WHERE EXISTS (SELECT 1 FROM {pick} p WHERE p.grp = m.grp)"
+    return f"SELECT doc_id, grp FROM ({decided(d)}) m WHERE decision = 'accepted'"
 
 
 @plan
@@ -224,8 +224,10 @@ def a11_cluster_severity(d):
 
 @plan
 def a7_cluster_statistics(d):
-    """Sizes and mean similarity of the neighbour graph by label, with a default where there is no edge."""
-    return f"SELECT v.label, count(DISTINCT v.vec_id) AS size, round(coalesce(avg(n.similarity), 0.72), 5) AS mean_similarity, count(n.vec_id) AS n_edges FROM embeddings v LEFT JOIN ({neighbours(d)}) n ON n.query_id = v.vec_id GROUP BY v.label"
+    """Sizes of clusters (labels) and the mean similarity of the edges inside each, with a default where there is none."""
+    inside = f"SELECT x.label, e.similarity FROM ({edges(d)}) e JOIN embeddings x ON e.a = x.vec_id JOIN embeddings y ON e.b = y.vec_id AND x.label = y.label"
+    means = f"SELECT label, avg(similarity) AS mean, count(*) AS n_edges FROM ({inside}) i GROUP BY label"
+    return f"SELECT v.label, v.size, round(coalesce(m.mean, 0.72), 5) AS mean_similarity, coalesce(m.n_edges, 0) AS n_edges FROM (SELECT label, count(*) AS size FROM embeddings GROUP BY label) v LEFT JOIN ({means}) m ON v.label = m.label"
 
 
 @plan
@@ -275,7 +277,9 @@ def u5_rewrites(d):
 
 @plan
 def u10_shared_words(d):
-    return f"SELECT i.item_id, {d.int(d.size(d.both(d.distinct(words(d, 'i.text')), d.distinct(words(d, 'j.text')))))} AS shared FROM benchmark i JOIN benchmark j ON j.item_id = i.item_id + 1"
+    """Words that a question shares with each document found for it, and whether it has all of the question's."""
+    a, b = d.distinct(words(d, "query")), d.distinct(words(d, "text"))
+    return f"SELECT query_id, doc_id, {d.int(d.size(d.both(a, b)))} AS shared, {d.size(d.minus(a, b))} = 0 AS has_all FROM ({search_pairs(d)}) p"
 
 
 @plan
@@ -328,7 +332,8 @@ def s24_report_rows(d):
 
 @plan
 def w19_first_occurrence(d):
-    return "SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS first_id FROM documents"
+    """For each document the first one of the same text, found by digests."""
+    return "SELECT d.doc_id, f.first_id FROM (SELECT doc_id, md5(text) AS digest FROM documents) d JOIN (SELECT md5(text) AS digest, min(doc_id) AS first_id FROM documents GROUP BY md5(text)) f ON d.digest = f.digest"
 
 
 @plan
@@ -359,10 +364,13 @@ def a30_profile_correction(d):
 
 @plan
 def o5_rank_chain(d):
-    """Depths in a row: the best thirty by words, the best ten of these by length, the best three by id."""
-    a = top(bm25(d), "query_id", "score DESC, doc_id", 30)
-    b = f"SELECT x.query_id, x.doc_id, t.n_chars, row_number() OVER (PARTITION BY x.query_id ORDER BY t.n_chars DESC, x.doc_id) AS rb FROM ({a}) x JOIN documents t ON x.doc_id = t.doc_id"
-    return f"SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rc FROM ({b}) y WHERE rb <= 10) z WHERE rc <= 3"
+    """Depths in a row: fused ranks with boosts of metadata, the best fifteen of these by the words shared, the best eight at last."""
+    query = rows(*SEARCHES, names="query_id, query")
+    boost = "CASE WHEN t.lang = 'en' THEN 0.2 ELSE 0 END"
+    boosted = f"SELECT f.query_id, f.doc_id, q.query, t.text, round(f.rrf + {boost}, 6) AS score FROM ({fused(d)}) f JOIN documents t ON f.doc_id = t.doc_id JOIN {query} q ON q.query_id = f.query_id"
+    shared = d.int(d.size(d.both(d.distinct(words(d, "query")), d.distinct(words(d, "text")))))
+    rerank = f"SELECT query_id, doc_id, score, {shared} AS shared FROM ({top(boosted, 'query_id', 'score DESC, doc_id', 15)}) b"
+    return f"SELECT query_id, doc_id, rnk FROM ({top(rerank, 'query_id', 'shared DESC, score DESC, doc_id', 8)}) r"
 
 
 @plan

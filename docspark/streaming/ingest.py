@@ -5,17 +5,15 @@ Windows are an extension; the other three are what a document service does batch
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.operators.tables import exists, new_path
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder beneath ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docspark-")
-    return f"{base.rstrip('/')}/docspark/stream-{uuid.uuid4().hex}"
+    """A new folder beneath the shared one."""
+    return new_path(spark, "stream")
 
 
 def new_files(spark: SparkSession, folder: str, schema: str, per_batch: int = 10) -> DataFrame:
@@ -29,13 +27,8 @@ def upsert(stream: DataFrame, key: str, target: str, checkpoint: str):
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
         new = df.dropDuplicates([key])
-        try:
-            known = spark.read.schema(df.schema).parquet(target).select(key)
-        except Exception as e:  # the first batch has no target yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            new = new.join(known, key, "left_anti")
+        if exists(spark, target):  # the first batch has no target yet; of later ones only the keys are read
+            new = new.join(spark.read.schema(df.schema).parquet(target).select(key), key, "left_anti")
         new.write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
