@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-from docspark.plans.dialect import SparkSql, frame, plan, rows
+from docspark.plans.derived import ambiguities, chunks, claims, entities, findings, objects  # noqa: F401
+from docspark.plans.dialect import SPARK, SparkSql, frame, plan, rows, views
 from docspark.plans.layout import sentences
 from docspark.plans.text import words
 
-FINDINGS = rows(
-    (1, "policy conflict", "Leave policy", "Section 4 allows remote work but section 9 forbids it", "Governance policy conflict", 0.92, 3, "Policies"),
-    (2, "policy conflict", "Leave policy", "Section 4 allows remote work but section 9 forbids it again", "Governance policy conflict", 0.95, 9, "Policies"),
-    (3, "undefined acronym", "Acronym EBITDA", "EBITDA rose in the second quarter of the year", "never defined", 0.81, 2, "Results"),
-    (4, "Numerical Mismatch", "Headcount", "520 employees against 540 employees in the annex", "financial statement differs", 0.97, 5, "Staff"),
-    (5, "vague wording", "OVERVIEW", "OVERVIEW", "", 0.9, 1, "Overview"),
-    (6, "contradiction", "Penalty clause", "A penalty applies to late delivery of any order", "legal penalty differs", 0.88, 7, "Contract"),
-    (7, "Reference Conflict", "Missing section", "See Section 6.2 for the details of the process", "cross-reference to a missing section", 0.75, 4, "Process"),
-    (8, "vague wording", "Sample", "lorem ipsum placeholder content for this page", "", 0.99, 6, "Draft"),
-    (9, "Unsupported Claim", "Market leader", "We are the leading supplier in every market", "no evidence", 0.55, 8, "Market"),
-    (10, "Data Quality", "Formatting", "Formatting of the tables differs between chapters", "formatting only", 0.72, 10, "Annex"),
-    names="finding_id, raw_category, title, quote, explanation, confidence, page, section",
-)
 # Category names, words that set severities, and suppressed texts.
 CATEGORIES = (("vague wording", "Undefined Term"), ("undefined terminology", "Undefined Term"), ("undefined acronym", "Undefined Acronym"), ("policy conflict", "Policy Conflict"), ("contradiction", "Contradictory Statement"), ("numerical ambiguity", "Numerical Inconsistency"), ("Numerical Mismatch", "Numerical Inconsistency"), ("Reference Conflict", "Cross-Reference Error"), ("Data Quality", "Numerical Inconsistency"), ("Unsupported Claim", "Unsupported Claim"))
 CRITICAL_WORDS = ("regulatory audit failure", "legal liability", "contract breach", "penalty", "statutory violation", "gender", "statutory disclosure", "board appointment", "secretarial audit", "companies act", "director")
@@ -26,15 +14,6 @@ HIGH_WORDS = ("financial mismatch", "contradiction", "discrepancy", "policy conf
 HEADINGS = ("OUR VISION", "OUR MISSION", "VISION", "MISSION", "PROJECTS", "OVERVIEW", "STRENGTHS", "CONTENT", "DOCUMENT", "SECTION", "EXECUTIVE SUMMARY", "INTRODUCTION", "CONTACT", "INDUSTRY", "APPENDIX")
 PLACEHOLDERS = ("example text", "sample content", "placeholder", "lorem ipsum", "test string", "sample paragraph")
 NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000, "million": 1_000_000, "billion": 1_000_000_000}
-OBJECTS = rows(
-    ("k1", "The fee is ten thousand five hundred (1050) dollars.", 1, "Root > 1.1 Introduction", "1.1 Introduction"),
-    ("k2", "See page 5 for details.", 1, "Root > 1.1 Introduction", "1.1 Introduction"),
-    ("k3", "See page 2 and Section 1.1 for details.", 2, "Root > 1.3 Scope", "1.3 Scope"),
-    ("k4", "Effective date is 2024-01-15 for all.", 2, "Root > 1.3 Scope", "1.3 Scope"),
-    ("k5", "Effective date is 2024-02-20 for all. Section 6.2 applies.", 2, "Root > 1.1 Introduction", "1.1 Introduction"),
-    ("k6", "Revenue of 5 crore and twenty (20) staff, or 3 million.", 2, "Root > 1.4 Results", "1.4 Results"),
-    names="knowledge_id, text, page, section_path, heading",
-)
 
 
 def any_of(d, col: str, items) -> str:
@@ -53,7 +32,7 @@ def scored(d) -> str:
     risk = f"""CASE severity WHEN 'CRITICAL' THEN CASE WHEN {any_of(d, low, ('statutory', 'financial', 'legal', 'penalty'))} THEN 10 ELSE 9 END WHEN 'HIGH' THEN CASE WHEN {any_of(d, low, ('governance', 'policy'))} THEN 8 ELSE 7 END
     WHEN 'MEDIUM' THEN CASE WHEN {any_of(d, low, ('reference',))} THEN 6 ELSE 5 END ELSE CASE WHEN {any_of(d, low, ('formatting',))} THEN 2 ELSE 3 END END"""
     reason = f"CASE WHEN upper(trim(quote)) IN ({', '.join(map(d.text, HEADINGS))}) THEN 'heading' WHEN {any_of(d, 'lower(quote)', PLACEHOLDERS)} THEN 'placeholder' WHEN length(trim(quote)) < 12 THEN 'short quote' WHEN confidence < 0.70 THEN 'low confidence' END"
-    with_cat = f"SELECT *, CASE {cat} ELSE raw_category END AS category, {reason} AS rejection FROM {FINDINGS} f"
+    with_cat = f"SELECT *, CASE {cat} ELSE raw_category END AS category, {reason} AS rejection FROM {findings(d)} f"
     with_sev = f"SELECT *, {sev} AS severity FROM ({with_cat}) c"
     return f"SELECT *, CASE severity WHEN 'CRITICAL' THEN 'Material' WHEN 'HIGH' THEN 'Material' WHEN 'MEDIUM' THEN 'Moderate' ELSE 'Informational' END AS materiality, {risk} AS risk_score FROM ({with_sev}) s"
 
@@ -66,7 +45,7 @@ def consolidated(d) -> str:
     topic = d.keep(words(d, "concat(title, ' ', quote)"), "w", f"{d.like('w', '^[a-z]{4,}$')} AND w NOT IN ('the', 'this', 'that', 'from', 'with', 'have', 'been', 'where')")
     three = f"slice({topic}, 1, 3)" if isinstance(d, SparkSql) and d.__class__ is SparkSql else f"list_slice({topic}, 1, 3)"
     keyed = f"SELECT *, {d.join(d.sorted(three), '_')} AS topic FROM ({scored(d)}) s WHERE rejection IS NULL"
-    return f"SELECT category, topic, min(finding_id) AS finding_id, count(*) AS occurrences, max(confidence) AS confidence, max_by(quote, confidence) AS quote, min_by(severity, {RANK}) AS severity, max(risk_score) AS risk_score, {d.strings('concat(chr(80), page)', ', ', 'page')} AS locations FROM ({keyed}) k GROUP BY category, topic"
+    return f"SELECT doc_id, category, topic, min(finding_id) AS finding_id, count(*) AS occurrences, max(confidence) AS confidence, max_by(quote, concat({d.string('confidence')}, finding_id)) AS quote, min_by(severity, {RANK}) AS severity, max(risk_score) AS risk_score, {d.strings('concat(chr(80), page)', ', ', 'page, finding_id')} AS locations FROM ({keyed}) k GROUP BY doc_id, category, topic"
 
 
 @plan
@@ -86,12 +65,12 @@ def p15_suppressed(d):
 
 @plan
 def p16_confident_findings(d):
-    return f"SELECT finding_id, confidence FROM {FINDINGS} f WHERE confidence >= 0.70"
+    return f"SELECT finding_id, confidence FROM {findings(d)} f WHERE confidence >= 0.70"
 
 
 @plan
 def p17_confirmed_split(d):
-    return f"SELECT CASE WHEN rejection IS NULL THEN 'confirmed' ELSE 'rejected' END AS status, count(*) AS n, {d.strings('CAST(finding_id AS STRING)' if d.__class__ is SparkSql else 'CAST(finding_id AS VARCHAR)', ',', 'finding_id')} AS ids FROM ({scored(d)}) s GROUP BY CASE WHEN rejection IS NULL THEN 'confirmed' ELSE 'rejected' END"
+    return f"SELECT CASE WHEN rejection IS NULL THEN 'confirmed' ELSE 'rejected' END AS status, count(*) AS n, md5({d.strings('finding_id', ',', 'finding_id')}) AS ids FROM ({scored(d)}) s GROUP BY CASE WHEN rejection IS NULL THEN 'confirmed' ELSE 'rejected' END"
 
 
 @plan
@@ -112,20 +91,20 @@ def a14_rejection_funnel(d):
 
 @plan
 def a16_publication_status(d):
-    c = f"SELECT count_if(severity = 'CRITICAL') AS c, count_if(severity = 'HIGH') AS h, count(*) AS n FROM ({consolidated(d)}) x"
-    return f"SELECT CASE WHEN c = 0 AND h = 0 AND n <= 2 THEN 'Ready for Publication' WHEN c = 0 AND h = 0 THEN 'Requires Minor Revision' WHEN c = 0 AND h <= 3 THEN 'Compliance Review Recommended' ELSE 'Requires Major Revision' END AS label FROM ({c}) y"
+    c = f"SELECT doc_id, count_if(severity = 'CRITICAL') AS c, count_if(severity = 'HIGH') AS h, count(*) AS n FROM ({consolidated(d)}) x GROUP BY doc_id"
+    return f"SELECT doc_id, CASE WHEN c = 0 AND h = 0 AND n <= 2 THEN 'Ready for Publication' WHEN c = 0 AND h = 0 THEN 'Requires Minor Revision' WHEN c = 0 AND h <= 3 THEN 'Compliance Review Recommended' ELSE 'Requires Major Revision' END AS label FROM ({c}) y"
 
 
 @plan
 def a17_overall_rating(d):
-    c = f"SELECT count_if(severity = 'CRITICAL' AND materiality = 'Material') AS c, count_if(severity = 'HIGH') AS h, count_if(materiality = 'Material') AS m, count(*) AS n FROM ({scored(d)}) s WHERE rejection IS NULL"
-    return f"SELECT CASE WHEN c >= 1 OR m >= 3 THEN 'CRITICAL' WHEN h >= 2 OR m >= 1 THEN 'HIGH' WHEN n > 0 THEN 'MEDIUM' ELSE 'LOW' END AS rating FROM ({c}) y"
+    c = f"SELECT doc_id, count_if(severity = 'CRITICAL' AND materiality = 'Material') AS c, count_if(severity = 'HIGH') AS h, count_if(materiality = 'Material') AS m, count(*) AS n FROM ({scored(d)}) s WHERE rejection IS NULL GROUP BY doc_id"
+    return f"SELECT doc_id, CASE WHEN c >= 1 OR m >= 3 THEN 'CRITICAL' WHEN h >= 2 OR m >= 1 THEN 'HIGH' WHEN n > 0 THEN 'MEDIUM' ELSE 'LOW' END AS rating FROM ({c}) y"
 
 
 @plan
 def a18_quality_score(d):
     s = "100 - 10 * count_if(severity = 'CRITICAL') - 5 * count_if(severity = 'HIGH') - 2 * count_if(severity = 'MEDIUM') - count_if(severity = 'LOW')"
-    return f"SELECT {d.int(f'least(100, greatest(50, {s}))')} AS score FROM ({consolidated(d)}) c"
+    return f"SELECT doc_id, {d.int(f'least(100, greatest(50, {s}))')} AS score FROM ({consolidated(d)}) c GROUP BY doc_id"
 
 
 @plan
@@ -141,7 +120,7 @@ def a20_verification_summary(d):
 
 @plan
 def a40_dedup_by_prefix(d):
-    return f"SELECT category, substr(lower(title), 1, 35) AS prefix, count(*) AS n, CASE WHEN count(DISTINCT page) > 1 THEN concat('Multiple Locations (', least(count(DISTINCT page), 3), ')') ELSE concat('Page ', min(page)) END AS location FROM ({scored(d)}) s GROUP BY category, substr(lower(title), 1, 35)"
+    return f"SELECT doc_id, category, substr(lower(title), 1, 35) AS prefix, count(*) AS n, CASE WHEN count(DISTINCT page) > 1 THEN concat('Multiple Locations (', least(count(DISTINCT page), 3), ')') ELSE concat('Page ', min(page)) END AS location FROM ({scored(d)}) s GROUP BY doc_id, category, substr(lower(title), 1, 35)"
 
 
 @plan
@@ -151,7 +130,7 @@ def a41_severity_breakdown(d):
 
 @plan
 def o8_ranked_findings(d):
-    return f"SELECT finding_id, CAST(row_number() OVER (ORDER BY {RANK}, risk_score DESC, confidence DESC, finding_id) AS INT) AS place FROM ({consolidated(d)}) c"
+    return f"SELECT finding_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {RANK}, risk_score DESC, confidence DESC, finding_id) AS INT) AS place FROM ({consolidated(d)}) c"
 
 
 @plan
@@ -166,7 +145,7 @@ def p26_search_findings(d):
 
 @plan
 def p28_finding_projection(d):
-    return f"SELECT finding_id, coalesce(nullif(explanation, ''), quote) AS reason, CASE WHEN length(title) > 8 THEN substr(title, 1, 8) ELSE title END AS short_title FROM {FINDINGS} f"
+    return f"SELECT finding_id, coalesce(nullif(explanation, ''), quote) AS reason, CASE WHEN length(title) > 8 THEN substr(title, 1, 8) ELSE title END AS short_title FROM {findings(d)} f"
 
 
 @plan
@@ -176,7 +155,7 @@ def f20_category_map(d):
 
 @plan
 def f24_location_text(d):
-    return f"SELECT finding_id, concat('Page ', page, ' · Section: ', CASE WHEN length(section) > 40 THEN concat(substr(section, 1, 40), '...') ELSE section END) AS location FROM {FINDINGS} f"
+    return f"SELECT finding_id, concat('Page ', page, ' · Section: ', CASE WHEN length(section) > 40 THEN concat(substr(section, 1, 40), '...') ELSE section END) AS location FROM {findings(d)} f"
 
 
 @plan
@@ -186,79 +165,83 @@ def f48_tiers(d):
 
 @plan
 def f34_claims(d):
-    """Offline claims: sentences over 12 characters that hold a number, an obligation or a permission."""
-    flags = {"has_percent": r"\d+(\.\d+)?\s*(%|percent)", "has_money": r"[$€£₹]\s*\d", "is_obligation": r"(?i)(^|\W)(must|shall|required|should)(\W|$)", "is_permission": r"(?i)(^|\W)(may|can|allowed)(\W|$)", "has_reference": r"(Figure|Table|Section)\s+\d+"}
-    own = rows((-1, "The fee is 18 percent. Staff must report; see Section 6.2. Guests may enter. It costs $ 50."), names="doc_id, text")
-    s = f"SELECT doc_id, sentence_id, text FROM ({sentences(d)}) s UNION ALL SELECT doc_id, {d.int('pos')}, trim(part) FROM {own} o {d.each(d.split('text', '[.] '), 'part', 'pos')}"
-    cols = ", ".join(f"{d.like('text', p)} AS {n}" for n, p in flags.items())
-    return f"SELECT * FROM (SELECT doc_id, sentence_id, {cols} FROM ({s}) x WHERE length(text) > 12) c WHERE has_percent OR has_money OR is_obligation OR is_permission OR has_reference"
+    """Offline extraction: sentences of chunks as claims, with the kinds of statement that their chunk holds."""
+    low = "lower(k.text)"
+    flags = {"has_obligation": ("must", "shall", "required", "mandatory"), "has_permission": ("may", "can", "optional", "allowed"), "has_condition": ("if", "unless", "except", "provided that")}
+    cols = ", ".join(f"{any_of(d, low, words_)} AS {n}" for n, words_ in flags.items())
+    return f"SELECT c.claim_id, length(c.text) AS n_chars, {cols} FROM {claims(d)} c JOIN {chunks(d)} k ON c.chunk_id = k.chunk_id"
+
+
+@plan
+def f34_references(d):
+    """Figures, tables, sections and relative dates that chunks name."""
+    ref, day = d.extract_all("text", "((?:Figure|Table|Section) [0-9]+)", 1), d.extract_all("lower(text)", "(yesterday|today|tomorrow|next month|last year)", 1)
+    return f"SELECT chunk_id, v AS target, CASE WHEN v LIKE 'Figure%' THEN 'figure' WHEN v LIKE 'Table%' THEN 'table' WHEN v LIKE 'Section%' THEN 'section' ELSE 'relative date' END AS kind, {d.int('pos')} AS nth FROM (SELECT chunk_id, {ref} AS vs FROM {chunks(d)} c UNION ALL SELECT chunk_id, {day} FROM {chunks(d)} c) x {d.each('vs', 'v', 'pos')}"
 
 
 @plan
 def f37_values(d):
-    own = rows((-1, "18 percent of $ 12.5 for 30 days, then 12 percent"), (-2, "no numbers"), names="doc_id, text")
-    every = f"SELECT doc_id, text FROM {own} o UNION ALL SELECT doc_id, text FROM documents"
-    pct = d.extract_all("text", r"(\d+(?:\.\d+)?)\s*(?:%|percent)", 1)
-    return f"SELECT doc_id, unit, CAST(v AS DOUBLE) AS value, {d.int('pos')} AS nth FROM (SELECT doc_id, 'percent' AS unit, {pct} AS vs FROM ({every}) e UNION ALL SELECT doc_id, 'days', {d.extract_all('text', '([0-9]+) days', 1)} FROM ({every}) f) x {d.each('vs', 'v', 'pos')}"
+    """Percentages, sums of money and durations of chunks, as numbers."""
+    units = (("percent", r"(\d+(?:\.\d+)?)\s*(?:%|percent)"), ("money", r"\$\s?(\d+(?:\.\d+)?)"), ("duration", r"(?i)(\d+)\s+(?:minutes?|hours?|days?|months?|years?)"))
+    every = " UNION ALL ".join(f"SELECT chunk_id, '{u}' AS unit, {d.extract_all('text', p, 1)} AS vs FROM {chunks(d)} c" for u, p in units)
+    return f"SELECT chunk_id, unit, CAST(v AS DOUBLE) AS value, {d.int('pos')} AS nth FROM ({every}) x {d.each('vs', 'v', 'pos')}"
 
 
 @plan
 def a23_numeric_conflict(d):
-    own = rows(("c1", "k1", "fee is 18 percent"), ("c1", "k2", "fee is 12 percent"), ("c2", "k3", "5 percent"), ("c2", "k4", "5 percent"), names="cluster, chunk, text")
-    v = f"SELECT cluster, chunk, v FROM {own} o {d.each(d.extract_all('text', '([0-9]+) percent', 1), 'v', 'pos')}"
-    return f"SELECT cluster, count(*) AS n, count(DISTINCT v) > 1 AS conflict FROM ({v}) x GROUP BY cluster HAVING count(*) > 1"
+    """Clusters of chunks with more than one number of a unit, and whether they differ."""
+    v = f"SELECT c.doc_id, c.cluster_id, c.chunk_id, v FROM {chunks(d)} c {d.each(d.extract_all('text', r'(\d+(?:[.]\d+)?)\s*(?:%|percent)', 1), 'v', 'pos')}"
+    return f"SELECT doc_id, cluster_id, count(*) AS n, count(DISTINCT v) > 1 AS conflict FROM ({v}) x GROUP BY doc_id, cluster_id HAVING count(*) > 1"
 
 
 @plan
 def a24_term_variants(d):
     root = "CASE WHEN term IN ('customer', 'client', 'buyer') THEN 'customer' WHEN term IN ('employee', 'staff', 'personnel') THEN 'employee' END"
-    own = rows((1, "a", "the customer pays"), (1, "b", "the client pays"), (2, "c", "staff only"), names="cluster, chunk, text")
-    t = f"SELECT cluster, chunk, term, {root} AS root FROM {own} o {d.each(words(d, 'text'), 'term', 'pos')}"
-    return f"SELECT cluster, root, count(DISTINCT term) AS variants, count(DISTINCT chunk) AS chunks FROM ({t}) x WHERE root IS NOT NULL GROUP BY cluster, root HAVING count(DISTINCT chunk) > 1 AND count(DISTINCT term) > 1"
+    t = f"SELECT cluster_id, chunk_id, term, {root} AS root FROM {chunks(d)} c {d.each(words(d, 'text'), 'term', 'pos')}"
+    return f"SELECT cluster_id, root, count(DISTINCT term) AS variants, count(DISTINCT chunk_id) AS chunks FROM ({t}) x WHERE root IS NOT NULL GROUP BY cluster_id, root HAVING count(DISTINCT chunk_id) > 1 AND count(DISTINCT term) > 1"
 
 
 @plan
 def a25_duplicate_obligations(d):
-    own = rows((1, "a", "You must sign"), (1, "b", "You shall sign"), (2, "c", "You may sign"), names="cluster, chunk, text")
     n = f"count_if({d.like('text', '(?i)(must|shall)')})"
-    return f"SELECT cluster, {d.long(n)} AS n FROM {own} o GROUP BY cluster HAVING {n} > 1"
+    return f"SELECT doc_id, cluster_id, {d.long(n)} AS n FROM {chunks(d)} c GROUP BY doc_id, cluster_id HAVING {n} > 1"
 
 
 @plan
 def a21_duplicate_headings(d):
-    return f"SELECT section_path, lower(heading) AS heading, count(*) AS n, min(knowledge_id) AS first_id, max(knowledge_id) AS last_id FROM {OBJECTS} o GROUP BY section_path, lower(heading) HAVING count(*) > 1"
+    return f"SELECT doc_id, section_path, lower(heading) AS heading, count(*) AS n, min(knowledge_id) AS first_id, max(knowledge_id) AS last_id FROM {objects(d)} o GROUP BY doc_id, section_path, lower(heading) HAVING count(*) > 1"
 
 
 @plan
 def a22_mixed_notation(d):
     a, b = d.like("lower(text)", "crore|lakh"), d.like("lower(text)", "million|billion")
-    return f"SELECT max(CASE WHEN {a} THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN {b} THEN 1 ELSE 0 END) = 1 AS mixed, min(CASE WHEN {a} THEN knowledge_id END) AS first_indian, min(CASE WHEN {b} THEN knowledge_id END) AS first_western FROM {OBJECTS} o"
+    return f"SELECT doc_id, max(CASE WHEN {a} THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN {b} THEN 1 ELSE 0 END) = 1 AS mixed, min(CASE WHEN {a} THEN knowledge_id END) AS first_indian, min(CASE WHEN {b} THEN knowledge_id END) AS first_western FROM {objects(d)} o GROUP BY doc_id"
 
 
 @plan
 def f40_broken_page_refs(d):
-    refs = f"SELECT knowledge_id, CAST(p AS INT) AS page FROM {OBJECTS} o {d.each(d.extract_all('text', '(?i)page ([0-9]+)', 1), 'p', 'pos')}"
-    return f"SELECT knowledge_id, page FROM ({refs}) r WHERE page > (SELECT max(page) FROM {OBJECTS} q)"
+    refs = f"SELECT doc_id, knowledge_id, CAST(p AS INT) AS page FROM {objects(d)} o {d.each(d.extract_all('text', '(?i)page ([0-9]+)', 1), 'p', 'pos')}"
+    return f"SELECT r.knowledge_id, r.page FROM ({refs}) r JOIN (SELECT doc_id, max(page) AS pages FROM {objects(d)} q GROUP BY doc_id) q ON r.doc_id = q.doc_id WHERE r.page > q.pages"
 
 
 @plan
 def j21_missing_sections(d):
-    refs = f"SELECT knowledge_id, s FROM {OBJECTS} o {d.each(d.extract_all('text', '(?i)section ([0-9]+[.][0-9]+)', 1), 's', 'pos')}"
-    have = f"SELECT DISTINCT {d.extract('heading', '^([0-9]+[.][0-9]+)', 1)} AS s FROM {OBJECTS} h"
-    return f"SELECT r.knowledge_id, r.s AS section FROM ({refs}) r LEFT JOIN ({have}) h ON r.s = h.s WHERE h.s IS NULL"
+    refs = f"SELECT doc_id, knowledge_id, s FROM {objects(d)} o {d.each(d.extract_all('text', '(?i)section ([0-9]+[.][0-9]+)', 1), 's', 'pos')}"
+    have = f"SELECT DISTINCT doc_id, {d.extract('heading', '^([0-9]+[.][0-9]+)', 1)} AS s FROM {objects(d)} h"
+    return f"SELECT r.knowledge_id, r.s AS section FROM ({refs}) r LEFT JOIN ({have}) h ON r.doc_id = h.doc_id AND r.s = h.s WHERE h.s IS NULL"
 
 
 @plan
 def j22_value_conflicts(d):
-    v = f"SELECT knowledge_id, {d.extract('text', '(?i)(effective date is) ([0-9-]+)', 1)} AS what, {d.extract('text', '(?i)(effective date is) ([0-9-]+)', 2)} AS v FROM {OBJECTS} o"
-    first = f"SELECT *, first_value(v) OVER (PARTITION BY what ORDER BY knowledge_id) AS first_v, first_value(knowledge_id) OVER (PARTITION BY what ORDER BY knowledge_id) AS first_id FROM ({v}) x WHERE what <> ''"
+    v = f"SELECT doc_id, knowledge_id, {d.extract('text', '(?i)(effective date is) ([0-9-]+)', 1)} AS what, {d.extract('text', '(?i)(effective date is) ([0-9-]+)', 2)} AS v FROM {objects(d)} o"
+    first = f"SELECT *, first_value(v) OVER (PARTITION BY doc_id, what ORDER BY knowledge_id) AS first_v, first_value(knowledge_id) OVER (PARTITION BY doc_id, what ORDER BY knowledge_id) AS first_id FROM ({v}) x WHERE what <> ''"
     return f"SELECT what, first_id, first_v, knowledge_id AS other_id, v AS other_v FROM ({first}) f WHERE v <> first_v AND knowledge_id <> first_id"
 
 
 @plan
 def w8_heading_gaps(d):
-    n = f"SELECT knowledge_id, CAST({d.extract('heading', '^([0-9]+)[.]([0-9]+)', 1)} AS INT) AS major, CAST({d.extract('heading', '^([0-9]+)[.]([0-9]+)', 2)} AS INT) AS minor FROM {OBJECTS} o"
-    return f"SELECT knowledge_id, before, minor FROM (SELECT *, lag(minor) OVER (PARTITION BY major ORDER BY knowledge_id) AS before FROM ({n}) x) y WHERE minor - before > 1"
+    n = f"SELECT doc_id, knowledge_id, CAST({d.extract('heading', '^([0-9]+)[.]([0-9]+)', 1)} AS INT) AS major, CAST({d.extract('heading', '^([0-9]+)[.]([0-9]+)', 2)} AS INT) AS minor FROM {objects(d)} o WHERE {d.like('heading', '^[0-9]+[.][0-9]+')}"
+    return f"SELECT knowledge_id, before, minor FROM (SELECT *, lag(minor) OVER (PARTITION BY doc_id, major ORDER BY knowledge_id) AS before FROM ({n}) x) y WHERE minor - before > 1"
 
 
 @plan
@@ -269,7 +252,7 @@ def u3_all_checks(d):
 @plan
 def d10_candidate_groups(d):
     """Objects by section: groups of two or more, the first fifteen of each."""
-    return f"SELECT section_path, knowledge_id FROM (SELECT *, row_number() OVER (PARTITION BY section_path ORDER BY knowledge_id) AS rn, count(*) OVER (PARTITION BY section_path) AS n FROM {OBJECTS} o) x WHERE n >= 2 AND rn <= 15"
+    return f"SELECT doc_id, section_path, knowledge_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section_path ORDER BY knowledge_id) AS rn, count(*) OVER (PARTITION BY doc_id, section_path) AS n FROM {objects(d)} o) x WHERE n >= 2 AND rn <= 15"
 
 
 def number_value(phrase):
@@ -298,6 +281,8 @@ def f39_words_against_digits(spark, sf_dir):
     """Numbers in words that differ from the digits in brackets behind them."""
     from pyspark.sql import functions as F
 
-    o = spark.sql(f"SELECT knowledge_id, text FROM {OBJECTS} o")
+    sql = f"SELECT knowledge_id, text FROM {objects(SPARK)} o"
+    views(spark, sf_dir, sql)
+    o = spark.sql(sql)
     o = o.withColumn("worded", number_value(F.regexp_extract("text", "(?i)" + _WORDED, 1))).withColumn("digits", F.regexp_extract("text", "(?i)" + _WORDED, 2).try_cast("double"))
     return o.where("worded <> digits").select("knowledge_id", "worded", "digits")

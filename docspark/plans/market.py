@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
+from docspark.plans import derived
+from docspark.plans.derived import claims, profiles
 from docspark.plans.dialect import plan, rows
 
-HITS = rows(
-    (1, "Acme Industries Ltd | Official Site", "https://www.acme.com/about", 0.9), (2, "Acme Industries annual report", "https://acme.com/report", 0.8), (3, "Bolt Systems Pvt. Ltd.", "https://bolt.io/", 0.7),
-    (4, "Top ten competitors of Target Corp", "https://www.wikipedia.org/wiki/Top", 0.95), (5, "Target Corp careers", "https://target.com/jobs", 0.9), (6, "Bolt Systems overview", "https://www.bolt.io/overview", 0.6), (7, "Bolt", "https://bolt.io/", 0.6),
-    names="hit_id, title, url, score",
-)
 NOISE = ("wikipedia.org", "linkedin.com", "facebook.com", "youtube.com", "glassdoor.com")
-PROFILES = rows(("Target", "service", "design"), ("Target", "service", "build"), ("Acme", "service", "design"), ("Acme", "technology", "cloud"), ("Bolt", "service", "audit"), ("Bolt", "technology", "cloud"), names="company, attribute, value")
 
 
 def hits(d) -> str:
     host = f"regexp_replace(lower({d.extract('url', '^[a-z]+://([^/]+)', 1)}), '^www[.]', '')"
-    name = d.sub(d.sub("lower(title)", r"\s*[|].*$", ""), r"\b(ltd|pvt|inc|corp|limited|official site|annual report|overview|careers)\b[.]?", "")
-    return f"SELECT hit_id, title, url, score, {host} AS domain, trim({d.sub(name, '[^a-z0-9 ]', '')}) AS company FROM {HITS} h"
+    name = d.sub(d.sub("lower(title)", r"\s*[|].*$", ""), r"(?:^|[^a-z0-9])(?:ltd|pvt|inc|corp|limited|official site|annual report|overview|careers)(?:$|[^a-z0-9])", " ")
+    return f"SELECT hit_id, title, url, score, {host} AS domain, trim({d.sub(name, '[^a-z0-9 ]', '')}) AS company FROM {derived.hits(d)} h"
 
 
 def useful(d) -> str:
@@ -79,19 +75,19 @@ def o12_top_competitors(d):
 
 @plan
 def j23_new_urls(d):
-    more = rows((8, "https://bolt.io/"), (9, "https://new.io/x"), names="hit_id, url")
-    return f"SELECT m.hit_id, m.url FROM {more} m LEFT JOIN {HITS} h ON m.url = h.url WHERE h.url IS NULL"
+    more = f"(SELECT hit_id, url FROM {rows((8, 'https://bolt.io/'), (9, 'https://new.io/x'), names='hit_id, url')} v UNION ALL SELECT page_id, {d.sub('url', '[?].*$', '')} FROM pages)"
+    return f"SELECT m.hit_id, m.url FROM {more} m LEFT JOIN {derived.hits(d)} h ON m.url = h.url WHERE h.url IS NULL"
 
 
 @plan
 def j24_comparison(d):
     """Target against competitors by attribute, in long form."""
-    return f"SELECT c.company, c.attribute, count(t.value) AS shared, count(*) AS own FROM {PROFILES} c LEFT JOIN {PROFILES} t ON t.company = 'Target' AND t.attribute = c.attribute AND t.value = c.value WHERE c.company <> 'Target' GROUP BY c.company, c.attribute"
+    return f"SELECT c.company, c.attribute, count(t.value) AS shared, count(*) AS own FROM {profiles(d)} c LEFT JOIN {profiles(d)} t ON t.company = 'Target' AND t.attribute = c.attribute AND t.value = c.value WHERE c.company <> 'Target' GROUP BY c.company, c.attribute"
 
 
 @plan
 def a32_peer_union(d):
-    return f"SELECT attribute, {d.strings('value', ', ', 'value')} AS all_values FROM (SELECT DISTINCT attribute, value FROM {PROFILES} p WHERE company <> 'Target') u GROUP BY attribute"
+    return f"SELECT attribute, {d.strings('value', ', ', 'value')} AS all_values FROM (SELECT DISTINCT attribute, value FROM {profiles(d)} p WHERE company <> 'Target') u GROUP BY attribute"
 
 
 @plan
@@ -112,7 +108,7 @@ def a31_owner_vote(d):
 
 @plan
 def p22_sanitised_items(d):
-    own = rows((1, "Fast delivery"), (1, "fast delivery"), (1, "as an AI model"), (2, "Lorem ipsum"), names="company, item")
+    own = f"(SELECT company, item FROM {rows((-1, 'Fast delivery'), (-1, 'fast delivery'), (-1, 'as an AI model'), (-2, 'Lorem ipsum'), names='company, item')} v UNION ALL SELECT doc_id, text FROM {claims(d)} c)"
     return f"SELECT company, min(item) AS item FROM {own} o WHERE NOT {d.like('lower(item)', 'as an ai|lorem ipsum')} GROUP BY company, lower(item)"
 
 
@@ -124,4 +120,4 @@ def p32_recommendations(d):
 
 @plan
 def f51_position_scores(d):
-    return f"SELECT company, {d.int('90 - 5 * (row_number() OVER (ORDER BY company) - 1)')} AS score FROM (SELECT DISTINCT company FROM {PROFILES} p) c"
+    return f"SELECT company, {d.int('90 - 5 * (row_number() OVER (ORDER BY company) - 1)')} AS score FROM (SELECT DISTINCT company FROM {profiles(d)} p) c"

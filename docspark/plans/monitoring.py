@@ -49,7 +49,7 @@ def o14_newest_jobs(d):
 
 @plan
 def x4_log_stages(d):
-    log = rows((1, "Preprocessing started"), (2, "Splitting sentences"), (3, "Merging issues"), (4, "other"), names="line, text")
+    log = f"(SELECT line, text FROM {rows((-1, 'Preprocessing started'), (-2, 'Splitting sentences'), (-3, 'Merging issues'), (-4, 'other'), names='line, text')} v UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations)"
     rules = (("preprocess", "preprocessing", 20), ("sentence", "sentences", 40), ("merg", "merge", 80))
     stage = " ".join(f"WHEN {d.contains('lower(text)', d.text(k))} THEN '{s}'" for k, s, _ in rules)
     pct = " ".join(f"WHEN {d.contains('lower(text)', d.text(k))} THEN {p}" for k, _, p in rules)
@@ -58,13 +58,13 @@ def x4_log_stages(d):
 
 @plan
 def u12_latest_upload(d):
-    up = rows(("a.pdf", 1, 10), ("a.pdf", 2, 20), ("b.txt", 3, 5), names="filename, job, no")
+    up = f"(SELECT filename, job, no FROM {rows(('a.pdf', -1, 10), ('a.pdf', -2, 20), ('b.txt', -3, 5), names='filename, job, no')} v UNION ALL SELECT {d.extract('url', '([^/?#]*)(?:[?#].*)?$', 1)}, page_id, page_id FROM pages)"
     return f"SELECT filename, max_by(job, no) AS job FROM {up} u GROUP BY filename"
 
 
 @plan
 def s2_type_guard(d):
-    f = rows(("a.PDF",), ("b.docx",), ("c.txt",), ("d.exe",), ("noext",), names="path")
+    f = f"(SELECT path FROM {rows(('a.PDF',), ('b.docx',), ('c.txt',), ('d.exe',), ('noext',), names='path')} v UNION ALL SELECT url FROM pages)"
     ext = "lower(" + d.extract("path", r"\.([A-Za-z0-9]+)$", 1) + ")"
     return f"SELECT path, {ext} IN ('pdf', 'docx', 'txt') AS supported FROM {f} f"
 
@@ -78,15 +78,17 @@ def s13_image_filter(d):
 @plan
 def s10_ancestor_path(d):
     """Paths from the root over parents, at most fifty steps."""
-    e = rows((1, None, "Root"), (2, 1, "A"), (3, 2, "B"), (4, 9, "Lost"), names="id, parent, name")
+    tree = "SELECT concat('r', {0}) AS id, CAST(NULL AS {2}) AS parent, r_name AS name FROM region UNION ALL SELECT concat('n', {1}), concat('r', n_regionkey), n_name FROM nation UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), s_name FROM supplier"
     string = "STRING" if d.__class__.__name__ == "SparkSql" else "VARCHAR"
+    e = f"(SELECT id, parent, name FROM {rows(('1', None, 'Root'), ('2', '1', 'A'), ('3', '2', 'B'), ('4', '9', 'Lost'), names='id, parent, name')} v UNION ALL {tree.format('r_regionkey', 'n_nationkey', string)})"
     return f"WITH RECURSIVE t(id, path, depth) AS (SELECT id, CAST(name AS {string}), 0 FROM {e} r WHERE parent IS NULL UNION ALL SELECT c.id, CAST(concat(t.path, ' > ', c.name) AS {string}), t.depth + 1 FROM {e} c JOIN t ON c.parent = t.id WHERE t.depth < 50) SELECT id, path FROM t"
 
 
 @plan
 def s14_captions(d):
-    e = rows((1, "image", "c1", None), (2, "table", None, None), (3, "caption", "c1", "Figure 1: x"), names="id, kind, ref, text")
-    return f"SELECT a.id, b.text AS caption FROM {e} a LEFT JOIN {e} b ON b.kind = 'caption' AND a.ref = b.ref WHERE a.kind <> 'caption'"
+    from docspark.plans.derived import elements
+
+    return f"SELECT a.doc_id, a.element_id, b.text AS caption FROM {elements(d)} a LEFT JOIN {elements(d)} b ON b.kind = 'caption' AND a.doc_id = b.doc_id AND a.caption_id = b.element_id WHERE a.kind IN ('picture', 'table')"
 
 
 @plan

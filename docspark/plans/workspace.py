@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from docspark.plans.dialect import plan, rows
-from docspark.plans.findings import OBJECTS, scored
+from docspark.plans.derived import WRONG_WORDS, ambiguities, cells, chunks, claims, elements, entities, objects
+from docspark.plans.findings import scored
 from docspark.plans.layout import classified, paragraphs, sentences
 from docspark.plans.retrieval import bm25, edges, fused, neighbours, search_pairs, top
 from docspark.plans.spans import bucketed, candidates, decided, gated, merged
 from docspark.plans.retrieval import QUERIES as SEARCHES
 from docspark.plans.text import words
 
-ELEMENTS = rows((1, "heading", "1 Scope", None, None), (2, "text", "All staff must report.", None, None), (3, "list", "* a - b", None, None), (4, "table", "| a | b |", 6, None), (5, "picture", "", 7, "chart"), (6, "caption", "Table 1: rates", None, None), (7, "caption", "Figure 1: map", None, None), (8, "code", "x = 1", None, None), names="element_id, kind, text, caption_id, description")
-CELLS = rows((1, 0, 0, 1, 2, "Rate"), (1, 1, 0, 1, 1, "a"), (1, 1, 1, 1, 1, "18"), (2, 0, 0, 2, 1, "x"), names="table_id, row_no, col_no, row_span, col_span, text")
-CLAIMS = rows(("c1", "k1", "The fee is 18 percent"), ("c2", "k1", "Acme pays the fee"), ("c3", "k2", "Staff must report soon"), ("c4", "k3", "It may be approximately 5"), names="claim_id, chunk_id, text")
-AMBIGUITIES = rows(("a1", "k1", "fee", "vague", 0.8), ("a2", "k2", "soon", "temporal", 0.9), ("a3", "k3", "approximately", "approximation", 0.5), ("a4", "k9", "none", "vague", 0.9), names="issue_id, chunk_id, quote, kind, confidence")
-CHUNKS = rows(("k1", 1, "c1"), ("k2", 2, "c1"), ("k3", 2, "c2"), names="chunk_id, page, cluster_id")
-ENTITIES = rows((1, "Acme", "k1"), (2, "Bolt", "k2"), (3, "fee", "k3"), names="entity_id, text, chunk_id")
+
+@plan
+def f36_claim_status(d):
+    """Claims with a wrong word are partial, and written anew."""
+    wrong = " ".join(f"WHEN {d.contains('lower(text)', d.text(w))} THEN replace(text, {d.text(w)}, {d.text(put)})" for w, _, _, put in WRONG_WORDS)
+    return f"SELECT claim_id, CASE WHEN rewritten IS NULL THEN 'valid' ELSE 'partial' END AS status, CASE WHEN rewritten IS NULL THEN 0.95 ELSE 0.80 END * CAST(1 AS DOUBLE) AS confidence, coalesce(rewritten, text) AS rewritten FROM (SELECT claim_id, text, CASE {wrong} END AS rewritten FROM {claims(d)} c) x"
 
 
 @plan
@@ -59,40 +60,41 @@ def p27_documents_by_name(d):
 @plan
 def p29_issue_normaliser(d):
     i = rows((None, 0, None), ("x", 3, "high"), (None, 2, "low"), names="issue_id, page, severity")
-    n = f"SELECT *, row_number() OVER (ORDER BY page, severity) AS ord FROM {i} i"
-    return f"SELECT coalesce(issue_id, concat('issue_', ord)) AS issue_id, greatest(page, 1) AS page, coalesce(severity, 'medium') AS severity FROM ({n}) x"
+    every = f"SELECT -1 AS doc_id, issue_id, page, severity FROM {i} i UNION ALL SELECT doc_id, CASE WHEN rule_ = 0 THEN NULL ELSE issue_id END, page - rule_, CASE WHEN rule_ = 0 THEN NULL ELSE severity END FROM (SELECT *, page % 2 AS rule_ FROM {ambiguities(d)} a) b"
+    n = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, coalesce(severity, ''), coalesce(issue_id, '')) AS ord FROM ({every}) i"
+    return f"SELECT doc_id, coalesce(issue_id, concat('issue_', ord)) AS issue_id, greatest(page, 1) AS page, coalesce(severity, 'medium') AS severity FROM ({n}) x"
 
 
 @plan
 def p30_object_types(d):
-    return f"SELECT element_id, CASE WHEN kind = 'heading' THEN 'Heading' WHEN kind = 'list' AND {d.like('text', '[*-]')} THEN 'Bullet List' WHEN kind = 'list' THEN 'List' WHEN kind = 'code' THEN 'Code Block' WHEN kind = 'caption' THEN 'Caption' WHEN kind = 'table' THEN 'Table' WHEN kind = 'picture' THEN 'Image' ELSE 'Paragraph' END AS object_type FROM {ELEMENTS} e"
+    return f"SELECT doc_id, element_id, CASE WHEN kind = 'heading' THEN 'Heading' WHEN kind = 'list' AND {d.like('text', '[*-]')} THEN 'Bullet List' WHEN kind = 'list' THEN 'List' WHEN kind = 'code' THEN 'Code Block' WHEN kind = 'caption' THEN 'Caption' WHEN kind = 'table' THEN 'Table' WHEN kind = 'picture' THEN 'Image' ELSE 'Paragraph' END AS object_type FROM {elements(d)} e"
 
 
 @plan
 def s9_elements(d):
-    return f"SELECT e.element_id, e.kind, c.text AS caption FROM {ELEMENTS} e LEFT JOIN {ELEMENTS} c ON e.caption_id = c.element_id"
+    return f"SELECT e.doc_id, e.element_id, e.kind, c.text AS caption FROM {elements(d)} e LEFT JOIN {elements(d)} c ON e.doc_id = c.doc_id AND e.caption_id = c.element_id"
 
 
 @plan
 def j27_caption_targets(d):
-    return f"SELECT c.element_id AS caption_id, e.element_id AS target_id FROM {ELEMENTS} c JOIN {ELEMENTS} e ON e.caption_id = c.element_id"
+    return f"SELECT c.doc_id, c.element_id AS caption_id, e.element_id AS target_id FROM {elements(d)} c JOIN {elements(d)} e ON e.doc_id = c.doc_id AND e.caption_id = c.element_id"
 
 
 @plan
 def d11_typed_objects(d):
     """One object for an element; a table gives one more for each cell, an image one for its description."""
-    every = f"SELECT element_id, 0 AS sub, kind AS what, text FROM {ELEMENTS} e UNION ALL SELECT 4, {d.int('row_no * 10 + col_no + 1')}, 'cell', text FROM {CELLS} c WHERE table_id = 1 UNION ALL SELECT element_id, 1, 'description', description FROM {ELEMENTS} x WHERE description IS NOT NULL"
-    return f"SELECT {d.int('row_number() OVER (ORDER BY element_id, sub)')} AS seq, what, text FROM ({every}) o"
+    every = f"SELECT doc_id, 0 AS part, element_id, 0 AS sub, kind AS what, text FROM {elements(d)} e UNION ALL SELECT doc_id, 1, table_id, {d.int('row_no * 1000 + col_no')}, 'cell', text FROM {cells(d)} c UNION ALL SELECT doc_id, 0, element_id, 1, 'description', description FROM {elements(d)} x WHERE description IS NOT NULL"
+    return f"SELECT doc_id, {d.int('row_number() OVER (PARTITION BY doc_id ORDER BY part, element_id, sub)')} AS seq, what, text FROM ({every}) o"
 
 
 @plan
 def s11_table_size(d):
-    return f"SELECT table_id, max(row_no + row_span) AS n_rows, max(col_no + col_span) AS n_cols FROM {CELLS} c GROUP BY table_id"
+    return f"SELECT doc_id, table_id, max(row_no + row_span) AS n_rows, max(col_no + col_span) AS n_cols FROM {cells(d)} c GROUP BY doc_id, table_id"
 
 
 @plan
 def s15_description_parser(d):
-    i = rows((1, "Type: chart\nDescription: sales by year\nObjects: bar, axis"), (2, "no fields"), names="image, answer")
+    i = f"(SELECT image, answer FROM {rows((-1, 'Type: chart' + chr(10) + 'Description: sales by year' + chr(10) + 'Objects: bar, axis'), (-2, 'no fields'), names='image, answer')} v UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations)"
     field = lambda name: f"nullif({d.extract('answer', name + ': ([^' + chr(10) + ']*)', 1)}, '')"
     return f"SELECT image, coalesce({field('Type')}, 'image') AS kind, coalesce({field('Description')}, answer) AS description, {field('Objects')} AS objects FROM {i} i"
 
@@ -105,13 +107,13 @@ def s20_collection_names(d):
 @plan
 def j7_entity_index(d):
     q = rows((1, "what does Acme pay"), (2, "the fee of Bolt"), names="query_id, query")
-    return f"SELECT DISTINCT q.query_id, e.chunk_id FROM {q} q JOIN {ENTITIES} e ON {d.contains('lower(q.query)', 'lower(e.text)')}"
+    return f"SELECT DISTINCT q.query_id, e.chunk_id FROM {q} q JOIN {entities(d)} e ON {d.contains('lower(q.query)', 'lower(e.text)')}"
 
 
 @plan
 def j8_heading_match(d):
     q = rows((1, "scope of the introduction"), (2, "results"), names="query_id, query")
-    return f"SELECT q.query_id, o.knowledge_id FROM {q} q JOIN {OBJECTS} o ON {d.contains('q.query', 'lower(' + d.extract('o.heading', '[A-Za-z]+', 0) + ')')}"
+    return f"SELECT q.query_id, o.knowledge_id FROM {q} q JOIN {objects(d)} o ON {d.extract('o.heading', '[A-Za-z]+', 0)} <> '' AND {d.contains('q.query', 'lower(' + d.extract('o.heading', '[A-Za-z]+', 0) + ')')}"
 
 
 @plan
@@ -123,59 +125,63 @@ def j10_fill_candidates(d):
 
 @plan
 def j13_cluster_context(d):
-    return f"SELECT k.cluster_id, k.chunk_id, c.claim_id, a.issue_id FROM {CHUNKS} k LEFT JOIN {CLAIMS} c ON k.chunk_id = c.chunk_id LEFT JOIN {AMBIGUITIES} a ON k.chunk_id = a.chunk_id"
+    return f"SELECT k.cluster_id, k.chunk_id, c.claim_id, a.issue_id FROM {chunks(d)} k LEFT JOIN {claims(d)} c ON k.chunk_id = c.chunk_id LEFT JOIN {ambiguities(d)} a ON k.chunk_id = a.chunk_id"
 
 
 @plan
 def j14_validated_claims(d):
-    v = rows(("c1", "valid"), ("c9", "partial"), names="claim_id, status")
-    return f"SELECT v.claim_id, v.status, coalesce(c.text, 'N/A') AS original FROM {v} v LEFT JOIN {CLAIMS} c ON v.claim_id = c.claim_id"
+    v = f"(SELECT claim_id, status FROM ({f36_claim_status(d)}) s UNION ALL SELECT 'gone', 'partial')"
+    return f"SELECT v.claim_id, v.status, coalesce(c.text, 'N/A') AS original FROM {v} v LEFT JOIN {claims(d)} c ON v.claim_id = c.claim_id"
 
 
 @plan
 def j15_entity_claim(d):
     """The first claim of an entity's chunk that names it, else the chunk's first claim."""
-    best = f"SELECT e.entity_id, c.claim_id, row_number() OVER (PARTITION BY e.entity_id ORDER BY CASE WHEN {d.contains('c.text', 'e.text')} THEN 0 ELSE 1 END, c.claim_id) AS rn FROM {ENTITIES} e LEFT JOIN {CLAIMS} c ON e.chunk_id = c.chunk_id"
+    best = f"SELECT e.entity_id, c.claim_id, row_number() OVER (PARTITION BY e.entity_id ORDER BY CASE WHEN {d.contains('c.text', 'e.text')} THEN 0 ELSE 1 END, c.claim_id) AS rn FROM {entities(d)} e LEFT JOIN {claims(d)} c ON e.chunk_id = c.chunk_id"
     return f"SELECT entity_id, claim_id FROM ({best}) b WHERE rn = 1"
 
 
 @plan
 def j16_affected_claims(d):
-    return f"SELECT a.issue_id, {d.strings('c.claim_id', ',', 'c.claim_id')} AS claims FROM {AMBIGUITIES} a JOIN {CLAIMS} c ON a.chunk_id = c.chunk_id AND {d.contains('c.text', 'a.quote')} GROUP BY a.issue_id"
+    return f"SELECT a.issue_id, {d.strings('c.claim_id', ',', 'c.claim_id')} AS claims FROM {ambiguities(d)} a JOIN {claims(d)} c ON a.chunk_id = c.chunk_id AND {d.contains('c.text', 'a.quote')} GROUP BY a.issue_id"
 
 
 @plan
 def j17_evidence_pages(d):
-    return f"SELECT a.issue_id, a.quote, k.page FROM {AMBIGUITIES} a LEFT JOIN {CHUNKS} k ON a.chunk_id = k.chunk_id"
+    return f"SELECT a.issue_id, a.quote, k.page FROM {ambiguities(d)} a LEFT JOIN {chunks(d)} k ON a.chunk_id = k.chunk_id"
 
 
 @plan
 def j18_side_by_side(d):
-    i = rows((1, "k1", "k2"), (2, "k3", "zz"), names="issue, a, b")
-    return f"SELECT i.issue, x.text AS left_text, y.text AS right_text FROM {i} i LEFT JOIN {OBJECTS} x ON i.a = x.knowledge_id LEFT JOIN {OBJECTS} y ON i.b = y.knowledge_id"
+    """Issues over two objects: neighbours under one heading, and one whose second object is gone."""
+    pairs = f"SELECT doc_id, knowledge_id AS a, lead(knowledge_id) OVER (PARTITION BY doc_id, heading ORDER BY knowledge_id) AS b FROM {objects(d)} o"
+    i = f"(SELECT a AS issue, a, coalesce(b, 'gone') AS b FROM ({pairs}) p)"
+    return f"SELECT i.issue, x.text AS left_text, y.text AS right_text FROM {i} i LEFT JOIN {objects(d)} x ON i.a = x.knowledge_id LEFT JOIN {objects(d)} y ON i.b = y.knowledge_id"
 
 
 @plan
 def j19_unverified(d):
-    a = rows((1, "k2", "k1"), (2, "k3", "k4"), names="id, x, y")
-    b = rows(("k1", "k2"), names="x, y")
-    return f"SELECT a.id FROM {a} a LEFT JOIN {b} b ON least(a.x, a.y) = least(b.x, b.y) AND greatest(a.x, a.y) = greatest(b.x, b.y) WHERE b.x IS NULL"
+    """Pairs that a search proposes and that aren't, in either order, among the verified ones."""
+    a, b = f"(SELECT query_id AS x, vec_id AS y FROM ({neighbours(d)}) n)", f"(SELECT b AS x, a AS y FROM ({edges(d)}) e WHERE similarity >= 0.3)"
+    return f"SELECT a.x, a.y FROM {a} a LEFT JOIN {b} b ON least(a.x, a.y) = least(b.x, b.y) AND greatest(a.x, a.y) = greatest(b.x, b.y) WHERE b.x IS NULL"
 
 
 @plan
 def j20_package(d):
-    return f"SELECT k.cluster_id, count(DISTINCT k.chunk_id) AS n_chunks, count(DISTINCT c.claim_id) AS n_claims, count(DISTINCT a.issue_id) AS n_issues FROM {CHUNKS} k LEFT JOIN {CLAIMS} c ON k.chunk_id = c.chunk_id LEFT JOIN {AMBIGUITIES} a ON k.chunk_id = a.chunk_id GROUP BY k.cluster_id"
+    return f"SELECT k.doc_id, k.cluster_id, count(DISTINCT k.chunk_id) AS n_chunks, count(DISTINCT c.claim_id) AS n_claims, count(DISTINCT a.issue_id) AS n_issues FROM {chunks(d)} k LEFT JOIN {claims(d)} c ON k.chunk_id = c.chunk_id LEFT JOIN {ambiguities(d)} a ON k.chunk_id = a.chunk_id GROUP BY k.doc_id, k.cluster_id"
 
 
 @plan
 def p21_cited_objects_exist(d):
-    cite = rows((1, "k1"), (1, "zz"), (2, "yy"), names="answer, knowledge_id")
-    return f"SELECT c.answer, count(o.knowledge_id) > 0 AS is_cited FROM {cite} c LEFT JOIN {OBJECTS} o ON c.knowledge_id = o.knowledge_id GROUP BY c.answer"
+    """Answers that cite at least one object that there is; each document's answer cites its sixth block and one more."""
+    more = rows((-1, "k1"), (-1, "zz"), (-2, "yy"), names="answer, knowledge_id")
+    cite = f"(SELECT answer, knowledge_id FROM {more} m UNION ALL SELECT doc_id, concat({d.string('doc_id')}, '_000005') FROM documents UNION ALL SELECT doc_id, concat({d.string('doc_id')}, '_999999') FROM documents)"
+    return f"SELECT c.answer, count(o.knowledge_id) > 0 AS is_cited FROM {cite} c LEFT JOIN {objects(d)} o ON c.knowledge_id = o.knowledge_id GROUP BY c.answer"
 
 
 @plan
 def p20_verified(d):
-    return f"SELECT issue_id FROM {AMBIGUITIES} a WHERE confidence >= 0.4 AND kind <> 'none'"
+    return f"SELECT issue_id FROM {ambiguities(d)} a WHERE confidence >= 0.4 AND kind <> 'none'"
 
 
 @plan
@@ -186,20 +192,21 @@ def p19_model_eligible(d):
 
 @plan
 def p6_semantic_gate(d):
-    c = rows((1, True, True), (2, True, False), (3, False, True), names="ord, keeps_meaning, is_better")
-    return f"SELECT ord FROM {c} c WHERE keeps_meaning AND is_better"
+    """Issues that keep the meaning and are better, by the offline rules: little is cut off, and something changes."""
+    c = f"SELECT doc_id, grp, 2 * length(suggestion) >= length(text) AS keeps_meaning, suggestion <> text AS is_better FROM ({merged(d)}) m"
+    return f"SELECT doc_id, grp FROM ({c}) c WHERE keeps_meaning AND is_better"
 
 
 @plan
 def p23_domain_terms(d):
-    t = rows(("chunks",), ("vector index",), ("banana",), names="term")
+    t = f"(SELECT term FROM {rows(('chunks',), ('vector index',), ('banana',), names='term')} v UNION SELECT term FROM benchmark {d.each(words(d, 'text'), 'term', 'pos')})"
     return f"SELECT term, {d.sub('term', 's$', '')} IN ('chunk', 'vector', 'index') OR {d.contains('term', d.text('index'))} AS is_domain FROM {t} t"
 
 
 @plan
 def p31_download_allowed(d):
-    f = rows(("report.json",), ("../etc",), ("summary.csv",), names="name")
-    return f"SELECT name FROM {f} f WHERE name IN ('report.json', 'summary.csv', 'report.md')"
+    f = f"(SELECT -1 AS page_id, name FROM {rows(('report.json',), ('../etc',), ('summary.csv',), names='name')} v UNION ALL SELECT page_id, {d.extract('url', '([^/?#]*)(?:[?#].*)?$', 1)} FROM pages)"
+    return f"SELECT page_id, name FROM {f} f WHERE name IN ('report.json', 'summary.csv', 'report.md')"
 
 
 @plan
@@ -209,17 +216,17 @@ def j26_accepted_issues(d):
 
 @plan
 def a9_claim_totals(d):
-    return f"SELECT (SELECT count(*) FROM {CLAIMS} c) AS claims, (SELECT count(*) FROM {ENTITIES} e) AS entities, (SELECT avg(confidence) FROM {AMBIGUITIES} a) AS mean_confidence"
+    return f"SELECT (SELECT count(*) FROM {claims(d)} c) AS claims, (SELECT count(*) FROM {entities(d)} e) AS entities, (SELECT round(avg(confidence), 6) FROM {ambiguities(d)} a) AS mean_confidence"
 
 
 @plan
 def a10_risk_histogram(d):
-    return f"SELECT CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS risk, count(*) AS n FROM {AMBIGUITIES} a GROUP BY CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END"
+    return f"SELECT CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS risk, count(*) AS n FROM {ambiguities(d)} a GROUP BY CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END"
 
 
 @plan
 def a11_cluster_severity(d):
-    return f"SELECT k.cluster_id, count(*) AS n, max(a.confidence) AS worst FROM {AMBIGUITIES} a JOIN {CHUNKS} k ON a.chunk_id = k.chunk_id GROUP BY k.cluster_id"
+    return f"SELECT k.doc_id, k.cluster_id, count(*) AS n, max(a.confidence) AS worst FROM {ambiguities(d)} a JOIN {chunks(d)} k ON a.chunk_id = k.chunk_id GROUP BY k.doc_id, k.cluster_id"
 
 
 @plan
@@ -272,7 +279,7 @@ def o16_document_sorts(d):
 
 @plan
 def u5_rewrites(d):
-    return f"SELECT claim_id AS id, 'claim' AS kind FROM {CLAIMS} c UNION ALL SELECT issue_id, 'ambiguity' FROM {AMBIGUITIES} a"
+    return f"SELECT claim_id AS id, 'claim' AS kind FROM {claims(d)} c UNION ALL SELECT issue_id, 'ambiguity' FROM {ambiguities(d)} a"
 
 
 @plan
@@ -284,26 +291,24 @@ def u10_shared_words(d):
 
 @plan
 def f35_vague_words(d):
-    """The first vague word of each paragraph of the corpus and of a fixture, with its surroundings."""
-    own = rows((-1, "Reply as soon as possible, approximately by then."), names="doc_id, text")
-    every = f"SELECT doc_id, 0 AS paragraph_id, text FROM {own} o UNION ALL SELECT doc_id, paragraph_id, text FROM ({paragraphs(d)}) p"
-    hit = d.extract("text", "(?i)(approximately|as soon as possible|several|various|some time)", 1)
-    return f"SELECT doc_id, paragraph_id, hit FROM (SELECT doc_id, paragraph_id, {hit} AS hit FROM ({every}) e) x WHERE hit <> ''"
+    return f"SELECT issue_id, kind, severity, confidence, quote, evidence, rewrite FROM {ambiguities(d)} a"
 
 
 @plan
-def f36_claim_status(d):
-    return f"SELECT claim_id, CASE WHEN {d.like('text', '(?i)soon|approximately')} THEN 'partial' ELSE 'valid' END AS status, {d.sub('text', '(?i) (soon|approximately)', ' [state a value]')} AS rewritten FROM {CLAIMS} c"
+def f35_chunk_risk(d):
+    """The first two ambiguities of each chunk count; the risk is of their number."""
+    two = top(f"SELECT chunk_id, issue_id FROM {ambiguities(d)} a WHERE confidence >= 0.7", "chunk_id", "issue_id", 2)
+    return f"SELECT k.chunk_id, count(t.issue_id) AS n, CASE WHEN count(t.issue_id) >= 3 THEN 'High' WHEN count(t.issue_id) > 0 THEN 'Medium' ELSE 'Low' END AS risk FROM {chunks(d)} k LEFT JOIN ({two}) t ON k.chunk_id = t.chunk_id GROUP BY k.chunk_id"
 
 
 @plan
 def f38_date_statements(d):
-    return f"SELECT knowledge_id, {d.extract('text', '(?i)(effective|start|end) date is ([0-9-]+)', 2)} AS value FROM {OBJECTS} o WHERE {d.like('text', '(?i)(effective|start|end) date is [0-9-]+')}"
+    return f"SELECT knowledge_id, {d.extract('text', '(?i)(effective|start|end) date is ([0-9-]+)', 2)} AS value FROM {objects(d)} o WHERE {d.like('text', '(?i)(effective|start|end) date is [0-9-]+')}"
 
 
 @plan
 def f41_heading_numbers(d):
-    return f"SELECT knowledge_id, CAST({d.at(d.split(d.extract('heading', '^[0-9.]+', 0), '[.]'), '0')} AS INT) AS major, CAST({d.at(d.split(d.extract('heading', '^[0-9.]+', 0), '[.]'), '1')} AS INT) AS minor FROM {OBJECTS} o"
+    return f"SELECT knowledge_id, CAST({d.at(d.split(d.extract('heading', '^[0-9.]+', 0), '[.]'), '0')} AS INT) AS major, CAST({d.at(d.split(d.extract('heading', '^[0-9.]+', 0), '[.]'), '1')} AS INT) AS minor FROM {objects(d)} o WHERE {d.like('heading', '^[0-9]+[.][0-9]+')}"
 
 
 @plan
@@ -352,12 +357,12 @@ def a8_topic_labels(d):
 
 @plan
 def a15_executive_groups(d):
-    return f"SELECT category, substr(explanation, 1, 50) AS topic, max(risk_score) AS risk, count(*) AS n, {d.strings('section', '; ', 'finding_id')} AS sections FROM ({scored(d)}) s GROUP BY category, substr(explanation, 1, 50)"
+    return f"SELECT doc_id, category, substr(explanation, 1, 50) AS topic, max(risk_score) AS risk, count(*) AS n, {d.strings('section', '; ', 'finding_id')} AS sections FROM ({scored(d)}) s GROUP BY doc_id, category, substr(explanation, 1, 50)"
 
 
 @plan
 def a30_profile_correction(d):
-    p = rows((1, "epc contractor for power plant construction"), (2, "cloud software platform with plant api"), names="company, text")
+    p = f"(SELECT company, text FROM {rows((-1, 'epc contractor for power plant construction'), (-2, 'cloud software platform with plant api'), names='company, text')} v UNION ALL SELECT doc_id, lower(text) FROM documents)"
     hits = lambda items: " + ".join(f"CASE WHEN {d.contains('text', d.text(w))} THEN 1 ELSE 0 END" for w in items)
     return f"SELECT company, CASE WHEN {hits(('epc', 'construction', 'plant'))} > {hits(('software', 'cloud', 'api'))} THEN 'EPC' ELSE 'Software' END AS industry FROM {p} p"
 
@@ -375,8 +380,8 @@ def o5_rank_chain(d):
 
 @plan
 def o7_document_order(d):
-    c = rows(("d_chunk_0010", 2), ("d_chunk_0002", 2), ("d_chunk_0001", 3), names="chunk_id, page")
-    return f"SELECT chunk_id, {d.int('row_number() OVER (ORDER BY page, CAST(' + d.extract('chunk_id', '_chunk_([0-9]+)', 1) + ' AS INT))')} AS place FROM {c} c"
+    c = f"(SELECT doc_id, chunk_id, page FROM {chunks(d)} k)"
+    return f"SELECT chunk_id, {d.int('row_number() OVER (PARTITION BY doc_id ORDER BY page, CAST(' + d.extract('chunk_id', '_chunk_([0-9]+)', 1) + ' AS INT))')} AS place FROM {c} c"
 
 
 @plan
@@ -391,12 +396,12 @@ def o13_capped_lists(d):
 
 @plan
 def o17_finding_sorts(d):
-    return f"SELECT finding_id, {d.int('row_number() OVER (ORDER BY risk_score DESC, finding_id)')} AS by_risk, {d.int('row_number() OVER (ORDER BY confidence DESC, finding_id)')} AS by_confidence FROM ({scored(d)}) s"
+    return f"SELECT finding_id, {d.int('row_number() OVER (PARTITION BY doc_id ORDER BY risk_score DESC, finding_id)')} AS by_risk, {d.int('row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, finding_id)')} AS by_confidence FROM ({scored(d)}) s"
 
 
 @plan
 def o18_entities_by_text(d):
-    return f"SELECT entity_id, {d.int('row_number() OVER (ORDER BY text, entity_id)')} AS place FROM {ENTITIES} e"
+    return f"SELECT entity_id, {d.int('row_number() OVER (PARTITION BY doc_id ORDER BY text, entity_id)')} AS place FROM {entities(d)} e"
 
 
 @plan
