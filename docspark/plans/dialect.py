@@ -186,13 +186,26 @@ def table(name: str):
     return of
 
 
+_made: dict[str, None] | None = None
+
+
 def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
-    """The tables that ``sql`` names, as views; stored relations are made and written."""
-    names = set(re.findall(r"(?i)\b(?:from|join)\s+(\w+)", sql))
+    """The tables that ``sql`` names, as views; stored relations are made and written, once for all that a query reads."""
+    global _made
+    names, outermost = set(re.findall(r"(?i)\b(?:from|join)\s+(\w+)", sql)), _made is None
     for name in names.intersection(TABLES):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    for name in sorted(names.intersection(STORED)):
-        written(STORED[name](spark, sf_dir), name).createOrReplaceTempView(name)
+    if outermost:
+        _made = {}
+    try:
+        for name in sorted(names.intersection(STORED)):
+            if name not in _made:
+                df = written(STORED[name](spark, sf_dir), name)
+                df.createOrReplaceTempView(name)
+                _made[name] = None
+    finally:
+        if outermost:
+            _made = None
 
 
 def plan(fn: Callable[[SparkSql], str]):

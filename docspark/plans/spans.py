@@ -5,15 +5,34 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.operators import spans as span_ops
-from docspark.operators.tables import written
 from docspark.plans.dialect import SPARK, frame, plan, rows, table, views
 from docspark.plans.layout import sentences
 
 BUCKET = 64
-# Detectors by pattern, and by whole word.
-BY_PATTERN = (("url", r"(?i:https?://|www\.)\S+"), ("email", r"[\w.+-]+@[\w-]+\.[\w.-]+"), ("citation", r"\[\d+(?:,\s*\d+)*\]|et al\."), ("scientific", r"\d+(?:\.\d+)?[eE][+-]?\d+"), ("file_name", r"[\w\-]+\.(?:py|js|txt|md|pdf|docx|csv|json|html)"))
-BY_WORD = (("acronym", r"^[A-Z]{2,}s?$"), ("mixed_case", r"^[a-zA-Z]*[a-z][A-Z][a-zA-Z]*$|^\w*\d\w*[a-zA-Z]\w*$"), ("variable", r"^[b-hj-zB-HJ-Z]$"), ("greek", r"(?i)^(alpha|beta|gamma|delta|epsilon|theta|lambda|sigma|omega)$"))
-PRONOUNS = "^(he|she|it|they|him|her|them|his|its|their)$"
+# Detectors of terms that no correction may touch, by pattern (with a shape that the whole match must have) and
+# by whole word, in the order in which they claim a span. Borders of words are those of the tokens.
+BY_PATTERN = {
+    "url": (r"(?i:https?://|www\.)\S+", None), "email": (r"[\w.+-]+@[\w-]+\.[\w.-]+", None), "citation": (r"\([A-Z][a-zA-Z]+(?:\s(?:&|and)\s[A-Z][a-zA-Z]+)?,?\s*\d{4}[a-z]?\)|\[\d+(?:,\s*\d+)*\]|et al\.", None),
+    "math": (r"[\p{L}\p{N}_]+[-+*/^=<>]+[\p{L}\p{N}_]+|\\(?:softmax|matmul|sin|cos|tan|log|exp|sqrt|cdot|approx|le|ge|sum|prod|alpha|beta|gamma|theta|lambda|sigma|pi|mu)", None),
+    "scientific": (r"\d+(?:\.\d+)?[eE][+-]?\d+|\d+\^[-+]?\d+", None), "file_name": (r"[\p{L}\p{N}_-]+\.[\p{L}\p{N}_]+", r"^[A-Za-z0-9_-]+\.[a-zA-Z0-9]{1,4}$"),
+    "person": (r"(?:Dr|Prof|Mr|Mrs|Ms)\.\s+[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*|[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){1,2}", None),
+}
+LIBRARIES = "python java c javascript html css pytorch tensorflow numpy scipy spacy symspell languagetool docling fitz docx requests transformers vennify t5 ollama jvm jdk jre"
+GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
+TECHNICAL = (
+    "attention encoder decoder transduction transformer sublayer dimension perplexity softmax residual normalization embeddings hyperparameters dropout bleu adam tensor codebase convolutional recurrent recurrents convolutions "
+    "sequence sequences checkpoint tokenization tokens token vector vectors matrix matrices gradient gradients backpropagation neural network networks linear projection projections weight weights bias biases layer layers "
+    "learning rate rates epoch epochs batch batches dataset datasets corpus corpora vocabulary vocabularies embedding parameters parameter activation activations regularization optimizer optimizers loss losses "
+    "training inference architectures architecture model models baseline baselines feedforward layernorm tensor2tensor deep machine translation nlp ai seq2seq convseq"
+)
+PERSONAL = "i me my mine myself you your yours yourself yourselves he him his himself she her hers herself it its itself we us our ours ourselves they them their theirs themselves"
+one_of = lambda words: "(?i)^(" + words.replace(" ", "|") + ")$"
+BY_WORD = {
+    "roman": r"^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$", "acronym": r"^[A-Z]{2,}s?$", "mixed_case": r"^[a-zA-Z]*[a-z][A-Z][a-zA-Z]*$|^[A-Za-z0-9_]*\d[A-Za-z0-9_]*[a-zA-Z][A-Za-z0-9_]*$", "subscript": r"^[a-zA-Z]+_[a-zA-Z0-9]+$",
+    "library": one_of(LIBRARIES), "greek": one_of(GREEK), "variable": r"^[b-zB-HJ-Z]$", "technical": one_of(TECHNICAL), "pronoun": one_of(PERSONAL),
+}
+ORDER = ("url", "email", "citation", "roman", "acronym", "mixed_case", "math", "subscript", "library", "greek", "scientific", "file_name", "variable", "first_page", "technical", "person", "pronoun")
+FIRST_PAGE, CAPITALISED, COMMON = 2500, "^[A-ZŁŚŹŻĆŃÓ][a-zA-Złśźżćńó']+$", 100
 OPEN, SHUT = span_ops.OPEN, span_ops.SHUT
 WORDS, MARKED = r"[\p{L}\p{N}_]+", "[^ ]+!!"
 # What a repeated word may look like, hyphens and apostrophes inside.
@@ -46,21 +65,49 @@ def merged(d) -> str:
     return d.stored("merged_issues", merged_sql)
 
 
+def common_sql(d) -> str:
+    """The corpus's own frequency dictionary: words used over COMMON times."""
+    return f"SELECT term FROM (SELECT lower(text) AS term, count(*) AS freq FROM ({words(d)}) w GROUP BY lower(text)) t WHERE freq > {COMMON}"
+
+
+def matches_sql(d) -> str:
+    """Matches of all patterns that any detector reads: doc_id, pattern, char_start, char_end, text."""
+    return " UNION ALL ".join(f"SELECT doc_id, '{name}' AS pattern, char_start, char_end, text FROM ({found(d, p)}) m" for name, p in _patterns().items())
+
+
+def matches(d) -> str:
+    return d.stored("span_matches", matches_sql)
+
+
+def _patterns() -> dict[str, str]:
+    return {name: p for name, (p, _) in BY_PATTERN.items()} | {"word": WORDS, "marked": MARKED}
+
+
+def claimed(d) -> str:
+    """Every detector's spans, with its place in the order."""
+    shape = " AND ".join(f"(pattern <> '{name}' OR {d.like('text', p)})" for name, (_, p) in BY_PATTERN.items() if p)
+    at = lambda name: ORDER.index(name)
+    by_pattern = f"SELECT doc_id, char_start, char_end, text, pattern AS reason, CASE pattern {' '.join(f'WHEN {d.text(n)} THEN {at(n)}' for n in BY_PATTERN)} END AS ord FROM ({matches(d)}) m WHERE pattern NOT IN ('word', 'marked', 'person') AND length(text) >= 2 AND {shape}"
+    names = sorted(BY_WORD, key=at)
+    which = " ".join(f"WHEN {d.like('text', BY_WORD[n])} THEN '{n}'" for n in names)
+    by_word = f"SELECT doc_id, char_start, char_end, text, reason, CASE reason {' '.join(f'WHEN {d.text(n)} THEN {at(n)}' for n in names)} END AS ord FROM (SELECT doc_id, char_start, char_end, text, CASE {which} END AS reason FROM ({matches(d)}) m WHERE pattern = 'word') x WHERE reason IS NOT NULL"
+    first = lambda name, where, word: f"SELECT m.doc_id, m.char_start, m.char_end, m.text, '{name}' AS reason, {at(name)} AS ord FROM ({matches(d)}) m LEFT JOIN ({d.stored('common_words', common_sql)}) c ON c.term = {word} WHERE {where} AND c.term IS NULL"
+    page = first("first_page", f"m.pattern = 'word' AND m.char_start < {FIRST_PAGE} AND {d.like('m.text', CAPITALISED)}", "lower(m.text)")
+    person = first("person", "m.pattern = 'person'", f"lower({d.extract('m.text', '^[A-Za-z]+', 0)})")
+    return " UNION ALL ".join((by_pattern, by_word, page, person))
+
+
 def protected_sql(d) -> str:
-    """All detectors' spans of two characters or more, and single letters; the first detector keeps a span."""
-    parts = [f"SELECT doc_id, char_start, char_end, text, '{name}' AS reason, {i} AS ord FROM ({found(d, p)}) m WHERE length(text) >= 2" for i, (name, p) in enumerate(BY_PATTERN)]
-    which = " ".join(f"WHEN {d.like('text', p)} THEN '{name}'" for name, p in BY_WORD)
-    ords = " ".join(f"WHEN {d.like('text', p)} THEN {10 + i}" for i, (name, p) in enumerate(BY_WORD))
-    parts.append(f"SELECT * FROM (SELECT doc_id, char_start, char_end, text, CASE {which} END AS reason, CASE {ords} END AS ord FROM ({words(d)}) w) x WHERE reason IS NOT NULL")
-    every = " UNION ALL ".join(parts)
-    return f"SELECT doc_id, char_start, char_end, text, reason, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, char_start, char_end ORDER BY ord) AS rn FROM ({every}) a) b WHERE rn = 1"
+    """All detectors' spans; the first detector keeps a span that several find."""
+    return f"SELECT doc_id, char_start, char_end, text, reason, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, char_start, char_end ORDER BY ord) AS rn FROM ({claimed(d)}) a) b WHERE rn = 1"
 
 
 def candidates_sql(d) -> str:
     """Correction candidates of three detectors, with an ordinal in each document."""
-    spell = f"SELECT doc_id, char_start, char_end, text, lower(text) AS suggestion, 'symspell' AS source, 'spelling' AS issue_type FROM ({words(d)}) w WHERE length(text) >= 14"
-    marks = f"SELECT doc_id, char_start, char_end, text, {d.sub('text', '!+$', '')} AS suggestion, 'languagetool' AS source, 'punctuation' AS issue_type FROM ({found(d, MARKED)}) m"
-    caps = f"SELECT doc_id, char_start, char_end, text, lower(text) AS suggestion, 'llm' AS source, 'style' AS issue_type FROM ({words(d)}) w WHERE {d.like('text', '^[A-Z]{6,}$')}"
+    some = lambda where, put, source, kind: f"SELECT doc_id, char_start, char_end, text, {put} AS suggestion, '{source}' AS source, '{kind}' AS issue_type FROM ({matches(d)}) m WHERE {where}"
+    spell = some("pattern = 'word' AND length(text) >= 14", "lower(text)", "symspell", "spelling")
+    marks = some("pattern = 'marked'", d.sub("text", "!+$", ""), "languagetool", "punctuation")
+    caps = some(f"pattern = 'word' AND {d.like('text', '^[A-Z]{6,}$')}", "lower(text)", "llm", "style")
     return f"SELECT *, {d.int('row_number() OVER (PARTITION BY doc_id ORDER BY char_start, char_end, source)')} AS ord FROM ({spell} UNION ALL {marks} UNION ALL {caps}) c"
 
 
@@ -109,20 +156,34 @@ def applied(d, before: str, between: str, after: str, source: str) -> str:
     return f"SELECT t.doc_id, concat(coalesce(p.head, ''), substr(t.text, CAST(coalesce(p.last, 0) AS INT) + 1)) AS text FROM documents t LEFT JOIN ({put}) p ON t.doc_id = p.doc_id"
 
 
+@plan
+def a4_repeated_terms(d):
+    """Words that a document repeats and that aren't common: known ones wherever they stand, others where they have a capital.
+
+    The frequency dictionary is the corpus's own: words used three times or more are known, over a hundred times common.
+    """
+    token = f"SELECT * FROM ({found(d, WORD_TOKEN)}) w WHERE {d.like('text', WORD_SHAPE)}"
+    tf = f"SELECT doc_id, lower(text) AS term, count(*) AS n FROM ({token}) w GROUP BY doc_id, lower(text) HAVING count(*) >= 2"
+    df = f"SELECT lower(text) AS term, count(*) AS freq FROM ({token}) w GROUP BY lower(text)"
+    kind = "CASE WHEN f.freq >= 3 THEN 'valid term' ELSE 'proper noun/code' END"
+    return f"SELECT w.doc_id, w.char_start, w.char_end, w.text, concat('repeated ', t.n, 'x ', {kind}) AS reason FROM ({token}) w JOIN ({tf}) t ON w.doc_id = t.doc_id AND lower(w.text) = t.term JOIN ({df}) f ON t.term = f.term WHERE f.freq <= 100 AND (f.freq >= 3 OR {d.like('w.text', '[A-Z]')})"
+
+
 @plan
 def f26_pattern_spans(d):
-    return " UNION ALL ".join(f"SELECT '{name}' AS reason, doc_id, char_start, char_end, text FROM ({found(d, p)}) m" for name, p in BY_PATTERN)
+    return f"SELECT reason, doc_id, char_start, char_end, text FROM ({claimed(d)}) c WHERE reason IN ({', '.join(map(d.text, BY_PATTERN))})"
 
 
 @plan
 def f27_word_spans(d):
-    which = " ".join(f"WHEN {d.like('text', p)} THEN '{name}'" for name, p in (*BY_WORD, ("pronoun", "(?i)" + PRONOUNS)))
-    return f"SELECT doc_id, char_start, char_end, text, kind FROM (SELECT *, CASE {which} END AS kind FROM ({words(d)}) w) k WHERE kind IS NOT NULL"
+    return f"SELECT doc_id, char_start, char_end, text, reason AS kind FROM ({claimed(d)}) c WHERE reason IN ({', '.join(map(d.text, (*BY_WORD, 'first_page')))})"
 
 
 @plan
 def u1_protected_terms(d):
-    return f"SELECT doc_id, char_start, char_end, text, reason FROM ({protected(d)}) p"
+    """The union of all detectors, words that a document repeats last; the first detector keeps a span."""
+    every = f"SELECT doc_id, char_start, char_end, text, reason, ord FROM ({protected(d)}) p UNION ALL SELECT doc_id, char_start, char_end, text, 'repeated', {len(ORDER)} FROM ({a4_repeated_terms(d)}) r"
+    return f"SELECT doc_id, char_start, char_end, text, reason FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, char_start, char_end ORDER BY ord) AS rn FROM ({every}) e) x WHERE rn = 1"
 
 
 @plan
@@ -219,74 +280,42 @@ def f30_annotated_text(spark, sf_dir):
     return _replaced(spark, sf_dir, F.concat(F.lit("[["), "text", F.lit("=>"), "suggestion", F.lit("]]")))
 
 
-@table("protected_spans")
-def protected_spans(spark, sf_dir):
-    """``protected_sql`` in one pass over the documents."""
-    got = span_ops.found(spark.read.parquet(f"{sf_dir}/documents.parquet"), {name: p for name, p in BY_PATTERN} | {"word": WORDS})
-    return _protected(got)
+@table("span_matches")
+def span_matches(spark, sf_dir):
+    """``matches_sql`` in one pass over the documents, without the words that no detector looks at."""
+    got = span_ops.found(spark.read.parquet(f"{sf_dir}/documents.parquet"), _patterns())
+    some = [f"text rlike {SPARK.text(p)}" for p in (*BY_WORD.values(), "^[A-Z]{6,}$")]
+    return got.where(f"pattern <> 'word' or length(text) >= 14 or char_start < {FIRST_PAGE} and text rlike {SPARK.text(CAPITALISED)} or {' or '.join(some)}")
 
 
-def _protected(got):
-    reason, ord_ = F.col("pattern"), F.lit(None)
-    for i, (name, _) in enumerate(BY_PATTERN):
-        ord_ = F.when(F.col("pattern") == name, i).otherwise(ord_)
-    word, word_ord = F.lit(None), F.lit(None)
-    for i, (name, p) in reversed(list(enumerate(BY_WORD))):
-        word, word_ord = F.when(F.col("text").rlike(p), name).otherwise(word), F.when(F.col("text").rlike(p), 10 + i).otherwise(word_ord)
-    is_word = F.col("pattern") == "word"
-    out = got.select("doc_id", "char_start", "char_end", "text", F.when(is_word, word).otherwise(reason).alias("reason"), F.when(is_word, word_ord).otherwise(ord_).alias("ord"), is_word.alias("is_word"))
-    out = out.where("reason is not null and (is_word or length(text) >= 2)")
-    first = F.min_by(F.struct("text", "reason", "ord"), "ord").alias("x")
-    return out.groupBy("doc_id", "char_start", "char_end").agg(first).select("doc_id", "char_start", "char_end", "x.text", "x.reason", "x.ord")
+def _by_sql(name, sql):
+    @table(name)
+    def made(spark, sf_dir):
+        views(spark, sf_dir, sql(SPARK))
+        return spark.sql(sql(SPARK))
 
 
-@table("candidate_spans")
-def candidate_spans(spark, sf_dir):
-    """``candidates_sql`` in one pass over the documents."""
-    got = span_ops.found(spark.read.parquet(f"{sf_dir}/documents.parquet"), {"word": WORDS, "marked": MARKED})
-    return _candidates(got)
+_by_sql("protected_spans", protected_sql)
+_by_sql("candidate_spans", candidates_sql)
 
 
-def _candidates(got):
-    kind = lambda source, issue, put: F.struct(put.alias("suggestion"), F.lit(source).alias("source"), F.lit(issue).alias("issue_type"))
-    is_word, low = F.col("pattern") == "word", F.lower("text")
-    kinds = F.array(
-        F.when(is_word & (F.length("text") >= 14), kind("symspell", "spelling", low)), F.when(~is_word, kind("languagetool", "punctuation", F.regexp_replace("text", "!+$", ""))),
-        F.when(is_word & F.col("text").rlike("^[A-Z]{6,}$"), kind("llm", "style", low)),
-    )
-    out = got.select("doc_id", "char_start", "char_end", "text", F.explode(F.array_compact(kinds)).alias("k")).select("doc_id", "char_start", "char_end", "text", "k.*")
-    return out.withColumn("ord", F.expr("CAST(row_number() OVER (PARTITION BY doc_id ORDER BY char_start, char_end, source) AS INT)"))
+@table("common_words")
+def common_words(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("term")).where("term <> ''").groupBy("term").count().where(f"count > {COMMON}").select("term")
 
 
 @table("merged_issues")
 def merged_issues(spark, sf_dir):
     """``merged_sql`` from both kinds of spans: groups are found, judged and merged in one dealing by document."""
-    both = span_ops.found(spark.read.parquet(f"{sf_dir}/documents.parquet"), {name: p for name, p in BY_PATTERN} | {"word": WORDS, "marked": MARKED})
-    both = written(both.where("pattern <> 'word' or length(text) >= 14 or " + " or ".join(f"text rlike {SPARK.text(p)}" for p in (*(p for _, p in BY_WORD), "^[A-Z]{6,}$"))), "spans")
-    written(_protected(both.where("pattern <> 'marked'")), "protected_spans").createOrReplaceTempView("protected_spans")
-    written(_candidates(both.where("pattern in ('word', 'marked')")), "candidate_spans").createOrReplaceTempView("candidate_spans")
+    views(spark, sf_dir, grouped(SPARK))
     prio = "CASE source WHEN 'llm' THEN 0 WHEN 'languagetool' THEN 1 ELSE 2 END"
-    best = spark.sql(f"SELECT *, first_value(suggestion) OVER (PARTITION BY doc_id, grp ORDER BY {prio}, char_start, ord) AS best FROM ({grouped(SPARK)}) g")
-    best.createOrReplaceTempView("grouped_spans")
+    best = f"SELECT *, first_value(suggestion) OVER (PARTITION BY doc_id, grp ORDER BY {prio}, char_start, ord) AS best FROM ({grouped(SPARK)}) g"
     same = lambda source: f"max(CASE WHEN source = '{source}' AND suggestion = best THEN 1 ELSE 0 END)"
     first = lambda c: f"min_by({c}, struct({prio}, char_start, ord)) AS {c}"
-    one = f"SELECT doc_id, grp, {', '.join(map(first, ('char_start', 'char_end', 'text', 'suggestion', 'source', 'issue_type', 'is_protected')))}, count_if(suggestion = best) AS agreement, {same('llm')} AS llm, {same('languagetool')} AS lt, {same('symspell')} AS ss FROM grouped_spans GROUP BY doc_id, grp"
+    one = f"SELECT doc_id, grp, {', '.join(map(first, ('char_start', 'char_end', 'text', 'suggestion', 'source', 'issue_type', 'is_protected')))}, count_if(suggestion = best) AS agreement, {same('llm')} AS llm, {same('languagetool')} AS lt, {same('symspell')} AS ss FROM ({best}) w GROUP BY doc_id, grp"
     return spark.sql(judged(SPARK, f"SELECT b.*, b.agreement AS n_agree FROM ({one}) b"))
 
 
-@plan
-def a4_repeated_terms(d):
-    """Words that a document repeats and that aren't common: known ones wherever they stand, others where they have a capital.
-
-    The frequency dictionary is the corpus's own: words used three times or more are known, over a hundred times common.
-    """
-    token = f"SELECT * FROM ({found(d, WORD_TOKEN)}) w WHERE {d.like('text', WORD_SHAPE)}"
-    tf = f"SELECT doc_id, lower(text) AS term, count(*) AS n FROM ({token}) w GROUP BY doc_id, lower(text) HAVING count(*) >= 2"
-    df = f"SELECT lower(text) AS term, count(*) AS freq FROM ({token}) w GROUP BY lower(text)"
-    kind = "CASE WHEN f.freq >= 3 THEN 'valid term' ELSE 'proper noun/code' END"
-    return f"SELECT w.doc_id, w.char_start, w.char_end, w.text, concat('repeated ', t.n, 'x ', {kind}) AS reason FROM ({token}) w JOIN ({tf}) t ON w.doc_id = t.doc_id AND lower(w.text) = t.term JOIN ({df}) f ON t.term = f.term WHERE f.freq <= 100 AND (f.freq >= 3 OR {d.like('w.text', '[A-Z]')})"
-
-
 @plan
 def p7_spelling_bypass(d):
     return f"SELECT CASE WHEN issue_type = 'spelling' THEN 'passes' ELSE 'to model' END AS route, count(*) AS n FROM ({candidates(d)}) c GROUP BY CASE WHEN issue_type = 'spelling' THEN 'passes' ELSE 'to model' END"
