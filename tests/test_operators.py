@@ -122,11 +122,11 @@ def test_every_vector_asks(spark):
 
     data = "/root/testdata/sf0.001"
     ids = {r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id is not null").select("vec_id").collect()}
-    edges = queries()["f44_similarity_edges_all"](spark, data).collect()
+    edges = queries()["f44_similarity_edges"](spark, data).collect()
     assert {n for r in edges for n in (r.a, r.b)} == ids
     found = queries()["d9_communities"](spark, data).toPandas()
     assert found.groupby(["doc_id", "cluster"]).size().ge(2).mean() > 0.5  # before, nearly all vectors were alone
-    top = queries()["o4_vector_top_all"](spark, data).toPandas()
+    top = queries()["o4_vector_top"](spark, data).toPandas()
     assert len(top) == 5 * len({i for i in ids if i % 50 == 0})
 
 
