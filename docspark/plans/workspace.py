@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from docspark.plans.dialect import plan, rows
+from pyspark.sql import functions as F
+
+from docspark.operators import ranking
+from docspark.plans.dialect import QUERIES, frame, plan, rows
 from docspark.plans.derived import WRONG_WORDS, ambiguities, cells, chunks, claims, elements, entities, objects
 from docspark.plans.findings import scored
 from docspark.plans.layout import classified, paragraphs, sentences
@@ -272,9 +275,21 @@ def o15_issue_sorts(d):
     return f"SELECT doc_id, grp, {d.int('row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, grp)')} AS by_confidence, {d.int('row_number() OVER (PARTITION BY doc_id ORDER BY lower(text), grp)')} AS by_text FROM (SELECT * FROM ({merged(d)}) a WHERE {d.like('text', '^[a-zA-Z!]+$')}) m"
 
 
-@plan
-def o16_document_sorts(d):
-    return f"SELECT doc_id, {d.int('row_number() OVER (ORDER BY length(text) DESC, doc_id)')} AS by_length FROM documents"
+def o16_sql(d):
+    """Documents by their four sorts: newest first, by name, by the number of issues, by length."""
+    n = f"SELECT t.doc_id, concat(t.source, '/', t.doc_id) AS name, t.n_chars, coalesce(m.n, 0) AS n FROM documents t LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({merged(d)}) m GROUP BY doc_id) m ON t.doc_id = m.doc_id"
+    place = lambda order: d.int(f"row_number() OVER (ORDER BY {order})")
+    return f"SELECT doc_id, {place('doc_id DESC')} AS by_newest, {place('name')} AS by_name, {place('n DESC, doc_id')} AS by_issues, {place('n_chars DESC, doc_id')} AS by_length FROM ({n}) x"
+
+
+@frame(o16_sql)
+def o16_document_sorts(spark, sf_dir):
+    issues = QUERIES["w6_merged_issues"](spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"), "n_chars")
+    out = docs.join(issues, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    for name, *order in (("by_newest", F.col("doc_id").desc()), ("by_name", F.col("name")), ("by_issues", F.col("n").desc(), F.col("doc_id")), ("by_length", F.col("n_chars").desc(), F.col("doc_id"))):
+        out = ranking.places(out, name, *order)
+    return out.select("doc_id", "by_newest", "by_name", "by_issues", "by_length")
 
 
 @plan
