@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import re
+import ctypes
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.operators.tables import delete, new_path, written  # noqa: F401
+
 #: One white-space-delimited word, by ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
-_own_dir: list[str] = []
 #: Text in a range of ``by_size``, and for each mark that its borders are found by.
 RANGE_BYTES, MARK_BYTES = 256 << 20, 16 << 10
 
@@ -32,19 +32,12 @@ def kept(kind: str, key, make: Callable):
     return store[kind][1]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all machines of a cluster share.
-
-    Where that is unset, a temporary folder of this process, if driver and executors are one machine; else an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="docspark-"))
-    return _own_dir[0]
+def release() -> None:
+    """At the end of a task: gives what a Python worker has freed back to the system, as workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def once(df: DataFrame, name: str, column) -> DataFrame:
@@ -52,22 +45,6 @@ def once(df: DataFrame, name: str, column) -> DataFrame:
     return df.select("*", F.explode(F.array(column)).alias(name))
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docspark/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def by_size(df: DataFrame, key: Column, size: Column, tie: Column, least: int | None = None) -> tuple[Callable, int, DataFrame]:
     """A function of key and tie that deals ``df`` to ranges of ``key`` (a long), of about equal sums of ``size`` (null: 0).
 
@@ -107,10 +84,18 @@ def by_size(df: DataFrame, key: Column, size: Column, tie: Column, least: int |
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: rows ``(node, root)``, root the smallest node reachable.
 
-    Alternating large-star and small-star steps; each round is a written table, so the plan stays short.
-    Nodes without an edge to another node don't appear; null ends, loops and repeated edges have no effect.
+    Alternating large-star and small-star steps; each round is a written table, so the plan stays short, and the tables of
+    the round before are deleted. Minima are written too, so both sides of a star's join come as plain shuffles, of which
+    skewed ones can be split. Nodes without an edge to another node don't appear; null ends, loops and repeated edges have
+    no effect.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+
+    def put(df: DataFrame) -> tuple[DataFrame, str]:
+        df.write.parquet(path := new_path(spark, "edges"))
+        return spark.read.schema(df.schema).parquet(path), path
+
+    e, own = put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -118,12 +103,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = tuple(now)
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = written(small.distinct(), "edges")
+        low, of_low = put(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        large, of_large = put(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least, of_least = put(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a")
+        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        done = (own, of_low, of_large, of_least)
+        e, own = put(small.distinct())
+        for path in done:
+            delete(spark, path)
     else:
         raise RuntimeError("the components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
