@@ -137,10 +137,10 @@ JARGON = (
 @plan
 def f14_query_expansion(d):
     """Queries with the synonyms of each word or phrase that they hold, in the rules' order."""
-    rules = rows(*((i, f"(^|[^a-z]){w}($|[^a-z])", s) for i, (w, s) in enumerate(SYNONYMS)), names="ord, pattern, synonyms")
-    q = rows((1, "Annual revenue of the board"), (2, "Plant committee"), (3, "the managing director"), (4, "nothing here"), names="query_id, query")
-    hit = "lower(query) RLIKE pattern" if d.__class__ is SparkSql else "regexp_matches(lower(query), pattern)"
-    return f"SELECT query_id, query, concat_ws(' ', query, {d.strings('synonyms', ' ', 'ord')}) AS expanded FROM {q} q LEFT JOIN {rules} r ON {hit} GROUP BY query_id, query"
+    own = rows((-1, "Annual revenue of the board"), (-2, "Plant committee"), (-3, "the managing director"), (-4, "nothing here"), names="query_id, query")
+    every = f"SELECT query_id, query FROM {own} q UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations"
+    more = ", ".join(f"CASE WHEN {d.like('lower(query)', f'(^|[^a-z]){w}($|[^a-z])')} THEN {d.text(s)} END" for w, s in SYNONYMS)
+    return f"SELECT query_id, query, concat_ws(' ', query, {more}) AS expanded FROM ({every}) q"
 
 
 def intent(d: SparkSql, query: str) -> str:

@@ -435,7 +435,8 @@ def u11_ordered_distinct(d):
 
 @plan
 def s27_jobs_newest_first(d):
-    j = rows(("a", 3), ("b", 9), ("c", 5), names="job, created")
+    """Documents' folders as jobs, by the newest page of each."""
+    j = f"(SELECT {d.extract('url', '^[a-z]+://([^/]+)', 1)} AS job, max(page_id) AS created FROM pages GROUP BY {d.extract('url', '^[a-z]+://([^/]+)', 1)})"
     return f"SELECT job, {d.int('row_number() OVER (ORDER BY created DESC, job)')} AS place FROM {j} j"
 
 
