@@ -13,6 +13,7 @@ from docspark.plans.retrieval import top
 CHUNKS = rows(
     (-1, 0, 1, "c1", "The fee is 18 percent of the price, paid as soon as possible."), (-1, 1, 2, "c1", "Acme pays the fee of 12 percent. The customer must sign."), (-1, 2, 2, "c2", "Staff must report soon, or the client shall sign at a later date."),
     (-1, 3, 3, "c2", "It may be approximately 5 days. This section applies to the EBITDA of Bolt."), (-2, 0, 1, "c3", "The employee goed to the libary and must report; the peoples wasnt there."), (-2, 1, 1, "c3", "Personnel shall go, see Section 6.2 and Table 3, within 30 days of $12.50."),
+    (-3, 0, 1, "c4", "Report no. 17: Police seized two rifles and an AK-47 in Dimapur, Nagaland on 12/03/2021. Ramesh Kumar Das of the Acme Relief Group left the Barak Valley in 2022."),
     names="doc_id, chunk_no, page, cluster_id, text",
 )
 OBJECTS = rows(
@@ -62,6 +63,14 @@ PHRASES = (
 BOILERPLATE = ("normal course of business", "standard operating procedure")
 
 
+# Places, weapons and groups that chunks are searched for, and words that tell organisations and places.
+STATES = ("Assam", "Nagaland", "Manipur", "Meghalaya", "Tripura", "Mizoram", "Arunachal Pradesh", "Sikkim")
+REGIONS, DISTRICTS = ("Northeast", "Barak Valley", "Brahmaputra Valley"), ("Kamrup", "Cachar", "Karbi Anglong", "Dimapur", "Kohima", "Imphal")
+WEAPONS = ("rifle", "pistol", "carbine", "ammunition", "grenade", "explosive", "weapon", "arms", "mortar", "bullet", "ak-47", "insurgent")
+GROUPS = ("insurgents", "militants", "police", "army", "security forces", "civilian", "authority")
+OF_ORGANISATIONS, OF_PLACES, OF_LAYOUT = "inc|corp|org|dept|force|police|army|committee|group", "valley|district|state|india|river|town", "page|figure|table"
+
+
 def whole(pattern: str, flags: str = "(?i)") -> str:
     """A pattern for whole words, whose first group is the match; word borders that both engines read alike."""
     return flags + r"(?:^|[^\p{L}\p{N}_])(" + pattern + r")(?:$|[^\p{L}\p{N}_])"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docspark.plans import derived
 from docspark.plans.derived import ambiguities, chunks, claims, entities, findings, objects  # noqa: F401
 from docspark.plans.dialect import SPARK, SparkSql, frame, plan, rows, views
 from docspark.plans.layout import sentences
@@ -179,6 +180,20 @@ def f34_references(d):
     return f"SELECT chunk_id, v AS target, CASE WHEN v LIKE 'Figure%' THEN 'figure' WHEN v LIKE 'Table%' THEN 'table' WHEN v LIKE 'Section%' THEN 'section' ELSE 'relative date' END AS kind, {d.int('pos')} AS nth FROM (SELECT chunk_id, {ref} AS vs FROM {chunks(d)} c UNION ALL SELECT chunk_id, {day} FROM {chunks(d)} c) x {d.each('vs', 'v', 'pos')}"
 
 
+@plan
+def f29_chunk_enrichment(d):
+    """What a chunk names: a report, places, weapons, groups, dates, and runs of capitalised words by kind."""
+    first = lambda names: "CASE " + " ".join(f"WHEN {d.like('text', derived.whole(n))} THEN {d.text(n)}" for n in names) + " END"
+    every = lambda names: "concat_ws(',', " + ", ".join(f"CASE WHEN {d.like('text', derived.whole(n + 's?'))} THEN {d.text(n)} END" for n in sorted(names)) + ")"
+    runs = d.extract_all("text", r"([A-Z][a-zA-Z]+\s+[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)?)", 1)
+    day = d.extract_all("text", r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.? \d{1,2},? \d{4})", 1)
+    year = d.keep(d.split("text", r"[^\p{L}\p{N}_/-]+"), "w", d.like("w", r"^(19|20)\d{2}$"))
+    names = lambda test: d.join(d.sorted(d.distinct(d.keep(runs, "w", f"NOT {d.like('lower(w)', derived.OF_LAYOUT)} AND {test}"))), ",")
+    org, place = d.like("lower(w)", derived.OF_ORGANISATIONS), d.like("lower(w)", derived.OF_PLACES)
+    return f"""SELECT chunk_id, nullif({d.extract('text', r'(?i)(?:report|case|bulletin|no)[.]?\s*#?\s*(\d+)', 1)}, '') AS report, {first(derived.STATES)} AS state, {first(derived.REGIONS)} AS region, {first(derived.DISTRICTS)} AS district,
+    {every(derived.WEAPONS)} AS weapons, {every(derived.GROUPS)} AS groups, {d.join(d.sorted(d.distinct(f'({day} || {year})')), ',')} AS dates, {names(org)} AS organisations, {names(f'NOT {org} AND {place}')} AS places, {names(f'NOT {org} AND NOT {place}')} AS people FROM {chunks(d)} c"""
+
+
 @plan
 def f37_values(d):
     """Percentages, sums of money and durations of chunks, as numbers."""

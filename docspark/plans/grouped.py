@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.functions import models
-from docspark.operators import graph, knn, packing, spelling
+from docspark.operators import alignment, graph, knn, packing, spelling
 from docspark.streaming import ingest
 from docspark.plans.dialect import QUERIES, SPARK, frame, table, views
 from docspark.plans.retrieval import FLOOR, search_pairs
@@ -29,6 +29,13 @@ def w14_token_batches(spark, sf_dir):
     return packing.batches(parts, "doc_id", "paragraph_id", "tokens", 12_000)
 
 
+@frame()
+def j6_paragraph_elements(spark, sf_dir):
+    """Paragraphs of documents and the layout blocks that they come from."""
+    blocks = QUERIES["f5_blocks"](spark, sf_dir).select("doc_id", F.col("block_id").alias("element_id"), "text")
+    return alignment.align(QUERIES["f6_paragraphs"](spark, sf_dir), blocks)
+
+
 @frame()
 def f8_paragraph_parts(spark, sf_dir):
     """Paragraphs of documents in parts of up to 120 tokens."""

@@ -240,3 +240,26 @@ def test_context_budget(run):
     assert got[2] and sum(got.values()) >= 2 and not all(got.values())
     batches = {(r.doc_id, r.paragraph_id): r.batch for r in run("w14_token_batches", documents=["a" * 40_000 + "\n" + "b" * 4_000 + "\n" + "c" * 8_000])}
     assert batches == {(0, 0): 0, (0, 1): 0, (0, 2): 1}
+
+
+def test_headings_by_level(run):
+    got = {r.block_id: r.heading for r in run("w7_active_heading") if r.doc_id == -1}
+    assert got == {0: "# A", 1: "# A", 2: "# A > ## B", 3: "# A > ## B > ### C", 4: "# A > ## D", 5: "# A > ## D", 6: "# E", 7: "# E > 1.2.3 Deep", 8: "# E > 1.2.3 Deep"}
+
+
+def test_quotes_are_located_by_their_number(run):
+    got = sorted((r.text, r.nth, r.char_start, r.char_end) for r in run("f33_located_quotes", documents=["extraordinary, so extraordinary"]))
+    assert got == [("extraordinary", 1, 0, 13), ("extraordinary", 2, 18, 31), ("extraordinary", 3, -1, -1)]
+
+
+def test_what_a_chunk_names(run):
+    (r,) = [r for r in run("f29_chunk_enrichment") if r.chunk_id == "-3_chunk_0000"]
+    assert (r.report, r.state, r.region, r.district, r.weapons, r.groups) == ("17", "Nagaland", "Barak Valley", "Dimapur", "ak-47,rifle", "police")
+    assert (r.dates, r.organisations, r.places, r.people) == ("12/03/2021,2022", "Acme Relief Group", "Barak Valley", "Ramesh Kumar Das")
+
+
+def test_paragraphs_and_elements():
+    from docspark.operators.alignment import pairs
+
+    assert pairs(["One two", "Three", "Four", "Five"], ["Title", "One", "x", "Three more", "Fo"]) == [1, 3, 4, 4]
+    assert pairs(["a"], []) == [-1] and pairs(["zz", "Title"], ["Title", "end"]) == [1, 1]
