@@ -90,12 +90,46 @@ def a32_peer_union(d):
     return f"SELECT attribute, {d.strings('value', ', ', 'value')} AS all_values FROM (SELECT DISTINCT attribute, value FROM {profiles(d)} p WHERE company <> 'Target') u GROUP BY attribute"
 
 
+def counts(d, words: tuple[str, ...], text: str = "low") -> str:
+    """How often words stand in a text, added up."""
+    return "(" + " + ".join(f"(length({text}) - length(replace({text}, {d.text(w)}, ''))) / {len(w)}" for w in words) + ")"
+
+
+# Words by industry, in the order that breaks ties, and the two sides of the profile correction.
+INDUSTRIES = (
+    ("Engineering Procurement & Construction (EPC)", ("epc", "engineering", "procurement", "construction", "bulk material handling", "ash handling", "material handling", "heavy engineering", "turnkey project", "power plant", "steel plant", "cement plant", "infrastructure", "btl epc", "btl")),
+    ("Manufacturing & Industrial", ("manufacturing", "industrial", "factory", "equipment", "machinery", "fabrication", "assembly", "automation", "plant")),
+    ("Energy & Utilities", ("energy", "renewable", "solar", "wind", "power generation", "utilities", "oil & gas", "refinery")),
+    ("AI & Document Intelligence", ("document intelligence", "ocr", "nlp", "llm", "ai proofread", "text extraction", "artificial intelligence")),
+    ("Software & Cloud Solutions", ("saas", "cloud platform", "cloud software", "cybersecurity", "devops", "software product")),
+    ("Healthcare & Life Sciences", ("healthcare", "medical", "pharmaceutical", "clinical", "biotech", "hospital")),
+    ("Financial Services & Banking", ("financial", "banking", "fintech", "investment", "insurance", "capital markets")),
+)
+EPC_WORDS = ("epc", "engineering", "procurement", "construction", "material handling", "ash handling", "heavy engineering", "turnkey", "infrastructure", "plant", "steel", "btl")
+SOFTWARE_WORDS = ("saas", "cloud platform", "devops", "software product", "app development", "cybersecurity")
+COMPANIES = rows((-1, "EPC contractor: engineering, procurement and construction of power plant and steel plant, turnkey plant infrastructure"), (-2, "SaaS and cloud platform with cybersecurity, plant API"), (-3, "Clinical software for any hospital"), (-4, None), names="doc_id, text")
+
+
+def voted(d) -> str:
+    every = f"SELECT doc_id, lower(coalesce(text, '')) AS low FROM (SELECT doc_id, text FROM {COMPANIES} c UNION ALL SELECT doc_id, text FROM documents) x"
+    votes = ", ".join(f"{d.int(f'round({counts(d, words)})')} AS v{i}" for i, (_, words) in enumerate(INDUSTRIES))
+    best = f"greatest({', '.join(f'v{i}' for i in range(len(INDUSTRIES)))})"
+    name = " ".join(f"WHEN v{i} = {best} THEN {d.text(n)}" for i, (n, _) in enumerate(INDUSTRIES))
+    return f"SELECT doc_id, low, {best} AS votes, CASE {name} END AS industry FROM (SELECT doc_id, low, {votes} FROM ({every}) e) v"
+
+
 @plan
 def a29_industry_vote(d):
-    """Keyword votes for an industry over whole documents; ties to the first listed."""
-    k = rows((1, "legal", "license"), (1, "legal", "rights"), (2, "engineering", "work"), (3, "retail", "version"), names="ord, industry, word")
-    n = f"SELECT t.doc_id, k.ord, k.industry, sum((length(t.text) - length(replace(lower(t.text), k.word, ''))) / length(k.word)) AS votes FROM documents t CROSS JOIN {k} k GROUP BY t.doc_id, k.ord, k.industry"
-    return f"SELECT doc_id, industry FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, ord) AS rn FROM ({n}) n) x WHERE rn = 1 AND votes > 0"
+    """Keyword votes for an industry over whole documents; ties and documents without a vote to the first listed."""
+    return f"SELECT doc_id, votes, industry FROM ({voted(d)}) v"
+
+
+@plan
+def a30_profile_correction(d):
+    """A software or document industry gives way where the words of plant building are many, and over twice the others'."""
+    n = f"SELECT doc_id, industry, {d.int(f'round({counts(d, EPC_WORDS)})')} AS epc, {d.int(f'round({counts(d, SOFTWARE_WORDS)})')} AS software FROM ({voted(d)}) v"
+    wrong = " OR ".join(d.contains("lower(industry)", d.text(w)) for w in ("software", "cloud", "ai & document", "saas", "not specified"))
+    return f"SELECT doc_id, CASE WHEN epc > 5 AND epc > 2 * software AND ({wrong}) THEN {d.text(INDUSTRIES[0][0])} ELSE industry END AS industry FROM ({n}) x"
 
 
 @plan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from docspark.plans.dialect import SPARK, DuckSql, plan, rows, table, views
 from docspark.plans.text import BODY, intent, words
 
-QUERIES = ((1, "the license version"), (2, "public work released"), (3, "was not all rights"), (4, "and a reserved the"), (5, "zyglo"))
+QUERIES = ((1, "the license version"), (2, "public work released"), (3, "was not all rights"), (4, "and a reserved the"), (5, "zyglo"), (6, "who signed the table of report 17 in that year"), (7, "where is the work of the state"))
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Edges of the similarity graph have this cosine or more. The tables' vectors are unrelated; of real texts it is 0.75.
 FLOOR = 0.2
@@ -118,13 +118,6 @@ def j9_fused_ranks(d):
     return f"SELECT query_id, doc_id, rrf, similarity FROM ({fused(d)}) f"
 
 
-@plan
-def f46_boosted(d):
-    q = rows(*QUERIES, names="query_id, query")
-    boost = f"CASE WHEN {d.contains('q.query', d.text('license'))} AND t.source = 'src0' THEN 0.3 ELSE 0 END + CASE WHEN {d.contains('q.query', d.text('rights'))} AND t.lang = 'en' THEN 0.2 ELSE 0 END"
-    return f"SELECT b.query_id, b.doc_id, round(b.score + {boost}, 6) AS boosted FROM ({top(bm25(d), 'query_id', 'score DESC, doc_id', 10)}) b JOIN {q} q ON q.query_id = b.query_id JOIN documents t ON t.doc_id = b.doc_id"
-
-
 @plan
 def p11_metadata_filter(d):
     return "SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src1'"

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from docspark.operators import ranking
 from docspark.plans.dialect import QUERIES, frame, plan, rows
 from docspark.plans.derived import WRONG_WORDS, ambiguities, cells, chunks, claims, elements, entities, objects
-from docspark.plans.findings import scored
-from docspark.plans.layout import classified, paragraphs, sentences
+from docspark.plans.findings import f29_chunk_enrichment, scored
+from docspark.plans.layout import TABLE_ROW, classified, paragraphs, sentences
 from docspark.plans.retrieval import bm25, edges, fused, neighbours, search_pairs, top
 from docspark.plans.spans import bucketed, candidates, decided, gated, merged
 from docspark.plans.retrieval import QUERIES as SEARCHES
@@ -187,10 +187,17 @@ def p20_verified(d):
     return f"SELECT issue_id FROM {ambiguities(d)} a WHERE confidence >= 0.4 AND kind <> 'none'"
 
 
+# Words that make a block worth a model's reading.
+TRIGGERS = ("must", "shall", "will", "agree", "policy", "section", "claim", "require", "mandatory", "guarantee", "indemnify", "liability", "term", "contract", "specifications", "schedule")
+
+
 @plan
 def p19_model_eligible(d):
-    """Paragraph blocks of 45 words or more with a word that needs judgement."""
-    return f"SELECT doc_id, block_id FROM ({classified(d)}) c WHERE block_type = 'paragraph' AND {d.size(words(d, 'text'))} >= 45 AND {d.like('lower(text)', '(^|[^a-z])(the|der|la|de)([^a-z]|$)')}"
+    """Blocks of 45 words or more that are no table, heading, header or footer and hold a trigger word; one of a fixture too."""
+    own = rows((-1, 0, "paragraph", "The supplier shall deliver " + "goods in time " * 15), (-1, 1, "paragraph", "The supplier shall deliver"), (-1, 2, "table", "must " * 50), (-1, 3, "paragraph", "plain words " * 30), names="doc_id, block_id, block_type, text")
+    every = f"SELECT doc_id, block_id, block_type, text FROM ({classified(d)}) c UNION ALL SELECT doc_id, block_id, block_type, text FROM {own} o"
+    n = d.size(d.keep(d.split("text", r"\s+"), "w", "w <> ''"))
+    return f"SELECT doc_id, block_id FROM ({every}) c WHERE block_type NOT IN ('table', 'heading', 'header', 'footer') AND {n} >= 45 AND ({' OR '.join(d.contains('lower(text)', d.text(w)) for w in TRIGGERS)})"
 
 
 @plan
@@ -375,21 +382,27 @@ def a15_executive_groups(d):
     return f"SELECT doc_id, category, substr(explanation, 1, 50) AS topic, max(risk_score) AS risk, count(*) AS n, {d.strings('section', '; ', 'finding_id')} AS sections FROM ({scored(d)}) s GROUP BY doc_id, category, substr(explanation, 1, 50)"
 
 
+def boosted(d) -> str:
+    """Fused ranks with boosts where a question asks for what a document's chunks name."""
+    query = rows(*SEARCHES, names="query_id, query")
+    meta = f"SELECT k.doc_id, max(CASE WHEN {d.like('k.text', TABLE_ROW)} THEN 1 ELSE 0 END) AS tables, max(CASE WHEN e.people <> '' THEN 1 ELSE 0 END) AS people, max(CASE WHEN e.places <> '' THEN 1 ELSE 0 END) AS places, max(CASE WHEN e.dates <> '' THEN 1 ELSE 0 END) AS dates, max(e.report) AS report FROM {chunks(d)} k JOIN ({f29_chunk_enrichment(d)}) e ON k.chunk_id = e.chunk_id GROUP BY k.doc_id"
+    asks = lambda *words_: "(" + " OR ".join(d.contains("q.query", d.text(w)) for w in words_) + ")"
+    # Words of a question, what they ask for, and the boost.
+    rules = ((asks("table"), "m.tables = 1", 0.3), (asks("people", "person", "who", "names"), "m.people = 1", 0.2), (asks("location", "where", "place", "state", "region", "district", "country"), "m.places = 1", 0.2), (asks("date", "when", "year", "month", "timeline", "chronology"), "m.dates = 1", 0.2), (f"{d.extract('q.query', 'report ([0-9]+)', 1)} <> ''", f"m.report = {d.extract('q.query', 'report ([0-9]+)', 1)}", 0.5))
+    boost = " + ".join(f"CASE WHEN {a} AND {b} THEN {n} ELSE 0 END" for a, b, n in rules)
+    return f"SELECT f.query_id, f.doc_id, q.query, round(f.rrf + {boost}, 6) * CAST(1 AS DOUBLE) AS score FROM ({fused(d)}) f JOIN {query} q ON q.query_id = f.query_id LEFT JOIN ({meta}) m ON m.doc_id = f.doc_id"
+
+
 @plan
-def a30_profile_correction(d):
-    p = f"(SELECT company, text FROM {rows((-1, 'epc contractor for power plant construction'), (-2, 'cloud software platform with plant api'), names='company, text')} v UNION ALL SELECT doc_id, lower(text) FROM documents)"
-    hits = lambda items: " + ".join(f"CASE WHEN {d.contains('text', d.text(w))} THEN 1 ELSE 0 END" for w in items)
-    return f"SELECT company, CASE WHEN {hits(('epc', 'construction', 'plant'))} > {hits(('software', 'cloud', 'api'))} THEN 'EPC' ELSE 'Software' END AS industry FROM {p} p"
+def f46_boosted(d):
+    return f"SELECT query_id, doc_id, score FROM ({boosted(d)}) b"
 
 
 @plan
 def o5_rank_chain(d):
-    """Depths in a row: fused ranks with boosts of metadata, the best fifteen of these by the words shared, the best eight at last."""
-    query = rows(*SEARCHES, names="query_id, query")
-    boost = "CASE WHEN t.lang = 'en' THEN 0.2 ELSE 0 END"
-    boosted = f"SELECT f.query_id, f.doc_id, q.query, t.text, round(f.rrf + {boost}, 6) AS score FROM ({fused(d)}) f JOIN documents t ON f.doc_id = t.doc_id JOIN {query} q ON q.query_id = f.query_id"
-    shared = d.int(d.size(d.both(d.distinct(words(d, "query")), d.distinct(words(d, "text")))))
-    rerank = f"SELECT query_id, doc_id, score, {shared} AS shared FROM ({top(boosted, 'query_id', 'score DESC, doc_id', 15)}) b"
+    """Depths in a row: boosted fused ranks, the best fifteen of these by the words shared, the best eight at last."""
+    shared = d.int(d.size(d.both(d.distinct(words(d, "query")), d.distinct(words(d, "t.text")))))
+    rerank = f"SELECT b.query_id, b.doc_id, b.score, {shared} AS shared FROM ({top(boosted(d), 'query_id', 'score DESC, doc_id', 15)}) b JOIN documents t ON t.doc_id = b.doc_id"
     return f"SELECT query_id, doc_id, rnk FROM ({top(rerank, 'query_id', 'shared DESC, score DESC, doc_id', 8)}) r"
 
 
