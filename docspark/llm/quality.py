@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.llm.common import release
+
 BITS, ROWS, THRESHOLD = 18, 12_000, 0.3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _UP, _LOW, _NUM, _REST = re.compile(r"[A-Z]+"), re.compile(r"[a-zß-ÿ]+"), re.compile(r"\d+"), re.compile(r"[^AaN]+")
@@ -36,7 +38,7 @@ def shape(word: str) -> str:
 class Hasher:
     """Feature ids and values of texts; remembers words, within a bound."""
 
-    def __init__(self, bits: int = BITS, most: int = 300_000):
+    def __init__(self, bits: int = BITS, most: int = 150_000):
         self.bits, self.most, self.known = bits, most, {}
 
     def _ids(self, words: list[str]) -> np.ndarray:
@@ -133,6 +135,8 @@ def _scores(spark: SparkSession, weights: np.ndarray):
         for texts in parts:
             out = np.fromiter((float(w[a] @ b) for a, b in map(h.features, texts)), float, len(texts))
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
+        h = texts = None
+        release()
 
     return of
 

@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import by_size, kept, new_path
+from docspark.llm.common import by_size, kept, new_path, release
 
 END_ID = 1
 #: Text that is split into pieces at once, words that an encoder remembers, tasks that read files, bytes read at once.
-CHUNK, WORDS, READERS, READ = 8_000_000, 400_000, 10_000, 16_000_000
+CHUNK, WORDS, READERS, READ = 4_000_000, 250_000, 10_000, 8_000_000
 
 # Fixed values of CRC-32C: the polynomial, least significant bit first, and the mask's constant.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
@@ -315,6 +315,8 @@ def _writer(folder: str, vocabulary: str, end_id: int):
                 if store.get_file_info(b).type != fs.FileType.NotFound:  # left by a lost attempt
                     store.delete_file(b)
                 store.move(a, b)
+            held, batch = [], None
+            release()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [os.path.basename(name)], "n_docs": [len(offsets)], "n_tokens": [tokens]})
 
     return of
