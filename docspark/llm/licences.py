@@ -11,12 +11,17 @@ shares m * t / (2 - t) or more with a window, so only starts with as many hits a
 windows of one template that overlap the best stays. A window inside a matched line, a matched whole text or a
 longer window is no notice of its own.
 
+Before any of it, texts are left out that hold none of a few words: a template may miss so many bigrams at most, so of any
+words that more of its bigrams hold, a match has one at least (``telling``). Long words are taken first, which are rare.
+
 Templates are a constant table. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +64,20 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+#: Words that most texts have; they tell least.
+FREQUENT = set("the of and to in a is that it for on was be with by as at are this from or an any all under not can you may if use more other which have has be been which their its".split())
+
+
+def telling(grams: list[str], need: int) -> list[str]:
+    """Words of which any text has one that shares ``need`` of the bigrams: all others' bigrams are too few."""
+    out: list[str] = []
+    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in FREQUENT, -len(w), w)):
+        if sum(not set(out).isdisjoint(g.split()) for g in grams) > len(grams) - need:
+            break
+        out.append(word)
+    return out
+
+
 def _words(text: F.Column) -> F.Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -113,6 +132,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     if not made:
         return docs.select("doc_id", F.lit(0).alias("unit"), F.lit("").alias("licence"), F.lit(0).alias("template"), F.lit(0.0).alias("dice")).where("false")
     table = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("licence"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("n"), F.lit(math.ceil(len(grams) * low)).alias("need"), F.lit(math.floor(len(grams) * high)).alias("longest")) for i, name, grams in made])
+    some = sorted({w for _, _, grams in made for w in telling(grams, math.ceil(len(grams) * low))}, key=lambda w: (-len(w), w))
+    docs = once(docs.select("doc_id", "text"), "low", F.lower("text")).where(reduce(or_, [F.contains(F.col("low"), F.lit(w)) if len(w) > 3 else F.col("low").rlike(rf"(^|[^\p{{L}}\p{{N}}]){w}([^\p{{L}}\p{{N}}]|$)") for w in some])).select("doc_id", "text")
     parts = F.split(F.coalesce("text", F.lit("")), "\n")
     unit = lambda i, line, whole: F.struct(i.alias("unit"), line.alias("line"), whole.alias("whole"))
     several = F.size(parts) > 1

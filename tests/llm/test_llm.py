@@ -595,6 +595,17 @@ def test_licences(spark):
     assert licences.scan(table(spark, docs), templates=()).count() == 0 and licences.scan(table(spark, docs).where("doc_id < 0")).count() == 0
 
 
+def test_telling_words_are_in_every_match():
+    rng = random.Random(4)
+    for _, text in licences.TEMPLATES:
+        grams = licences.bigrams_of(text)
+        need = math.ceil(len(grams) * 0.8 / 1.2 - 1e-9)
+        words = set(licences.telling(grams, need))
+        assert words and sum(not words.isdisjoint(g.split()) for g in grams) > len(grams) - need
+        for _ in range(50):  # whichever bigrams a match has, one of the words is in them
+            assert any(not words.isdisjoint(g.split()) for g in rng.sample(grams, need))
+
+
 def test_licences_wrapped_and_embedded(spark):
     import textwrap
 
