@@ -263,3 +263,27 @@ def test_paragraphs_and_elements():
 
     assert pairs(["One two", "Three", "Four", "Five"], ["Title", "One", "x", "Three more", "Fo"]) == [1, 3, 4, 4]
     assert pairs(["a"], []) == [-1] and pairs(["zz", "Title"], ["Title", "end"]) == [1, 1]
+
+
+def test_industries(run):
+    got = {r.doc_id: (r.votes, r.industry) for r in run("a29_industry_vote", documents=["Solar wind, SOLAR power generation and a hospital"])}
+    assert got[-1] == (7, "Engineering Procurement & Construction (EPC)") and got[-2] == (3, "Software & Cloud Solutions")
+    assert got[-3] == (2, "Healthcare & Life Sciences") and got[-4] == (0, "Engineering Procurement & Construction (EPC)")
+    assert got[0] == (4, "Energy & Utilities")
+    plants = "plant " * 6 + "saas cloud platform devops"
+    got = {r.doc_id: r.industry for r in run("a30_profile_correction", documents=[plants, plants + " cybersecurity" * 9, "plant " * 30 + "saas " * 12 + "devops " * 30])}
+    assert got[0] == "Manufacturing & Industrial" and got[1] == "Software & Cloud Solutions" and got[2] == "Software & Cloud Solutions"
+
+
+def test_blocks_for_a_model(run):
+    assert [(r.doc_id, r.block_id) for r in run("p19_model_eligible", documents=["plain " * 50])] == [(-1, 0)]
+
+
+def test_stage_resets(spark, tmp_path):
+    import datetime
+
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    rows = [(1, at(1), 7, "view"), (2, at(2), 7, "click"), (3, at(3), 7, "cart"), (4, at(4), 7, "click"), (5, at(1), 8, "view")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.user_id, r.event_type): r.state for r in queries()["x7_stage_states"](spark, str(tmp_path)).collect()}
+    assert got == {(7, "view"): "complete", (7, "click"): "complete", (7, "cart"): "pending", (8, "view"): "complete"}
