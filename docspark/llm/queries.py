@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import decontam, htmldiff, iblt, langid, licences, linededup, mixing, quality, records, simhash
+from docspark.llm import decontam, htmldiff, iblt, langid, licences, linededup, mixing, quality, records, simhash, variants
 
 
 def vocabulary(name: str) -> str:
@@ -62,9 +62,13 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_token_records": op3_token_records, "op4_decontamination": op4_decontamination, "op5_main_text": op5_main_text, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_fingerprints": op8_fingerprints, "op9_simhash": op9_simhash, "op10_licences": op10_licences}
+    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_token_records": op3_token_records, "op4_decontamination": op4_decontamination, "op5_main_text": op5_main_text, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_fingerprints": op8_fingerprints, "op9_simhash": op9_simhash, "op10_licences": op10_licences, "op11_spelling_variants": op11_spelling_variants}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontam.ORACLE, "op7_line_dedup": linededup.oracle(), "op10_licences": licences.oracle()}
+    return {"op4_decontamination": decontam.ORACLE, "op7_line_dedup": linededup.oracle(), "op10_licences": licences.oracle(), "op11_spelling_variants": variants.ORACLE}
