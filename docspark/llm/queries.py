@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import decontam, htmldiff, iblt, langid, licences, linededup, mixing, quality, records, simhash, variants
+from docspark.llm import collocations, decontam, htmldiff, iblt, langid, licences, linededup, mixing, quality, records, simhash, urlfilter, variants
 
 
 def vocabulary(name: str) -> str:
@@ -66,9 +66,19 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urlfilter.RULES, "rule string, verdict string")
+    out = urlfilter.judged(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_token_records": op3_token_records, "op4_decontamination": op4_decontamination, "op5_main_text": op5_main_text, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_fingerprints": op8_fingerprints, "op9_simhash": op9_simhash, "op10_licences": op10_licences, "op11_spelling_variants": op11_spelling_variants}
+    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_token_records": op3_token_records, "op4_decontamination": op4_decontamination, "op5_main_text": op5_main_text, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup, "op8_fingerprints": op8_fingerprints, "op9_simhash": op9_simhash, "op10_licences": op10_licences, "op11_spelling_variants": op11_spelling_variants, "op12_url_filter": op12_url_filter, "op13_collocations": op13_collocations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontam.ORACLE, "op7_line_dedup": linededup.oracle(), "op10_licences": licences.oracle(), "op11_spelling_variants": variants.ORACLE}
+    return {"op4_decontamination": decontam.ORACLE, "op7_line_dedup": linededup.oracle(), "op10_licences": licences.oracle(), "op11_spelling_variants": variants.ORACLE, "op13_collocations": collocations.ORACLE}
