@@ -9,12 +9,13 @@ What is shared isn't always template, and what is template isn't always shared;
 - How often a line recurs on its host, copies of a page counted once. A pair that shares over half of its lines is the same
   article twice, or two short articles in a large template: it deletes only lines that recur (on ``RECURS_ON`` pages or
   more, and over ``RECURS_IN`` of them), so a pair alike only with each other is a copy and deletes nothing. Paragraphs and
-  headings are deleted only if they recur so, as short ones repeat by chance; paragraphs inside article or main only if
-  they are shared with both sides (or the only one) and on over ``RECURS_INSIDE`` of the host's pages, headings there never.
+  headings are deleted only if they recur so, as short ones repeat by chance; lines inside article or main only if they are
+  shared with both sides (or the only one) and on over ``RECURS_INSIDE`` of the host's pages, paragraphs there only if they
+  stand outside of article and main on some page of the host too, headings there never.
 - What markup says of lines that no neighbour shares: those of elements named as something else than text (menus, headers,
   footers, asides, adverts, notices, comments; by element, role, or a whole class name or id) go, and, where a page has article
   or main elements with text, so do lines outside them. An element that is never closed says nothing, nor does one that
-  holds an article or main element.
+  holds an article or main element, nor a section of an article with headings and paragraphs whose id may be its topic.
 
 Only hashes of lines are dealt out for pairing. Texts stay where they were read: a page is parsed once more when the
 lines to delete are known.
@@ -40,12 +41,12 @@ from docspark.llm.common import written
 BROADCAST_BYTES = 16 << 20
 #: A line recurs on a host if this many of its pages have it, copies counted once, and over this part of them.
 RECURS_ON, RECURS_IN, RECURS_INSIDE = 3, 0.1, 0.5
-#: Hashes of lines in a range of URLs; attributes are looked for in so many characters of a tag.
-RANGE_LINES, ATTRIBUTES = 8 << 20, 10_000
+#: Hashes of lines in a range of URLs.
+RANGE_LINES = 8 << 20
 
 # HTML elements by what they do here, and what names of classes, ids and roles say.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
-RAW = set("script style title textarea noscript iframe xmp noembed noframes template svg math object canvas audio video".split())
+RAW = set("script style title textarea noscript iframe xmp noembed noframes template svg object canvas audio video".split())
 TO_THE_END = set("script style title textarea iframe xmp noembed noframes".split())
 IN_HEAD = set("title meta link base script style noscript template bgsound".split())
 FORMS = set("form button select datalist".split())
@@ -62,6 +63,7 @@ NAMES = set(
 )
 BESIDE = set("site page global main primary secondary top bottom left right box bar block list area wrapper wrap container section slot unit buttons links items form posts stories articles inner outer fixed sticky mobile desktop".split())
 TEXT_NAMES = set("article content post entry story body text main".split())
+TOPICS = set("search login notice notices alert banner consent cookie cookies menu navigation promotion sponsor sponsored subscription advertising toolbar widget widgets".split())
 
 ARTICLE, NAMED, PARAGRAPH, HEADING = 1, 2, 4, 8
 
@@ -81,7 +83,7 @@ def _says(name: str) -> bool:
 def is_named(attrs: str) -> bool:
     """Whether a tag's attributes name a part that isn't article text."""
     names: list[str] = []
-    for m in _ATTR.finditer(attrs[:ATTRIBUTES]):
+    for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
             names += value.split()
@@ -92,14 +94,22 @@ def is_named(attrs: str) -> bool:
     return TEXT_NAMES.isdisjoint(names) and any(map(_says, names))
 
 
+def is_topic(attrs: str) -> bool:
+    """Whether all that names a part is an id that may as well be what a section of an article is about."""
+    found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _ATTR.finditer(attrs)]
+    ids = [v for k, v in found if k == "id"]
+    return all(k == "id" for k, _ in found) and all(TOPICS.issuperset(_PART.findall(v)) for v in ids)
+
+
 def tokens(html: str) -> Iterator[tuple[str, bool, str]]:
     """Tags ``(name, closing, attributes)`` and texts ``("", False, text)`` of a page, in one pass over it.
 
-    Quotes hold a tag open; a tag whose quotes never close ends at its first ``>``. After a few such tags quotes count for
-    nothing, so no part of a page is read more than a few times.
+    Quotes hold a tag open; a tag whose quotes never close ends at its first ``>``. What follows a quote that opens depends on
+    its place alone, so places from which no tag ended are remembered, and nothing is read twice for the same end.
     """
-    pos, text, n, broken = 0, 0, len(html), 0
+    pos, text, n = 0, 0, len(html)
     unclosed: set[str] = set()
+    endless: set[int] = set()  # quotes that open somewhere behind which no tag ends
     while True:
         a = html.find("<", pos)
         if a < 0:
@@ -113,20 +123,18 @@ def tokens(html: str) -> Iterator[tuple[str, bool, str]]:
                     yield "", False, html[text:a]
                 pos = text = n if end < 0 else end + (3 if html.startswith("!--", a + 1) else 1)
             continue
-        end, at = -1, name.end()
-        while broken < 16:
+        end, at, opened = -1, name.end(), []
+        while True:
             at = _PLAIN.match(html, at).end()
-            if at >= n:
-                broken += 1
-                break
-            if html[at] == ">":
+            if at < n and html[at] == ">":
                 end = at
                 break
-            close = html.find(html[at], at + 1)
-            if close < 0:
-                broken += 1
+            if at < n and at not in endless:
+                opened.append(at)
+                at = html.find(html[at], at + 1) + 1
+            if not at or at >= n or at in endless:
+                endless.update(opened)
                 break
-            at = close + 1
         if end < 0:
             end = html.find(">", name.end())
         if end < 0:
@@ -200,6 +208,7 @@ def lines(html: str | None) -> tuple[list[str], list[int]]:
             out.append(text)
             flags.append(ARTICLE * (i <= inside) + NAMED * (i <= named or i <= head_of and not heading) + PARAGRAPH * (block in PROSE) + HEADING * heading)
 
+    has = lambda tags, a, b: any(found[k][0] in tags for k in range(a, b))
     i = 0
     for i, (tag, closing, attrs) in enumerate(found):
         if head:
@@ -226,6 +235,8 @@ def lines(html: str | None) -> tuple[list[str], list[int]]:
                 inside = max(inside, ends[i] or len(found))
             continue
         says = bool(attrs) and tag not in ("html", "body", "main") and (is_block or tag in NAMED_INLINE) and is_named(attrs)
+        if says and tag == "section" and named < i < inside and is_topic(attrs):
+            says = not (has(HEADINGS, i + 1, ends[i]) and has({"p"}, i + 1, ends[i]))
         if tag in FORMS:
             skip = ends[i]
         elif tag in ("article", "main") and not (says and (i < inside or i < named or "comment" in attrs.lower())):
@@ -295,9 +306,9 @@ def common(a: list[int], b: list[int], most: int = 1 << 28) -> list[int]:
     return out[::-1]
 
 
-def shared_lines(own: list[int], flags: list[int], before: list[int] | None, after: list[int] | None, recurring: list[int], everywhere: list[int]) -> list[int]:
-    """Places of the lines to delete because they are shared; see the module's text. The last two: lines of the host that recur."""
-    again, always = set(recurring), set(everywhere)
+def shared_lines(own: list[int], flags: list[int], before: list[int] | None, after: list[int] | None, recurring: list[int], everywhere: list[int], outside: list[int]) -> list[int]:
+    """Places of the lines to delete because they are shared; see the module's text. The last three: lines of the host that recur, on over RECURS_INSIDE of it, and of these the ones that stand outside of articles somewhere."""
+    again, always, beside = set(recurring), set(everywhere), set(outside)
     shared: list[set[int]] = []
     for other in (before, after):
         if other is not None:
@@ -307,7 +318,7 @@ def shared_lines(own: list[int], flags: list[int], before: list[int] | None, aft
     if not shared:
         return []
     either, both = set.union(*shared), set.intersection(*shared)
-    return [i for i in sorted(either) if not flags[i] & ARTICLE or flags[i] & NAMED or i in both and own[i] in always and not flags[i] & HEADING]
+    return [i for i in sorted(either) if not flags[i] & ARTICLE or flags[i] & NAMED or i in both and own[i] in (beside if flags[i] & PARAGRAPH else always) and not flags[i] & HEADING]
 
 
 def kept_lines(flags: list[int], deleted: list[int]) -> list[int]:
@@ -339,28 +350,31 @@ def _light(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for page_id, url, html, key in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["tkey"]):
             found, flags = lines(html)
-            rows.append((page_id, *split_url(url), key, line_hashes(found), bytes(flags)))
-        out = pd.DataFrame(rows, columns=["page_id", "host", "path", "tkey", "hashes", "flags"])
+            hashes, marks = line_hashes(found), np.array(flags, np.uint8)
+            rows.append((page_id, *split_url(url), key, hashes, bytes(flags), hashes[marks & (ARTICLE | NAMED) != ARTICLE]))
+        out = pd.DataFrame(rows, columns=["page_id", "host", "path", "tkey", "hashes", "flags", "outside"])
         yield out.astype({"page_id": "Int64"})
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _deleted(own: pd.Series, flags: pd.Series, before: pd.Series, after: pd.Series, recurring: pd.Series, everywhere: pd.Series) -> pd.Series:
+def _deleted(own: pd.Series, flags: pd.Series, before: pd.Series, after: pd.Series, recurring: pd.Series, everywhere: pd.Series, outside: pd.Series) -> pd.Series:
     ints = lambda x: None if x is None else x.tolist()
-    return pd.Series([shared_lines(h.tolist(), list(z), ints(b), ints(a), ints(r) or [], ints(e) or []) for h, z, b, a, r, e in zip(own, flags, before, after, recurring, everywhere)])
+    return pd.Series([shared_lines(h.tolist(), list(z), ints(b), ints(a), ints(r) or [], ints(e) or [], ints(o) or []) for h, z, b, a, r, e, o in zip(own, flags, before, after, recurring, everywhere, outside)])
 
 
 def recurring_lines(light: DataFrame) -> DataFrame:
-    """Rows ``(host, recurring, everywhere)``: the line hashes that recur on a host, and those over RECURS_INSIDE of it.
+    """Rows ``(host, recurring, everywhere, outside)``: the line hashes that recur on a host, those over RECURS_INSIDE of it, and those of them that stand outside of articles on some page.
 
     A host has at most its mean lines a page / ``RECURS_IN`` of them.
     """
-    pages = light.where("size(hashes) > 0").select("host", F.array_distinct("hashes").alias("hashes"), "copy").dropDuplicates(["host", "copy"])
+    pages = light.where("size(hashes) > 0").select("host", F.array_distinct("hashes").alias("hashes"), F.array_distinct("outside").alias("outside"), "copy").dropDuplicates(["host", "copy"])
     counts = pages.groupBy("host").agg(F.count("*").alias("n"))
-    found = pages.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count("*").alias("on")).where(F.col("on") >= RECURS_ON)
+    each = pages.select("host", F.explode("hashes").alias("line"), F.lit(1).alias("one")).unionByName(pages.select("host", F.explode("outside").alias("line"), F.lit(0).alias("one")))
+    found = each.groupBy("host", "line").agg(F.sum("one").alias("on"), (F.min("one") == 0).alias("beside")).where(F.col("on") >= RECURS_ON)
     found = found.join(counts, "host").where(F.col("on") > RECURS_IN * F.col("n"))
-    always = F.when(F.col("on") > RECURS_INSIDE * F.col("n"), F.col("line"))
-    return found.groupBy("host").agg(F.collect_list("line").alias("recurring"), F.collect_list(always).alias("everywhere"))
+    always = F.col("on") > RECURS_INSIDE * F.col("n")
+    lists = {"recurring": F.col("line"), "everywhere": F.when(always, F.col("line")), "outside": F.when(always & F.col("beside"), F.col("line"))}
+    return found.groupBy("host").agg(*[F.collect_list(x).alias(c) for c, x in lists.items()])
 
 
 def _across(ends: list[tuple]) -> list[tuple[int, int, bool]]:
@@ -420,17 +434,18 @@ def deletions(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows ``(page_id, tkey, deleted)`` of the pages that lose shared lines; tkey is the XXH64 of url and html."""
     spark = pages.sparkSession
     keyed = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("tkey"))
-    light = keyed.mapInPandas(_light, "page_id long, host string, path string, tkey long, hashes array<long>, flags binary")
+    light = keyed.mapInPandas(_light, "page_id long, host string, path string, tkey long, hashes array<long>, flags binary, outside array<long>")
     light = written(light.withColumn("copy", F.xxhash64("hashes")), "page-lines")
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(light.agg(F.sum(F.size("hashes"))).first()[0] or 0) // RANGE_LINES))
     # ranges of the order are numbered and written, so they are the same for all that follows
-    ranges = written(light.repartitionByRange(n, "host", "path", F.col("page_id").asc_nulls_first(), "tkey").withColumn("pid", F.spark_partition_id()), "page-ranges")
+    ranges = written(light.drop("outside").repartitionByRange(n, "host", "path", F.col("page_id").asc_nulls_first(), "tkey").withColumn("pid", F.spark_partition_id()), "page-ranges")
     rows = _neighbours(ranges).where("before is not null or after is not null")
     again = written(recurring_lines(light), "recurring-lines")
-    if 8 * (again.agg(F.sum(F.size("recurring") + F.size("everywhere") + 8)).first()[0] or 0) <= BROADCAST_BYTES:
+    if 8 * (again.agg(F.sum(F.size("recurring") + F.size("everywhere") + F.size("outside") + 8)).first()[0] or 0) <= BROADCAST_BYTES:
         again = F.broadcast(again)
-    rows = rows.join(again, "host", "left").withColumn("recurring", F.array_intersect("hashes", "recurring")).withColumn("everywhere", F.array_intersect("hashes", "everywhere"))
-    rows = rows.withColumn("deleted", _deleted("hashes", "flags", "before", "after", "recurring", "everywhere"))
+    lists = ("recurring", "everywhere", "outside")
+    rows = rows.join(again, "host", "left").withColumns({c: F.array_intersect("hashes", c) for c in lists})
+    rows = rows.withColumn("deleted", _deleted("hashes", "flags", "before", "after", *lists))
     return rows.where("size(deleted) > 0").groupBy("page_id", "tkey").agg(F.min("deleted").alias("deleted"))
 
 

@@ -1,8 +1,8 @@
 """Language identification by segmentation-marginalised unigrams over a public vocabulary.
 
 A language is a probability for each piece of the vocabulary. A text's letters are taken as lower-cased words with the
-vocabulary's word-start mark, cut after 32 letters where they are longer; the likelihood of a word is the sum over all
-its segmentations into pieces, by the forward algorithm; that of a text is the product over its words. A letter that
+vocabulary's word-start mark; the likelihood of a word is the sum over all its segmentations into pieces, by the forward
+algorithm, which is rescaled at each letter for words that are long, as their likelihoods are too small for a number; that of a text is the product over its words. A letter that
 the vocabulary lacks is a piece of its own with one small probability. Training runs a few expectation-maximisation
 steps (forward-backward, so again over all segmentations) on the words of one bounded sample of labelled rows.
 """
@@ -18,7 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, LONGEST, ROWS_PER_LANGUAGE, STEPS, UNKNOWN = "▁", 32, 400, 3, 1e-9
+MARK, ROWS_PER_LANGUAGE, STEPS, UNKNOWN = "▁", 400, 3, 1e-9
+#: Words of more letters are long: they are scored with rescaling, and not remembered. Positions of one at a time.
+LONG, PART = 32, 4096
 #: There is a probability for each piece and language on the driver and on executors; beyond this many it refuses.
 MOST_LANGUAGES = 1000
 _RUN = re.compile(r"[^\W\d_]+")
@@ -26,14 +28,12 @@ _P = np.uint64(0x100000001B3)
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters of a text, none longer than LONGEST."""
+    """Lower-cased runs of letters of a text."""
     out = []
     for run in _RUN.findall((text or "").lower()):
         if not run.isalpha():
             run = "".join(c for c in run if c.isalpha())
-        if len(run) > LONGEST:
-            out += [run[i : i + LONGEST] for i in range(0, len(run), LONGEST)]
-        elif run:
+        if run:
             out.append(run)
     return out
 
@@ -42,7 +42,7 @@ class Vocabulary:
     """Pieces and a vectorised search for them: polynomial hashes of code points, sorted."""
 
     def __init__(self, pieces: list[str]):
-        self.pieces = sorted({p for p in pieces if p and (p[0] == MARK and p[1:].isalpha() or p.isalpha()) and len(p) <= LONGEST + 1 and p == p.lower()})
+        self.pieces = sorted({p for p in pieces if p and (p[0] == MARK and p[1:].isalpha() or p.isalpha()) and p == p.lower()})
         h = np.array([self._hash(p) for p in self.pieces], np.uint64)
         order = np.argsort(h)
         self.hashes, self.at = h[order], order
@@ -77,10 +77,50 @@ def load(path: str) -> Vocabulary:
     return Vocabulary([s.id_to_piece(i) for i in range(s.get_piece_size())])
 
 
+def _behind(word: str, vocabulary: Vocabulary, back: bool = False) -> np.ndarray:
+    """For each place of a marked word and each length the piece that ends there, as a row of ``_forward``'s table; ``back``: of the word read backwards.
+
+    A single code point that the vocabulary lacks is the last row but one, other gaps the last, whose probability is 0.
+    """
+    codes = np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    n, none = len(codes), len(vocabulary.pieces) + 1
+    out = np.full((n + 1, vocabulary.longest), none)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(n, vocabulary.longest)):
+        h = h[: n - k] * _P + codes[k:]
+        at = np.minimum(np.searchsorted(vocabulary.hashes, h), max(0, len(vocabulary.hashes) - 1))
+        found = vocabulary.hashes[at] == h if len(vocabulary.hashes) else np.zeros(len(h), bool)
+        piece = np.where(found, vocabulary.at[at] if len(vocabulary.hashes) else 0, none - 1 if k == 0 else none)
+        if back:
+            out[n - np.arange(n - k), k] = piece
+        else:
+            out[k + 1 :, k] = piece
+    return out
+
+
+def _forward(behind: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Natural logs of the summed likelihoods of all segmentations up to each place of a word, one column for each language.
+
+    The sums of the last places are kept relative to the newest, so they don't underflow at any length.
+    """
+    table = np.concatenate([p, np.zeros((1, p.shape[1]))])
+    n, longest = behind.shape
+    out = np.zeros((n, p.shape[1]))
+    window = np.zeros((longest, p.shape[1]))  # the newest first
+    window[0] = 1
+    for part in range(1, n, PART):
+        for t, w in enumerate(table[behind[part : part + PART]], part):
+            new = (window * w).sum(axis=0)
+            out[t] = out[t - 1] + np.log(new)
+            window[1:] = window[:-1] / new
+            window[0] = 1
+    return out
+
+
 def _by_length(known: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of the words of each length, and their code points behind the mark."""
+    """Numbers of the words of each length that isn't long, and their code points behind the mark."""
     lengths = np.array([len(w) for w in known])
-    for n in np.unique(lengths):
+    for n in np.unique(lengths[lengths <= LONG]):
         at = np.flatnonzero(lengths == n)
         text = "".join(MARK + known[i] for i in at)
         yield at, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n + 1)
@@ -89,6 +129,9 @@ def _by_length(known: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def likelihoods(known: list[str], vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Natural logs, one row for each word and one column for each language; ``p`` has a row for each piece and one more."""
     out = np.zeros((len(known), p.shape[1]))
+    for i, w in enumerate(known):
+        if len(w) > LONG:
+            out[i] = _forward(_behind(w, vocabulary), p)[-1]
     for at, codes in _by_length(known):
         n, length = codes.shape
         alpha = np.zeros((length + 1, n, p.shape[1]))
@@ -105,6 +148,16 @@ def likelihoods(known: list[str], vocabulary: Vocabulary, p: np.ndarray) -> np.n
 def expected(known: list[str], times: np.ndarray, vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words, for one language."""
     uses = np.zeros(len(p))
+    table = np.append(p, 0.0)
+    for w, k in zip(known, times):
+        if len(w) > LONG:
+            behind, back = _behind(w, vocabulary), _behind(w, vocabulary, True)
+            alpha, beta = _forward(behind, p[:, None])[:, 0], _forward(back, p[:, None])[::-1, 0]
+            for size in range(1, min(len(alpha), behind.shape[1] + 1)):
+                piece = behind[size:, size - 1]
+                ok = piece < len(p)
+                share = np.exp(alpha[:-size][ok] + np.log(table[piece[ok]]) + beta[size:][ok] - alpha[-1])
+                uses += np.bincount(piece[ok], k * share, len(p))
     for at, codes in _by_length(known):
         n, length = codes.shape
         spans = list(vocabulary.find(codes))
@@ -161,7 +214,7 @@ class Scorer:
         lang, score = [], []
         for i in range(0, len(texts), 256):
             cut = [words(t) for t in texts[i : i + 256]]
-            every = set().union(*cut)
+            every = {w for own in cut for w in own if len(w) <= LONG}
             if new := sorted(every.difference(self.known)):
                 if len(self.known) + len(new) > self.most:
                     new = sorted(every)
@@ -171,7 +224,11 @@ class Scorer:
                     lang.append("und")
                     score.append(0.0)
                     continue
-                log = self.rows[np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))].sum(axis=0)
+                long = [x for x in w if len(x) > LONG]
+                short = w if not long else [x for x in w if len(x) <= LONG]
+                log = self.rows[np.fromiter(map(self.known.__getitem__, short), np.int64, len(short))].sum(axis=0)
+                for x, k in Counter(long).items():
+                    log = log + k * likelihoods([x], self.vocabulary, self.model.p)[0]
                 best = int(log.argmax())
                 lang.append(self.model.languages[best])
                 score.append(float(1 / np.exp(log - log[best]).sum()))

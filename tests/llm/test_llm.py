@@ -424,8 +424,8 @@ def test_main_text_of_large_templates(spark):
     assert by[10] == long and by[11] == [*long[:8], "Edited"] and all(by[12 + i] == text(i, 20) for i in range(30))
     assert by[50] == by[51] == text("e", 20) and by[52] == text("f", 20)
     assert len(by[60]) == len(by[61]) == 12
-    # a heading or paragraph that a sibling's article has too stays
-    assert [by[70 + i] for i in range(4)] == [text(i) for i in range(4)]
+    # a paragraph that all articles have stays, as it stands outside of articles nowhere
+    assert [by[70 + i] for i in range(4)] == [["Read on", *text(i)] for i in range(4)]
 
 
 # 6
