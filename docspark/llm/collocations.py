@@ -1,11 +1,12 @@
 """Phrase collocations: which words stand together more often than their parts do, for each language.
 
 Frequent phrases are mined by contiguous pattern growth. A frequent word is a prefix; its projection holds a pointer for each
-occurrence, which is the words that follow there, up to ``longest`` in all and not beyond a word that is too rare to be in a
-frequent phrase. Equal pointers of a task are one row with their number before they are dealt out. A prefix is one task's work:
-its pointers come together, sorted, so what a longer prefix is projected to is a range of them, and growth goes to the right,
-depth first. Prefixes with a large share of all pointers are grown by one word in a distributed count first, and so on, so
-that no prefix that one task gets is hot.
+occurrence: the words that follow there, up to ``longest`` in all and not beyond a word that is too rare to be in a frequent
+phrase. A task that reads texts packs what it has of a prefix's projection into one row, equal pointers once with their number.
+A prefix is then one task's work: its pointers come together and are sorted, so what a longer prefix is projected to is a
+range of them, and growth goes to the right, depth first. Words that are more than half of a task's mean share of the corpus
+are no prefixes of their own, but the words behind them make longer ones, and so on, so no prefix that a task gets is hot;
+phrases of such words alone are counted as they are.
 
 Which words are frequent is told in tasks by a bit map of fixed size, set by hashes of the frequent words: it may let rare words
 pass, which costs rows but changes no result.
@@ -29,16 +30,18 @@ LONGEST, LEAST, COVERED = 3, 10, 50
 #: Rows of a language in the result, and what a score of 1 is.
 TOP, UNIT = 2000, 1_000_000
 #: Bits of the map of frequent words; distinct words, words of text and pointers that a task holds at a time; bytes of text split at a time.
-MAP_BITS, HELD, TOKENS, POINTERS, PART = 1 << 26, 400_000, 1_500_000, 300_000, 4 << 20
+MAP_BITS, HELD, TOKENS, POINTERS, PART = 1 << 26, 400_000, 2_000_000, 500_000, 4 << 20
 
 # What ends a piece, and the white space between words.
 ENDS, SPACE = b".,;:!?\n\x0b\x0c\r", b" \t"
 _TABLE = bytes(0x0A if i in ENDS else 0x20 if i in SPACE else i for i in range(256))
-BREAK = b"."
+#: No word can be one of these, as they end pieces: between pieces, or nothing more; the word of the pointer before.
+BREAK, SAME = b".", b","
+ROWS = "lang string, prefix string, size int, rest binary, counts binary, n long"
 
 
 def _tokens(text: str) -> Iterator[list[bytes]]:
-    """The words of a text in lists of whole pieces, with BREAK between pieces: a word can't be that, as it ends a piece."""
+    """The words of a text in lists of whole pieces, with BREAK between pieces."""
     data = text.encode().lower().translate(_TABLE)  # bytes.lower changes A to Z only
     at = 0
     while at < len(data):
@@ -73,7 +76,7 @@ class _Ids(dict):
     """Numbers of the words of one language from 1 on; 0 for BREAK and for words that can't be frequent."""
 
     def __init__(self, lang: str, bits: np.ndarray):
-        self.seed, self.bits, self.names = xxhash.xxh64_intdigest(lang.encode(), seed=42), bits, [b""]
+        self.seed, self.bits, self.names = xxhash.xxh64_intdigest(lang.encode(), seed=42), bits, [BREAK]
         self[BREAK] = 0
 
     def __missing__(self, word: bytes) -> int:
@@ -109,19 +112,73 @@ def _pointers(ids: np.ndarray, k: int, longest: int) -> tuple[list[np.ndarray],
     return cols, n
 
 
+def _rows(lang: str, cols: list[np.ndarray], n: np.ndarray, names: list[bytes], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted pointers as rows of prefixes: with all that follows packed, or, where all words before the last are hot, with their number alone."""
+    longest = len(cols)
+    lead, depth, size = hot[cols[0]], np.ones(len(n), int), np.zeros(len(n), int)
+    for c in cols:
+        size += c > 0
+    for j in range(1, longest):
+        depth += lead
+        lead = lead & hot[cols[j]]
+    lead = depth - 1 + lead  # hot words in front
+
+    def starts(own: np.ndarray, d: int) -> np.ndarray:
+        new = np.zeros(len(own), bool)
+        new[0] = True
+        for c in cols[:d]:
+            new[1:] |= c[own[1:]] != c[own[:-1]]
+        return np.flatnonzero(new)
+
+    def prefixes(rows: np.ndarray, d: int) -> pa.Array:
+        return pa.array([b" ".join([names[c[i]] for c in cols[:d]]) for i in rows.tolist()], pa.binary()).cast(pa.string())
+
+    def made(rows: np.ndarray, d: int, total: np.ndarray, rest: list | None, counts: list | None) -> pa.RecordBatch:
+        none = pa.nulls(len(rows), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(rows)), prefixes(rows, d), pa.array(np.full(len(rows), d, np.int32)), none if rest is None else pa.array(rest, pa.binary()), none if counts is None else pa.array(counts, pa.binary()), pa.array(total)],
+            ["lang", "prefix", "size", "rest", "counts", "n"],
+        )
+
+    for d in range(2, longest + 1):
+        own = np.flatnonzero((size >= d) & (lead >= (d if d < longest else d - 1)))
+        if len(own):
+            at = starts(own, d)
+            yield made(own[at], d, np.add.reduceat(n[own], at), None, None)
+    words = [*names, SAME]
+    for d in range(1, longest):
+        own = np.flatnonzero((depth == d) & (size >= d))
+        if not len(own):
+            continue
+        at = starts(own, d)
+        rest = np.stack([c[own] for c in cols[d:]], axis=1)
+        again = np.zeros(len(own), bool)
+        again[1:] = rest[1:, 0] == rest[:-1, 0]
+        again[at] = False
+        rest[again, 0] = len(names)
+        flat = list(map(words.__getitem__, rest.ravel().tolist()))
+        ends, num, w = [*at[1:].tolist(), len(own)], n[own].astype(np.uint32), longest - d
+        bounds = list(zip(at.tolist(), ends, strict=True))
+        for k in range(0, len(bounds), 20_000):
+            some = bounds[k : k + 20_000]
+            first = at[k : k + 20_000]
+            total = np.add.reduceat(n[own[: some[-1][1]]], first)
+            yield made(own[first], d, total, [b" ".join(flat[a * w : b * w]) for a, b in some], [num[a:b].tobytes() for a, b in some])
+
+
 def _projected(sent, longest: int):
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Ids] = {}
         held: dict[str, list[np.ndarray]] = {}
-        bits, size = sent.value, 0
+        (bits, hot_words), size = sent.value, 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
-                names = pa.array(known[lang].names, pa.binary()).cast(pa.string())
+                names = known[lang].names
                 cols, n = _pointers(np.concatenate(parts), len(names), longest)
-                words = [names.take(pa.array(c, mask=c == 0)) for c in cols]
                 if len(n):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *words, pa.array(n)], ["lang", *[f"w{j}" for j in range(longest)], "n"])
+                    mine = hot_words.get(lang, ())
+                    yield from _rows(lang, cols, n, names, np.fromiter((x in mine for x in names), bool, len(names)))
             held.clear()
             if sum(map(len, known.values())) > HELD:
                 known.clear()
@@ -144,70 +201,78 @@ def _projected(sent, longest: int):
     return project
 
 
-def _mined(part: pa.Table, least: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Frequent phrases of whole groups of pointers, grown to the right from their prefixes, depth first.
+def _grow(cols: list[np.ndarray], num: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """Frequent ranges of pointers that are sorted by ``cols``, of which the first tells prefixes apart: (row, columns, sum).
 
-    ``depth`` is how many words make the prefix of a row's group; phrases shorter than that, and words, are counted elsewhere.
+    Growth is to the right, depth first; a range of one column is a prefix itself.
     """
-    names = ["lang", *[f"w{j}" for j in range(longest)]]
-    codes, n, depth = [], part.column("n").to_numpy(), part.column("depth").to_numpy()
-    for c in names:
-        codes.append(part.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False))
-    found: list[tuple[int, int, int]] = []
-    for d in np.unique(depth):
-        own = np.flatnonzero(depth == d)
-        own = own[np.lexsort([c[own] for c in reversed(codes)])]
-        cols, num = [c[own] for c in codes], n[own]
-
-        def groups(lo: int, hi: int, by: list[np.ndarray], num=num) -> Iterator[tuple[int, int, int]]:
-            """Ranges within lo and hi of rows that agree in columns ``by``, if their sum is enough."""
-            new = np.zeros(hi - lo, bool)
-            new[0] = True
-            for c in by:
-                new[1:] |= c[lo + 1 : hi] != c[lo : hi - 1]
-            at = np.flatnonzero(new)
-            sums = np.add.reduceat(num[lo:hi], at)
-            ends = np.append(at[1:], hi - lo)
-            ok = (sums >= least) & (by[-1][lo + at] >= 0)
-            return zip((lo + at[ok]).tolist(), (lo + ends[ok]).tolist(), sums[ok].tolist(), strict=True)
-
-        def grow(lo: int, hi: int, size: int, cols=cols, own=own, groups=groups) -> None:
-            for a, b, total in groups(lo, hi, [cols[size + 1]]):
-                found.append((int(own[a]), size + 1, total))
-                if size + 1 < longest:
-                    grow(a, b, size + 1)
-
-        for a, b, total in groups(0, len(own), cols[: d + 1]):
-            if d > 1:
-                found.append((int(own[a]), int(d), total))
-            if d < longest:
-                grow(a, b, int(d))
+
+    def groups(lo: int, hi: int, by: np.ndarray, some: int) -> Iterator[tuple[int, int, int]]:
+        part = by[lo:hi]
+        at = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+        sums, ends = np.add.reduceat(num[lo:hi], at), np.append(at[1:], hi - lo)
+        ok = (sums >= least) & (part[at] >= some)
+        return zip((lo + at[ok]).tolist(), (lo + ends[ok]).tolist(), sums[ok].tolist(), strict=True)
+
+    def grow(lo: int, hi: int, size: int) -> Iterator[tuple[int, int, int]]:
+        for a, b, total in groups(lo, hi, cols[size], 1):  # 0: nothing more
+            yield a, size + 1, total
+            if size + 1 < len(cols):
+                yield from grow(a, b, size + 1)
+
+    for a, b, total in groups(0, len(num), cols[0], 0):
+        yield a, 1, total
+        yield from grow(a, b, 1)
+
+
+def _mined(rows: list[tuple], least: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """Frequent phrases of two words or more of rows of whole prefixes."""
+    sums: Counter[tuple[str, str, int]] = Counter()
+    packed: dict[int, list[tuple]] = {}
+    for lang, prefix, size, rest, counts, n in rows:
+        if rest is None:
+            sums[lang, prefix, size] += n
+        else:
+            packed.setdefault(size, []).append((lang, prefix, rest, counts))
+    found = [(*key, n) for key, n in sums.items() if n >= least]
+    for size, own in packed.items():
+        prefixes: dict[tuple[str, str], int] = {}
+        ids: dict[bytes, int] = {BREAK: 0, SAME: -1}
+        parts, key = [], np.fromiter((prefixes.setdefault((lang, prefix), len(prefixes)) for lang, prefix, _, _ in own), np.int64, len(own))
+        for *_, rest, _ in own:
+            parts += rest.split(b" ")
+        flat = np.fromiter((ids.setdefault(x, len(ids)) for x in parts), np.int64, len(parts)).reshape(-1, longest - size)
+        num = np.frombuffer(b"".join(c for *_, c in own), np.uint32).astype(np.int64)
+        cols = [np.repeat(key, [len(c) // 4 for *_, c in own]), *flat.T]
+        cols[1] = cols[1][np.maximum.accumulate(np.where(cols[1] >= 0, np.arange(len(num)), 0))]
+        by = np.lexsort(cols[::-1])
+        cols, num = [c[by] for c in cols], num[by]
+        names, heads = list(ids), list(prefixes)
+        for i, k, total in _grow(cols, num, least):
+            if size + k > 2:
+                lang, prefix = heads[cols[0][i]]
+                found.append((lang, " ".join([prefix, *[names[c[i]].decode() for c in cols[1:k]]]), size + k - 1, total))
     if found:
-        rows, size, total = (np.array(x) for x in zip(*found, strict=True))
-        take = [part.column("lang").take(rows).combine_chunks()]
-        for j in range(longest):
-            take.append(part.column(f"w{j}").combine_chunks().take(pa.array(rows, mask=size <= j)))
-        yield pa.RecordBatch.from_arrays([*take, pa.array(total)], [*names, "n"])
+        lang, phrase, size, total = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(size, pa.int32()), pa.array(total, pa.int64())], ["lang", "phrase", "size", "n"])
 
 
 def _grown(least: int, longest: int):
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by ``deal``; whole groups are mined, the last of what has come waits."""
-        held: list[pa.RecordBatch] = []
-        size = 0
+        """Rows come sorted by ``deal``; whole prefixes are mined together, the one that goes on waits."""
+        held: list[tuple] = []
+        size, last = 0, None
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < POINTERS:
-                continue
-            part = pa.Table.from_batches(held)
-            deal = part.column("deal").to_numpy()
-            cut = int(np.searchsorted(deal, deal[-1]))
-            if cut:
-                yield from _mined(part.slice(0, cut), least, longest)
-            held, size = part.slice(cut).to_batches(), part.num_rows - cut
-        if size:
-            yield from _mined(pa.Table.from_batches(held), least, longest)
+            deal, *cols = (c.to_pylist() for c in batch.columns)
+            for k, row in zip(deal, zip(*cols, strict=True), strict=True):
+                if k != last and size >= POINTERS:
+                    yield from _mined(held, least, longest)
+                    held, size = [], 0
+                last = k
+                held.append(row)
+                size += len(row[4] or b"") // 4 + 1
+        if held:
+            yield from _mined(held, least, longest)
         release()
 
     return grown
@@ -234,34 +299,15 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: i
     words = own.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(words, "words")
     frequent = words.where(F.col("n") >= least)
-    names = [f"w{j}" for j in range(longest)]
-    sent = spark.sparkContext.broadcast(_bits(frequent, bits))
-    pointers = written(own.mapInArrow(_projected(sent, longest), f"lang string, {', '.join(f'{c} string' for c in names)}, n long"), "pointers")
-
-    # prefixes that hold more than half of a task's share of all pointers are grown by a count of their own
-    total = pointers.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 * POINTERS) + 1)
-    hot, deep, grown = pointers.withColumn("depth", F.lit(1)), F.lit(1), []
-    level = None
-    for d in range(1, longest):
-        key = ["lang", *names[:d]]
-        side = pointers if level is None else pointers.join(F.broadcast(level), key[:-1])
-        sums = side.where(F.col(names[d - 1]).isNotNull()).groupBy(*key).agg(F.count("*").alias("_rows"), F.sum("n").alias("_n"))
-        large = written(sums.where(F.col("_rows") * 2 * parts > total), "hot-prefixes")  # fewer than 2 * parts rows
-        if d > 1:
-            cols = [F.col(c) if c in key else F.lit(None).cast("string").alias(c) for c in names]
-            grown.append(large.where(F.col("_n") >= least).select("lang", *cols, F.col("_n").alias("n")))
-        level = large.select(*key)
-        hot = hot.join(F.broadcast(level.withColumn("_hot", F.lit(1))), key, "left").withColumn("depth", F.col("depth") + F.coalesce("_hot", F.lit(0))).drop("_hot")
-    hash_of = F.lit(0).cast("long")
-    for d in range(1, longest + 1):
-        hash_of = F.when(F.col("depth") == d, F.xxhash64("lang", *names[:d])).otherwise(hash_of)
-    dealt = hot.withColumn("deal", hash_of).repartition(parts, "deal").sortWithinPartitions("deal")
-    mined = dealt.mapInArrow(_grown(least, longest), f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
-    for more in grown:
-        mined = mined.unionByName(more)
-    size = sum((F.col(c).isNotNull().cast("int") for c in names[1:]), F.lit(1))
-    out = mined.select("lang", F.concat_ws(" ", *names).alias("phrase"), size.alias("size"), "n")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 * POINTERS) + 1)
+    hot: dict[str, set[bytes]] = {}
+    for lang, word in frequent.where(F.col("n") * 2 * parts > total).select("lang", "word").collect():  # fewer than 2 * parts
+        hot.setdefault(lang, set()).add(word.encode())
+    sent = spark.sparkContext.broadcast((_bits(frequent, bits), hot))
+    pointers = own.mapInArrow(_projected(sent, longest), ROWS)
+    dealt = pointers.select(F.xxhash64("lang", "prefix").alias("deal"), "*").repartition(parts, "deal").sortWithinPartitions("deal")
+    out = dealt.mapInArrow(_grown(least, longest), "lang string, phrase string, size int, n long")
     out = out.unionByName(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n"))
     return written(out, "phrases"), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
