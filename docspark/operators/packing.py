@@ -23,14 +23,14 @@ def _fold(items: DataFrame, group: str, order: str, size: str, step, name: str,
 
 
 def within_budget(items: DataFrame, group: str, order: str, tokens: str, budget: int, each: int = 50) -> DataFrame:
-    """Greedy choice in order: an item is ``taken`` if it still fits with ``each`` tokens on top, else skipped.
+    """Greedy choice in order: an item is ``taken`` if it still fits with ``each`` tokens on top, which count too, else skipped.
 
     A group (one question's context) must fit in a task; rows with a null group are a group.
     """
 
     def step(used, n):
         fits = (used or 0) + n + each <= budget
-        return (used or 0) + n * fits, bool(fits)
+        return (used or 0) + (n + each) * fits, bool(fits)
 
     return _fold(items, group, order, tokens, step, "taken", "boolean")
 

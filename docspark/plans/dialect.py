@@ -85,7 +85,7 @@ class SparkSql:
         return f"get({array}, {i})"
 
     def seconds(self, ts: str) -> str:
-        return f"unix_micros({ts}) / 1000000"
+        return f"unix_micros(CAST({ts} AS TIMESTAMP)) / 1000000"
 
     def last_seen(self, expr: str, over: str) -> str:
         """The last value that isn't null in a frame."""

@@ -12,8 +12,30 @@ from docspark.plans.text import words
 CATEGORIES = (("vague wording", "Undefined Term"), ("undefined terminology", "Undefined Term"), ("undefined acronym", "Undefined Acronym"), ("policy conflict", "Policy Conflict"), ("contradiction", "Contradictory Statement"), ("numerical ambiguity", "Numerical Inconsistency"), ("Numerical Mismatch", "Numerical Inconsistency"), ("Reference Conflict", "Cross-Reference Error"), ("Data Quality", "Numerical Inconsistency"), ("Unsupported Claim", "Unsupported Claim"))
 CRITICAL_WORDS = ("regulatory audit failure", "legal liability", "contract breach", "penalty", "statutory violation", "gender", "statutory disclosure", "board appointment", "secretarial audit", "companies act", "director")
 HIGH_WORDS = ("financial mismatch", "contradiction", "discrepancy", "policy conflict", "revenue")
-HEADINGS = ("OUR VISION", "OUR MISSION", "VISION", "MISSION", "PROJECTS", "OVERVIEW", "STRENGTHS", "CONTENT", "DOCUMENT", "SECTION", "EXECUTIVE SUMMARY", "INTRODUCTION", "CONTACT", "INDUSTRY", "APPENDIX")
-PLACEHOLDERS = ("example text", "sample content", "placeholder", "lorem ipsum", "test string", "sample paragraph")
+HEADINGS = (
+    "OUR VISION", "OUR MISSION", "VISION", "MISSION", "PROJECTS", "OVERVIEW", "STRENGTHS", "CONTENT", "DOCUMENT", "SECTION", "OUR HERITAGE", "TABLE OF CONTENTS", "CONTENTS PAGE", "INDEX PAGE", "CHAIRMAN'S MESSAGE", "CORPORATE PHILOSOPHY",
+    "ACKNOWLEDGEMENTS", "FORWARD LOOKING STATEMENTS", "COMPANY PROFILE", "CONTACT", "CONTACT US", "INDUSTRY", "HEADQUARTERS", "BOARD & KEY LEADERSHIP", "BOARD AND KEY LEADERSHIP", "KEY LEADERSHIP", "WEBSITE", "EMAIL", "ADDRESS",
+    "ABOUT US", "EXECUTIVE SUMMARY", "INTRODUCTION", "FINANCIAL PERFORMANCE", "SERVICES", "PRODUCTS", "LEADERSHIP", "MANAGEMENT", "CORPORATE INFORMATION", "REGISTERED OFFICE", "FINANCIAL ASSETS", "NET DEBT", "TOTAL EQUITY", "SENSITIVITY ANALYSIS",
+    "FIXED RATE INSTRUMENTS", "VARIABLE RATE INSTRUMENTS", "OUR GOVERNANCE COMMITMENT", "EDUCATION AND SKILL DEVELOPMENT", "GROWTH", "TABLE 1", "APPENDIX",
+)
+PLACEHOLDERS = (
+    "the model processes", "example text", "sample content", "placeholder", "lorem ipsum", "internal test", "test string", "sample paragraph", "chunk analysis", "internal validation", "in this chunk", "claims made in this chunk",
+    "unrelated to the provided text", "from the given text", "validation or disvalidation", "information provided in the table", "based on information provided in", "no direct evidence", "the claims and entities", "claims and entities in this chunk",
+    "seem unrelated to the provided text", "do not have direct evidence",
+)
+FACILITIES = ("coal handling plant", "raw material handling plant", "pet coke handling system", "bifpcl bangladesh maitree", "sail dsp", "iocl paradip", "yadadri tps", "ntpc pakri mines", "talcher fertilizer", "wbpdcl power plant", "sagardighi")
+CONFLICTS = ("mismatch", "conflict", "contradict", "differ", "incorrect", "broken")
+SECTIONS = ("chairman's message", "vision", "mission", "corporate philosophy", "acknowledgements", "forward looking statements", "contents page", "index page")
+VAGUE = ("ambiguity", "vague", "spelling", "typo", "pronoun", "unclear", "undefined")
+GRID, GRID_TERMS, GRID_COUNTED = r"\|\s*[\d,.-]+\s*\|", "(?i)financial assets|net debt|total equity|fixed rate instruments|variable rate instruments|sensitivity analysis", "(?i)financial assets|net debt|total equity|fixed rate|variable rate"
+SUPPRESSED = (
+    r"(?i)^\s*(?:our vision|our mission|vision|mission|projects|overview|strengths|content|document|section|our heritage|company profile|contact|industry|headquarters|board|leadership|website|email|address|phone|tel|fax|about us|growth|table\s*\d+|appendix|our governance commitment|education and skill development)\s*$",
+    r"(?i)^\s*(?:https?://|www\.|[\w.+-]+@[\w-]+\.[\w.-]+)\s*$",
+    r"(?i)^\s*(?:page\s*\d+|section\s*\d+(?:\.\d+)*)\s*$",
+    r"(?i)^\s*\w+\s*(?:is|lacks|undefined|vague|not defined|lacks explanation|lacks context)\s*$",
+)
+REFERENCE, NUMBERED = r"(?i)\b(?:section|sec\.?)\s*([0-9]+(?:\.[0-9]+)+)\b", r"^\s*([0-9]+(?:\.[0-9]+)*)\b"
+SAYS = r"(?i)\b(?:is|are|was|were|has|have|will|must|should|cannot|tbd|asap|etc|or)\b"
 NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000, "million": 1_000_000, "billion": 1_000_000_000}
 
 
@@ -21,6 +43,22 @@ def any_of(d, col: str, items) -> str:
     return "(" + " OR ".join(d.contains(col, d.text(w)) for w in items) + ")"
 
 
+def rejection(d) -> str:
+    """Why a finding is suppressed: the first rule that fits, confidence first; null if none does."""
+    q, t = "coalesce(quote, '')", "coalesce(title, '')"
+    both = f"lower(concat({q}, ' ', {t}))"
+    boiler = f"{any_of(d, f'lower({q})', SECTIONS)} OR {any_of(d, f'lower({t})', SECTIONS)} OR {any_of(d, "lower(coalesce(section, ''))", SECTIONS)}"
+    names = ", ".join(map(d.text, HEADINGS))
+    exact = f"upper(trim({q})) IN ({names}) OR upper(trim({t})) IN ({names})"
+    grid = f"{d.like(q, GRID)} OR {d.like(q, GRID_TERMS)}"
+    shapes = " OR ".join(d.like(x, p) for p in SUPPRESSED for x in (q, t))
+    short = f"length(trim({q})) < 8 AND NOT {d.like(q, SAYS)} AND NOT {any_of(d, both, VAGUE)}"
+    counted = f"{d.like(q, GRID)} OR {d.like(q, GRID_COUNTED)}"
+    return f"""CASE WHEN confidence < 0.70 THEN 'low confidence' WHEN {any_of(d, f'lower({q})', PLACEHOLDERS)} OR {any_of(d, f'lower({t})', PLACEHOLDERS)} OR {any_of(d, "lower(coalesce(explanation, ''))", PLACEHOLDERS)} THEN 'placeholder'
+    WHEN {any_of(d, both, FACILITIES)} AND NOT {any_of(d, both, CONFLICTS)} THEN 'project'
+    WHEN {boiler} OR {exact} OR {grid} OR {shapes} OR ({short}) THEN CASE WHEN {counted} THEN 'table' ELSE 'heading' END END"""
+
+
 def scored(d) -> str:
     """Findings with category, rejection reason, severity, materiality and risk score; the rules' order is their meaning."""
     cat = " ".join(f"WHEN raw_category = {d.text(a)} THEN {d.text(b)}" for a, b in CATEGORIES)
@@ -32,8 +70,7 @@ def scored(d) -> str:
     low = "lower(explanation)"
     risk = f"""CASE severity WHEN 'CRITICAL' THEN CASE WHEN {any_of(d, low, ('statutory', 'financial', 'legal', 'penalty'))} THEN 10 ELSE 9 END WHEN 'HIGH' THEN CASE WHEN {any_of(d, low, ('governance', 'policy'))} THEN 8 ELSE 7 END
     WHEN 'MEDIUM' THEN CASE WHEN {any_of(d, low, ('reference',))} THEN 6 ELSE 5 END ELSE CASE WHEN {any_of(d, low, ('formatting',))} THEN 2 ELSE 3 END END"""
-    reason = f"CASE WHEN upper(trim(quote)) IN ({', '.join(map(d.text, HEADINGS))}) THEN 'heading' WHEN {any_of(d, 'lower(quote)', PLACEHOLDERS)} THEN 'placeholder' WHEN length(trim(quote)) < 12 THEN 'short quote' WHEN confidence < 0.70 THEN 'low confidence' END"
-    with_cat = f"SELECT *, CASE {cat} ELSE raw_category END AS category, {reason} AS rejection FROM {findings(d)} f"
+    with_cat = f"SELECT *, CASE {cat} ELSE raw_category END AS category, {rejection(d)} AS rejection FROM {findings(d)} f"
     with_sev = f"SELECT *, {sev} AS severity FROM ({with_cat}) c"
     return f"SELECT *, CASE severity WHEN 'CRITICAL' THEN 'Material' WHEN 'HIGH' THEN 'Material' WHEN 'MEDIUM' THEN 'Moderate' ELSE 'Informational' END AS materiality, {risk} AS risk_score FROM ({with_sev}) s"
 
@@ -86,8 +123,11 @@ def a13_consolidated(d):
 
 @plan
 def a14_rejection_funnel(d):
+    """Findings by the rule that rejects them; of the others, how many a finding of the same document, category and topic stands for."""
     count = lambda r: d.long(f"count_if(rejection = '{r}')")
-    return f"SELECT count(*) AS raw, {count('heading')} AS headings, {count('placeholder')} AS placeholders, {count('short quote')} AS short_quotes, {count('low confidence')} AS low_confidence, {d.long('count_if(rejection IS NULL)')} AS retained FROM ({scored(d)}) s"
+    raw = f"SELECT count(*) AS raw, {count('heading')} AS headings, {count('table')} AS tables, {count('placeholder')} AS placeholders, {count('project')} AS projects, {count('low confidence')} AS low_confidence FROM ({scored(d)}) s"
+    kept = f"SELECT {d.long('coalesce(sum(occurrences - 1), 0)')} AS duplicates, count(*) AS retained FROM ({consolidated(d)}) c"
+    return f"SELECT * FROM ({raw}) r CROSS JOIN ({kept}) k"
 
 
 @plan
@@ -241,9 +281,10 @@ def f40_broken_page_refs(d):
 
 @plan
 def j21_missing_sections(d):
-    refs = f"SELECT doc_id, knowledge_id, s FROM {objects(d)} o {d.each(d.extract_all('text', '(?i)section ([0-9]+[.][0-9]+)', 1), 's', 'pos')}"
-    have = f"SELECT DISTINCT doc_id, {d.extract('heading', '^([0-9]+[.][0-9]+)', 1)} AS s FROM {objects(d)} h"
-    return f"SELECT r.knowledge_id, r.s AS section FROM ({refs}) r LEFT JOIN ({have}) h ON r.doc_id = h.doc_id AND r.s = h.s WHERE h.s IS NULL"
+    """References to sections that no heading has, in documents that have numbered headings."""
+    refs = f"SELECT doc_id, knowledge_id, s FROM {objects(d)} o {d.each(d.extract_all('text', REFERENCE, 1), 's', 'pos')}"
+    have = f"SELECT DISTINCT doc_id, {d.extract('heading', NUMBERED, 1)} AS s FROM {objects(d)} h WHERE {d.like('heading', NUMBERED)}"
+    return f"SELECT r.knowledge_id, r.s AS section FROM ({refs}) r JOIN (SELECT DISTINCT doc_id FROM ({have}) n) n ON r.doc_id = n.doc_id LEFT JOIN ({have}) h ON r.doc_id = h.doc_id AND r.s = h.s WHERE h.s IS NULL"
 
 
 @plan

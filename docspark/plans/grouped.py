@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.functions import models
-from docspark.operators import alignment, graph, knn, packing, spelling
+from docspark.operators import alignment, graph, knn, packing, spelling, vectorindex
 from docspark.streaming import ingest
 from docspark.plans.dialect import QUERIES, SPARK, frame, table, views
-from docspark.plans.retrieval import FLOOR, search_pairs
+from docspark.plans.retrieval import FLOOR, nearest_sql, search_pairs
 from docspark.plans.retrieval import QUERIES as SEARCHES
 from docspark.plans.text import words
 
 
-@frame()
+def _budget(d) -> str:
+    """The choice as a recursion over ranks, not the fold."""
+    from docspark.plans.retrieval import bm25, top
+
+    hits = f"SELECT query_id, doc_id, rnk FROM ({top(bm25(d), 'query_id', 'score DESC, doc_id', 10)}) h"
+    sized = f"SELECT h.query_id, h.rnk, h.doc_id, {d.int('floor(len(list_filter(string_split_regex(t.text, chr(92) || chr(115) || chr(43)), lambda w: length(w) > 0)) * 1.3) + 1')} AS n FROM ({hits}) h JOIN documents t ON h.doc_id = t.doc_id"
+    return f"""WITH RECURSIVE s AS ({sized}), r AS (SELECT query_id, 0::BIGINT AS rnk, NULL::BIGINT AS doc_id, 0::BIGINT AS used, false AS taken FROM (SELECT DISTINCT query_id FROM s) q
+    UNION ALL SELECT s.query_id, s.rnk, s.doc_id, CASE WHEN used + n + 50 <= 4000 THEN used + n + 50 ELSE used END, used + n + 50 <= 4000 FROM r JOIN s ON s.query_id = r.query_id AND s.rnk = r.rnk + 1)
+    SELECT query_id, rnk::INT AS rnk, doc_id, taken FROM r WHERE rnk > 0"""
+
+
+@frame(_budget)
 def w12_token_budget(spark, sf_dir):
-    """Of each question's best documents, in rank order, those that fit in a context of 4,000 tokens, 50 on top for each."""
+    """Of each question's best documents, in rank order, those that fit in a context of 4,000 tokens, 50 on top for each; tokens as in F10."""
     hits = QUERIES["o3_bm25_top"](spark, sf_dir).select("query_id", "doc_id", "rnk")
-    sizes = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.floor(F.size(F.split("text", r"\s+")) * 1.3).alias("tokens"))
+    n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    sizes = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.floor(n * 1.3) + 1).cast("int").alias("tokens"))
     taken = packing.within_budget(hits.join(sizes, "doc_id"), "query_id", "rnk", "tokens", 4000)
     return hits.join(taken, ["query_id", "rnk"])
 
@@ -67,6 +79,21 @@ def question_neighbours(spark, sf_dir):
     return knn.nearest(vectors.where(F.col("vec_id").isin([q for q, _ in SEARCHES])), vectors, 20)
 
 
+@frame(lambda d: f"SELECT query_id, vec_id, similarity, rnk FROM ({nearest_sql(d, 'q.vec_id % 50 = 0', 10)}) n")
+def o4_indexed_top(spark, sf_dir):
+    """For every vector whose id is divisible by 50 the ten nearest of all others, by an index of inverted lists and its bounds."""
+    vectors = _vectors(spark, sf_dir)
+    return vectorindex.search(vectorindex.build(vectors, 32), vectors.where("vec_id % 50 = 0"), 10, 8, exact=True)
+
+
+@frame()
+def o4_index_recall(spark, sf_dir):
+    """How much of the exact ten nearest an index finds in 24 of its 32 lists. The table's vectors are unrelated, which is the hardest case."""
+    vectors = _vectors(spark, sf_dir)
+    asking = vectors.where("vec_id % 50 = 0")
+    return vectorindex.recall(vectorindex.search(vectorindex.build(vectors, 32), asking, 10, 24), knn.nearest(asking, vectors, 10))
+
+
 @frame()
 def d9_communities(spark, sf_dir):
     """Communities of the neighbour graph of each label's vectors, every vector asking."""

@@ -9,7 +9,13 @@ STAGES = ("view", "click", "cart", "purchase")
 
 @plan
 def a34_dashboard(d):
-    return f"SELECT count(DISTINCT user_id) AS jobs, round(avg(value), 6) AS mean_value, count(*) AS issues, {d.long('count_if(CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events))')} AS today FROM events"
+    """Documents as jobs: how many, their mean score (100 less an issue each, 45 at least, the fraction cut off; 86 without jobs), all issues, and the jobs of the last day."""
+    from docspark.plans.spans import merged
+
+    issues = f"SELECT doc_id, count(*) AS n FROM ({merged(d)}) m GROUP BY doc_id"
+    jobs = f"SELECT count(*) AS jobs, {d.int('coalesce(floor(avg(greatest(45, 100 - coalesce(n, 0)))), 86)')} AS mean_score, {d.long('coalesce(sum(n), 0)')} AS issues FROM documents t LEFT JOIN ({issues}) i ON t.doc_id = i.doc_id"
+    today = f"SELECT {d.long('count_if(CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events))')} AS today FROM (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id) e"
+    return f"SELECT * FROM ({jobs}) j CROSS JOIN ({today}) t"
 
 
 @plan
@@ -47,8 +53,13 @@ def w17_emit_on_change(d):
 
 @plan
 def w18_eta(d):
+    """After each event of a job, of those that there are: seconds since its first, and those that are left at the pace so far; null at the first."""
     w = "PARTITION BY user_id ORDER BY ts, event_id"
-    return f"SELECT user_id, event_id, round(sum(value) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS spent, {d.int(f'count(*) OVER (PARTITION BY user_id) - row_number() OVER ({w})')} AS n_left FROM events"
+    done, elapsed = f"row_number() OVER ({w})", f"{d.seconds('ts')} - {d.seconds(f'first_value(ts) OVER ({w})')}"
+    each = f"SELECT user_id, event_id, {done} - 1 AS done, count(*) OVER (PARTITION BY user_id) - {done} AS n_left, {elapsed} AS elapsed FROM events"
+    label = f"CASE WHEN done = 0 THEN 'Estimating...' WHEN eta > 60 THEN concat({d.string(d.long('floor(eta / 60)'))}, 'm ', {d.string('eta % 60')}, 's') ELSE concat({d.string('eta')}, 's') END"
+    eta = f"SELECT *, CASE WHEN done > 0 THEN {d.long('floor(elapsed / done * n_left)')} END AS eta FROM ({each}) e"
+    return f"SELECT user_id, event_id, {d.int('n_left')} AS n_left, eta, {label} AS label FROM ({eta}) x"
 
 
 @plan

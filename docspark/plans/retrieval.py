@@ -60,7 +60,7 @@ def top(inner: str, by: str, order: str, k: int) -> str:
     return f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS INT) AS rnk FROM ({inner}) t) r WHERE rnk <= {k}"
 
 
-def _nearest(d, who: str, k: int) -> str:
+def nearest_sql(d, who: str, k: int) -> str:
     """The nearest of all other vectors, written out as every pair: for the check only."""
     pairs = f"SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE {who}"
     return top(pairs, "query_id", "similarity DESC, vec_id", k)
@@ -68,12 +68,12 @@ def _nearest(d, who: str, k: int) -> str:
 
 def neighbours(d, k: int = 5) -> str:
     """For every vector whose id is divisible by 50, the nearest others."""
-    return f"SELECT * FROM ({d.stored('vector_neighbours', lambda d: _nearest(d, 'q.vec_id % 50 = 0', 10))}) v WHERE rnk <= {k}"
+    return f"SELECT * FROM ({d.stored('vector_neighbours', lambda d: nearest_sql(d, 'q.vec_id % 50 = 0', 10))}) v WHERE rnk <= {k}"
 
 
 def edges(d) -> str:
     """The undirected graph of all vectors' ten nearest others, at the floor."""
-    n = lambda d: f"SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, max(similarity) AS similarity FROM ({_nearest(d, 'true', 10)}) n WHERE similarity >= {FLOOR} GROUP BY least(query_id, vec_id), greatest(query_id, vec_id)"
+    n = lambda d: f"SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, max(similarity) AS similarity FROM ({nearest_sql(d, 'true', 10)}) n WHERE similarity >= {FLOOR} GROUP BY least(query_id, vec_id), greatest(query_id, vec_id)"
     return d.stored("similarity_edges", n)
 
 
@@ -83,7 +83,7 @@ def fused(d) -> str:
     A question's vector is the one with its number; a document's is the one with the document's.
     """
     a = top(bm25(d), "query_id", "score DESC, doc_id", 20)
-    b = d.stored("question_neighbours", lambda d: _nearest(d, f"q.vec_id IN ({', '.join(str(q) for q, _ in QUERIES)})", 20))
+    b = d.stored("question_neighbours", lambda d: nearest_sql(d, f"q.vec_id IN ({', '.join(str(q) for q, _ in QUERIES)})", 20))
     rank = lambda r: f"coalesce(CAST(1 AS DOUBLE) / (60 + {r}.rnk), 0)"
     return f"SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.vec_id) AS doc_id, round({rank('a')} + {rank('b')}, 6) AS rrf, coalesce(b.similarity, 0) AS similarity FROM ({a}) a FULL OUTER JOIN ({b}) b ON a.query_id = b.query_id AND a.doc_id = b.vec_id"
 

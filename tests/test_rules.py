@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from datetime import datetime
 
 import pytest
 
@@ -13,6 +14,7 @@ from docspark.plans.registry import queries
 TABLES = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string",
     "conversations": "conv_id long, turn long, role string, text string", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int",
+    "events": "event_id long, ts timestamp, user_id long, event_type string, value double, props string",
 }
 
 
@@ -287,3 +289,64 @@ def test_stage_resets(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got = {(r.user_id, r.event_type): r.state for r in queries()["x7_stage_states"](spark, str(tmp_path)).collect()}
     assert got == {(7, "view"): "complete", (7, "click"): "complete", (7, "cart"): "pending", (8, "view"): "complete"}
+
+
+def test_budget_adds_the_overhead_up(spark):
+    """1000, 1000, 1000, 900 with 4000: the fourth no longer fits, as each of the others has taken 50 more."""
+    from docspark.operators import packing
+
+    items = spark.createDataFrame([("q", i, n) for i, n in enumerate([1000, 1000, 1000, 900, 100])], "g string, o int, t int")
+    got = {r.o: r.taken for r in packing.within_budget(items, "g", "o", "t", 4000).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: True}
+
+
+def finding_reasons(spark, findings):
+    from docspark.plans.dialect import SPARK
+    from docspark.plans.findings import rejection
+
+    spark.createDataFrame(findings, "id string, quote string, title string, explanation string, section string, confidence double").createOrReplaceTempView("some_findings")
+    return {r.id: r.why for r in spark.sql(f"SELECT id, {rejection(SPARK)} AS why FROM some_findings").collect()}
+
+
+def test_suppression_by_rule_and_order(spark):
+    long = "The supplier shall deliver all goods in March."
+    some = [
+        ("kept", long, "Delivery date", "No year is named", "Terms", 0.9),
+        ("confidence first", "lorem ipsum", "VISION", "x", "", 0.69),
+        ("placeholder in the explanation", long, "Title", "It seems unrelated to the provided text", "", 0.9),
+        ("facility", "Coal handling plant", "Scope", "x", "", 0.9),
+        ("facility in conflict", "Coal handling plant capacity differs", "Scope", "x", "", 0.9),
+        ("title is a heading", long, "Contact us ", "x", "", 0.9),
+        ("section", long, "Delivery", "x", "Our Mission and more", 0.9),
+        ("grid", "Cash | 1,200 | 300", "Delivery of goods", "x", "", 0.9),
+        ("grid term", "The net debt of the group has grown", "Delivery of goods", "x", "", 0.9),
+        ("sensitivity", "A sensitivity analysis was made by us", "Delivery of goods", "x", "", 0.9),
+        ("address", "https://", "Delivery of goods", "x", "", 0.9),
+        ("page", "Page 12", "Delivery of goods", "x", "", 0.9),
+        ("lacks", "Scope lacks context", "Delivery of goods", "x", "", 0.9),
+        ("short", "goods x", "Delivery of goods", "x", "", 0.9),
+        ("short that says", "It is x", "Delivery of goods", "x", "", 0.9),
+        ("short but vague", "goods x", "Vague wording", "x", "", 0.9),
+        ("null", None, None, None, None, 0.9),
+    ]
+    assert finding_reasons(spark, some) == {
+        "kept": None, "confidence first": "low confidence", "placeholder in the explanation": "placeholder", "facility": "project", "facility in conflict": None, "title is a heading": "heading", "section": "heading",
+        "grid": "table", "grid term": "table", "sensitivity": "heading", "address": "heading", "page": "heading", "lacks": "heading", "short": "heading", "short that says": None, "short but vague": None, "null": "heading",
+    }
+
+
+def test_references_only_where_headings_are_numbered(run):
+    docs = ["As Section 9.9 says, it holds for all of us.", "1.2 Terms\n\nSee Sec. 6.2.1, sec 1.2 and SECTION 1.2.3 for what is meant here.\n\n1.2.3 More"]
+    got = {(r.knowledge_id, r.section) for r in run("j21_missing_sections", documents=docs)}
+    assert {s for k, s in got if k.startswith("1_")} == {"6.2.1"} and not any(k.startswith("0_") for k, _ in got)
+
+
+def test_dashboard_scores(run):
+    (row,) = run("a34_dashboard", documents=["Plain words here."] * 3)
+    assert (row.jobs, row.mean_score, row.issues) == (3, 100 - row.issues // 3, row.issues)
+
+
+def test_time_left(run):
+    rows = [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:01:40"), (3, "2024-01-01 00:02:00"), (4, "2024-01-01 00:10:00")]
+    got = {r.event_id: (r.n_left, r.eta, r.label) for r in run("w18_eta", events=[(i, datetime.fromisoformat(t), 7, "view", 1.0, "{}") for i, t in rows])}
+    assert got == {1: (3, None, "Estimating..."), 2: (2, 200, "3m 20s"), 3: (1, 60, "60s"), 4: (0, 0, "0s")}
