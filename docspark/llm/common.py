@@ -59,7 +59,8 @@ def by_size(df: DataFrame, key: Column, size: Column, tie: Column, least: int |
     n = max(least or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     part = F.pmod(F.xxhash64("key", "tie"), F.lit(MARK_BYTES))  # rounds up at random, so the mean is right
     marks = light.select("key", F.floor((F.col("size") + part) / MARK_BYTES).cast("int").alias("marks")).where("marks > 0").select("key", F.explode(F.sequence(F.lit(1), "marks")))
-    cut = marks.agg(F.percentile_approx("key", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(max(10_000, 10 * n)))).first()[0] if n > 1 else None
+    shares = ",".join(repr(i / n) for i in range(1, n))  # one literal, as a plan with one for each border takes long to make
+    cut = marks.agg(F.expr(f"percentile_approx(key, cast(split('{shares}', ',') as array<double>), {max(10_000, 10 * n)})")).first()[0] if n > 1 else None
     borders, times = np.unique(np.array(cut or [], np.int64), return_counts=True)
     # keys up to a border are one range; a border that comes several times has ranges of its own
     firsts = np.cumsum(np.where(times > 1, 1 + times, 1)) - np.where(times > 1, 1 + times, 1)
