@@ -2,11 +2,55 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from docspark.operators import matcher
 from docspark.plans import derived
 from docspark.plans.derived import claims, profiles
-from docspark.plans.dialect import plan, rows
+from docspark.plans.dialect import SPARK, frame, plan, rows, table, views
+from docspark.plans.findings import any_of
+
+# Where hits come from that are no companies.
+NOISE = (
+    "wikipedia.org", "en.wikipedia.org", "medium.com", "wordpress.com", "blogspot.com", "reuters.com", "bloomberg.com", "news.google.com", "cnbc.com", "forbes.com", "linkedin.com", "naukri.com", "glassdoor.com", "indeed.com", "businessinsider.com",
+    "crunchbase.com", "pitchbook.com", "youtube.com", "facebook.com", "techcrunch.com", "twitter.com", "x.com", "instagram.com", "reddit.com", "quora.com", "yahoo.com", "scribd.com", "slideshare.net", "github.com", "clutch.co", "g2.com", "capterra.com",
+    "trustpilot.com", "goodfirms.co", "upcity.com", "softwareadvice.com", "top50.com", "top10.com", "cbinsights.com", "getlatka.com", "latka.com", "zoominfo.com", "dnb.com", "owler.com", "rocketreach.co", "craft.co", "tracxn.com", "yellowpages.com",
+    "persistencemarketresearch.com", "marketresearch.com", "researchandmarkets.com", "grandviewresearch.com", "gartner.com", "forrester.com", "idc.com", "statista.com", "imarcgroup.com", "marketsandmarkets.com", "mordorintelligence.com",
+    "fortunebusinessinsights.com", "technavio.com", "verifiedmarketresearch.com", "futuremarketinsights.com", "factmr.com", "constructionworld.in", "reanin.com", "ensun.io", "economictimes.indiatimes.com", "moneycontrol.com", "livemint.com",
+)
+NOISE_PARTS = ("wikipedia", "naukri", "glassdoor", "indeed", "linkedin", "top50", "clutch", "cbinsights", "latka", "zoominfo", "research")
+NOISE_PATHS = ("/blog/", "/blogs/", "/news/", "/article/", "/press-release/", "/press/", "/careers/", "/jobs/", "/job/", "/vacancy/", ".pdf", "/pdf/", "/top-", "/best-", "/list-", "/directory/", "/ranking/", "/comparison/", "/vs/", "/reviews/", "/market-report/", "/industry-report/", "/company-profile/", "/profile/", "epc-companies", "top-10", "top-5")
+NO_COMPETITOR = (
+    "research", "market research", "reports", "insights", "directory", "profile", "profile page", "corporate website", "news", "times", "journal", "bulletin", "gazette", "wikipedia", "glassdoor", "linkedin", "indeed", "crunchbase", "pitchbook", "zoominfo",
+    "dnb", "owler", "tracxn", "yellowpages", "statista", "gartner", "forrester", "idc", "imarc", "mordor", "technavio", "grandview", "company profile pages", "market reports", "research sources", "directories", "businessline", "construction world",
+    "future market insights", "factmr", "marketsandmarkets", "epc companies in india", "reanin", "ensun",
+)
+NAME_STOPS = ("ltd", "inc", "corp", "co", "llc", "epc", "solutions", "limited")
+#: Companies that reports are made for; the first is that of the other plans.
+TARGETS = ("target", "target works ltd", "works")
+
+
+def address(d, url: str = "url") -> tuple[str, str]:
+    """A hit's domain, without ``www.``, and path, in small letters."""
+    low, scheme = f"lower({url})", "^[a-z][a-z0-9+.-]*://"
+    return f"replace({d.extract(low, scheme + '([^/?#]*)', 1)}, 'www.', '')", d.extract(low, scheme + "[^/?#]*([^?#]*)", 1)
+
+
+def noisy(d) -> str:
+    domain, path = address(d)
+    return f"({d.like('lower(url)', '[.]pdf$')} OR {domain} IN ({', '.join(map(d.text, NOISE))}) OR {any_of(d, domain, NOISE_PARTS)} OR {any_of(d, path, NOISE_PATHS)})"
+
+
+def no_competitor(d) -> str:
+    return f"({any_of(d, 'company', NO_COMPETITOR)} OR {any_of(d, 'domain', NO_COMPETITOR)} OR {any_of(d, 'domain', NOISE)})"
+
 
-NOISE = ("wikipedia.org", "linkedin.com", "facebook.com", "youtube.com", "glassdoor.com")
+def is_target(d, target: str) -> str:
+    """Whether a company is the target: one name holds the other, or their words are the same, or all of the target's two or more."""
+    tokens = lambda x: d.minus(d.distinct(d.extract_all(x, "[A-Za-z0-9_]+")), d.array(*map(d.text, NAME_STOPS)))
+    t, c = tokens(target), tokens("company")
+    subset, equal = f"{d.size(d.minus(t, c))} = 0", f"{d.size(t)} = {d.size(c)}"
+    return f"({d.contains('company', target)} OR {d.contains(target, 'company')} OR {d.size(t)} > 0 AND {subset} AND ({equal} OR {d.size(t)} >= 2))"
 
 
 def hits(d) -> str:
@@ -16,7 +60,14 @@ def hits(d) -> str:
 
 
 def useful(d) -> str:
-    return f"SELECT * FROM ({hits(d)}) x WHERE domain NOT IN ({', '.join(map(d.text, NOISE))}) AND NOT {d.contains('company', d.text('target'))} AND NOT {d.contains('lower(title)', d.text('top ten'))}"
+    """Hits of companies that aren't the target; keywords by the matcher here, by ``contains`` in the check."""
+    whole = lambda d: f"SELECT * FROM ({hits(d)}) x WHERE NOT {noisy(d)} AND NOT {no_competitor(d)} AND NOT {is_target(d, d.text(TARGETS[0]))}"
+    return d.stored("useful_hits", whole)
+
+
+@table("useful_hits")
+def useful_hits(spark, sf_dir):
+    return _competitors(_no_noise(_hit_rows(spark, sf_dir))).where(f"NOT {is_target(SPARK, SPARK.text(TARGETS[0]))}")
 
 
 def grouped(d) -> str:
@@ -33,19 +84,42 @@ def f16_company_names(d):
     return f"SELECT hit_id, company FROM ({hits(d)}) h"
 
 
-@plan
-def p12_noise_filter(d):
-    return f"SELECT hit_id, domain FROM ({hits(d)}) h WHERE domain NOT IN ({', '.join(map(d.text, NOISE))})"
+def _hit_rows(spark, sf_dir):
+    sql = f"SELECT * FROM ({hits(SPARK)}) h"
+    views(spark, sf_dir, sql)
+    return spark.sql(sql)
 
 
-@plan
-def p13_entity_filter(d):
-    return f"SELECT hit_id FROM ({hits(d)}) h WHERE NOT {d.like('lower(title)', 'top ten|list of|careers|jobs')}"
+def _no_noise(own):
+    """Hits that aren't from directories, news or reports, by what their domains and paths hold; keywords are looked for in one pass."""
+    domain, path = (F.expr(x) for x in address(SPARK))
+    some = matcher.tagged(matcher.tagged(own.withColumns({"_of": domain, "_at": path}), "_of", {"part": NOISE_PARTS}, "_parts"), "_at", {"path": NOISE_PATHS}, "_paths")
+    noise = F.lower("url").endswith(".pdf") | F.col("_of").isin(*NOISE) | (F.size("_parts") > 0) | (F.size("_paths") > 0)
+    return some.where(~noise).select(own.columns)
+
+
+def _competitors(own):
+    """Hits that aren't named like reports, directories or papers, nor lie on their domains."""
+    some = own.withColumn("_both", F.concat_ws("\n", "company", "domain"))
+    some = matcher.tagged(matcher.tagged(some, "_both", {"name": NO_COMPETITOR}, "_names"), "domain", {"noise": NOISE}, "_noise")
+    return some.where((F.size("_names") == 0) & (F.size("_noise") == 0)).select(own.columns)
+
+
+@frame(lambda d: f"SELECT hit_id, domain FROM ({hits(d)}) h WHERE NOT {noisy(d)}")
+def p12_noise_filter(spark, sf_dir):
+    return _no_noise(_hit_rows(spark, sf_dir)).select("hit_id", "domain")
+
+
+@frame(lambda d: f"SELECT hit_id FROM ({hits(d)}) h WHERE NOT {no_competitor(d)}")
+def p13_entity_filter(spark, sf_dir):
+    return _competitors(_hit_rows(spark, sf_dir)).select("hit_id")
 
 
 @plan
 def p14_target_exclusion(d):
-    return f"SELECT hit_id FROM ({hits(d)}) h WHERE NOT {d.contains('company', d.text('target'))}"
+    """For each target the hits of other companies."""
+    each = " UNION ALL ".join(f"SELECT {d.text(t)} AS target, hit_id FROM ({hits(d)}) h WHERE NOT {is_target(d, d.text(t))}" for t in TARGETS)
+    return f"SELECT target, hit_id FROM ({each}) e"
 
 
 @plan

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import dialect, findings, grouped, layout, market, monitoring, retrieval, spans, streams, text, workspace  # noqa: F401  they register their plans
+from docspark.plans import dialect, findings, grouped, layout, market, monitoring, retrieval, spans, stores, streams, text, workspace  # noqa: F401  they register their plans
 
 FLAGSHIP = "f7_sentences"
 
