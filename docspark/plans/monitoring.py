@@ -59,7 +59,7 @@ def w18_eta(d):
     each = f"SELECT user_id, event_id, {done} - 1 AS done, count(*) OVER (PARTITION BY user_id) - {done} AS n_left, {elapsed} AS elapsed FROM events"
     label = f"CASE WHEN done = 0 THEN 'Estimating...' WHEN eta > 60 THEN concat({d.string(d.long('floor(eta / 60)'))}, 'm ', {d.string('eta % 60')}, 's') ELSE concat({d.string('eta')}, 's') END"
     eta = f"SELECT *, CASE WHEN done > 0 THEN {d.long('floor(elapsed / done * n_left)')} END AS eta FROM ({each}) e"
-    return f"SELECT user_id, event_id, {d.int('n_left')} AS n_left, eta, {label} AS label FROM ({eta}) x"
+    return f"SELECT user_id, event_id, {d.int('n_left')} AS n_left, CAST(eta AS DOUBLE) AS eta, {label} AS label FROM ({eta}) x"
 
 
 @plan
