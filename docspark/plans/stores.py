@@ -9,6 +9,7 @@ from docspark.operators.collections import Cache, Collection, replace_uploads
 from docspark.operators.tables import new_path
 from docspark.plans import findings
 from docspark.plans.dialect import frame
+from docspark.sources import docx
 
 KEYWORDS = {"critical": findings.CRITICAL_WORDS, "high": findings.HIGH_WORDS, "placeholder": findings.PLACEHOLDERS, "section": findings.SECTIONS, "facility": findings.FACILITIES, "vague": findings.VAGUE}
 FILENAME = r"([^/?#]*)(?:[?#].*)?$"
@@ -54,3 +55,13 @@ def p15_keyword_tables(spark, sf_dir):
     """Which of the keyword tables each document holds something of, in one pass over its text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return matcher.tagged(docs, "text", {k: list(v) for k, v in KEYWORDS.items()}).select("doc_id", F.array_join("tables", ",").alias("tables"))
+
+
+@frame(lambda d: "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_paragraphs, text, CAST(NULL AS VARCHAR) AS error FROM documents")
+def s6_docx_files(spark, sf_dir):
+    """Documents written as Word files, a paragraph a line, and read back by the data source."""
+    folder = new_path(spark, "docx")
+    docx.write(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder)
+    rows = docx.load(spark, folder)
+    sizes = rows.groupBy("path").agg(F.count("*").alias("n_paragraphs"))
+    return docx.texts(rows).join(sizes, "path").select(F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("long").alias("doc_id"), "n_paragraphs", "text", "error")
