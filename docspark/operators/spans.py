@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Marks that no text holds stand before and behind a match.
 OPEN, SHUT = chr(1), chr(2)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _starts(sizes: pd.Series) -> pd.Series:
+    """For each row's sizes the sums of those before, all rows of a batch at once."""
+    if not len(sizes):
+        return pd.Series([], dtype=object)
+    n = np.fromiter(map(len, sizes), np.int64, len(sizes))
+    flat = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate(sizes.to_list()).astype(np.int64))])
+    ends = np.cumsum(n)
+    return pd.Series([(flat[e - k : e] - flat[e - k]).astype(np.int32) for k, e in zip(n.tolist(), ends.tolist())], dtype=object)
+
+
 def found(docs: DataFrame, patterns: dict[str, str], text: str = "text", key: str = "doc_id") -> DataFrame:
     """Matches of all ``patterns`` in ``docs``: rows ``(doc_id, pattern, char_start, char_end, text)``, in linear time.
 
-    Texts are split once for each pattern, all in one row's projection, so documents are read once and the pieces, which
-    carry only themselves, are dealt once. A null text has no match.
+    Texts are split once for each pattern. Offsets are sums of the pieces' lengths, of which only the numbers leave the row, so
+    pieces are neither dealt out nor sorted; the first piece, which has no match, isn't even a row. A null text has no match.
     """
     pieces = lambda p: F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"({p})", f"{OPEN}$1{SHUT}"), OPEN, -1)
     sets = F.array(*[F.struct(F.lit(name).alias("pattern"), pieces(p).alias("pieces")) for name, p in patterns.items()])
-    each = docs.select(F.col(key).alias("doc_id"), F.explode(sets).alias("s")).select("doc_id", "s.pattern", F.posexplode("s.pieces").alias("pos", "piece"))
-    # what stands behind a match counts only by its length
-    end = F.instr("piece", SHUT)
-    each = each.select("doc_id", "pattern", "pos", F.when(F.col("pos") > 0, F.expr(f"substr(piece, 1, instr(piece, '{SHUT}') - 1)")).alias("text"), (F.length("piece") - F.when(end > 0, 1).otherwise(0)).alias("size"))
-    w = Window.partitionBy("doc_id", "pattern").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("char_start", F.sum("size").over(w)).where("pos > 0")
-    return each.select("doc_id", "pattern", F.col("char_start").cast("long").alias("char_start"), (F.col("char_start") + F.length("text")).cast("long").alias("char_end"), "text")
+    each = docs.select(F.col(key).alias("doc_id"), F.explode(sets).alias("s")).select("doc_id", "s.pattern", "s.pieces").where("size(pieces) > 1")
+    # of a piece with a match, the mark behind it doesn't count
+    sizes = F.transform("pieces", lambda x, i: F.length(x) - (i > 0).cast("int"))
+    each = each.select("doc_id", "pattern", F.explode(F.slice(F.arrays_zip("pieces", _starts(sizes).alias("starts")), 2, 2**31 - 1)).alias("m"))
+    each = each.select("doc_id", "pattern", F.col("m.starts").cast("long").alias("char_start"), F.substring_index("m.pieces", SHUT, 1).alias("text"))
+    return each.select("doc_id", "pattern", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "text")
 
 
 def replaced(docs: DataFrame, spans: DataFrame) -> DataFrame:

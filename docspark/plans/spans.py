@@ -294,7 +294,10 @@ def f30_annotated_text(spark, sf_dir):
 @table("span_matches")
 def span_matches(spark, sf_dir):
     """``matches_sql`` in one pass over the documents, without the words that no detector looks at."""
-    got = span_ops.found(spark.read.parquet(f"{sf_dir}/documents.parquet"), _patterns())
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # few files: patterns cost far more than dealing texts out
+        docs = docs.repartition(cores)
+    got = span_ops.found(docs, _patterns())
     some = [f"text rlike {SPARK.text(p)}" for p in (*BY_WORD.values(), "^[A-Z]{6,}$")]
     return got.where(f"pattern <> 'word' or length(text) >= 14 or char_start < {FIRST_PAGE} and text rlike {SPARK.text(CAPITALISED)} or {' or '.join(some)}")
 
