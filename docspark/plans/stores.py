@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from docspark.operators import matcher
 from docspark.operators.collections import Cache, Collection, replace_uploads
 from docspark.operators.tables import new_path
-from docspark.plans import findings
-from docspark.plans.dialect import frame
-from docspark.sources import docx
+from docspark.plans import derived, findings
+from docspark.plans.dialect import SPARK, frame, views
+from docspark.sources import docx, files
 
 KEYWORDS = {"critical": findings.CRITICAL_WORDS, "high": findings.HIGH_WORDS, "placeholder": findings.PLACEHOLDERS, "section": findings.SECTIONS, "facility": findings.FACILITIES, "vague": findings.VAGUE}
 FILENAME = r"([^/?#]*)(?:[?#].*)?$"
@@ -65,3 +65,27 @@ def s6_docx_files(spark, sf_dir):
     rows = docx.load(spark, folder)
     sizes = rows.groupBy("path").agg(F.count("*").alias("n_paragraphs"))
     return docx.texts(rows).join(sizes, "path").select(F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("long").alias("doc_id"), "n_paragraphs", "text", "error")
+
+
+def _items(d) -> str:
+    """What a document's report is made of, part by part: ids, pages where there are any, and digests of the texts."""
+    parts = {
+        "chunks": f"SELECT doc_id, chunk_id AS item_id, page, text FROM {derived.chunks(d)} c",
+        "claims": f"SELECT doc_id, claim_id, NULL, text FROM {derived.claims(d)} c",
+        "entities": f"SELECT doc_id, entity_id, NULL, concat(kind, ' ', text) FROM {derived.entities(d)} e",
+        "ambiguities": f"SELECT doc_id, issue_id, page, concat(kind, ' ', quote) FROM {derived.ambiguities(d)} a",
+        "findings": f"SELECT doc_id, finding_id, page, concat(title, ' ', explanation) FROM {derived.findings(d)} f",
+        "objects": f"SELECT doc_id, knowledge_id, page, concat(section_path, ' ', text) FROM {derived.objects(d)} o",
+        "elements": f"SELECT doc_id, {d.string('element_id')}, NULL, concat(kind, ' ', text) FROM {derived.elements(d)} e",
+        "cells": f"SELECT doc_id, concat({d.string('table_id')}, '.', {d.string('row_no')}, '.', {d.string('col_no')}), NULL, text FROM {derived.cells(d)} c",
+    }
+    each = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS part, item_id, {d.int('page')} AS page, md5(text) AS digest FROM (SELECT * FROM ({sql}) AS x(doc_id, item_id, page, text)) p" for name, sql in parts.items())
+    return f"SELECT doc_id, part, item_id, page, digest FROM ({each}) e WHERE doc_id IS NOT NULL"
+
+
+@frame(lambda d: f"SELECT doc_id, part, count(*) AS n_items, CAST(to_json(list(struct_pack(item_id := item_id, page := page, digest := digest) ORDER BY item_id, page, digest)) AS VARCHAR) AS body FROM ({_items(d)}) i GROUP BY doc_id, part")
+def s30_bundles(spark, sf_dir):
+    """Each document's report as nested arrays, a row a part."""
+    sql = _items(SPARK)
+    views(spark, sf_dir, sql)
+    return files.bundled(spark.sql(sql))

@@ -56,3 +56,22 @@ def report_json(issues: DataFrame, by: str = "issue_type") -> DataFrame:
 
 def write_csv(issues: DataFrame, path: str) -> None:
     issues.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def bundled(items: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Rows ``(by, part, n_items, body)`` of ``items(by, part, item_id, …)``: each part's items as a JSON array, in the order of their columns from item_id on.
+
+    The order is total but for equal items, so a bundle is the same at every run. A document's part must fit in a row; null keys are
+    left out; items that are null aren't.
+    """
+    names = [c for c in items.columns if c not in (by, "part")]
+    own = items.where(F.col(by).isNotNull() & F.col("part").isNotNull())
+    lists = own.groupBy(by, "part").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("items"))
+    return lists.select(by, "part", F.size("items").cast("long").alias("n_items"), F.to_json("items", {"ignoreNullFields": "false"}).alias("body"))
+
+
+def write_bundle(bundles: DataFrame, folder: str, by: str = "doc_id") -> None:
+    """A folder for each part, of lines ``{"by": …, "items": […]}``; parts that come again are replaced, the others stay."""
+    line = F.concat(F.lit(f'{{"{by}":'), F.to_json(F.array(by)).substr(F.lit(2), F.length(F.to_json(F.array(by))) - 2), F.lit(',"items":'), "body", F.lit("}"))
+    lines = bundles.select("part", line.alias("value")).repartition("part", F.pmod(F.xxhash64(by), F.lit(16))).sortWithinPartitions("part", "value")
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").text(folder)

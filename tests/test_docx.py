@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 
-from docspark.sources import docx
+from docspark.sources import docx, files
 
 
 def made(body: str) -> bytes:
@@ -52,3 +53,18 @@ def test_empty_folder_and_round_trip(spark, tmp_path):
     assert docx.write(df, f"file://{tmp_path}/out") == 3
     got = {r.path.rsplit("/")[-1]: r.text for r in docx.texts(docx.load(spark, f"file://{tmp_path}/out")).collect()}
     assert got == {"1.docx": "a\n\nb <c> & d", "2.docx": ""}  # no paragraph, no row
+
+
+def test_bundles_are_the_same_at_every_run(spark, tmp_path):
+    rows = [(1, "b", "y", 2), (1, "b", "x", None), (1, "a", "z", 1), (2, "a", 'q"\n', 1), (2, "a", 'q"\n', 1), (None, "a", "n", 1), (3, None, "n", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, part string, item_id string, page int")
+    got = files.bundled(df)
+    want = {(1, "b"): [{"item_id": "x", "page": None}, {"item_id": "y", "page": 2}], (1, "a"): [{"item_id": "z", "page": 1}], (2, "a"): [{"item_id": 'q"\n', "page": 1}] * 2}
+    assert {(r.doc_id, r.part): json.loads(r.body) for r in got.collect()} == want and all(r.n_items == len(want[r.doc_id, r.part]) for r in got.collect())
+    again = files.bundled(df.repartition(5))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
+    out = f"file://{tmp_path}/bundle"
+    files.write_bundle(got, out)
+    files.write_bundle(got.where("part = 'b'"), out)  # the other part stays
+    lines = {(json.loads(r.value)["doc_id"], r.part): json.loads(r.value)["items"] for r in spark.read.text(out).collect()}
+    assert lines == want
