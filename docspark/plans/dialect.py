@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docspark.operators.ranking import places
 from docspark.operators.tables import written
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events", "region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -234,6 +236,27 @@ def frame(oracle: Callable[[SparkSql], str] | None = None):
     return of
 
 
+def placed(column: str, *order: str, drop: str | None = None):
+    """Registers a function of a dialect that gives SQL, whose rows get their place in ``order`` (columns, with `` DESC`` or not).
+
+    The engine deals rows out by ranges of the order, so no task has them all; the check's SQL numbers them by a window.
+    """
+
+    def of(fn: Callable[[SparkSql], str]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            sql = fn(SPARK)
+            views(spark, sf_dir, sql)
+            by = [F.col(c.split()[0]).desc() if c.endswith(" DESC") else F.col(c) for c in order]
+            out = places(spark.sql(sql), column, *by)
+            return out.drop(drop) if drop else out
+
+        names = f"* EXCLUDE ({drop})" if drop else "*"
+        QUERIES[fn.__name__], ORACLES[fn.__name__] = run, f"SELECT {names}, CAST(row_number() OVER (ORDER BY {', '.join(order)}) AS INTEGER) AS {column} FROM ({fn(DUCK)}) x"
+        return fn
+
+    return of
+
+
 def rows(*values: tuple, names: str) -> str:
     """An inline table."""
 

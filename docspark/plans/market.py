@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.operators import matcher
+from docspark.operators.ranking import places
 from docspark.plans import derived
 from docspark.plans.derived import claims, profiles
 from docspark.plans.dialect import SPARK, frame, plan, rows, table, views
@@ -144,7 +145,8 @@ def a28_above_threshold(d):
 
 @plan
 def o12_top_competitors(d):
-    return f"SELECT domain, CAST(row_number() OVER (ORDER BY composite DESC, domain) AS INT) AS place FROM ({scores(d)}) s ORDER BY composite DESC, domain LIMIT 5"
+    five = f"SELECT domain, composite FROM ({scores(d)}) s ORDER BY composite DESC, domain LIMIT 5"
+    return f"SELECT domain, CAST(row_number() OVER (ORDER BY composite DESC, domain) AS INT) AS place FROM ({five}) t"
 
 
 @plan
@@ -231,6 +233,8 @@ def p32_recommendations(d):
     return f"SELECT doc_id, {d.int('place')} AS place, title, CASE WHEN place <= 2 THEN 'High' ELSE 'Medium' END AS priority FROM ({ranked}) r WHERE n >= 3 AND place <= 5"
 
 
-@plan
-def f51_position_scores(d):
-    return f"SELECT company, {d.int('90 - 5 * (row_number() OVER (ORDER BY company) - 1)')} AS score FROM (SELECT DISTINCT company FROM {profiles(d)} p) c"
+@frame(lambda d: f"SELECT company, {d.int('90 - 5 * (row_number() OVER (ORDER BY company) - 1)')} AS score FROM (SELECT DISTINCT company FROM {profiles(d)} p) c")
+def f51_position_scores(spark, sf_dir):
+    sql = f"SELECT DISTINCT company FROM {profiles(SPARK)} p"
+    views(spark, sf_dir, sql)
+    return places(spark.sql(sql), "_place", F.col("company")).select("company", (90 - 5 * (F.col("_place") - 1)).alias("score"))

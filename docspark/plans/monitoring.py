@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.plans.dialect import plan, rows
+from docspark.plans.dialect import placed, plan, rows
 
 STAGES = ("view", "click", "cart", "purchase")
 
@@ -62,9 +62,9 @@ def w18_eta(d):
     return f"SELECT user_id, event_id, {d.int('n_left')} AS n_left, CAST(eta AS DOUBLE) AS eta, {label} AS label FROM ({eta}) x"
 
 
-@plan
+@placed("place", "newest DESC", "user_id")
 def o14_newest_jobs(d):
-    return "SELECT user_id, max(ts) AS newest, CAST(row_number() OVER (ORDER BY max(ts) DESC, user_id) AS INT) AS place FROM events GROUP BY user_id"
+    return "SELECT user_id, max(ts) AS newest FROM events GROUP BY user_id"
 
 
 @plan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.operators import ranking
-from docspark.plans.dialect import QUERIES, frame, plan, rows
+from docspark.plans.dialect import QUERIES, frame, placed, plan, rows
 from docspark.plans.derived import WRONG_WORDS, ambiguities, cells, chunks, claims, elements, entities, objects
 from docspark.plans.findings import f29_chunk_enrichment, scored
 from docspark.plans.layout import TABLE_ROW, classified, paragraphs, sentences
@@ -267,9 +267,9 @@ def o2_right_to_left(d):
     return f"SELECT doc_id, grp, {d.int('row_number() OVER (PARTITION BY doc_id ORDER BY char_start DESC, grp DESC)')} AS step FROM ({merged(d)}) m"
 
 
-@plan
+@placed("cluster_no", "n DESC", "label")
 def o9_clusters_by_size(d):
-    return f"SELECT label, n, {d.int('row_number() OVER (ORDER BY n DESC, label)')} AS cluster_no FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) c"
+    return "SELECT label, count(*) AS n FROM embeddings GROUP BY label"
 
 
 @plan
@@ -446,11 +446,10 @@ def u11_ordered_distinct(d):
     return f"SELECT doc_id, md5({d.strings('term', ' ', 'first')}) AS digest FROM ({first}) f GROUP BY doc_id"
 
 
-@plan
+@placed("place", "created DESC", "job", drop="created")
 def s27_jobs_newest_first(d):
     """Documents' folders as jobs, by the newest page of each."""
-    j = f"(SELECT {d.extract('url', '^[a-z]+://([^/]+)', 1)} AS job, max(page_id) AS created FROM pages GROUP BY {d.extract('url', '^[a-z]+://([^/]+)', 1)})"
-    return f"SELECT job, {d.int('row_number() OVER (ORDER BY created DESC, job)')} AS place FROM {j} j"
+    return f"SELECT {d.extract('url', '^[a-z]+://([^/]+)', 1)} AS job, max(page_id) AS created FROM pages GROUP BY {d.extract('url', '^[a-z]+://([^/]+)', 1)}"
 
 
 @plan
