@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import models
 from docspark.operators import alignment, graph, knn, packing, spelling, vectorindex
+from docspark.operators.tables import written
 from docspark.streaming import ingest
 from docspark.plans.dialect import QUERIES, SPARK, frame, table, views
 from docspark.plans.retrieval import FLOOR, nearest_sql, search_pairs
@@ -108,7 +109,7 @@ def d9_communities(spark, sf_dir):
 def d6_spelling(spark, sf_dir):
     """Suggestions from the corpus's own frequent words for its rare words of four letters or more, and for a few misspelt ones."""
     words = spark.createDataFrame([("licens",), ("wrok",), ("verison",), ("righst",), ("publik",)], "word string")
-    known = QUERIES["s21_common_words"](spark, sf_dir).where("length(term) >= 4")
+    known = written(QUERIES["s21_common_words"](spark, sf_dir).where("length(term) >= 4"), "known_words")
     common = known.where("freq >= 3").select("term", "freq")
     return spelling.suggestions(words.union(known.where("freq < 3").select("term")), common)
 

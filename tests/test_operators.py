@@ -137,3 +137,27 @@ def test_spelling_of_the_whole_corpus(spark):
     rare = {r.term for r in queries()["s21_common_words"](spark, data).where("length(term) >= 4 and freq < 3").collect()}
     found = {r.word for r in queries()["d6_spelling"](spark, data).collect()}
     assert len(found & rare) > 100 and found <= rare | {"licens", "wrok", "verison", "righst", "publik"}
+
+
+def test_spelling_equals_all_pairs_and_keys_stay_off_the_driver(spark):
+    import random
+
+    from docspark.operators import spelling
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    draw = random.Random(1)
+    word = lambda: draw.choice(["", "", "internationally"]) + "".join(draw.choice("abé") for _ in range(draw.randint(1, 8)))
+    terms = {word(): draw.randint(3, 9) for _ in range(80)}
+    words = {word() for _ in range(120)} - terms.keys()
+    found = spelling.suggestions(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(list(terms.items()), "term string, freq long"))
+    got = {r.word: (r.distance, r.suggestion) for r in found.collect()}
+    best = {w: min((apart(w, t), -f, t) for t, f in terms.items()) for w in words}
+    assert got == {w: (b[0], b[2]) for w, b in best.items() if b[0] <= 2}
+    assert "BroadcastHashJoin [key" not in found._jdf.queryExecution().executedPlan().toString()  # before, all keys of a dictionary went through the driver
