@@ -23,14 +23,16 @@ def _starts(sizes: pd.Series) -> pd.Series:
     return pd.Series([(flat[e - k : e] - flat[e - k]).astype(np.int32) for k, e in zip(n.tolist(), ends.tolist())], dtype=object)
 
 
-def found(docs: DataFrame, patterns: dict[str, str], text: str = "text", key: str = "doc_id") -> DataFrame:
+def found(docs: DataFrame, patterns: dict[str, str], text: str = "text", key: str = "doc_id", cues: dict[str, str] | None = None) -> DataFrame:
     """Matches of all ``patterns`` in ``docs``: rows ``(doc_id, pattern, char_start, char_end, text)``, in linear time.
 
+    ``cues`` are cheap patterns that a text with a match of the pattern of that name always has; other texts aren't looked through.
     Texts are split once for each pattern. Offsets are sums of the pieces' lengths, of which only the numbers leave the row, so
     pieces are neither dealt out nor sorted; the first piece, which has no match, isn't even a row. A null text has no match.
     """
     pieces = lambda p: F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"({p})", f"{OPEN}$1{SHUT}"), OPEN, -1)
-    sets = F.array(*[F.struct(F.lit(name).alias("pattern"), pieces(p).alias("pieces")) for name, p in patterns.items()])
+    asked = lambda name: F.when(F.col(text).rlike(cues[name]), pieces(patterns[name])) if cues and name in cues else pieces(patterns[name])
+    sets = F.array(*[F.struct(F.lit(name).alias("pattern"), asked(name).alias("pieces")) for name in patterns])
     each = docs.select(F.col(key).alias("doc_id"), F.explode(sets).alias("s")).select("doc_id", "s.pattern", "s.pieces").where("size(pieces) > 1")
     # of a piece with a match, the mark behind it doesn't count
     sizes = F.transform("pieces", lambda x, i: F.length(x) - (i > 0).cast("int"))

@@ -39,6 +39,25 @@ WORDS, MARKED = r"[\p{L}\p{N}_]+", "[^ ]+!!"
 WORD_TOKEN, WORD_SHAPE = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?", "^[A-Za-z][A-Za-z'-]{2,}$"
 
 
+# What a text must have for a match, told at less cost.
+CUES = {
+    "url": r"://|[wW]{3}\.", "email": "@", "citation": r"\([A-Z]|\[\d|et al\.", "math": r"[-+*/^=<>][\p{L}\p{N}_]|\\", "scientific": r"\d(?:[eE][-+]?\d|\^)", "file_name": r"\.[\p{L}\p{N}_]",
+    "person": r"[a-zA-Z]\s+[A-Z][a-zA-Z]|(?:Dr|Prof|Mrs?|Ms)\.", "marked": "!!",
+}
+
+
+def _looked_at() -> str:
+    """Whole words that a detector may look at: those with a capital, digit or underscore, long ones, single letters, listed ones.
+
+    The letter beyond the first plane is one of ``\\p{L}``; with one in sight, lookbehinds step over such letters whole.
+    """
+    word, heads = r"[\p{L}\p{N}_]", {}
+    for w in sorted({*LIBRARIES.split(), *GREEK.split(), *TECHNICAL.split(), *PERSONAL.split()}):
+        heads.setdefault(w[0], []).append(w[1:])
+    listed = "|".join(f"{c}(?:{'|'.join(tails)})" for c, tails in heads.items())
+    return f"(?<![\\p{{L}}\\p{{N}}_\U00020000])(?={CAPITALISED[1:-1].split(']')[0]}]|[a-zA-Z0-9_]*?[A-Z0-9_]|{word}{{14}}|[b-z](?!{word})|(?i:{listed})(?!{word})){word}+"
+
+
 def found(d, pattern: str, source: str = "documents") -> str:
     """Matches of a pattern: doc_id, char_start, char_end, text; linear in the text's length."""
     marked = d.sub("coalesce(text, '')", f"({pattern})", OPEN + d.group(1) + SHUT)
@@ -297,7 +316,7 @@ def span_matches(spark, sf_dir):
     docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:  # few files: patterns cost far more than dealing texts out
         docs = docs.repartition(cores)
-    got = span_ops.found(docs, _patterns())
+    got = span_ops.found(docs, _patterns() | {"word": _looked_at()}, cues=CUES)
     some = [f"text rlike {SPARK.text(p)}" for p in (*BY_WORD.values(), "^[A-Z]{6,}$")]
     return got.where(f"pattern <> 'word' or length(text) >= 14 or char_start < {FIRST_PAGE} and text rlike {SPARK.text(CAPITALISED)} or {' or '.join(some)}")
 

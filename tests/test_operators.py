@@ -161,3 +161,25 @@ def test_spelling_equals_all_pairs_and_keys_stay_off_the_driver(spark):
     best = {w: min((apart(w, t), -f, t) for t, f in terms.items()) for w in words}
     assert got == {w: (b[0], b[2]) for w, b in best.items() if b[0] <= 2}
     assert "BroadcastHashJoin [key" not in found._jdf.queryExecution().executedPlan().toString()  # before, all keys of a dictionary went through the driver
+
+
+def test_cues_and_looked_at_words_lose_no_match(spark, tmp_path):
+    import random
+
+    from docspark.operators import spans as span_ops
+    from docspark.plans import registry  # noqa: F401
+    from docspark.plans import spans
+
+    draw = random.Random(2)
+    bits = "http:// WWW. www.a @ a@b.c (Smith & Lee, 2020) [1, 2] [12] et al. a=b a-b \\alpha 1.5e-3 2^4 file.txt Dr. Mr.\nJones Ann Lee Ann\nLee Li !! wow!! internationally NASA iPhone x_y t5 c C x Tensor2Tensor attention my żółw Łódź 𠀀abc 𠀀x abc𠀀 é1 IV mmiv D't . , \n".split(" ")
+    texts = [(i, "".join(draw.choice(bits) + draw.choice(["", " ", "\n"]) for _ in range(30))) for i in range(300)] + [(300, None), (301, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plain = {n: p for n, p in spans._patterns().items() if n != "word"}
+    assert rows(span_ops.found(docs, plain, cues=spans.CUES)) == rows(span_ops.found(docs, plain))
+    span_ops.found(docs, spans._patterns()).createOrReplaceTempView("every_match")
+    some = [f"text rlike {spans.SPARK.text(p)}" for p in (*spans.BY_WORD.values(), "^[A-Z]{6,}$")]
+    want = f"select * from every_match where pattern <> 'word' or length(text) >= 14 or char_start < {spans.FIRST_PAGE} and text rlike {spans.SPARK.text(spans.CAPITALISED)} or {' or '.join(some)}"
+    assert rows(spans.span_matches(spark, str(tmp_path))) == rows(spark.sql(want))
+    assert span_ops.found(docs, {"word": spans._looked_at()}).count() < span_ops.found(docs, {"word": spans.WORDS}).count()
