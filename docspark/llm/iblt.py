@@ -21,9 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import by_size
+from docspark.llm.common import by_size, release
 
-CELLS, GROWTH, MOST_CELLS_AT_ONCE, LAST = 12, 4, 2_000_000, 64
+CELLS, GROWTH, MOST_CELLS_AT_ONCE, LAST = 12, 4, 200_000, 64
+#: Texts that are worked on together, by number and by characters.
+ROWS_AT_ONCE, CHARS_AT_ONCE = 1024, 2_000_000
 PIECE = re.compile(r"[^.!?\n]{1,80}[.!?\n]*|[.!?\n]+")
 _LOWEST = -(2**63)
 
@@ -183,8 +185,8 @@ def _each_with_next(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by pid, edge, order; the first row with edge 1 is what follows the last of its pid."""
     held: tuple | None = None
     for pdf in batches:
-        for i in range(0, len(pdf), 1024):
-            part = pdf.iloc[i : i + 1024]
+        for i, j in zip((cuts := _cuts(pdf["text"])), cuts[1:]):
+            part = pdf.iloc[i:j]
             rows = list(zip(part["pid"], part["edge"], part["doc_id"].astype("Int64"), part["text"].fillna("")))
             if held:
                 rows = [held, *rows]
@@ -196,6 +198,18 @@ def _each_with_next(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if j > k:
                     yield _rows([r[2] for r in rows[k : j + 1]], [r[3] for r in rows[k : j + 1]])
                 k = max(j, k + 1)
+            release()
+
+
+def _cuts(texts: pd.Series) -> list[int]:
+    """Borders of runs of rows of at most ROWS_AT_ONCE rows and CHARS_AT_ONCE characters, or of one row."""
+    cuts, chars = [0], 0
+    for i, n in enumerate(texts.str.len().fillna(0).astype(int).tolist() if len(texts) else []):
+        if i > cuts[-1] and (chars + n > CHARS_AT_ONCE or i - cuts[-1] == ROWS_AT_ONCE):
+            cuts.append(i)
+            chars = 0
+        chars += n
+    return [*cuts, len(texts)] if len(texts) else [0]
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:

@@ -99,3 +99,22 @@ def test_pages_without_telling_markup_are_told_by_differences(spark):
     bodies = [f"<div>Menu Home</div><div>Our offers</div><div>Title {i}</div><div>Story number {i} with its own words.</div><div>More of story {i}.</div><div>All rights reserved</div>" for i in range(8)]
     got = {r.page_id: r.text for r in htmldiff.main_text(pages(spark, bodies)).collect()}
     assert got == {i: f"Title {i}\n\nStory number {i} with its own words.\n\nMore of story {i}." for i in range(8)}
+
+
+def test_fingerprints_work_on_few_texts_at_once(monkeypatch):
+    import pandas as pd
+
+    from docspark.llm import iblt
+
+    texts = [f"{i} long text. " * 20_000 for i in range(40)] + ["", "x"] * 900
+    batch = pd.DataFrame({"pid": 0, "edge": [0] * (len(texts) - 1) + [1], "doc_id": range(len(texts)), "text": texts})
+    sizes, each = [], iblt._rows
+    monkeypatch.setattr(iblt, "_rows", lambda ids, some: sizes.append(sum(map(len, some))) or pd.DataFrame({"doc_id": ids[:-1]}))
+    ids = [i for out in iblt._each_with_next(iter([batch])) for i in out["doc_id"]]
+    assert ids == list(range(len(texts) - 1))
+    assert max(sizes) < 3_000_000  # before, 1,024 texts of any length
+    monkeypatch.setattr(iblt, "_rows", each)
+    small = batch.tail(1500)
+    monkeypatch.setattr(iblt, "CHARS_AT_ONCE", 20)
+    parts = pd.concat(iblt._each_with_next(iter([small])), ignore_index=True)
+    assert parts.equals(each(small["doc_id"].tolist(), small["text"].tolist()))
