@@ -350,3 +350,17 @@ def test_time_left(run):
     rows = [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:01:40"), (3, "2024-01-01 00:02:00"), (4, "2024-01-01 00:10:00")]
     got = {r.event_id: (r.n_left, r.eta, r.label) for r in run("w18_eta", events=[(i, datetime.fromisoformat(t), 7, "view", 1.0, "{}") for i, t in rows])}
     assert got == {1: (3, None, "Estimating..."), 2: (2, 200, "3m 20s"), 3: (1, 60, "60s"), 4: (0, 0, "0s")}
+
+
+def test_ambiguity_rules_look_only_at_texts_with_a_cue(spark):
+    from docspark.plans import derived
+    from docspark.plans.dialect import SPARK
+
+    texts = ["he goed.", "agoed", "A lot alot", "approximately 5 days", "12 or more", "xNASA", "NASA", "NASAx", "ten minute", "𠀀goed", "goed\n", "plain words only", "", None]
+    spark.createDataFrame([(i, f"c{i}", t, 1, "k") for i, t in enumerate(texts)], "doc_id long, chunk_id string, text string, page int, cluster_id string").createOrReplaceTempView("chunk_rows")
+    sql = derived._ambiguities(SPARK)
+    start = sql.index("(SELECT * FROM (SELECT * FROM chunk_rows) k WHERE")  # before, each of 27 rules looked at every text
+    stop = sql.index(") c LATERAL VIEW", start)
+    plain = sql[:start] + "(SELECT * FROM chunk_rows" + sql[stop:]
+    rows = lambda q: sorted(map(tuple, spark.sql(q).collect()), key=str)
+    assert rows(sql) == rows(plain) and len(rows(plain)) >= 6
