@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -260,6 +261,25 @@ def test_what_a_chunk_names(run):
     assert (r.dates, r.organisations, r.places, r.people) == ("12/03/2021,2022", "Acme Relief Group", "Barak Valley", "Ramesh Kumar Das")
 
 
+def test_words_of_chunks_in_any_case_and_between_any_marks(run):
+    texts = ["RIFLES,pistol;_carbine xgrenade grenadesé Mortars.", "ArMs\u0130 arms", "assamese ASSAM-Sikkim", "Security Forces at Case No. 7 in 1999", "no digit at all", "İstanbul army1 ARMY", "Acme Corp Acme Corp"]
+    got = {r.chunk_id: r for r in run("f29_chunk_enrichment", documents=texts)}
+    at = lambda i: got[f"{i}_chunk_0000"]
+    assert [at(i).weapons for i in range(4)] == ["mortar,pistol,rifle", "arms", "", ""] and at(2).state == "Assam"
+    assert (at(3).groups, at(3).report, at(3).dates, at(3).organisations) == ("security forces", "7", "1999", "Security Forces")
+    assert (at(4).report, at(4).dates, at(4).people, at(5).groups, at(6).organisations) == (None, "", "", "army", "Acme Corp Acme")
+
+
+def test_chunks_are_looked_through_once_for_runs_and_only_for_words_they_hold():
+    from docspark.plans import derived
+    from docspark.plans.dialect import PLANS, SPARK
+
+    sql = PLANS["f29_chunk_enrichment"](SPARK)
+    n = sum(map(len, (derived.STATES, derived.REGIONS, derived.DISTRICTS, derived.WEAPONS, derived.GROUPS)))
+    assert sql.count("regexp_extract_all(text, '([A-Z]") == 1 and sql.count("lower(text)") == 1
+    assert sql.count("text RLIKE '(?i)(?:^|") == n == len(re.findall(r"\(contains\(low, '[^']+'\) AND \(text RLIKE '\(\?i\)\(\?:\^\|", sql))
+
+
 def test_paragraphs_and_elements():
     from docspark.operators.alignment import pairs
 
