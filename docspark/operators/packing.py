@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _fold(items: DataFrame, group: str, order: str, size: str, step, name: str, kind: str) -> DataFrame:
@@ -47,8 +51,12 @@ def batches(items: DataFrame, group: str, order: str, size: str, budget: int) ->
     return _fold(items, group, order, size, step, "batch", "int")
 
 
+def _estimate(words: int) -> int:
+    return int(words * 1.3) + 1
+
+
 def tokens(text: str) -> int:
-    return int(len(text.split()) * 1.3) + 1
+    return _estimate(len(text.split()))
 
 
 def tail(text: str, budget: int = 50) -> str:
@@ -98,35 +106,45 @@ def split_parts(parts: DataFrame, budget: int = 500) -> DataFrame:
     return parts.select("doc_id", "ord", "text").mapInPandas(of, "doc_id long, ord long, part int, text string")
 
 
+def _packed(rows: Iterable[tuple], budget: int, overlap: int) -> Iterator[tuple]:
+    """Chunks ``(doc_id, chunk_no, kind, text, tokens)`` of rows ``(doc_id, kind, text)``, which come document by document, in order.
+
+    Words of joined texts are the sum of their words, so each text is counted once.
+    """
+    doc, kind, no = object(), None, 0  # no document yet
+    held, n = [], 0  # n: words that are held
+    for d, k, text in rows:
+        text = text or ""
+        words = len(text.split())
+        if d != doc or k != kind or kind == "heading":
+            if held:
+                yield doc, no, kind, "\n".join(held), _estimate(n)
+            no = no + 1 if d == doc else 0
+            doc, kind, held, n = d, k, [], 0
+        elif _estimate(n + words) > budget:
+            last = "\n".join(held)
+            yield doc, no, kind, last, _estimate(n)
+            t = tail(last, overlap)
+            no, held, n = no + 1, [t] if t else [], len(t.split())
+        held.append(text)
+        n += words
+    if held:
+        yield doc, no, kind, "\n".join(held), _estimate(n)
+
+
 def chunks(parts: DataFrame, budget: int = 500, overlap: int = 50) -> DataFrame:
     """Chunks of a document from ``parts(doc_id, ord, kind, text)``, in order.
 
     A chunk is closed at ``budget`` tokens (words x 1.3), where the kind changes, and at a heading, which is its own chunk. After a
-    full chunk the next one begins with its ``tail``. A document must fit in a task.
+    full chunk the next one begins with its ``tail``. Rows come sorted to a task, which holds a batch of them and one chunk.
     """
+    types = {"doc_id": pa.int64(), "chunk_no": pa.int32(), "kind": pa.string(), "text": pa.string(), "tokens": pa.int32()}
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        made: list[tuple[str, str]] = []
-        kind, held, fresh = None, [], False  # fresh: more than an overlap is held
-
-        def close() -> None:
-            nonlocal held, fresh
-            if fresh:
-                made.append((kind, "\n".join(held)))
-            held, fresh = [], False
-
-        for _, row in pdf.sort_values("ord", kind="stable").iterrows():
-            text = row["text"] or ""
-            if row["kind"] != kind or kind == "heading":
-                close()
-                kind = row["kind"]
-            elif fresh and tokens("\n".join([*held, text])) > budget:
-                last = "\n".join(held)
-                close()
-                held = [t] if (t := tail(last, overlap)) else []
-            held.append(text)
-            fresh = True
-        close()
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk_no": range(len(made)), "kind": [k for k, _ in made], "text": [t for _, t in made], "tokens": [tokens(t) for _, t in made]})
-
-    return parts.groupBy("doc_id").applyInPandas(of, "doc_id long, chunk_no int, kind string, text string, tokens int")
+    def of(batches):
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "kind", "text"))))
+        made = _packed(rows, budget, overlap)
+        while some := list(itertools.islice(made, 256)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types.values())], list(types))
+
+    ordered = parts.repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_last("ord"))
+    return ordered.select("doc_id", "kind", "text").mapInArrow(of, "doc_id long, chunk_no int, kind string, text string, tokens int")

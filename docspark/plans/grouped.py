@@ -9,6 +9,7 @@ from docspark.operators import alignment, graph, knn, packing, spelling, vectori
 from docspark.operators.tables import written
 from docspark.streaming import ingest
 from docspark.plans.dialect import QUERIES, SPARK, frame, table, views
+from docspark.plans.layout import classified
 from docspark.plans.retrieval import FLOOR, nearest_sql, search_pairs
 from docspark.plans.retrieval import QUERIES as SEARCHES
 from docspark.plans.text import words
@@ -117,8 +118,9 @@ def d6_spelling(spark, sf_dir):
 @frame()
 def w15_chunks(spark, sf_dir):
     """Documents' blocks packed into chunks of 500 tokens with overlaps."""
-    blocks = QUERIES["p1_block_types"](spark, sf_dir).join(QUERIES["f5_blocks"](spark, sf_dir), ["doc_id", "block_id"])
-    return packing.chunks(blocks.select("doc_id", F.col("block_id").alias("ord"), F.col("block_type").alias("kind"), "text"))
+    sql = f"SELECT doc_id, block_id AS ord, block_type AS kind, text FROM ({classified(SPARK)}) c WHERE doc_id IS NOT NULL"
+    views(spark, sf_dir, sql)
+    return packing.chunks(spark.sql(sql))
 
 
 @frame()

@@ -228,6 +228,35 @@ def test_overlap_of_chunks():
     assert packing.tail("w1 w2 w3 w4", 2) == "w3 w4" and packing.tail("w1", 2) == "w1"
 
 
+def plain_chunks(rows, budget, overlap):
+    """Chunks of one document's rows ``(kind, text)``, each time counted anew."""
+    made, kind, held = [], None, []
+    for k, text in rows:
+        if held and (k != kind or kind == "heading"):
+            made.append((kind, "\n".join(held)))
+            held = []
+        elif held and packing.tokens("\n".join([*held, text or ""])) > budget:
+            made.append((kind, last := "\n".join(held)))
+            held = [t] if (t := packing.tail(last, overlap)) else []
+        kind = k
+        held.append(text or "")
+    return [(i, k, t, packing.tokens(t)) for i, (k, t) in enumerate([*made, (kind, "\n".join(held))])]
+
+
+def test_chunks_of_many_documents_come_from_sorted_rows(spark):
+    rng = random.Random(4)
+    text = lambda: rng.choice([None, "", " \u00a0 "] + ["".join(rng.choice(["one", "Two.", "three,", "x\u2003y!"]) + rng.choice(" \t") for _ in range(rng.choice([1, 3, 9, 40])))] * 9)
+    docs = {d: [(rng.choice(["paragraph"] * 6 + ["heading", "table", None]), text()) for _ in range(rng.choice([1, 2, 30, 300]))] for d in [*range(25), None]}
+    rows = [(d, i, k, t) for d, r in docs.items() for i, (k, t) in enumerate(r)]
+    rng.shuffle(rows)
+    parts = spark.createDataFrame(rows, "doc_id long, ord int, kind string, text string")
+    for budget, overlap in ((30, 8), (100, 20), (10**6, 20)):
+        got = packing.chunks(parts, budget, overlap)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(((d, *c) for d, r in docs.items() for c in plain_chunks(r, budget, overlap)), key=str)
+    # a call for each document costs more than its chunks
+    assert "MapInArrow" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "FlatMapGroups" not in plan
+
+
 def test_long_paragraphs_are_split():
     assert packing.split_text("", 5) == [] and packing.split_text("a b", 5) == ["a b"]
     assert packing.split_text("A b c. D e f. G h i.", 11) == ["A b c. D e f.", "G h i."]
