@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docspark.operators import spans as span_ops
+from docspark.operators.tables import written
 from docspark.plans.dialect import SPARK, frame, plan, rows, table, views
 from docspark.plans.layout import sentences
 
@@ -32,6 +34,8 @@ BY_WORD = {
     "library": one_of(LIBRARIES), "greek": one_of(GREEK), "variable": r"^[b-zB-HJ-Z]$", "technical": one_of(TECHNICAL), "pronoun": one_of(PERSONAL),
 }
 ORDER = ("url", "email", "citation", "roman", "acronym", "mixed_case", "math", "subscript", "library", "greek", "scientific", "file_name", "variable", "first_page", "technical", "person", "pronoun")
+#: So many common terms go to all tasks; more are joined by a shuffle.
+TERMS_AT_ONCE = 1_000_000
 FIRST_PAGE, CAPITALISED, COMMON = 2500, "^[A-ZŁŚŹŻĆŃÓ][a-zA-Złśźżćńó']+$", 100
 OPEN, SHUT = span_ops.OPEN, span_ops.SHUT
 WORDS, MARKED = r"[\p{L}\p{N}_]+", "[^ ]+!!"
@@ -175,17 +179,22 @@ def applied(d, before: str, between: str, after: str, source: str) -> str:
     return f"SELECT t.doc_id, concat(coalesce(p.head, ''), substr(t.text, CAST(coalesce(p.last, 0) AS INT) + 1)) AS text FROM documents t LEFT JOIN ({put}) p ON t.doc_id = p.doc_id"
 
 
+def repeated_sql(d) -> str:
+    """``a4_repeated_terms`` in SQL alone."""
+    token = f"SELECT * FROM ({found(d, WORD_TOKEN)}) w WHERE {d.like('text', WORD_SHAPE)}"
+    tf = f"SELECT doc_id, lower(text) AS term, count(*) AS n FROM ({token}) w GROUP BY doc_id, lower(text) HAVING count(*) >= 2"
+    df = f"SELECT lower(text) AS term, count(*) AS freq FROM ({token}) w GROUP BY lower(text)"
+    kind = "CASE WHEN f.freq >= 3 THEN 'valid term' ELSE 'proper noun/code' END"
+    return f"SELECT w.doc_id, w.char_start, w.char_end, w.text, concat('repeated ', t.n, 'x ', {kind}) AS reason FROM ({token}) w JOIN ({tf}) t ON w.doc_id = t.doc_id AND lower(w.text) = t.term JOIN ({df}) f ON t.term = f.term WHERE f.freq <= 100 AND (f.freq >= 3 OR {d.like('w.text', '[A-Z]')})"
+
+
 @plan
 def a4_repeated_terms(d):
     """Words that a document repeats and that aren't common: known ones wherever they stand, others where they have a capital.
 
     The frequency dictionary is the corpus's own: words used three times or more are known, over a hundred times common.
     """
-    token = f"SELECT * FROM ({found(d, WORD_TOKEN)}) w WHERE {d.like('text', WORD_SHAPE)}"
-    tf = f"SELECT doc_id, lower(text) AS term, count(*) AS n FROM ({token}) w GROUP BY doc_id, lower(text) HAVING count(*) >= 2"
-    df = f"SELECT lower(text) AS term, count(*) AS freq FROM ({token}) w GROUP BY lower(text)"
-    kind = "CASE WHEN f.freq >= 3 THEN 'valid term' ELSE 'proper noun/code' END"
-    return f"SELECT w.doc_id, w.char_start, w.char_end, w.text, concat('repeated ', t.n, 'x ', {kind}) AS reason FROM ({token}) w JOIN ({tf}) t ON w.doc_id = t.doc_id AND lower(w.text) = t.term JOIN ({df}) f ON t.term = f.term WHERE f.freq <= 100 AND (f.freq >= 3 OR {d.like('w.text', '[A-Z]')})"
+    return d.stored("repeated_terms", repeated_sql)
 
 
 @plan
@@ -337,6 +346,23 @@ def common_words(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("term")).where("term <> ''").groupBy("term").count().where(f"count > {COMMON}").select("term")
 
 
+@table("repeated_terms")
+def repeated_terms(spark, sf_dir):
+    """``repeated_sql`` with only the tokens dealt out whose term isn't common; a term that isn't has ``COMMON`` rows at most."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    if docs.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        docs = docs.repartition(cores)
+    shaped = lambda df: df.where(F.col("text").rlike(WORD_SHAPE)).withColumn("term", F.lower("text"))
+    tokens = docs.select(F.explode(F.regexp_extract_all("text", F.lit(WORD_TOKEN), F.lit(0))).alias("text"))
+    common = written(shaped(tokens).groupBy("term").count().where(f"count > {COMMON}").select("term"), "common_terms")
+    rare = shaped(span_ops.found(docs, {"token": WORD_TOKEN})).join(F.broadcast(common) if common.count() <= TERMS_AT_ONCE else common, "term", "left_anti")
+    # all tokens of a term that is left are left, so they can be counted here
+    counted = rare.withColumn("freq", F.count("*").over(Window.partitionBy("term"))).withColumn("n", F.count("*").over(Window.partitionBy("term", "doc_id")))
+    kind = F.when(F.col("freq") >= 3, "valid term").otherwise("proper noun/code")
+    kept = counted.where("doc_id is not null and n >= 2 and (freq >= 3 or text rlike '[A-Z]')")
+    return kept.select("doc_id", "char_start", "char_end", "text", F.concat(F.lit("repeated "), "n", F.lit("x "), kind).alias("reason"))
+
+
 @table("merged_issues")
 def merged_issues(spark, sf_dir):
     """``merged_sql`` from both kinds of spans: groups are found, judged and merged in one dealing by document."""

@@ -183,3 +183,29 @@ def test_cues_and_looked_at_words_lose_no_match(spark, tmp_path):
     want = f"select * from every_match where pattern <> 'word' or length(text) >= 14 or char_start < {spans.FIRST_PAGE} and text rlike {spans.SPARK.text(spans.CAPITALISED)} or {' or '.join(some)}"
     assert rows(spans.span_matches(spark, str(tmp_path))) == rows(spark.sql(want))
     assert span_ops.found(docs, {"word": spans._looked_at()}).count() < span_ops.found(docs, {"word": spans.WORDS}).count()
+
+
+def test_repeated_terms_deal_out_only_terms_that_are_not_common(spark, tmp_path, monkeypatch):
+    import random
+
+    import duckdb
+
+    from docspark.plans import registry, spans
+
+    draw = random.Random(4)
+    bits = ["the", "The", "rare-ish", "O'Hara", "o'hara", "Zürich", "x1y", "ab", "-abc-", "abc_d", "𠀀abc", "abc", "NASA", "\n", ",", "'tis'", *[f"w{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]]
+    texts = [(i, "".join(draw.choice(bits) + draw.choice([" ", " ", "", "\n"]) for _ in range(40))) for i in range(150)] + [(150, None), (151, ""), (None, "abc Once Once"), (152, "Once")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(map(tuple, duck.execute(registry.oracle_sql()["a4_repeated_terms"]).fetchall()))
+    reasons = {w[4].split("x ")[1] for w in want}
+    assert len(want) > 50 and "valid term" in reasons
+    for most in (10**6, 0):  # common terms by a broadcast, by a shuffle
+        monkeypatch.setattr(spans, "TERMS_AT_ONCE", most)
+        got = registry.queries()["a4_repeated_terms"](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == want
+    # before, all pieces of all texts were dealt out by document and sorted, once for each reader
+    assert "posexplode" not in got._jdf.queryExecution().executedPlan().toString()
+    plan = spans.repeated_terms(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "hashpartitioning(term" in plan
