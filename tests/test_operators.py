@@ -209,3 +209,39 @@ def test_repeated_terms_deal_out_only_terms_that_are_not_common(spark, tmp_path,
     assert "posexplode" not in got._jdf.queryExecution().executedPlan().toString()
     plan = spans.repeated_terms(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan and "hashpartitioning(term" in plan
+
+
+def test_best_by_single_precision_is_exact_and_blocks_are_not_dealt_out(spark, monkeypatch):
+    import numpy as np
+
+    from docspark.operators import knn
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 6)), np.tile(rng.normal(size=(1, 6)), (60, 1)), np.round(rng.normal(size=(140, 6)))]).astype(np.float32)
+    x[9], x[480:490] = 0, x[3] + rng.normal(size=(10, 6)) * 1e-6  # likenesses that single precision can't tell
+    x[17, 2] = np.nan
+    ids = rng.permutation(500)
+    u = x.astype(np.float64)
+    u = u / np.where(np.abs(u).sum(1, keepdims=True) == 0, np.nan, np.sqrt((u * u).sum(1, keepdims=True)))
+    good = [i for i in range(500) if np.isfinite(u[i]).all()]
+    want = {}
+    for q in good:
+        near = sorted((-round(float(u[q] @ u[e]), 6), int(ids[e])) for e in good if e != q)
+        want[int(ids[q])] = [(e, -s) for s, e in near[:7]]
+    for step, slab, pairs in ((1024, 2048, 65536), (13, 5, 3), (64, 50, 40)):
+        for name, n in (("STEP", step), ("SLAB", slab), ("PAIRS", pairs)):
+            monkeypatch.setattr(knn, name, n)
+        own = knn._ordered(ids.astype(np.int64), np.where(np.isnan(x), np.nan, x).astype(np.float64))
+        best = knn._Best(*own, 7)
+        for i in (300, 0):  # rows in any order, by parts
+            best.see(*(a[i : i + 300] for a in own))
+        got = best.rows().groupby("query_id")[["vec_id", "similarity"]].apply(lambda r: list(map(tuple, r.to_numpy().tolist()))).to_dict()
+        assert got == want
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    found = knn.nearest(df, df, 7, block=100)
+    rows = {}
+    for r in found.orderBy("query_id", "rnk").collect():
+        rows.setdefault(r.query_id, []).append((r.vec_id, r.similarity))
+    assert rows == want  # before, a vector with NaN hid others from all that asked
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan  # before, blocks were shuffled for each that asks
