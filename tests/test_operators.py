@@ -245,3 +245,11 @@ def test_best_by_single_precision_is_exact_and_blocks_are_not_dealt_out(spark, m
     assert rows == want  # before, a vector with NaN hid others from all that asked
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "CoGroup" not in plan  # before, blocks were shuffled for each that asks
+
+
+def test_isolated_vectors(spark, tmp_path):
+    from docspark.plans.registry import queries
+
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [0.9, 0.1, 0.0], 0), (3, [0.0, 0.0, 1.0], 0), (4, [0.0, 0.0, 0.0], 0), (5, [float("nan"), 1.0, 1.0], 0), (6, None, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(r[0] for r in queries()["u9_isolated"](spark, str(tmp_path)).collect()) == [3, 4, 5, 6]
