@@ -1,13 +1,13 @@
 """Live job state: progress that is emitted on change until a job ends, and a work queue whose leases run out.
 
-Both keep a job's state by key and act on its events in the order of their times, whatever batches they come in: an event waits
-until the watermark has passed it, then what is due is taken in order of (time, id). A timer a job calls it up, so a job without
-events costs nothing. State survives restarts in the stream's checkpoint. Events later than the watermark are dropped, as
+Both keep jobs' states by buckets of jobs and act on a job's events in the order of their times, whatever batches they come in: an
+event waits until the watermark has passed it, then what is due is taken in order of (time, id). A timer a bucket calls it up. State survives restarts in the stream's checkpoint. Events later than the watermark are dropped, as
 everywhere; ``late`` says how late one may be.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -21,6 +21,8 @@ from docspark.operators.tables import written
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROGRESS = "job long, event_id long, ts timestamp, step string"
 ACTIONS = "job long, ts timestamp, action string, attempt int"
+#: Keys of the state: jobs share these. A stream's checkpoint holds for the number that it began with.
+BUCKETS = 1024
 
 
 @contextmanager
@@ -36,47 +38,61 @@ def state_store(spark: SparkSession):
 
 
 class _Ordered(StatefulProcessor):
-    """Holds a job's events until the watermark has passed them, then gives them to ``due`` in order.
+    """Holds the events of a bucket's jobs until the watermark has passed them, then gives each job's to ``due`` in order.
 
     A timer is set for the earliest of what waits and of what ``wakes`` asks for. Times are microseconds; timers are milliseconds.
+    Calls of the state store and of Python cost far more than a row, and so do rows of the store: jobs share them by the bucket, in
+    which a batch's events are one row and the jobs' states another, both pickled.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, event_id long, step string")
-        self.state = handle.getValueState("state", self.SCHEMA)
+        self.waiting = handle.getListState("waiting", "events binary")  # lists of (job, at, event_id, step)
+        self.states = handle.getValueState("states", "states binary")  # by job
 
-    def due(self, job, events: list[tuple], until: int) -> list[tuple]:
+    def due(self, job, state: tuple | None, events: list[tuple], until: int, out: list[tuple]) -> tuple | None:
+        """Adds to ``out`` what comes of a job's ``events(at, event_id, step)``; gives its next state."""
         raise NotImplementedError
 
-    def wakes(self) -> int | None:
+    def wakes(self, state: tuple) -> int | None:
         return None
 
-    def _set_timer(self, waiting: list[tuple]) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        times = [e[0] for e in waiting] + ([w] if (w := self.wakes()) is not None else [])
-        if times:
-            self.handle.registerTimer(min(times) // 1000 + 1)
+    def _set_timer(self, at: int | None, keep: bool) -> None:
+        """A timer for what is at ``at``, unless one that stands and may be kept is early enough."""
+        timer, old = None if at is None else at // 1000 + 1, list(self.handle.listTimers())
+        if keep and old and (timer is None or min(old) <= timer):
+            return
+        for t in old:
+            self.handle.deleteTimer(t)
+        if timer is not None:
+            self.handle.registerTimer(timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(a), int(i), None if s is None else str(s)) for pdf in rows for a, i, s in zip(pdf["at"], pdf["event_id"], pdf["step"])]
-        self.waiting.appendList(new)
-        # a timer that stands is early enough, unless something earlier has come
-        self._set_timer([*self.waiting.get()])
+        new = [(j, a, i, None if s is None else str(s)) for pdf in rows for j, a, i, s in zip(pdf["job"].tolist(), pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["step"].tolist())]
+        self.waiting.appendValue((pickle.dumps(new),))
+        self._set_timer(min(e[1] for e in new), True)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get(), key=lambda e: (e[0], e[1]))
-        ready = [e for e in waiting if e[0] <= until]
-        rest = waiting[len(ready) :]
-        out = self.due(key[0], ready, until)
+        ready, rest = {}, []
+        for e in (e for (events,) in self.waiting.get() for e in pickle.loads(events)):
+            if e[1] <= until:
+                ready.setdefault(e[0], []).append(e[1:])
+            else:
+                rest.append(e)
+        now = self.states.get()
+        states = pickle.loads(now[0]) if now else {}
+        out: list[tuple] = []
+        for job in ready.keys() | {j for j, s in states.items() if (w := self.wakes(s)) is not None and w <= until}:
+            states[job] = self.due(job, states.get(job), sorted(ready.get(job, ()), key=lambda e: e[:2]), until, out)
         if rest:
-            self.waiting.put(rest)
+            self.waiting.put([(pickle.dumps(rest),)])
         else:
             self.waiting.clear()
-        self._set_timer(rest)
+        if states:
+            self.states.update((pickle.dumps(states),))
+        self._set_timer(min([e[1] for e in rest] + [w for s in states.values() if (w := self.wakes(s)) is not None], default=None), False)
         if out:
             yield self.frame(out)
 
@@ -84,14 +100,11 @@ class _Ordered(StatefulProcessor):
 class Progress(_Ordered):
     """Emits a job's step when it isn't that of the event before; after a terminal step nothing more of that job."""
 
-    SCHEMA = "step string, ended boolean"
-
     def __init__(self, terminal: tuple[str, ...] = ()):
         self.terminal = terminal
 
-    def due(self, job, events, until):
-        step, ended = self.state.get() or (None, False)
-        out, before, first = [], step, step is None
+    def due(self, job, state, events, until, out):
+        (before, ended), first = state or (None, False), state is None
         for at, event_id, step in events:
             if ended:
                 break
@@ -99,9 +112,7 @@ class Progress(_Ordered):
                 out.append((job, event_id, at, step))
             before, first = step, False
             ended = step in self.terminal
-        if events:
-            self.state.update((before if before is not None else "", ended))
-        return out
+        return before, ended
 
     @staticmethod
     def frame(out: list[tuple]) -> pd.DataFrame:
@@ -115,8 +126,6 @@ class Leases(_Ordered):
     Steps are ``put``, ``beat``, ``done`` and ``failed``; a job that isn't running takes only ``put``, a running one doesn't.
     """
 
-    SCHEMA = "running boolean, attempt int, beat long"
-
     def __init__(self, lease: int, attempts: int = 2):
         self.lease, self.attempts = lease, attempts
 
@@ -132,9 +141,8 @@ class Leases(_Ordered):
                 out.append((job, beat, "given up", attempt))
         return running, attempt, beat
 
-    def due(self, job, events, until):
-        running, attempt, beat = self.state.get() or (False, 0, 0)
-        out: list[tuple] = []
+    def due(self, job, state, events, until, out):
+        running, attempt, beat = state or (False, 0, 0)
         for at, _, step in events:
             running, attempt, beat = self._run_out(job, running, attempt, beat, at, out)
             if step == "put" and not running:
@@ -145,13 +153,10 @@ class Leases(_Ordered):
             elif running and step in ("done", "failed"):
                 running = False
                 out.append((job, at, step, attempt))
-        running, attempt, beat = self._run_out(job, running, attempt, beat, until, out)
-        self.state.update((running, attempt, beat))
-        return out
+        return self._run_out(job, running, attempt, beat, until, out)
 
-    def wakes(self):
-        now = self.state.get()
-        return now[2] + self.lease + 1 if now and now[0] else None
+    def wakes(self, state):
+        return state[2] + self.lease + 1 if state[0] else None
 
     @staticmethod
     def frame(out: list[tuple]) -> pd.DataFrame:
@@ -161,7 +166,7 @@ class Leases(_Ordered):
 
 def _keyed(events: DataFrame, late: str):
     rows = events.where("job is not null and ts is not null").select("job", "event_id", "ts", "step", F.unix_micros("ts").alias("at"))
-    return rows.withWatermark("ts", late).groupBy("job")
+    return rows.withColumn("bucket", F.pmod(F.hash("job"), F.lit(BUCKETS))).withWatermark("ts", late).groupBy("bucket")
 
 
 def progress(events: DataFrame, late: str = "1 hour", terminal: tuple[str, ...] = ()) -> DataFrame:

@@ -103,6 +103,19 @@ def test_queue_against_a_loop(spark):
     assert sorted((r.job, r.us, r.action, r.attempt) for r in got) == want and {r.action for r in got} >= {"dealt again", "given up", "done"}
 
 
+def test_jobs_share_keys_of_the_state(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 2)  # before, every job was a key, with calls of the state store for each of its batches
+    rows = events(random.Random(5), 300, 40, ["put", "put", "beat", "done", "failed"])
+    folder = ingest.work_folder(spark)
+    make = lambda e: jobs.leases(e, 3600, "10 minutes")
+    put(spark, folder, rows[:170])
+    jobs.run(spark, make, f"{folder}/events", folder)
+    put(spark, folder, ended(rows[170:]))
+    got = jobs.run(spark, make, f"{folder}/events", folder).withColumn("us", F.unix_micros("ts")).collect()
+    us = lambda t: round((t - datetime(1970, 1, 1, tzinfo=UTC)) / timedelta(microseconds=1))
+    assert sorted((r.job, r.us, r.action, r.attempt) for r in got) == [(j, us(t), a, n) for j, t, a, n in queue(rows, timedelta(seconds=3600))]
+
+
 def test_stuck_job_by_the_clock_is_dealt_once_more_after_a_restart(spark):
     folder = ingest.work_folder(spark)
 
